@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import mixing, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op9_source_mixing": mixing.op9_source_mixing,
+    "op10_warc": warc.op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_source_mixing": mixing.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
+}
