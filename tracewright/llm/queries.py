@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, warc
+from . import language, mixing, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op6_language_id": language.op6_language_id,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_warc": warc.op10_warc,
 }
 
 SQL: dict[str, str] = {
+    "op6_language_id": language.op6_language_id,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op9_source_mixing": mixing.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
