@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, warc
+from . import language, mixing, packing, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op6_language_id": language.op6_language_id,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op9_source_mixing": mixing.op9_source_mixing,
