@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, secrets, warc
+from . import jaccard, language, mixing, packing, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_language_id": language.op6_language_id,
     "op7_quality_classifier": quality.op7_quality_classifier,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op6_language_id": language.op6_language_id,
     "op7_quality_classifier": quality.op7_quality_classifier,
+    "op3_ngram_jaccard_join": jaccard.OP3_SQL,
     "op9_source_mixing": mixing.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
