@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, mixing, packing, quality, secrets, warc
+from . import collisions, jaccard, language, mixing, neighbours, packing, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_embedding_near_dedup": collisions.op5_embedding_near_dedup,
     "op6_language_id": language.op6_language_id,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op9_source_mixing": mixing.op9_source_mixing,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_nearest_neighbours": neighbours.OP2_SQL,
     "op6_language_id": language.op6_language_id,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op3_ngram_jaccard_join": jaccard.OP3_SQL,
