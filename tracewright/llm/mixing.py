@@ -146,7 +146,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Rows of docs as often as the mix takes them; mixed has their doc_id, size and taken."""
     times = mixed.filter("taken > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_times", F.explode(F.sequence(F.lit(1), F.greatest("_times", F.lit(1))))).select(docs.columns)
+    held = docs.select("doc_id", F.struct(*docs.columns).alias("doc"))  # other columns may have any name
+    return held.join(times, "doc_id").select("doc", F.explode(F.sequence(F.lit(1), F.greatest("_times", F.lit(1))))).select("doc.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,22 +163,34 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     return model
 
 
+def probabilities(model: dict, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    if model["network"] is None:
+        return np.full(len(at) - 1, model["share"])
+    return 1 / (1 + np.exp(-np.clip(logits(model["network"], pooled(model["vectors"], data, at)), -500, 500)))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and the probability of label 1, for docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch, data, at in steps(batches, "text"):
-            if m["network"] is None:
-                out = np.full(batch.num_rows, m["share"])
-            else:
-                out = 1 / (1 + np.exp(-np.clip(logits(m["network"], pooled(m["vectors"], data, at)), -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probabilities(sent.value, data, at))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, with all their columns, whose probability reaches the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, at in steps(batches, "text"):
+            yield batch.filter(pa.array(probabilities(sent.value, data, at) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
     """Fitted on labels.quality of the rows outside the held-out fold."""
     return fit(docs, labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(crc_fold("doc_id") != 2))

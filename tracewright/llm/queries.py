@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collisions, jaccard, language, mixing, neighbours, packing, quality, secrets, warc
+from . import collisions, jaccard, language, mixing, neighbours, packing, perspectives, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_near_dedup": collisions.op5_embedding_near_dedup,
     "op6_language_id": language.op6_language_id,
     "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_perspective_chats": perspectives.op8_perspective_chats,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_warc": warc.op10_warc,
 }
@@ -25,6 +26,7 @@ SQL: dict[str, str] = {
     "op6_language_id": language.op6_language_id,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op3_ngram_jaccard_join": jaccard.OP3_SQL,
+    "op8_perspective_chats": perspectives.OP8_SQL,
     "op9_source_mixing": mixing.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
