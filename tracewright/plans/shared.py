@@ -1,0 +1,14 @@
+"""Folders that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, or under a folder of our own where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
