@@ -195,13 +195,14 @@ def cleartext_credentials(payloads: DataFrame, text: str, keep: list[str]) -> Da
     value = F.col(text)
     basic = decoded_base64(F.regexp_extract(value, r"(?i)authorization:\s*basic\s+([A-Za-z0-9+/=]+)", 1))
     one = lambda p, g=1: F.nullif(F.regexp_extract(value, p, g), F.lit(""))
+    row = lambda protocol, user, secret: F.struct(F.lit(protocol).alias("protocol"), user.alias("username"), secret.alias("secret"))
     rows = F.filter(
         F.array(
-            F.struct(F.lit("HTTP_BASIC").alias("protocol"), F.substring_index(basic, ":", 1).alias("username"), F.nullif(F.regexp_extract(basic, "(?s)^[^:]*:(.*)$", 1), F.lit("")).alias("secret")),
-            F.struct(F.lit("HTTP_BEARER"), F.lit(None).cast("string"), one(r"(?i)authorization:\s*bearer\s+(\S+)")),
-            F.struct(F.lit("FTP_OR_POP3"), one(r"(?im)^USER\s+(\S+)"), one(r"(?im)^PASS\s+(\S+)")),
-            F.struct(F.lit("IMAP"), one(r"(?im)^\S+\s+LOGIN\s+\"?([^\s\"]+)"), one(r"(?im)^\S+\s+LOGIN\s+\"?[^\s\"]+\"?\s+\"?([^\s\"]+)")),
-            F.struct(F.lit("TELNET"), one(r"(?im)^login:\s*(\S+)"), one(r"(?im)^password:\s*(\S+)")),
+            row("HTTP_BASIC", F.substring_index(basic, ":", 1), F.nullif(F.regexp_extract(basic, "(?s)^[^:]*:(.*)$", 1), F.lit(""))),
+            row("HTTP_BEARER", F.lit(None).cast("string"), one(r"(?i)authorization:\s*bearer\s+(\S+)")),
+            row("FTP_OR_POP3", one(r"(?im)^USER\s+(\S+)"), one(r"(?im)^PASS\s+(\S+)")),
+            row("IMAP", one(r"(?im)^\S+\s+LOGIN\s+\"?([^\s\"]+)"), one(r"(?im)^\S+\s+LOGIN\s+\"?[^\s\"]+\"?\s+\"?([^\s\"]+)")),
+            row("TELNET", one(r"(?im)^login:\s*(\S+)"), one(r"(?im)^password:\s*(\S+)")),
         ),
         lambda x: x["secret"].isNotNull(),
     )
