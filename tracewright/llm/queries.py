@@ -23,8 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_nearest_neighbours": neighbours.OP2_SQL,
-    "op6_language_id": language.op6_language_id,
-    "op7_quality_classifier": quality.op7_quality_classifier,
     "op3_ngram_jaccard_join": jaccard.OP3_SQL,
     "op8_perspective_chats": perspectives.OP8_SQL,
     "op9_source_mixing": mixing.OP9_SQL,
