@@ -277,3 +277,17 @@ def test_results_do_not_depend_on_row_order(spark, n):
     df = logons(spark, [(i % 7, f"u{i % 3}", f"{i % 2}", i % 4 == 0) for i in range(60)]).repartition(n)
     got = sorted(map(str, auth_logs.brute_force(df).collect()))
     assert got == sorted(map(str, auth_logs.brute_force(df.orderBy(F.desc("record_id"))).collect()))
+
+
+def test_message_ledger_and_lifecycle(spark):
+    m = spark.createDataFrame([("m", "A@x.com", None, T0, T0 + timedelta(hours=1))], "message_key string, from_address string, reply_to string, date timestamp, ingest_ts timestamp")
+    hops = spark.createDataFrame([("m", 1, "8.8.8.8", "mx", T0 + timedelta(seconds=5)), ("m", 2, None, "mx2", None)], "message_key string, hop int, from_ip string, by_host string, ts timestamp")
+    urls = spark.createDataFrame([("m", "http://x", 65)], "message_key string, url string, score int")
+    parts = spark.createDataFrame([("m", True, b"ab", "f", T0)], "message_key string, is_attachment boolean, content binary, filename string, modified timestamp")
+    found = spark.createDataFrame([("m", "VIP_IMPERSONATION")], "message_key string, indicator string")
+    blobs = spark.createDataFrame([("m", "blob")], "message_key string, evidence string")
+    got = {(r["ioc_type"], r["severity"]) for r in sinks.message_ledger(hops, m, urls, parts, found, blobs).collect()}
+    assert got == {("ipv4", "LOW"), ("email", "LOW"), ("url", "HIGH"), ("sha256", "MEDIUM"), ("indicator", "HIGH"), ("blob", "MEDIUM")}
+    signed = spark.createDataFrame([("m", "d", T0 + timedelta(seconds=1), None)], "message_key string, domain string, signed timestamp, expires timestamp")
+    line = timeline.deltas(timeline.lifecycle(m, hops, signed, parts)).orderBy("ts", "source").collect()
+    assert [(r["event"], r["delta"]) for r in line] == [("MODIFIED", 0.0), ("SENT", 0.0), ("SIGNED", 1.0), ("RECEIVED", 4.0), ("INGESTED", 3595.0)]

@@ -73,3 +73,10 @@ def shared(iocs: DataFrame, item: str, least: int = 2, shortest: int = 4) -> Dat
 def listed(values: DataFrame, watch: DataFrame, on: str = "value") -> DataFrame:
     """Rows whose value is on a list (value), without case."""
     return values.join(watch.select(F.lower(F.trim("value")).alias("_w")).distinct(), F.lower(F.col(on)) == F.col("_w"), "left_semi")
+
+
+def from_alerts(alerts: DataFrame) -> DataFrame:
+    """Labelled indicators of alerts (actor, target, source_ip): USER:, TARGET: and IP: values, each once."""
+    one = lambda c, label: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(label), F.col(c)))
+    found = F.filter(F.array(one("actor", "USER:"), one("target", "TARGET:"), one("source_ip", "IP:")), lambda x: x.isNotNull())
+    return alerts.select(F.explode(found).alias("indicator")).distinct()

@@ -93,3 +93,10 @@ def depths(edges: DataFrame, most: int = 64) -> DataFrame:
         far = at.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
         at = at.join(far, F.col("up") == F.col("_n"), "left").select("node", F.when(F.col("_n").isNotNull(), F.col("_up")).alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
     return at.select("node", "depth")
+
+
+def evidence(anomalies: DataFrame, hashes: DataFrame, connections: DataFrame, files: DataFrame) -> DataFrame:
+    """kind, value of what anomalous processes (guid) left: their hashes (guid, value), egress (guid, value) and dropped files (guid, value)."""
+    bad = anomalies.select("guid").distinct()
+    one = lambda df, kind: df.join(bad, "guid", "left_semi").select(F.lit(kind).alias("kind"), "value")
+    return one(hashes, "hash").unionByName(one(connections, "egress")).unionByName(one(files, "file")).distinct()

@@ -67,3 +67,38 @@ def item_score(kind: Column, malicious: Column, suspicious: Column, findings: Co
 def kill_chain(items: DataFrame, key: str = "case_id") -> DataFrame:
     """Whether mail and binary evidence are both in a case (items: key, kind)."""
     return items.groupBy(key).agg((F.bool_or(F.col("kind") == "email") & F.bool_or(F.col("kind") == "binary")).alias("kill_chain"))
+
+
+# Points and severity of each factor of a message's risk.
+FACTORS = {
+    "AUTHENTICATION": {"SPF_FAIL": (10.0, "HIGH"), "SPF_SOFTFAIL": (5.0, "MEDIUM"), "DKIM_INVALID": (10.0, "HIGH"), "DMARC_ENFORCED": (15.0, "CRITICAL"), "DMARC_FAIL": (10.0, "HIGH"), "ARC_BROKEN": (8.0, "MEDIUM")},
+    "PHISHING_URL": {"IDN_HOMOGRAPH_ATTACK": (15.0, "CRITICAL"), "IP_HOST_URL": (12.0, "HIGH"), "ANCHOR_URL_MISMATCH": (10.0, "HIGH"), "SUSPICIOUS_SHORTENER": (8.0, "MEDIUM"), "CREDENTIAL_PHISH_PARAM": (8.0, "HIGH")},
+    "ATTACHMENT_MALWARE": {"RULE_MATCH": (20.0, "CRITICAL"), "mismatch": (15.0, "HIGH"), "double_extension": (15.0, "HIGH"), "macro": (12.0, "HIGH"), "dangerous": (15.0, "CRITICAL")},
+    "OBFUSCATION_TRANSIT": {"ZERO_WIDTH": (8.0, "MEDIUM"), "HIDDEN_CSS": (6.0, "MEDIUM"), "BASE64_TEXT": (6.0, "MEDIUM"), "HOP_ANOMALY": (5.0, "MEDIUM"), "TOR_HOP": (8.0, "HIGH")},
+}
+INDICATOR_POINTS = 15.0
+
+
+def factors(findings: DataFrame, key: str) -> DataFrame:
+    """Risk factors (key, vector, factor, points, severity) from findings (key, vector, factor, confidence).
+
+    Sender-fraud findings weigh 15 points times their confidence (1 if null); others as in FACTORS, each once
+    a message and factor; unknown factors are left out.
+    """
+    table = findings.sparkSession.createDataFrame([(v, f, p, s) for v, fs in FACTORS.items() for f, (p, s) in fs.items()], "vector string, factor string, points double, severity string")
+    once = findings.groupBy(key, "vector", "factor").agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("confidence"))
+    known = once.join(F.broadcast(table), ["vector", "factor"]).select(key, "vector", "factor", "points", "severity")
+    fraud = once.filter("vector = 'BEC_SOCIAL_ENGINEERING'").select(key, "vector", "factor", F.round(F.col("confidence") * INDICATOR_POINTS, 1).alias("points"), F.when(F.col("confidence") >= 0.9, "CRITICAL").otherwise("HIGH").alias("severity"))
+    return known.unionByName(fraud)
+
+
+# Points and rank of each severity of metadata anomalies.
+METADATA_POINTS = {"CRITICAL": 50, "HIGH": 35, "MEDIUM": 20, "LOW": 10}
+
+
+def metadata_score(anomalies: DataFrame, key: str) -> DataFrame:
+    """Points of anomalies (key, severity) held to 100; the worst severity counts where it is HIGH or CRITICAL."""
+    s = F.col("severity")
+    out = anomalies.groupBy(key).agg(F.least(F.lit(100), F.sum(looked_up(s, METADATA_POINTS))).cast("int").alias("score"), F.bool_or(s == "CRITICAL").alias("_c"), F.bool_or(s == "HIGH").alias("_h"))
+    n = F.col("score")
+    return out.withColumn("severity", F.when(F.col("_c"), "CRITICAL").when(F.col("_h") | (n >= 75), "HIGH").when(n >= 40, "MEDIUM").when(n >= 15, "LOW").otherwise("CLEAN")).drop("_c", "_h")

@@ -37,3 +37,19 @@ def tagged(alerts: DataFrame, rows: DataFrame, by: str, seconds: int = 60) -> Da
 def by_record(alerts: DataFrame, rows: DataFrame, record: str = "record_id") -> DataFrame:
     """Alerts with the rows whose ids they list (record_ids)."""
     return alerts.withColumn(record, F.explode("record_ids")).drop("record_ids").join(rows, record)
+
+
+def lifecycle(messages: DataFrame, hops: DataFrame, signatures: DataFrame, parts: DataFrame, key: str = "message_key") -> DataFrame:
+    """One timeline of a message: its own date, hops, signing and expiry of signatures, attachments, ingest.
+
+    messages: key, date, ingest_ts; hops: key, hop, ts, by_host; signatures: key, domain, signed, expires;
+    parts: key, filename, modified. Rows without a time are left out.
+    """
+    entity = F.col(key).alias("entity")
+    row = lambda df, ts, source, event, ref: df.select(entity, F.col(ts).alias("ts"), F.lit(source).alias("source"), F.lit(event).alias("event"), F.coalesce(ref.cast("string"), F.lit("")).alias("ref"))
+    none = F.lit(None)
+    all_ = union(
+        row(messages, "date", "client", "SENT", none), row(hops, "ts", "relay", "RECEIVED", F.concat_ws(" ", "hop", "by_host")), row(signatures, "signed", "dkim", "SIGNED", F.col("domain")),
+        row(signatures, "expires", "dkim", "EXPIRES", F.col("domain")), row(parts, "modified", "attachment", "MODIFIED", F.col("filename")), row(messages, "ingest_ts", "ingest", "INGESTED", none),
+    )
+    return all_.filter("ts is not null")

@@ -570,6 +570,46 @@ def mail_fraud(spark, sf_dir):
     return messages.fraud_report(messages.sender_indicators(m, "message_key"), "message_key").select("message_key", "score", F.array_join("flags", ",").alias("flags"), "level")
 
 
+@query
+def message_factors(spark, sf_dir):
+    t, k = F.col("event_type"), F.col("k")
+    vector = F.when(t == "error", "AUTHENTICATION").when(t == "click", "PHISHING_URL").when(t == "purchase", "BEC_SOCIAL_ENGINEERING").when(t == "view", "ATTACHMENT_MALWARE").otherwise("OBFUSCATION_TRANSIT")
+    factor = F.when(t == "error", F.when(k < 30, "SPF_FAIL").otherwise("DMARC_FAIL")).when(t == "click", "IP_HOST_URL").when(t == "purchase", "VIP_IMPERSONATION").when(t == "view", F.when(k < 50, "macro").otherwise("unknown")).otherwise("ZERO_WIDTH")
+    return risk.factors(events(spark, sf_dir).select("user_id", vector.alias("vector"), factor.alias("factor"), (F.floor(k / 10) / 10).alias("confidence")), "user_id")
+
+
+@query
+def metadata_scores(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    made, changed = F.col("o_orderdate").cast("timestamp"), F.expr("cast(o_orderdate as timestamp) + make_interval(0, 0, 0, cast(o_orderkey % 9 as int) - 2)")
+    found = triage.time_anomalies(o.select("o_orderkey", made.alias("created"), changed.alias("modified")), F.lit("1997-01-01").cast("timestamp"))
+    return risk.metadata_score(found.select("o_orderkey", F.when(F.col("anomaly") == "FUTURE", "HIGH").otherwise("MEDIUM").alias("severity")), "o_orderkey")
+
+
+@query
+def message_lifecycle(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    m = o.select(F.col("o_orderkey").alias("message_key"), F.col("o_orderdate").cast("timestamp").alias("date"), F.lit(None).cast("timestamp").alias("ingest_ts"))
+    hops = _hops(spark, sf_dir).withColumn("by_host", F.lit("h"))
+    signed = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("message_key"), F.lit("d").alias("domain"), F.col("o_orderdate").cast("timestamp").alias("signed"), F.lit(None).cast("timestamp").alias("expires"))
+    parts = m.limit(0).select("message_key", F.lit("").alias("filename"), F.col("date").alias("modified"))
+    return timeline.lifecycle(m, hops, signed, parts)
+
+
+@query
+def alert_indicators(spark, sf_dir):
+    e = events(spark, sf_dir).filter("event_type = 'error' and value > 90")
+    a = alerts.alert(e, "X", "HIGH", "T1110", "x", actor=F.col("user_id").cast("string"), source_ip=F.when(F.col("k") % 2 == 0, F.col("k").cast("string")))
+    return iocs.from_alerts(a)
+
+
+@query
+def process_evidence(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("guid", F.col("user_id").cast("string"))
+    one = lambda t: e.filter(F.col("event_type") == t).select("guid", F.concat(F.lit(t), F.lit("-"), F.col("k").cast("string")).alias("value"))
+    return processes.evidence(e.filter("value > 99.5"), one("click"), one("view"), one("signup"))
+
+
 # Streams: the table as a file source, all of it once, then the same rules as in batch.
 
 

@@ -231,3 +231,12 @@ SQL["stream_flow_sessions"] = f"""WITH {E}, p AS (SELECT 'k' || (k % 4) AS low,
 SQL["stream_first_seen"] = f"WITH {E} SELECT DISTINCT event_type AS ioc_type, 'k' || k AS value FROM e"
 SQL["stream_matched"] = f"WITH {E} SELECT event_id, k::VARCHAR AS value FROM e WHERE k IN (0, 7, 14, 21, 28)"
 SQL["stream_near_alerts"] = "SELECT a.event_id AS alert_id, a.user_id AS \"user\", b.event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type <> 'error' AND abs(epoch_us(b.ts) - epoch_us(a.ts)) < 600 * 1000000"
+_FACTORS = ", ".join(f"('{v}', '{f}', {p}::DOUBLE, '{x}')" for v, fs in risk.FACTORS.items() for f, (p, x) in fs.items())
+SQL["message_factors"] = f"""WITH {E}, t(vector, factor, points, severity) AS (VALUES {_FACTORS}), f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'AUTHENTICATION' WHEN 'click' THEN 'PHISHING_URL' WHEN 'purchase' THEN 'BEC_SOCIAL_ENGINEERING' WHEN 'view' THEN 'ATTACHMENT_MALWARE' ELSE 'OBFUSCATION_TRANSIT' END AS vector,
+    CASE event_type WHEN 'error' THEN CASE WHEN k < 30 THEN 'SPF_FAIL' ELSE 'DMARC_FAIL' END WHEN 'click' THEN 'IP_HOST_URL' WHEN 'purchase' THEN 'VIP_IMPERSONATION' WHEN 'view' THEN CASE WHEN k < 50 THEN 'macro' ELSE 'unknown' END ELSE 'ZERO_WIDTH' END AS factor, max((k // 10) / 10) AS c FROM e GROUP BY ALL)
+  SELECT user_id, vector, factor, points, severity FROM f JOIN t USING (vector, factor) UNION ALL SELECT user_id, vector, factor, round(c * 15, 1), CASE WHEN c >= 0.9 THEN 'CRITICAL' ELSE 'HIGH' END FROM f WHERE vector = 'BEC_SOCIAL_ENGINEERING'"""
+SQL["metadata_scores"] = """WITH d AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS c, o_orderdate::TIMESTAMP + to_days(((o_orderkey % 9) - 2)::INT) AS m FROM orders), a AS (SELECT o_orderkey, (greatest(c, m) > TIMESTAMP '1997-01-02')::INT AS f, (m < c)::INT + (least(c, m) < TIMESTAMP '1980-01-01')::INT AS o FROM d), s AS (SELECT o_orderkey, least(100, 35 * f + 20 * o) AS score, f FROM a WHERE f + o > 0)
+  SELECT o_orderkey, score, CASE WHEN f > 0 OR score >= 75 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' WHEN score >= 15 THEN 'LOW' ELSE 'CLEAN' END AS severity FROM s"""
+SQL["message_lifecycle"] = f"""WITH {HOPS} SELECT o_orderkey AS entity, o_orderdate::TIMESTAMP AS ts, 'client' AS source, 'SENT' AS event, '' AS ref FROM orders UNION ALL SELECT message_key, ts, 'relay', 'RECEIVED', hop || ' h' FROM h WHERE ts IS NOT NULL UNION ALL SELECT o_orderkey, o_orderdate::TIMESTAMP, 'dkim', 'SIGNED', 'd' FROM orders WHERE o_orderkey % 3 = 0"""
+SQL["alert_indicators"] = f"WITH {E} SELECT 'USER:' || user_id AS indicator FROM e WHERE event_type = 'error' AND value > 90 UNION SELECT 'IP:' || k FROM e WHERE event_type = 'error' AND value > 90 AND k % 2 = 0"
+SQL["process_evidence"] = f"WITH {E}, b AS (SELECT DISTINCT user_id FROM e WHERE value > 99.5) SELECT DISTINCT CASE event_type WHEN 'click' THEN 'hash' WHEN 'view' THEN 'egress' ELSE 'file' END AS kind, event_type || '-' || k AS value FROM e JOIN b USING (user_id) WHERE event_type IN ('click', 'view', 'signup')"

@@ -49,3 +49,19 @@ def stix_bundles(indicators: DataFrame, case: str, per_bundle: int = 10_000) ->
     sized = indicators.join(indicators.groupBy(case).agg(F.count("*").alias("_n")), case).withColumn("bundle", n)
     listed = F.array_join(F.sort_array(F.collect_set("object")), ",")
     return sized.groupBy(case, "bundle").agg(F.concat(F.lit('{"type":"bundle","objects":['), listed, F.lit("]}")).alias("json"))
+
+
+def message_ledger(hops: DataFrame, messages: DataFrame, urls: DataFrame, parts: DataFrame, indicators: DataFrame, blobs: DataFrame, key: str = "message_key") -> DataFrame:
+    """Indicators of messages in one ledger (key, ioc_type, value, severity, category): relay addresses, mail addresses, links, digests, fraud indicators, hidden blobs."""
+    row = lambda df, kind, value, severity, category: df.select(key, F.lit(kind).alias("ioc_type"), value.alias("value"), severity.alias("severity"), F.lit(category).alias("category")).filter("value is not null and value <> ''")
+    low, high = F.lit("LOW"), F.lit("HIGH")
+    digest = F.sha2(F.col("content"), 256)
+    selects = [
+        row(hops, "ipv4", F.col("from_ip"), low, "relay"), row(messages, "email", F.lower("from_address"), low, "sender"), row(messages, "email", F.lower("reply_to"), low, "reply"),
+        row(urls, "url", F.col("url"), F.when(F.col("score") >= 60, "HIGH").when(F.col("score") >= 20, "MEDIUM").otherwise("LOW"), "link"),
+        row(parts.filter("is_attachment"), "sha256", digest, F.lit("MEDIUM"), "attachment"), row(indicators, "indicator", F.col("indicator"), high, "fraud"), row(blobs, "blob", F.col("evidence"), F.lit("MEDIUM"), "hidden"),
+    ]
+    out = selects[0]
+    for df in selects[1:]:
+        out = out.unionByName(df)
+    return out.distinct()
