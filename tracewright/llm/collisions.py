@@ -201,10 +201,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target: float =
     low, high = F.least("block", "other"), F.greatest("block", "other")
     met = met.select("node", "table", "block", (F.col("block") == F.col("other")).alias("lone"), F.xxhash64("cell", low, high).alias("tile"))
     rows = met.join(celled.select("node", "weight", "cells", "embedding"), "node")
-    found = staged(_compared(rows.repartition("tile").sortWithinPartitions("tile"), p), "found")
+    found = staged(_compared(rows.repartition("tile").sortWithinPartitions("tile"), p), "found", small=True)
 
     links = found.filter("links is not null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
-    roots = staged(components(found.filter("links is null").select("a", "b")), "roots")
+    roots = staged(components(found.filter("links is null").select("a", "b")), "roots", small=True)
     named = smallest_member(nodes.select("node", "id"), roots)
     per_node = nodes.select("node", "weight").join(links, "node", "left").join(named, "node")
     per_node = per_node.select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")

@@ -41,9 +41,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back, which cuts its lineage."""
+def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write df into the shared folder and read it back, which cuts its lineage. small: keys and counts only, so four files a core are enough."""
     path = new_folder(df.sparkSession, name)
+    if small:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -77,6 +79,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
             end = min(max(end, row + 1), batch.num_rows)
             yield batch.slice(row, end - row), data[at[row] : at[end]], at[row : end + 1] - at[row]
             row = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

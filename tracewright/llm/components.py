@@ -1,8 +1,9 @@
-"""Connected components of an edge table, by randomised contraction.
+"""Connected components of an edge table, by spanning forests and randomised contraction.
 
-Each round hooks every node to the neighbour (or itself) that comes first in the round's hashed order and
-replaces edges by edges between hooks, so a constant share of the nodes goes in each round, also along
-chains. Tasks first replace their own edges by a spanning forest of them. Nothing is collected to the
+Tasks of at most EDGES_PER_TASK edges or so replace theirs by stars that span the same components. Where more
+than one task is needed, every node is hooked to the neighbour (or itself) that comes first in the
+round's hashed order, and edges become edges between hooks, so a constant share of the nodes goes in each
+round, also along chains; then the forests are taken again, by fewer tasks. Nothing is collected to the
 driver but the number of edges left; each round's tables are staged.
 """
 
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+#: Edges that one task's forest holds, some 50 MB.
+EDGES_PER_TASK = 200_000
+
+
 def spanning_stars(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """For each node that is not the smallest of its component of these edges, an edge to the smallest."""
     parent: dict[int, int] = {}
@@ -36,41 +40,48 @@ def spanning_stars(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return [root(x) for x in nodes], nodes
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """Per task and batch of edges, a spanning forest instead of the edges."""
+def _forest(edges: DataFrame, tasks: int) -> DataFrame:
+    """Stars that span the components of each task's edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
         for batch in batches:
-            a, b = spanning_stars(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return edges.mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges (a long, b long); root is one node of its component."""
-    left = staged(_forest(edges.select("a", "b").filter("a <> b")), "edges")
-    hooks: list[DataFrame] = []
-    while not left.isEmpty():
-        order = F.xxhash64(F.lit(len(hooks)), F.col("b"))
+            a, b = spanning_stars(a + batch.column(0).to_pylist(), b + batch.column(1).to_pylist())
+        for at in range(0, len(a), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 10_000], pa.int64()), pa.array(b[at : at + 10_000], pa.int64())], names=["a", "b"])
+
+    return edges.coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
+    """node, root for every node of edges (a long, b long), a staged table; root is one node of its component."""
+    left, found, n = edges.select("a", "b").filter("a <> b"), None, 0
+    while True:
+        tasks = max(1, -(-left.count() // per_task))
+        left = staged(_forest(left, tasks), "edges")
+        stars = left.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        if tasks == 1:
+            break
+        order = lambda c: F.xxhash64(F.lit(n), F.col(c))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = both.groupBy("a").agg(F.min(F.struct(order.alias("h"), F.col("b").alias("b"))).alias("first"))
-        hook = first.filter(F.col("first.h") < F.xxhash64(F.lit(len(hooks)), F.col("a"))).select(F.col("a").alias("node"), F.col("first.b").alias("root"))
-        hook = staged(hook, "hooks")
-        hooks.append(hook)
-        left = left.join(hook.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a", "left")
-        left = left.join(hook.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b", "left")
-        left = left.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b")
-        left = staged(_forest(left), "edges")
-    if not hooks:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = hooks[-1]
-    for hook in reversed(hooks[:-1]):
-        later = found.select(F.col("node").alias("root"), F.col("root").alias("_root"))
-        found = hook.join(later, "root", "left").select("node", F.coalesce("_root", "root").alias("root")).unionByName(found)
-        found = found.dropDuplicates(["node"])  # a hooked node that others hook to goes on, and comes to the same root later
-    roots = found.select("root").distinct()
-    return found.unionByName(roots.select(F.col("root").alias("node"), "root")).dropDuplicates(["node"])
+        first = both.groupBy("a").agg(F.min(F.struct(order("b").alias("h"), F.col("b").alias("b"))).alias("first"))
+        hook = staged(first.filter(F.col("first.h") < order("a")).select(F.col("a").alias("node"), F.col("first.b").alias("root")), "hooks", small=True)
+        found = hook if found is None else _followed(found, hook)
+        for side in ("a", "b"):
+            left = left.join(hook.select(F.col("node").alias(side), F.col("root").alias("_root")), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+        left = staged(left.select("a", "b").filter("a <> b"), "edges", small=True)
+        n += 1
+    found = stars if found is None else _followed(found, stars)
+    tops = found.select("root").distinct().join(found.select(F.col("node").alias("root")), "root", "left_anti")
+    return found.unionByName(tops.select(F.col("root").alias("node"), "root"))
+
+
+def _followed(found: DataFrame, hook: DataFrame) -> DataFrame:
+    """found with roots moved along hook, and hook's other nodes. A node hooked again is found already, by a way that leads to the same root."""
+    far = hook.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    moved = found.join(far, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return staged(moved.unionByName(hook.join(found, "node", "left_anti")), "roots", small=True)
 
 
 def smallest_member(members: DataFrame, roots: DataFrame) -> DataFrame:
