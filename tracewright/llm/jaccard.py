@@ -9,9 +9,10 @@ then a link is seen although SPARE of the signatures are ignored for being too f
 
 A signature of up to GROUP sets gives their pairs. A frequent one gives none; its sets count how many of
 theirs are frequent, and only those that have more than they can spare take the exact way: each is checked
-against the smallest set of its frequent groups, and then all pairs of such sets that are not in one
-component yet. Pairs are verified on the whole shingle sets, in two passes: first each set with its smallest
-partner, then the pairs that lead from one component to another. Equal sets are one node throughout.
+against one set of each of its frequent groups, CENTRES times more against others, and then all pairs of such
+sets that are not in one component yet. Parity sketches, whose difference never exceeds that of the sets, refuse most false pairs;
+the others are verified on the whole shingle sets: first each set with its smallest partner, then only
+pairs that lead from one component to another. Equal sets are one node throughout.
 
 Sets are known by 64-bit hashes of sorted 64-bit shingle hashes. Nothing is sampled or capped.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, mix, read, span_hashes, staged, steps, within, word_spans
@@ -36,6 +37,8 @@ WORDS = 5
 PERCENT = 80
 SPARE = 8
 GROUP = 8
+#: Times that hidden sets are checked against one set of each of their groups before all pairs are.
+CENTRES = 2
 #: Sets that a task remembers so as not to emit the signatures of equal ones again.
 REMEMBERED_SETS = 500_000
 
@@ -206,13 +209,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+#: Words of 64 parity bits in a sketch: two sets differ in at least as many features as their sketches in bits.
+SKETCH = 8
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _packed_sets(docs: DataFrame) -> DataFrame:
+    """node, n, s (packed hashes) and a sketch, w0 and on."""
+    names = ["node", "n", "s", *(f"w{i}" for i in range(SKETCH))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in steps(batches, "text"):
-            packed = [s.astype("<u8").tobytes() for s in shingle_sets(data, at)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "s"])
+            found = list(shingle_sets(data, at))
+            words = np.stack([sketch(s) for s in found])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, found), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()), *(pa.array(w) for w in words.T.copy())], names=names)
+
+    return docs.select("node", "text").mapInArrow(run, "node long, n long, s binary, " + ", ".join(f"w{i} long" for i in range(SKETCH)))
 
-    return docs.select("node", "text").mapInArrow(run, "node long, s binary")
+
+def _sketched(rows: DataFrame, sets: DataFrame, node: str, mark: str) -> DataFrame:
+    """rows with the size and sketch of a node, their names marked."""
+    return rows.join(sets.select(F.col("node").alias(node), *(F.col(c).alias(mark + c) for c in ("n", *(f"w{i}" for i in range(SKETCH))))), node)
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether two sketches allow a link; a link is never refused."""
+    differ = sum((F.bit_count(F.col(f"{x}w{i}").bitwiseXOR(F.col(f"{y}w{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{x}w0").bitwiseXOR(F.col(f"{y}w0"))))
+    return differ * (100 + PERCENT) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - PERCENT)
 
 
 def links(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -226,34 +253,50 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     # The exact way for sets that have more frequent signatures than they can spare.
     frequent = found.filter("inst is not null").select(F.col("a").alias("sig"), F.col("b").alias("node"), "inst")
     tight = frequent.groupBy("node", "inst").agg(F.count("*").alias("c")).filter(F.col("c") > F.shiftright("inst", 1)).select("node", "inst")
-    tight = staged(frequent.join(tight, ["node", "inst"], "left_semi").select("sig", "node"), "tight")
-    least = tight.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1").select("sig", "a")
-    stars = tight.join(least, "sig").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-
-    candidates = staged(pairs.unionByName(stars).distinct(), "candidates")
-    nodes = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node")), allowMissingColumns=False).distinct()
-    home = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    home = staged(home, "homes")
+    tight = staged(frequent.join(tight, ["node", "inst"], "left_semi").select("sig", "node"), "tight", small=True)
+    # Each group has a centre of its own, so a set meets as many others as it has frequent signatures.
+    centre = tight.groupBy("sig").agg(F.min_by("node", F.xxhash64("sig", "node")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("sig", "c")
+    stars = tight.join(centre, "sig").filter("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+
+    met = staged(pairs.unionByName(stars).distinct(), "met", small=True)
+    nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+    home = staged(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "homes", small=True)
     texts = within(home.select("doc_id"), docs.select("doc_id", "text"), "doc_id")
-    sets = staged(_packed_sets(_with_node(texts, home)).dropDuplicates(["node"]), "sets")
+    sets = staged(_packed_sets(_with_node(texts, home).dropDuplicates(["node"])), "sets")
+    candidates = staged(_sketched(_sketched(met, sets, "a", "x"), sets, "b", "y").filter(_may_link("x", "y")).select("a", "b"), "candidates", small=True)
 
     first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    done = staged(_verified(first, sets), "links")
-    roots = staged(components(done), "roots")
-
-    def across(p: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            p = p.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-        return p.filter("_a <> _b").select("a", "b")
-
-    rest = across(candidates.join(first, ["a", "b"], "left_anti"))
-    rooted = tight.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
-    rooted = rooted.join(mixed, "sig", "left_semi")
-    other = rooted.select("sig", F.col("node").alias("b"), F.col("root").alias("_root"))
-    met = rooted.join(other, "sig").filter("node < b and root <> _root").select(F.col("node").alias("a"), "b").distinct().join(candidates, ["a", "b"], "left_anti")
-    more = _verified(rest.unionByName(met), sets)
-    return done.unionByName(more)
+    done = staged(_verified(first, sets), "links", small=True)
+    roots = staged(components(done), "roots", small=True)
+    rest = candidates.join(first, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    done = done.unionByName(staged(_verified(rest.filter("_a <> _b").select("a", "b"), sets), "links", small=True))
+    roots = staged(components(done), "roots", small=True)
+
+    def hidden() -> DataFrame:
+        """sig, node, root: sets with too many frequent signatures that lead to other components. One within a component hides no link."""
+        rooted = frequent.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
+        rooted = staged(rooted.join(mixed, "sig", "left_semi"), "mixed", small=True)
+        many = rooted.groupBy("node", "inst").agg(F.count("*").alias("c")).filter(F.col("c") > F.shiftright("inst", 1)).select("node", "inst")
+        return rooted.join(many, ["node", "inst"], "left_semi").select("sig", "node", "root").distinct()
+
+    def both(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of x and y with one signature, of two components, that sketches allow."""
+        x = _sketched(x, sets, "node", "x").withColumnRenamed("node", "a")
+        y = _sketched(y.withColumnRenamed("root", "_root"), sets, "node", "y").withColumnRenamed("node", "b")
+        return x.join(y, "sig").filter((F.col("a") != F.col("b")) & (F.col("root") != F.col("_root")) & _may_link("x", "y"))
+
+    for salt in range(CENTRES):
+        left = staged(hidden(), "hidden", small=True)
+        centre = left.groupBy("sig").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(salt), "sig", "node")).alias("c")).select("sig", "c.*")
+        pairs = both(left, centre).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        done = done.unionByName(staged(_verified(pairs, sets), "links", small=True))
+        roots = staged(components(done), "roots", small=True)
+    left = hidden()
+    rest = both(left, left).filter("a < b").select("a", "b").distinct()
+    return done.unionByName(staged(_verified(rest, sets), "links", small=True))
 
 
 def _with_node(texts: DataFrame, home: DataFrame) -> DataFrame:
@@ -267,7 +310,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = staged(document_signatures(docs), "signatures")
     edges = links(docs, known.filter("doc_id is not null"))
     members = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
-    named = smallest_member(members, staged(components(edges), "roots"))
+    named = smallest_member(members, staged(components(edges), "roots", small=True))
     out = known.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
