@@ -28,7 +28,7 @@ from .common import read, span_hashes, staged, steps, word_spans
 CAPACITY = 2048
 CLOSING_ID = 0
 #: Words whose ids a Python worker remembers; then it starts afresh.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 300_000
 #: Parts of each length, so that a length which a third of all pieces have is ranked by many tasks.
 PARTS = 256
 
