@@ -1,6 +1,7 @@
 """Operators on small records made by hand."""
 
 import base64
+import re
 import struct
 from datetime import datetime, timedelta
 
@@ -291,3 +292,27 @@ def test_message_ledger_and_lifecycle(spark):
     signed = spark.createDataFrame([("m", "d", T0 + timedelta(seconds=1), None)], "message_key string, domain string, signed timestamp, expires timestamp")
     line = timeline.deltas(timeline.lifecycle(m, hops, signed, parts)).orderBy("ts", "source").collect()
     assert [(r["event"], r["delta"]) for r in line] == [("MODIFIED", 0.0), ("SENT", 0.0), ("SIGNED", 1.0), ("RECEIVED", 4.0), ("INGESTED", 3595.0)]
+
+
+def test_strings_longer_than_chunks(spark):
+    data = b"\x00" + b"ab" * 5000 + b"\x01\x02short" + "wide".encode("utf-16le") * 900 + b"\x00\x03" + b"z" * 600 + b"\x04end of it"
+    want = {(m.start(), "ascii", m[0].decode()) for m in re.finditer(rb"[\x20-\x7e]{4,}", data)} | {(m.start(), "utf-16le", m[0].decode("utf-16le")) for m in re.finditer(rb"(?:[\x20-\x7e]\x00){4,}", data)}
+    for size, overlap in ((4096, 512), (1000, 16), (1001, 999), (1 << 20, 0)):
+        rows = [("i", at, data[at : at + size + overlap]) for at in range(0, len(data), size)]
+        found = files.strings(spark.createDataFrame(rows, "image_id string, chunk_off long, bytes binary").repartition(3), 4)
+        got = [(r["offset"], r["encoding"], r["value"]) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_page_strings_are_whole(spark):
+    from tracewright.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect():
+        data = (r["html"] or "").encode()
+        found = [len(m[0]) for m in re.finditer(rb"[\x20-\x7e]{6,}", data)], [len(m[0]) // 2 for m in re.finditer(rb"(?:[\x20-\x7e]\x00){6,}", data)]
+        if found[0] or found[1]:
+            want[str(r["page_id"])] = (len(found[0] + found[1]), len(found[0]), len(found[1]), max(found[0] + found[1]))
+    assert {r["image_id"]: (r["strings"], r["ascii"], r["wide"], r["longest"]) for r in catalogue.page_strings(spark, sf).collect()} == want
+    assert max(w[3] for w in want.values()) > 4608

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .messages import DANGEROUS, MACRO
@@ -126,8 +126,8 @@ def entropy_tier(entropy: Column) -> Column:
 def strings(chunks: DataFrame, least: int = 4) -> DataFrame:
     """image_id, offset, encoding, value, length: printable runs of chunks (image_id, chunk_off, bytes), ASCII and UTF-16LE.
 
-    Chunks may overlap; a run found twice is one row. Runs cut by a chunk's start are dropped where the chunk
-    before overlaps it by more than their length.
+    Chunks may overlap; pieces of one image and encoding that overlap or touch are one run, however many chunks it
+    spans. Chunks of one image that are cut inside a run should overlap by 4 * least bytes, as shorter pieces are not seen.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +145,15 @@ def strings(chunks: DataFrame, least: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["image_id", "offset", "encoding", "value"])
 
     found = chunks.select(F.col("image_id").cast("string").alias("image_id"), "chunk_off", "bytes").mapInArrow(run, "image_id string, offset long, encoding string, value string")
-    longest = found.withColumn("_end", F.col("offset") + F.length("value") * F.when(F.col("encoding") == "ascii", 1).otherwise(2))
-    one = longest.groupBy("image_id", "encoding", "_end").agg(F.min_by("value", "offset").alias("value"), F.min("offset").alias("offset"))
+    unit = F.when(F.col("encoding") == "ascii", 1).otherwise(2)
+    w = Window.partitionBy("image_id", "encoding").orderBy("offset", "_end")
+    ended = found.withColumn("_end", F.col("offset") + F.length("value") * unit).withColumn("_before", F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = F.col("_before").isNull() | (F.col("offset") > F.col("_before"))
+    runs = ended.withColumn("_start", F.max(F.when(begins, F.col("offset"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    known = F.greatest(F.lit(0), ((F.least("_before", "_end") - F.col("offset")) / unit).cast("int"))  # characters that pieces before have
+    runs = runs.withColumn("value", F.when(begins, F.col("value")).otherwise(F.col("value").substr(known + 1, F.length("value"))))
+    pieces = F.array_sort(F.collect_list(F.when(F.length("value") > 0, F.struct("offset", "_end", "value"))))
+    one = runs.groupBy("image_id", "encoding", F.col("_start").alias("offset")).agg(F.array_join(F.transform(pieces, lambda x: x["value"]), "").alias("value"))
     return one.select("image_id", "offset", "encoding", "value", F.length("value").alias("length"))
 
 

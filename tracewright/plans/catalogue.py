@@ -473,8 +473,7 @@ def file_types(spark, sf_dir):
 @query
 def page_strings(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    chunks = p.select(F.col("page_id").alias("image_id"), F.col("html").cast("binary").alias("b")).withColumn("chunk_off", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.octet_length("b") - 1, F.lit(0)).cast("long"), F.lit(4096).cast("long"))))
-    chunks = chunks.select("image_id", "chunk_off", F.expr("substring(b, cast(chunk_off as int) + 1, 4096 + 512)").alias("bytes"))
+    chunks = p.select(F.col("page_id").alias("image_id"), F.lit(0).cast("long").alias("chunk_off"), F.col("html").cast("binary").alias("bytes"))
     return triage.string_statistics(triage.strings(chunks, 6))
 
 
