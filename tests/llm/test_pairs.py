@@ -158,6 +158,17 @@ def test_nearest_ties_repeats_and_empty(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_candidates_with_distinct_scores(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0] + [0.0] * 7, 1)] + [(i, [float(40 - i), *map(float, rng.normal(size=7).astype(np.float32))], 1) for i in range(1, 16)]
+    rows += [rows[1]] * 6 + [rows[2]] * 9 + [(3, [float(10 + k)] + [0.0] * 7, 1) for k in range(9)]
+    df = vectors(spark, rows)
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(df, df.filter("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(i, i, 40.0 - i) for i in range(1, 6)]
+    got = [r["vec_id"] for r in neighbours.search(df, df.filter("vec_id = 0"), 20).orderBy("rank").collect()]
+    assert got == list(range(1, 16))
+
+
 def test_tiles_keep_all_that_bounds_allow():
     rng = np.random.default_rng(4)
     q, c = rng.normal(size=(9, 16)), rng.normal(size=(500, 16))

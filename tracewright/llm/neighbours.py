@@ -2,7 +2,7 @@
 
 Queries and candidates are dealt into blocks; each tile of a query block and a candidate block is one
 task's matrix product of int8 codes. The codes' errors bound every inner product from both sides; pairs whose
-upper bound reaches the k-th best lower bound of their query are computed again in double precision from
+upper bound reaches the k-th best lower bound, over distinct ids, of their query are computed again in double precision from
 the original vectors. Tiles give each query's k best, and heaps merge them.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do
@@ -63,6 +63,10 @@ def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Each query's k best of a block of candidates: id, their ids, their scores, best first."""
+    by_id = np.argsort(c_ids, kind="stable")
+    c_ids, c = c_ids[by_id], c[by_id]
+    own = np.flatnonzero(np.concatenate([[True], c_ids[1:] != c_ids[:-1]]))  # where the rows of each id begin
+    n = min(k, len(own))
     qd, cd = q.astype(np.float64), c.astype(np.float64)
     qc, qs, qn, qe = _codes(qd)
     cc, cs, cn, ce = _codes(cd)
@@ -74,18 +78,19 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
         bound = (np.linalg.norm(qd[part], axis=1)[:, None] * ce + qe[part, None] * cn) * (1 + 1e-9) + 1e-12
         near[q_ids[part, None] == c_ids] = -np.inf
         low = near - bound
-        n = min(k, len(c))
-        floor = np.partition(low, len(c) - n, axis=1)[:, len(c) - n]
+        if len(own) < len(c):  # the floor is over ids, of repeated ones the best row
+            low = np.maximum.reduceat(low, own, axis=1)
+        floor = np.partition(low, len(own) - n, axis=1)[:, len(own) - n]
         i, j = np.nonzero((near + bound >= floor[:, None]) & (near > -np.inf))
         score = inner(q[part][i], c[j])
         order = np.lexsort((c_ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         first = np.searchsorted(i, np.arange(len(q[part]) + 1))
         for row in range(len(q[part])):
-            own = slice(first[row], first[row + 1])
-            ids, best = np.unique(c_ids[j[own]], return_index=True)
+            found = slice(first[row], first[row + 1])
+            ids, best = np.unique(c_ids[j[found]], return_index=True)
             best = np.sort(best)[:k]
-            yield int(q_ids[at + row]), c_ids[j[own]][best], score[own][best]
+            yield int(q_ids[at + row]), c_ids[j[found]][best], score[found][best]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
