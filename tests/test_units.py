@@ -316,3 +316,16 @@ def test_page_strings_are_whole(spark):
             want[str(r["page_id"])] = (len(found[0] + found[1]), len(found[0]), len(found[1]), max(found[0] + found[1]))
     assert {r["image_id"]: (r["strings"], r["ascii"], r["wide"], r["longest"]) for r in catalogue.page_strings(spark, sf).collect()} == want
     assert max(w[3] for w in want.values()) > 4608
+
+
+def test_hidden_content_is_whole(spark, tmp_path):
+    from tracewright.plans import catalogue
+
+    comment, blob = "note " * 150, base64.b64encode(b"a plain line\n" * 90).decode()
+    df = spark.createDataFrame([("m", f"<!--{comment}-->", f"x {blob} y")], "k string, html string, text string")
+    assert {r["kind"]: r["evidence"] for r in messages.hidden_content(df, "k", "html", "text").collect()} == {"HTML_COMMENT": comment, "BASE64_TEXT": blob}
+    texts = ["plain words " * 400, f"\u00e9t\u00e9 {blob} \u00e9", "short", None, "plain words " * 400 + "\u00e9"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r["doc_id"], r["n"]) for r in catalogue.encoded_blobs(spark, str(tmp_path)).collect()} == {(0, 6400), (1, len(blob))}
+    spark.createDataFrame([(1, f"<p><!--{comment}-->")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r["comments"], r["longest"]) for r in catalogue.html_comments(spark, str(tmp_path)).collect()] == [(1, len(comment))]

@@ -153,9 +153,9 @@ def fraud_report(indicators: DataFrame, key: str) -> DataFrame:
 
 
 def hidden_content(messages: DataFrame, key: str, html: str, text: str, least_comment: int = 15) -> DataFrame:
-    """kind, evidence of zero-width text, comments of so many characters, hidden elements and encoded blobs."""
+    """kind, whole evidence of zero-width text, comments of so many characters, hidden elements and encoded blobs."""
     h, t = F.coalesce(F.col(html), F.lit("")), F.coalesce(F.col(text), F.lit(""))
-    tag = lambda kind, arr: F.transform(arr, lambda v: F.struct(F.lit(kind).alias("kind"), F.substring(v, 1, 200).alias("evidence")))
+    tag = lambda kind, arr: F.transform(arr, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("evidence")))
     every = lambda src, p, g=0: F.regexp_extract_all(src, F.lit(p), F.lit(g))
     css = r"(?is)<[^>]+style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*[01](?:px|pt|em)?\b|opacity\s*:\s*0(?:\.0+)?\b|(?:max-)?(?:height|width)\s*:\s*0|text-indent\s*:\s*-\d{3,}|color\s*:\s*(?:transparent|#fff(?:fff)?|white))[^\"']*[\"'][^>]*>"
     blobs = F.filter(every(t, r"[A-Za-z0-9+/]{24,}={0,2}"), lambda b: F.coalesce(decoded_base64(b).rlike(r"^[\x20-\x7E\s]+$"), F.lit(False)))

@@ -453,7 +453,9 @@ def zero_width(spark, sf_dir):
 
 @query
 def encoded_blobs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.base64(F.substring("text", 1, 60).cast("binary")).alias("text"), F.lit("").alias("html"))
+    """Blobs in whole texts and in their encodings, which Spark breaks into lines."""
+    encoded = F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", encoded).alias("text"), F.lit("").alias("html"))
     return messages.hidden_content(d, "doc_id", "html", "text").filter("kind = 'BASE64_TEXT'").select("doc_id", F.length("evidence").alias("n"))
 
 
