@@ -81,6 +81,13 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_null_id_before_its_copies(docs_of):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of([(None, text, None, None), (7, text, None, None), (3, text + " more", None, None), (9, text, None, None), (1, "other words", None, None)]).coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {None: 3, 7: 3, 3: 3, 9: 3, 1: 1}
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     for n in (4, 5, 7, 8, 15, 16, 40, 127, 128, 500):

@@ -105,17 +105,18 @@ SETS = "doc_id long, n long, node long, own array<long>, own_spare int, next arr
 
 
 def document_signatures(docs: DataFrame) -> DataFrame:
-    """Per document its set's size and id, and its signatures, which equal sets of one task have once."""
+    """Per document its set's size and id, and its signatures, which equal sets of one task have once, with a document that has an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, data, at in steps(batches, "text"):
             sizes, nodes, lists, spares = [], [], ([], []), ([], [])
-            for s in shingle_sets(data, at):
+            known = batch.column("doc_id").is_valid().to_pylist()  # the others take no part in links
+            for has_id, s in zip(known, shingle_sets(data, at)):
                 n, node = len(s), set_id(s)
                 sizes.append(n)
                 nodes.append(node)
-                new = n * 100 // PERCENT > n and node not in seen  # smaller sets link with equal ones only
+                new = has_id and n * 100 // PERCENT > n and node not in seen  # smaller sets link with equal ones only
                 if new:
                     if len(seen) >= REMEMBERED_SETS:
                         seen.clear()
