@@ -222,3 +222,20 @@ def test_plan_has_its_recall():
     p = collisions.plan(100_000)
     close = collisions._together(p["width"], math.sqrt(2 - 2 * 0.98))
     assert 1 - (1 - close ** p["per_cell"]) ** p["tables"] >= 0.98 and 0 < p["least"] < p["lines"]
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    n, dim = 3000, 48
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, n, dim)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.98001 * x + math.sqrt(1 - 0.98001**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v, 1) for i, v in enumerate(np.concatenate([x, y]).tolist())]
+    got = {r["vec_id"]: r["n_links"] for r in collisions.near_duplicates(vectors(spark, rows)).collect()}
+    assert set(got.values()) == {0, 1} and all(got[i] == got[n + i] for i in range(n))
+    assert sum(got.values()) >= (collisions.TARGET - 0.007) * 2 * n
+    for size in (6000, 100_000, 10_000_000):
+        p, near = collisions.plan(size), math.sqrt(2 - 2 * 0.98)
+        d = np.linspace(-collisions.WINDOW, collisions.WINDOW, 20_001)
+        first = float(np.trapezoid(np.exp(-d * d / 2) / math.sqrt(2 * math.pi) * (1 - np.abs(d) / collisions.CELL_WIDTH), d))
+        assert 1 - (1 - first * collisions._together(p["width"], near) ** (p["per_cell"] - 1)) ** p["tables"] >= collisions.TARGET

@@ -6,9 +6,10 @@ a known chance. Lines are taken LINES_PER_CELL at a time to deal vectors into ce
 in a cell the vectors are sorted by one projection, pairs come from the window after each vector, their
 collisions over all lines are counted, and pairs with at least the calibrated count are verified by their
 cosine in double precision. Cells above TILE vectors are cut into blocks and each pair of blocks is a
-task's work, so no cell is gathered whole. A pair that meets in several tables counts in the first.
+task's work, so no cell is gathered whole. A pair that meets in several tables counts in the first whose
+window admits it.
 
-Equal vectors of a label are one node with a weight. Recall: lines a cell, tables and the count are set for
+Equal vectors of a label are one node with a weight. Recall: lines a cell, tables (by cell and window) and the count are set for
 TARGET recall of pairs exactly at the threshold; closer pairs are found more surely.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold null or non-finite components, link
@@ -46,10 +47,10 @@ def _normal(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))
 
 
-def _together(width: float, spread: float) -> float:
-    """Chance that two values whose difference has this deviation fall into one cell of this width."""
-    r = width / spread
-    return 1 - 2 * _normal(-r) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+def _together(width: float, spread: float, window: float = math.inf) -> float:
+    """Chance that two values whose difference has this deviation fall into one cell of this width and within the window."""
+    r, m = width / spread, min(width, window) / spread
+    return 1 - 2 * _normal(-m) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-m * m / 2))
 
 
 def plan(n: int, cosine: float = COSINE, target: float = TARGET) -> dict:
@@ -58,7 +59,8 @@ def plan(n: int, cosine: float = COSINE, target: float = TARGET) -> dict:
     width = CELL_WIDTH * near
     far, close = _together(width, math.sqrt(2)), _together(width, near)
     per_cell = min(24, max(4, math.ceil(math.log(max(1, n / CHANCE)) / math.log(1 / far))))
-    tables = max(1, math.ceil(math.log(1 - target) / math.log(1 - close**per_cell)))
+    admitted = close ** (per_cell - 1) * _together(width, near, WINDOW * near)  # in one cell, and in its window on the first line
+    tables = max(1, math.ceil(math.log(1 - target) / math.log(1 - admitted)))
     lines = max(LINES, tables * per_cell)
     p, least, seen = 2 * _normal(WINDOW) - 1, lines, 0.0
     while least > 0 and seen < 0.999:
@@ -116,7 +118,8 @@ def _linked(group: np.ndarray, table: np.ndarray, lone: np.ndarray, block: np.nd
         i, j = i[counts], j[counts]
         earlier = np.zeros(len(i), bool)
         for t in range(keys.shape[1]):
-            earlier |= (keys[i, t] == keys[j, t]) & (t < table[i])
+            begin = lines[:, t * p["per_cell"]]
+            earlier |= (keys[i, t] == keys[j, t]) & (t < table[i]) & (np.abs(begin[i] - begin[j]) <= p["window"])
         i, j = i[~earlier], j[~earlier]
         many = (np.abs(lines[i] - lines[j]) <= p["window"]).sum(axis=1) >= p["least"]
         i, j = i[many], j[many]
