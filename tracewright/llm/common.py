@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,24 +11,37 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy step holds at once; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one numpy step holds at once; a longer text is cut into such steps at its words' limits.
+STEP_BYTES = 1 << 18
+#: Bytes that an Arrow batch to a Python worker holds, a row at least.
+BATCH_BYTES = 4 << 20
 
 _own_folder: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold BATCH_BYTES at most, as long texts make batches of a number of rows large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) != f"{BATCH_BYTES}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -43,6 +58,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df into the shared folder and read it back, which cuts its lineage. small: keys and counts only, so four files a core are enough."""
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     if small:
         df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
@@ -67,8 +83,11 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[at[0] : at[-1]], at - at[0]
 
 
-def steps(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about STEP_BYTES of text each, with the text's bytes and row offsets."""
+def steps(batches: Iterable[pa.RecordBatch], text: str, words: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool]]:
+    """Slices of the batches of about STEP_BYTES of text each, with the text's bytes and row offsets, and whether the row goes on.
+
+    A row with a longer text comes alone, in several steps; a step ends behind a blank (words) or between code points.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,9 +96,37 @@ def steps(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
         while row < batch.num_rows:
             end = int(np.searchsorted(at, at[row] + STEP_BYTES, side="right")) - 1
             end = min(max(end, row + 1), batch.num_rows)
-            yield batch.slice(row, end - row), data[at[row] : at[end]], at[row : end + 1] - at[row]
+            own, begin = data[at[row] : at[end]], 0
+            while end == row + 1 and len(own) - begin > STEP_BYTES:
+                cut = _limit(own, begin + STEP_BYTES, words)
+                if cut < len(own):
+                    yield batch.slice(row, 1), own[begin:cut], np.array([0, cut - begin]), True
+                    begin = cut
+                else:
+                    break
+            yield batch.slice(row, end - row), own[begin:], np.maximum(at[row : end + 1] - at[row] - begin, 0), False
             row = end
+    released()
+
+
+def _limit(data: np.ndarray, at: int, words: bool) -> int:
+    """The first place from `at` on that stands behind a blank, or between code points."""
+    while at < len(data):
+        window = data[at - 1 : at - 1 + STEP_BYTES]
+        found = np.flatnonzero(_SPACE[window[:-1]] if words else (window[1:] & 0xC0) != 0x80)
+        if len(found):
+            return at + int(found[0])
+        at += max(1, len(window) - 1)
+    return len(data)
+
+
+def released() -> None:
+    """Gives memory that a task has freed back to the machine, as Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,31 +136,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse mod 2^64, as many as asked for."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, STEP_BYTES + 1)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+#: Words up to this many bytes are hashed by numpy, longer ones one by one.
+_SHORT = 64
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, wherever it stands."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """A 64-bit hash of each span of bytes, wherever it stands. Different spans of up to seven bytes have different hashes."""
+    n = (end - start).astype(np.int64)
+    out = np.zeros(len(n), np.uint64)
+    if not len(n):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    short = n < 8
+    k = np.flatnonzero(short)
+    size = n[k].astype(np.uint64)
+    out[k] = mix((eights[start[k]] & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1))) | (size << np.uint64(56)))
+    k = np.flatnonzero(~short & (n <= _SHORT))
+    h, at, left = mix(n[k].astype(np.uint64) + _KEY), start[k], n[k]
+    live = np.arange(len(k))
+    while len(live):
+        size = np.minimum(left[live], 8).astype(np.uint64)
+        part = eights[at[live]] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * size))
+        h[live] = mix(h[live] ^ part) * (_KEY | np.uint64(1)) + _KEY
+        at[live] += 8
+        left[live] -= 8
+        live = live[left[live] > 0]
+    out[k] = mix(h)
+    for k in np.flatnonzero(n > _SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), seed=int(n[k]))
+    return out
 
 
 _SPACE = np.zeros(256, bool)

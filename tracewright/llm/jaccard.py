@@ -23,7 +23,7 @@ is an id like any other but never names a component while another id is there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,28 +40,52 @@ GROUP = 8
 #: Times that hidden sets are checked against one set of each of their groups before all pairs are.
 CENTRES = 2
 #: Sets that a task remembers so as not to emit the signatures of equal ones again.
-REMEMBERED_SETS = 500_000
+REMEMBERED_SETS = 200_000
 
 _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of WORDS words."""
+    n = max(0, len(words) - WORDS + 1)
+    whole = np.zeros(n, np.uint64)
+    for i in range(WORDS):
+        whole += words[i : i + n] * _FACTORS[i]
+    return mix(whole)
+
+
+def shingle_sets(data: np.ndarray, at: np.ndarray, before: list[np.ndarray] | None = None, more: bool = False) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each row. A row that goes on (more) leaves its own in `before`, which its next step takes up."""
     lower = lower_ascii(data)
     start, end, rows = word_spans(lower, at)
     words = span_hashes(lower, start, end)
-    n = len(words)
-    whole = np.zeros(n, np.uint64)
-    for i in range(WORDS):
-        whole[: max(0, n - i)] += words[i:] * _FACTORS[i]
-    whole = mix(whole)
+    if more or before:
+        last, found = before or (words[:0], words[:0])
+        words = np.concatenate([last, words])
+        found = np.unique(np.concatenate([found, _shingles(words)]))
+        before[:] = [words[-(WORDS - 1) :], found] if more else []
+        if not more:
+            yield found if len(found) else _few(words)
+        return
+    whole = _shingles(words)
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
-        if b - a >= WORDS:
-            yield np.unique(whole[a : b - WORDS + 1])
-        elif b > a:
-            yield mix(np.array([(words[a:b] * _FACTORS[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], dtype=np.uint64))
-        else:
-            yield np.zeros(0, np.uint64)
+        yield np.unique(whole[a : b - WORDS + 1]) if b - a >= WORDS else _few(words[a:b])
+
+
+def _few(words: np.ndarray) -> np.ndarray:
+    """Fewer than WORDS words: one shingle, or none without any."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    return mix(np.array([(words * _FACTORS[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words))], dtype=np.uint64))
+
+
+def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of the batches with the shingle sets of their texts."""
+    before: list[np.ndarray] = []
+    for batch, data, at, more in steps(batches, "text"):
+        found = list(shingle_sets(data, at, before, more))
+        if not more:
+            yield batch, found
 
 
 def set_id(s: np.ndarray) -> int:
@@ -109,10 +133,10 @@ def document_signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, data, at in steps(batches, "text"):
+        for batch, found_sets in sets_of(batches):
             sizes, nodes, lists, spares = [], [], ([], []), ([], [])
             known = batch.column("doc_id").is_valid().to_pylist()  # the others take no part in links
-            for has_id, s in zip(known, shingle_sets(data, at)):
+            for has_id, s in zip(known, found_sets):
                 n, node = len(s), set_id(s)
                 sizes.append(n)
                 nodes.append(node)
@@ -224,8 +248,7 @@ def _packed_sets(docs: DataFrame) -> DataFrame:
     names = ["node", "n", "s", *(f"w{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in steps(batches, "text"):
-            found = list(shingle_sets(data, at))
+        for batch, found in sets_of(batches):
             words = np.stack([sketch(s) for s in found])
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, found), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()), *(pa.array(w) for w in words.T.copy())], names=names)
 

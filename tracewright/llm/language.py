@@ -5,13 +5,13 @@ fitted); every text is scored whole. The log-probability matrix has 2^15 rows an
 (MOST_LANGUAGES at most), so its broadcast is bounded.
 
 Defined results: a null text, or one without any letter, is `und` with score 0; so is every text when no
-labelled row exists. Ties go to the smaller language code. Repeated rows are scored alike; an empty table
+labelled row exists. Long texts are counted step by step. Ties go to the smaller language code. Repeated rows are scored alike; an empty table
 gives no row; other columns of the input are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,20 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(rows)
 
 
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Rows of the batches, their n-grams, the row of each, n-grams among them that a step before had, and whether the row goes on in the next step."""
+    last = np.zeros(0, np.uint8)  # the code points of a text that goes on with which n-grams of its next step begin
+    for batch, data, at, more in steps(batches, "text", words=False):
+        grams, row = features(np.concatenate([last, data]), np.concatenate([[0], at[1:] + len(last)]))
+        again = features(last, np.array([0, len(last)]))[0]
+        yield batch, grams, row, again, more
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        if more and len(starts) >= max(ORDERS) - 1:
+            last = data[starts[1 - max(ORDERS)] :].copy()
+        else:
+            last = np.concatenate([last, data]) if more else last[:0]
+
+
 def fit(samples: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (feature x language) from a bounded DataFrame of text and lang."""
     langs = sorted(r["lang"] for r in samples.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
@@ -60,10 +74,10 @@ def fit(samples: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, at_lang = np.zeros((len(langs), FEATURES), np.int64), {x: i for i, x in enumerate(langs)}
-        for batch, data, at in steps(batches, "text"):
+        for batch, feature, row, again, _ in counted(batches):
             kind = np.array([at_lang[x] for x in batch.column("lang").to_pylist()])
-            feature, row = features(data, at)
             total += np.bincount(kind[row] * FEATURES + feature, minlength=total.size).reshape(total.shape)
+            total[kind[0]] -= np.bincount(again, minlength=FEATURES)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(langs)), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total], pa.binary())], names=["lang", "counts"])
 
     total = np.zeros((FEATURES, len(langs)))
@@ -88,17 +102,20 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(log_prob)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.value
-        for batch, data, at in steps(batches, "text"):
+        table, held = model.value, 0.0
+        for batch, feature, row, again, more in counted(batches):
             n = batch.num_rows
             total = np.zeros((n, max(1, len(langs))))
-            if len(langs) and len(data):
-                feature, row = features(data, at)
-                for k in range(len(langs)):
-                    total[:, k] = np.bincount(row, weights=table[:, k][feature], minlength=n)
+            for k in range(len(langs)):
+                total[:, k] = np.bincount(row, weights=table[:, k][feature], minlength=n)
+            if langs:
+                total[0] += held - table[again].sum(axis=0)
+            held = total[0].copy() if more else 0.0
+            if more:
+                continue
             best = total.argmax(axis=1)
             sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            known = [bool(langs) and any(map(str.isalpha, t or "")) for t in batch.column("text").to_pylist()]
+            known = [bool(langs) and any(map(str.isalpha, t.as_py() or "")) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([langs[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()), pa.array(np.where(known, sure, 0.0))],
                 names=["doc_id", "lang_pred", "score"],

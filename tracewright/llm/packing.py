@@ -8,7 +8,8 @@ most a few thousand configurations, never a row per piece) goes back to the exec
 finds its place from its rank among the pieces of its length.
 
 Defined results: a null or empty text is one piece that holds the closing id alone; repeated rows are
-pieces of their own; an empty table gives no row; other columns of the input are left out.
+pieces of their own; a long text is tokenised step by step, so only a word without a blank is held whole; an
+empty table gives no row; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from .common import read, span_hashes, staged, steps, word_spans
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Words whose ids a Python worker remembers; then it starts afresh.
-REMEMBERED_WORDS = 300_000
-#: Parts of each length, so that a length which a third of all pieces have is ranked by many tasks.
-PARTS = 256
+#: Bytes in which a Python worker remembers the ids of words; words beyond them are encoded in each step anew.
+REMEMBERED_BYTES = 12 << 20
+#: Pieces that one part of a length holds or so, and parts at least, so that a length which a third of all pieces have is ranked by many tasks.
+PART_PIECES, PARTS = 100_000, 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,7 +39,7 @@ _tokenizers: dict[str, object] = {}
 
 
 class _WordIds:
-    """Ids of words, kept as one array and a place for each word's 64-bit hash. Words beyond the bound last for one step."""
+    """Ids of words as one array, and a place in it for each word's 64-bit hash, sorted. Words beyond the bound last for one step."""
 
     def __init__(self, path: str):
         import json
@@ -50,9 +51,8 @@ class _WordIds:
         self.ends_part = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_part[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.tokenizer = Tokenizer.from_file(path)
-        self.place: dict[int, int] = {}
-        self.ids, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.n_ids = 0
+        self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         """Words of Latin letters with ASCII marks behind are one or two parts, each closed by one end-of-word id, so all of them go in one call."""
@@ -80,40 +80,27 @@ class _WordIds:
             out[i] = np.array(enc.ids, dtype=np.uint32)
         return out
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        new = self._encode(words)
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        n, ids = len(self.place), np.concatenate(new)
-        for name, need in (("ids", self.n_ids + len(ids)), ("first", n + len(new)), ("size", n + len(new))):
-            old = getattr(self, name)
-            if need > len(old):
-                setattr(self, name, np.concatenate([old, np.zeros(max(len(old), need - len(old)), old.dtype)]))
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.first[n : n + len(new)] = self.n_ids + np.cumsum(size) - size
-        self.size[n : n + len(new)] = size
-        self.place.update(zip(hashes, range(n, n + len(new))))
-        self.n_ids += len(ids)
-
     def of(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a step, one after another, and where each row's begin."""
         start, end, rows = word_spans(data, at)
         kinds, sample, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        before = len(self.place), self.n_ids
-        place = np.fromiter((self.place.get(h, -1) for h in kinds.tolist()), np.int64, len(kinds))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            raw = data.tobytes()
-            self._learn(kinds[new].tolist(), [raw[start[k] : end[k]].decode() for k in sample[new]])
-            place[new] = np.arange(before[0], before[0] + len(new))
-        word = place[which]
-        size = self.size[word]
+        place = np.searchsorted(self.known, kinds)
+        old = place < len(self.known)
+        old[old] = self.known[place[old]] == kinds[old]
+        first, size, ids = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64), self.ids
+        first[old], size[old] = self.first[place[old]], self.size[place[old]]
+        if not old.all():
+            raw, new = data.tobytes(), ~old
+            learnt = self._encode([raw[start[k] : end[k]].decode() for k in sample[new]])
+            size[new] = [len(x) for x in learnt]
+            first[new] = len(ids) + np.cumsum(size[new]) - size[new]
+            ids = np.concatenate([ids, *learnt])
+            if self.known.nbytes * 2 + ids.nbytes <= REMEMBERED_BYTES:
+                self.known, self.first, self.size = (np.insert(x, place[new], y[new].astype(x.dtype)) for x, y in ((self.known, kinds), (self.first, first), (self.size, size)))
+                self.ids = ids
+        size, first = size[which], first[which]
         until = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.first[word] - until[:-1], size) + np.arange(until[-1])]
-        if before[0] > REMEMBERED_WORDS:
-            for h in kinds[new].tolist():
-                del self.place[h]
-            self.n_ids = before[1]
-        return ids, until[rows]
+        return ids[np.repeat(first - until[:-1], size) + np.arange(until[-1])], until[rows]
 
 
 #: ASCII marks but the apostrophe, which can begin a part of its own; letters that lower-case one to one and are composed already.
@@ -133,16 +120,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _word_ids(tokenizer_path)
-        for batch, data, at in steps(batches, "text"):
+        held, done = np.zeros(0, np.uint32), 0  # of a document that goes on: its ids not cut yet, and how many are
+        for batch, data, at, more in steps(batches, "text"):
             ids, first = memory.of(data, at)
             rows = []
             for row, doc_id in enumerate(batch.column(0).to_pylist()):
-                own = np.append(ids[first[row] : first[row + 1]], np.uint32(CLOSING_ID)).astype("<u4")
-                for piece, start in enumerate(range(0, len(own), capacity)):
+                own = np.concatenate([held, ids[first[row] : first[row + 1]], *([] if more else [[CLOSING_ID]])]).astype("<u4")
+                whole = len(own) // capacity * capacity if more else len(own)
+                for start in range(0, whole, capacity):
                     part = own[start : start + capacity]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, (done + start) // capacity, done + start, len(part), zlib.crc32(part.tobytes())))
+                held, done = (own[whole:], done + whole) if more else (held[:0], 0)
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -267,7 +258,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 120) -> Data
     """Adds sequence_id and offset to pieces, which must give the same rows each time they are read (staged)."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places = _places(pack_histogram(histogram, capacity, rounds))
-    parts = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
+    n = max(PARTS, -(-max(histogram.values(), default=0) // PART_PIECES))
+    parts = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).cast("int"))
     before = parts.groupBy("length", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
     ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(before.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))

@@ -3,7 +3,7 @@
 Words are runs of letters, digits or marks, hashed into 2^14 buckets; a bucket's index vector is sparse
 and random, its word vector the sum of the index vectors around it. Both the vectors and the network are
 fitted on a bounded sample of labelled rows (TRAIN_DOCS); every text is scored whole. The word vectors
-(2 MB) and the network are broadcast. A temperature fitted on rows that the network did not see calibrates
+(2 MB) and the network are broadcast. A long text is pooled step by step. A temperature fitted on rows that the network did not see calibrates
 the probabilities.
 
 Defined results: a null or empty text has the zero vector and the network's score of it; without labels
@@ -13,7 +13,7 @@ several labels of one document the smallest counts; an empty table gives no row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,6 @@ BUCKETS = 1 << 14
 DIMENSIONS = 32
 WINDOW = 2
 TRAIN_DOCS = 12_000
-VECTOR_DOCS = 4_000
 TRAIN_TASKS = 8
 HIDDEN = 24
 THRESHOLD = 0.7
@@ -40,8 +39,12 @@ _CAPITAL = np.zeros(256, bool)
 _CAPITAL[0x41:0x5B] = True
 
 
-def word_buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words of each row and the rows' first words. Words in capitals, and words said twice in a row, have buckets of their own."""
+def word_buckets(data: np.ndarray, at: np.ndarray, before: int | None = None, marks: bool = True) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Buckets of the words of each row, the rows' first words, and the last word's hash (before: that of the step that this one goes on from).
+
+    marks: words in capitals share 16 buckets, and a word said again at once has bucket mix(1). Shouting and stuttering
+    are signs of poor text whatever the words are, and words of their own kind would be too rare to teach it.
+    """
     kind = _KIND[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[at] = True
@@ -57,10 +60,23 @@ def word_buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     again = np.zeros(len(h), bool)
     again[1:] = h[1:] == h[:-1]
     again[rows[:-1][rows[:-1] < len(h)]] = False
+    if before is not None and len(h):
+        again[0] = int(h[0]) == before
+    last = int(h[-1]) if len(h) else before
     letters = kind[start] == 1
-    h = np.where(shouted, mix(h >> np.uint64(60)), h)
-    h = np.where(again & letters, np.uint64(1), h)
-    return (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64), rows
+    if marks:
+        h = np.where(shouted, mix(h >> np.uint64(60)), h)
+        h = np.where(again & letters, np.uint64(1), h)
+    return (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64), rows, last
+
+
+def bucket_steps(batches: Iterable[pa.RecordBatch], marks: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool]]:
+    """Rows of the batches, their words' buckets, the rows' first words, and whether the row goes on in the next step."""
+    last = None
+    for batch, data, at, more in steps(batches, "text"):
+        bucket, rows, last = word_buckets(data, at, last, marks)
+        last = last if more else None
+        yield batch, bucket, rows, more
 
 
 def index_vectors(seed: int = 7) -> np.ndarray:
@@ -73,16 +89,19 @@ def index_vectors(seed: int = 7) -> np.ndarray:
     return out
 
 
-def word_vectors(texts: DataFrame) -> np.ndarray:
+def word_vectors(texts: DataFrame, marks: bool = True) -> np.ndarray:
     """Context sums over a bounded DataFrame of text, scaled to length 1; a bucket never seen keeps its index vector."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total = index_vectors(), np.zeros((BUCKETS, DIMENSIONS), np.float32)
-        for _, data, at in steps(batches, "text"):
-            bucket, rows = word_buckets(data, at)
-            row = np.repeat(np.arange(len(at) - 1), np.diff(rows))
+        held = index[:0, 0].astype(np.int64)
+        for _, bucket, rows, more in bucket_steps(batches, marks):
+            row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+            bucket, row = np.concatenate([held, bucket]), np.concatenate([np.zeros(len(held), np.int64), row])
+            early, held = len(held), bucket[-WINDOW:] if more else bucket[:0]
             for gap in range(1, WINDOW + 1):
                 same = row[gap:] == row[:-gap]
+                same[: max(0, early - gap)] = False  # pairs that the step before had
                 left, right = bucket[:-gap][same], bucket[gap:][same]
                 for d in range(DIMENSIONS):
                     total[:, d] += np.bincount(left, index[right, d], BUCKETS) + np.bincount(right, index[left, d], BUCKETS)
@@ -96,15 +115,19 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     return (np.where(size > 0, total / np.maximum(size, 1e-9), 0) + own).astype(np.float32)
 
 
-def pooled(vectors: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Mean word vector of each row."""
-    bucket, rows = word_buckets(data, at)
-    n = np.diff(rows)
-    out = np.zeros((len(n), vectors.shape[1]))
-    if len(bucket):
+def pooled(vectors: np.ndarray, batches: Iterable[pa.RecordBatch], marks: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of the batches with their mean word vectors."""
+    total, words = np.zeros(vectors.shape[1]), 0  # of a text that goes on
+    for batch, bucket, rows, more in bucket_steps(batches, marks):
+        n, out = np.diff(rows), np.zeros((len(rows) - 1, vectors.shape[1]))
         full = np.flatnonzero(n)
-        out[full] = np.add.reduceat(vectors[bucket], rows[:-1][full], axis=0) / n[full, None]
-    return out
+        if len(full):
+            out[full] = np.add.reduceat(vectors[bucket], rows[:-1][full], axis=0, dtype=np.float64)
+        out[0] += total
+        n[0] += words
+        total, words = (out[0], int(n[0])) if more else (0.0, 0)
+        if not more:
+            yield batch, out / np.maximum(n, 1)[:, None]
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, seed: int = 11, epochs: int = 400) -> dict:
@@ -137,23 +160,22 @@ def logits(p: dict, x: np.ndarray) -> np.ndarray:
     return (np.tanh((x - p["mean"]) / p["scale"] @ p["a"] + p["b"]) @ p["c"] + p["d"]) / p["temperature"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, marks: bool = True) -> dict:
     """A model from docs (doc_id, text) and labels (doc_id, label 0 or 1); about train_docs labelled rows are used."""
     labels = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     share = train_docs / max(1, labels.count())
     u = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     chosen = labels.filter(u < share)  # about train_docs rows: the bound of this broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("u", u)
-    vectors = word_vectors(sample.filter(F.col("u") < share * min(1.0, VECTOR_DOCS / train_docs)))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    vectors = word_vectors(sample, marks)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in steps(batches, "text"):
-            rows = pooled(vectors, data, at).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "x"])
+        for batch, rows in pooled(vectors, batches, marks):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in rows.astype("<f4")], pa.binary())], names=["doc_id", "label", "x"])
 
     rows = sample.select("doc_id", "label", "text").mapInArrow(pool, "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending")])
     y = rows.column("label").to_numpy().astype(float)
-    model: dict = {"vectors": vectors, "share": float(y.mean()) if len(y) else 0.5, "network": None}
+    model: dict = {"vectors": vectors, "share": float(y.mean()) if len(y) else 0.5, "network": None, "marks": marks}
     if len(np.unique(y)) == 2:
         x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype="<f4").reshape(len(y), DIMENSIONS).astype(float)
         held = (mix(rows.column("doc_id").to_numpy().astype(np.uint64)) & np.uint64(3)) == 3
@@ -163,10 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     return model
 
 
-def probabilities(model: dict, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    if model["network"] is None:
-        return np.full(len(at) - 1, model["share"])
-    return 1 / (1 + np.exp(-np.clip(logits(model["network"], pooled(model["vectors"], data, at)), -500, 500)))
+def probabilities(model: dict, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of the batches with their probability of label 1."""
+    for batch, x in pooled(model["vectors"], batches, model["marks"]):
+        yield batch, np.full(len(x), model["share"]) if model["network"] is None else 1 / (1 + np.exp(-np.clip(logits(model["network"], x), -500, 500)))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -174,8 +196,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in steps(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probabilities(sent.value, data, at))], names=["doc_id", "score"])
+        for batch, p in probabilities(sent.value, batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -185,8 +207,8 @@ def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in steps(batches, "text"):
-            yield batch.filter(pa.array(probabilities(sent.value, data, at) >= threshold))
+        for batch, p in probabilities(sent.value, batches):
+            yield batch.filter(pa.array(p >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
