@@ -6,7 +6,9 @@ MIN_TOKEN or more such characters is a secret if the log-likelihood ratio of the
 character. Scan, training and redaction are DataFrame expressions only.
 
 Patterns are the contract's; matches are leftmost and do not overlap within a kind. Positions are code
-points, ends exclusive. A `random` span never overlaps a base span.
+points, ends exclusive. A `random` span never overlaps a base span. Positions are running sums over a text's
+matches, taken by blocks, and overlaps come from one sorted list, so long texts full of matches cost little
+more than their length.
 
 Defined results: a null text is an empty one and has no span; repeated rows are scanned alike; an empty
 table gives no row, and training from it leaves both models even, so no token is called random.
@@ -15,6 +17,7 @@ table gives no row, and training from it leaves both models even, so no token is
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,32 +41,61 @@ WORDS = r"[A-Za-z0-9_-]{4,}"
 WORD_DOCS = 3000
 RANDOM_STRINGS = 2000
 
-SPAN = "struct<start:int,end:int,kind:int>"
+SPAN = "struct<start:int,kind:int,end:int>"
+#: Code points of a text's segments, from which parts of it are taken without counting from its start.
+SEGMENT = 1024
 
 
-def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, min_value: int = 0) -> Column:
-    """Spans of a pattern's matches: their starts are the lengths of all that was split off or matched before."""
-    whole, values, between = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, value_group, 0))
-    between = F.split(text, pattern, -1)
-    items = F.arrays_zip(whole.alias("m"), values.alias("v"), F.slice(between, 1, F.size(whole)).alias("b"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    def step(acc: Column, item: Column) -> Column:
-        start = acc["at"] + F.length(item["b"])
-        end = start + F.length(item["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.length(item["v"]) >= min_value, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(items, first, step, lambda acc: acc["found"])).otherwise(none)
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of integers from 0 on, taken within blocks of about the root of its size, then over the blocks."""
+
+    def totals(xs: Column) -> Column:
+        step = lambda acc, x: _let(combine(acc["at"], x), lambda y: F.struct(y.alias("at"), F.array_append(acc["out"], y).alias("out")))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, first, step, lambda acc: acc["out"])
+
+    def blocked(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda i: totals(F.slice(xs, i * size + 1, size)))
+        return _let(blocks, whole)
+
+    def whole(blocks: Column) -> Column:
+        until = totals(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        before = F.concat(F.array(F.lit(0)), F.slice(until, 1, F.size(until) - 1))
+        return F.flatten(F.zip_with(blocks, before, lambda b, t: F.transform(b, lambda x: combine(t, x))))
+
+    return _let(values, lambda xs: F.when(F.size(xs) > 0, blocked(xs)).otherwise(xs))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _matches(text: Column, pattern: str, value_group: int = 0, min_value: int = 0) -> Column:
+    """start, end, match of a pattern's matches whose value is long enough. Ends are running sums of what was split off and matched."""
+    found = F.struct(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(c) for g, c in ((0, "m"), (value_group, "v"))), F.split(text, pattern, -1).alias("b"))
+
+    def placed(x: Column) -> Column:
+        ends = running(F.zip_with(x["m"], F.slice(x["b"], 1, F.size(x["m"])), lambda m, b: F.length(m) + F.length(b)), _plus)
+        rows = F.zip_with(x["m"], ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match")))
+        return F.array_compact(F.zip_with(rows, x["v"], lambda row, v: F.when(F.length(v) >= min_value, row)))
+
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return F.when(text.rlike(pattern), _let(found, placed)).otherwise(none)
+
+
+def _spans(matches: Column, kind: int) -> Column:
+    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
 def base_spans(text: Column) -> Column:
     """All spans of the fixed patterns, by start, then kind as listed."""
-    return F.array_sort(
-        F.concat(_spans(text, ASSIGN, 0, 2, MIN_VALUE), _spans(text, ACCESS, 1), _spans(text, HEX, 2)),
-        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]),
-    )
+    return F.sort_array(F.concat(_spans(_matches(text, ASSIGN, 2, MIN_VALUE), 0), _spans(_matches(text, ACCESS), 1), _spans(_matches(text, HEX), 2)))
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
@@ -111,21 +143,30 @@ def ratio(token: Column, table: list[float]) -> Column:
 def random_spans(text: Column, base: Column, table: list[float]) -> Column:
     """Spans of tokens that the models call random and no base span touches."""
 
-    def random(span: Column) -> Column:
-        token = text.substr(span["start"] + 1, span["end"] - span["start"])
-        free = ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        varied = F.size(F.array_distinct(F.split(token, ""))) >= MIN_DISTINCT
-        return free & varied & (ratio(token, table) >= MIN_RATIO * (F.length(token) - 1))
+    def random(m: Column) -> Column:
+        token = m["match"]
+        return (F.size(F.array_distinct(F.split(token, ""))) >= MIN_DISTINCT) & (ratio(token, table) >= MIN_RATIO * (F.length(token) - 1))
 
-    return F.filter(_spans(text, TOKEN, 3), random)
+    def free(tokens: Column) -> Column:
+        """Tokens by their ends among base spans by their starts: none that begins before a token's end may reach beyond its start."""
+        event = lambda at, base_end, x: F.struct(at.alias("at"), base_end.alias("reach"), x["start"].alias("start"), x["end"].alias("end"))
+        events = F.sort_array(F.concat(F.transform(base, lambda b: event(b["start"], b["end"], b)), F.transform(tokens, lambda t: event(t["end"], F.lit(0), t))))
+        return _let(events, untouched)
+
+    def untouched(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), F.greatest)
+        span = lambda e: F.struct(e["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), e["end"].alias("end"))
+        return F.array_compact(F.zip_with(events, reach, lambda e, r: F.when((e["reach"] == 0) & (r <= e["start"]), span(e))))
+
+    tokens = F.filter(_matches(text, TOKEN), random)
+    return _let(tokens, lambda t: F.when(F.size(t) > 0, free(t)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def scan(docs: DataFrame, table: list[float]) -> DataFrame:
     """docs with base (array of spans) and spans (base and random ones, by start, then kind)."""
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumn("base", base_spans(text))
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    return out.withColumn("spans", F.array_sort(F.concat("base", random_spans(text, F.col("base"), table)), order))
+    return out.withColumn("spans", F.sort_array(F.concat("base", random_spans(text, F.col("base"), table))))
 
 
 def as_text(spans: Column) -> Column:
@@ -134,16 +175,22 @@ def as_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of spans replaced by a mark."""
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        longer = F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] < acc["at"]) & (acc["at"] > 0), longer).otherwise(new)
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))))
+    """The text with each run of overlapping spans replaced by a mark. spans: sorted by start."""
+
+    def part(segments: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / SEGMENT).cast("int")
+        some = F.slice(segments, first + 1, F.floor((b - 1) / SEGMENT).cast("int") - first + 1)
+        return F.when(b > a, F.array_join(some, "").substr(a - first * SEGMENT + 1, b - a)).otherwise("")
+
+    def rebuilt(x: Column) -> Column:
+        """x: the spans, how far those up to each reach, the segments. A run begins where no span before reaches."""
+        before = F.concat(F.array(F.lit(0)), F.slice(x["reach"], 1, F.size(x["reach"]) - 1))
+        gaps = F.array_compact(F.zip_with(x["spans"], before, lambda s, r: F.when(s["start"] >= r, F.struct(r.alias("a"), s["start"].alias("b")))))
+        kept = F.transform(gaps, lambda g: F.concat(part(x["segments"], g["a"], g["b"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), part(x["segments"], F.element_at(x["reach"], -1), F.length(text)))
+
+    x = F.struct(spans.alias("spans"), running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("reach"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)).alias("segments"))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(x, rebuilt))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
