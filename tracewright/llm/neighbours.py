@@ -45,12 +45,15 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, their scales, the norms of the decoded vectors and of the errors."""
+def _codes(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """int8 codes, their scales, norms of the decoded vectors, of the errors and of the vectors, and the power of two that all of these leave out."""
+    power = np.frexp(np.abs(x).max(axis=1))[1]
+    power[np.abs(power) < 256] = 0  # squares of others leave the range of doubles, or come near its end
+    x = np.ldexp(x, -power[:, None])
     scale = np.abs(x).max(axis=1) / 127
     codes = np.rint(x / scale[:, None]).astype(np.int8)
     decoded = codes * scale[:, None]
-    return codes, scale, np.linalg.norm(decoded, axis=1), np.linalg.norm(x - decoded, axis=1)
+    return codes, scale, np.linalg.norm(decoded, axis=1), np.linalg.norm(x - decoded, axis=1), np.linalg.norm(x, axis=1), power
 
 
 def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -68,20 +71,25 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     own = np.flatnonzero(np.concatenate([[True], c_ids[1:] != c_ids[:-1]]))  # where the rows of each id begin
     n = min(k, len(own))
     qd, cd = q.astype(np.float64), c.astype(np.float64)
-    qc, qs, qn, qe = _codes(qd)
-    cc, cs, cn, ce = _codes(cd)
+    qc, qs, _, qe, q_norm, q_power = _codes(qd)
+    cc, cs, cn, ce, c_norm, c_power = _codes(cd)
+    rounding = (q.shape[1] + 8) * 2.0**-52  # of sums of products, as a share of the norms
     exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # in which integer products are exact
     right = cc.astype(exact).T
     for at in range(0, len(q), ROWS_AT_ONCE):
         part = slice(at, at + ROWS_AT_ONCE)
         near = (qc[part].astype(exact) @ right).astype(np.float64) * (qs[part, None] * cs)
-        bound = (np.linalg.norm(qd[part], axis=1)[:, None] * ce + qe[part, None] * cn) * (1 + 1e-9) + 1e-12
-        near[q_ids[part, None] == c_ids] = -np.inf
-        low = near - bound
+        bound = (q_norm[part, None] * ce + qe[part, None] * cn) * (1 + 1e-9) + rounding * q_norm[part, None] * c_norm
+        low, high = near - bound, near + bound
+        if q_power[part].any() or c_power.any():
+            power = q_power[part, None] + c_power
+            low, high = np.ldexp(low, power) - q.shape[1] * 5e-324, np.ldexp(high, power) + q.shape[1] * 5e-324
+        own_row = q_ids[part, None] == c_ids
+        low[own_row] = -np.inf
         if len(own) < len(c):  # the floor is over ids, of repeated ones the best row
             low = np.maximum.reduceat(low, own, axis=1)
         floor = np.partition(low, len(own) - n, axis=1)[:, len(own) - n]
-        i, j = np.nonzero((near + bound >= floor[:, None]) & (near > -np.inf))
+        i, j = np.nonzero((high >= floor[:, None]) & ~own_row)
         score = inner(q[part][i], c[j])
         order = np.lexsort((c_ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
