@@ -13,7 +13,7 @@ Equal vectors of a label are one node with a weight. Recall: lines a cell, table
 TARGET recall of pairs exactly at the threshold; closer pairs are found more surely.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold null or non-finite components, link
-with nothing and are kept; vectors of different lengths do not link; repeated rows are vectors of their own;
+with nothing and are kept; labels are equal when they are as text; vectors of different lengths do not link; repeated rows are vectors of their own;
 an empty table gives no row.
 """
 
@@ -101,7 +101,8 @@ def _with_cells(nodes: DataFrame, p: dict) -> DataFrame:
                 keys = cells(matrix(part.column("embedding")), part.column("label").to_numpy(), p)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(keys), pa.list_(pa.int64()))], names=[*part.schema.names, "cells"])
 
-    return nodes.select("node", "label", "weight", "embedding").mapInArrow(run, "node long, label long, weight long, embedding array<float>, cells array<long>")
+    nodes = nodes.select("node", "label", "weight", "embedding")
+    return nodes.mapInArrow(run, f"node long, label long, weight long, embedding {dict(nodes.dtypes)['embedding']}, cells array<long>")
 
 
 def _linked(group: np.ndarray, table: np.ndarray, lone: np.ndarray, block: np.ndarray, keys: np.ndarray, x: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +188,10 @@ def _compared(rows: DataFrame, p: dict) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target: float = TARGET) -> DataFrame:
     """vec_id, n_links, component_id, kept for vectors (vec_id, embedding, label)."""
-    vectors = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    ok = usable(F.col("embedding")) & F.col("label").isNotNull()
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    kept = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    vectors = vectors.select("vec_id", kept.alias("embedding"), F.xxhash64(F.col("label").cast("string")).alias("label"), F.col("label").isNotNull().alias("_labelled"))
+    ok = usable(F.col("embedding")) & F.col("_labelled")
     vectors = vectors.withColumn("node", F.when(ok, F.xxhash64("label", "embedding")))
     nodes = vectors.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("id"))
     most = vectors.filter("node is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 1
