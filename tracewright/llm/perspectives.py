@@ -9,7 +9,7 @@ length is never gathered. Places are prefix sums over parts of PART turns, then
 DataFrame expressions only.
 
 Defined results: a null role is the speaker `unknown`, a null text an empty one; `<|` in a text or a name is
-written `< |`; a null turn comes last; equal turns are ordered by role, then text; repeated rows are said as often
+written `< |`, and in a name also `|>` as `| >` and each line break as a blank, so a name can't end its header; a null turn comes last; equal turns are ordered by role, then text; repeated rows are said as often
 as they occur; a conversation of silent speakers alone gives no row, nor does an empty table.
 """
 
@@ -27,7 +27,8 @@ PART = 256
 def rotate(turns: DataFrame, silent: tuple[str, ...] = SILENT) -> DataFrame:
     """conv_id, perspective, turn, speaker, chat_role, segment, start, end, mask_start, mask_end (code points; masks null where not trained on)."""
     safe = lambda c, other: F.regexp_replace(F.coalesce(F.col(c), F.lit(other)), r"<\|", "< |")
-    said = turns.select("conv_id", "turn", safe("role", "unknown").alias("speaker"), safe("text", "").alias("text"))
+    name = F.regexp_replace(F.regexp_replace(safe("role", "unknown"), r"\|>", "| >"), r"[\n\r]", " ")
+    said = turns.select("conv_id", "turn", name.alias("speaker"), safe("text", "").alias("text"))
     people = said.filter(~F.col("speaker").isin(*silent)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     rows = said.join(people.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     role = F.when(F.col("speaker") == F.col("perspective"), "assistant").when(F.col("speaker").isin(*silent), F.col("speaker")).otherwise("user")
@@ -54,9 +55,9 @@ def op8_perspective_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(read(spark, sf_dir, "conversations"))
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH s AS (
-  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+  SELECT conv_id, turn, regexp_replace(replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >'), '[\n\r]', ' ', 'g') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker <> 'system'
 ), r AS (
