@@ -24,6 +24,7 @@ from .common import read, staged
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_REPEATS = 2
+#: Patterns of membership and sources that a flow is computed for; more are refused with an error.
 MOST_PATTERNS = 100_000
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,48 +49,75 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], share: float
 def min_cost_flow(patterns: Sequence[tuple[tuple, int]], quotas: dict, repeats: int = MOST_REPEATS) -> list[dict]:
     """For each (sources, words) the words it gives to each of its sources.
 
-    The n-th use of a pattern's words costs n - 1 a word. Shortest augmenting paths, cheapest first.
+    The n-th use of a pattern's words costs n - 1 a word. Costs lie on the arcs out of the start alone, and a flow
+    never has to give such an arc's words back to grow, so the cheapest flow is a largest one over first
+    uses, then enlarged by second uses, and so on.
     """
     source_at = {s: 1 + len(patterns) + i for i, s in enumerate(quotas)}
     end = 1 + len(patterns) + len(quotas)
-    arcs: list[list] = [[] for _ in range(end + 1)]  # [to, room, cost, index of the reverse]
+    arcs: list[list] = [[] for _ in range(end + 1)]  # [to, room, index of the reverse]
 
-    def arc(a: int, b: int, room: float, cost: float) -> None:
-        arcs[a].append([b, room, cost, len(arcs[b])])
-        arcs[b].append([a, 0.0, -cost, len(arcs[a]) - 1])
+    def arc(a: int, b: int, room: float) -> None:
+        arcs[a].append([b, room, len(arcs[b])])
+        arcs[b].append([a, 0.0, len(arcs[a]) - 1])
 
-    for i, (members, words) in enumerate(patterns):
-        for n in range(repeats):
-            arc(0, 1 + i, float(words), float(n))
+    for i, (members, _) in enumerate(patterns):
+        arc(0, 1 + i, 0.0)
         for s in members:
             if s in source_at:
-                arc(1 + i, source_at[s], float("inf"), 0.0)
+                arc(1 + i, source_at[s], float("inf"))
     for s, quota in quotas.items():
-        arc(source_at[s], end, float(quota), 0.0)
-    while True:
-        cost, via, queue, queued = {0: 0.0}, {}, deque([0]), {0}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for k, (b, room, c, _) in enumerate(arcs[a]):
-                if room > 1e-9 and cost[a] + c < cost.get(b, float("inf")) - 1e-12:
-                    cost[b], via[b] = cost[a] + c, (a, k)
-                    if b not in queued:
-                        queue.append(b)
-                        queued.add(b)
-        if end not in cost:
-            break
-        path, b = [], end
-        while b:
-            a, k = via[b]
-            path.append(arcs[a][k])
-            b = a
-        room = min(x[1] for x in path)
-        for x in path:
-            x[1] -= room
-            arcs[x[0]][x[3]][1] += room
+        arc(source_at[s], end, float(quota))
+    for _ in range(repeats):
+        for k, (_, words) in enumerate(patterns):
+            arcs[0][k][1] += float(words)
+        while level := _levels(arcs, end):
+            _blocked(arcs, level, end)
     back = {at: s for s, at in source_at.items()}
-    return [{back[b]: arcs[b][k][1] for b, _, _, k in arcs[1 + i] if b in back and arcs[b][k][1] > 0} for i in range(len(patterns))]
+    return [{back[b]: arcs[b][k][1] for b, _, k in arcs[1 + i] if b in back and arcs[b][k][1] > 0} for i in range(len(patterns))]
+
+
+LEAST_ROOM = 1e-9
+
+
+def _levels(arcs: list[list], end: int) -> dict[int, int] | None:
+    """Each node's distance from node 0 over arcs with room, or None where the end is out of reach."""
+    level, queue = {0: 0}, deque([0])
+    while queue:
+        a = queue.popleft()
+        for b, room, _ in arcs[a]:
+            if room > LEAST_ROOM and b not in level:
+                level[b] = level[a] + 1
+                queue.append(b)
+    return level if end in level else None
+
+
+def _blocked(arcs: list[list], level: dict[int, int], end: int) -> None:
+    """Sends words along shortest paths until each of them is full."""
+    tried, path, at = [0] * len(arcs), [], 0
+    while True:
+        if at == end:
+            room = min(x[1] for x in path)
+            for n, x in enumerate(path):
+                x[1] -= room
+                arcs[x[0]][x[2]][1] += room
+            full = next(n for n, x in enumerate(path) if x[1] <= LEAST_ROOM)
+            at = 0 if full == 0 else path[full - 1][0]
+            del path[full:]
+            continue
+        while tried[at] < len(arcs[at]):
+            x = arcs[at][tried[at]]
+            if x[1] > LEAST_ROOM and level.get(x[0]) == level[at] + 1:
+                path.append(x)
+                at = x[0]
+                break
+            tried[at] += 1
+        else:
+            if not path:
+                return
+            path.pop()
+            at = path[-1][0] if path else 0
+            tried[at] += 1
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -144,10 +172,19 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of docs as often as the mix takes them; mixed has their doc_id, size and taken."""
-    times = mixed.filter("taken > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
-    held = docs.select("doc_id", F.struct(*docs.columns).alias("doc"))  # other columns may have any name
-    return held.join(times, "doc_id").select("doc", F.explode(F.sequence(F.lit(1), F.greatest("_times", F.lit(1))))).select("doc.*")
+    """Rows of docs as often as the mix takes them; mixed has their doc_id, size and taken.
+
+    Rows with one doc_id are matched by their sizes in words; of those with one size too, each is repeated as often
+    as they are on the whole, and the rest goes to the first of them.
+    """
+    times = mixed.filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"), F.count("*").cast("int").alias("_rows"))
+    times = staged(times.filter("_times > 0"), "times")
+    held = docs.select("doc_id", F.struct(*docs.columns).alias("doc"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))  # other columns may have any name
+    held = held.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
+    if not times.filter("_rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_id", "_size").orderBy("doc.text"))
+        held = held.withColumn("_nth", nth).withColumn("_times", (F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)).cast("int")).filter("_times > 0")
+    return held.select("doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("doc.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
