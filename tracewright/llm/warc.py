@@ -3,17 +3,21 @@
 The reader's tasks take byte ranges. A task looks for the gzip magic in its range, decodes the start of
 each candidate and checks that it is a WARC header, and owns the records that start inside its range,
 also where they end beyond. Archives are opened through pyarrow's file systems by the URI of the shared
-folder, so they stand wherever Spark's own checkpoints stand.
+folder (opened()), so they stand wherever Spark's own checkpoints stand.
+
+No record is lost in silence: a member that begins as a record but is damaged or cut off is an error, and
+op10 compares the numbers of records written and read, which the archives' rows carry.
 
 Defined results: a null html is an empty payload; of equal payloads of at least min_revisit_bytes the smallest
 page_id is the response (all its rows are), other rows revisit it; a null page_id is larger than any
-other; an empty table gives no archive and no row.
+other; a url of any length is kept; an empty table gives no archive and no row.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -23,24 +27,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, read
+from .common import new_folder, read, staged
 
 MAGIC = b"\x1f\x8b\x08"
+BEGIN = b"WARC/1."
 SPLIT_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 20
 HEADER_BYTES = 1 << 16
+#: Digests of repeated payloads (some 60 bytes each) that are broadcast, and salts of each beyond them.
+MOST_REPEATED, SALTS = 1 << 19, 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 
 
+#: Names that Spark's file systems have and pyarrow's have not, and which of pyarrow's reads the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def opened(uri: str):
+    """The file system of a URI and the path in it. Stores that pyarrow doesn't know are opened by fsspec, where that is installed."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + ":" + rest if re.match(r"[a-z0-9]+:/", uri) else uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        import fsspec
+
+        store, path = fsspec.core.url_to_fs(uri)
+        return fs.PyFileSystem(fs.FSSpecHandler(store)), path
+
+
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, and first_id: the smallest page_id with this payload (its own, where the payload is too small)."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("_digest", F.sha1("payload"))
-    first = pages.groupBy("_digest").agg(F.min("page_id").alias("first_id"))
-    own = F.octet_length("payload") < min_revisit_bytes
-    return pages.join(first, "_digest").withColumn("first_id", F.when(own, F.col("page_id")).otherwise(F.col("first_id"))).drop("_digest")
+    """page_id, url, payload, and first_id: the smallest page_id with this payload (its own, where the payload is too small).
+
+    Payloads that occur once are nobody's revisits, so only digests of repeated ones are joined; these are broadcast while
+    a count shows that they are few, and beyond it both sides are dealt by digest and a salt, so a payload that a third of all pages have is
+    spread over tasks.
+    """
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("_digest", F.unhex(F.sha1("payload")))
+    large = pages.filter(F.octet_length("payload") >= min_revisit_bytes)
+    first = staged(large.groupBy("_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n")).filter("_n > 1").select("_digest", "first_id"), "repeated", small=True)
+    if first.limit(MOST_REPEATED + 1).count() <= MOST_REPEATED:
+        found = pages.join(F.broadcast(first.withColumn("_many", F.lit(True))), "_digest", "left")
+    else:
+        salted = first.withColumn("_many", F.lit(True)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_merge"), ["_digest", "_salt"], "left")
+    return found.select("page_id", "url", "payload", F.when(F.col("_many"), F.col("first_id")).otherwise(F.col("page_id")).alias("first_id"))
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, first_id: int | None) -> bytes:
@@ -64,61 +101,83 @@ def _record(page_id: int | None, url: str | None, payload: bytes, first_id: int
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> DataFrame:
-    """One archive a task, named by the task's number and moved into place when whole, so a task may run again. Gives path and bytes; a row each."""
+    """One archive a task attempt, under a name of its own; only those of attempts that Spark counts are listed. Gives path, bytes and records; a row each."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = opened(folder)
         context = TaskContext.get()
-        name = f"{top}/part-{context.partitionId():06d}.warc.gz"
-        draft = f"{name}.{context.taskAttemptId()}"
-        size, out = 0, None
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
+        size, records, out = 0, 0, None
         for batch in batches:
             for row in range(batch.num_rows):
                 if out is None:
                     store.create_dir(top, recursive=True)
-                    out = store.open_output_stream(draft)
+                    out = store.open_output_stream(f"{top}/{name}", compression=None)  # members are compressed already
                 member = _record(*(batch.column(c)[row].as_py() for c in ("page_id", "url", "payload", "first_id")))
                 out.write(member)
                 size += len(member)
+                records += 1
         if out is not None:
             out.close()
-            store.move(draft, name)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rpartition('/')[2]}"]), pa.array([size])], names=["path", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size]), pa.array([records])], names=["path", "bytes", "records"])
 
-    written = with_revisits(pages, min_revisit_bytes).select("page_id", "url", "payload", "first_id").mapInArrow(write, "path string, bytes long")
-    return pages.sparkSession.createDataFrame(written.collect(), written.schema)  # a row per archive
+    written = with_revisits(pages, min_revisit_bytes).select("page_id", "url", "payload", "first_id").mapInArrow(write, "path string, bytes long, records long")
+    rows = written.collect()  # a row per archive
+    _removed_others(pages.sparkSession, folder, {r["path"].rpartition("/")[2] for r in rows})
+    return pages.sparkSession.createDataFrame(rows, written.schema)
+
+
+def _removed_others(spark: SparkSession, folder: str, names: set[str]) -> None:
+    """Archives of attempts that failed or came second."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in store.listStatus(top) if store.exists(top) else []:
+        if f.getPath().getName() not in names:
+            store.delete(f.getPath(), False)
 
 
 def _header(raw: bytes) -> dict[str, str] | None:
     """Named fields if raw begins with a WARC header, in lower case."""
     head, gap, _ = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    if not gap or not lines[0].startswith(b"WARC/1."):
+    if not gap or not lines[0].startswith(BEGIN):
         return None
     fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:]))
     return fields if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
 
 
 def _member(file, at: int, size: int) -> tuple[bytes, int] | None:
-    """The member's content and its end, if a WARC record in a whole gzip member begins at this byte."""
-    inflate, parts, known, place = zlib.decompressobj(31), [], None, at
+    """The member's content and its end, if a WARC record begins at this byte; an error if it begins as one but does not end as one."""
+    inflate, place, head, rest = zlib.decompressobj(31), at, b"", b""
     try:
-        while not inflate.eof:
+        while len(head) < len(BEGIN) and not inflate.eof:
             file.seek(place)
-            raw = file.read(min(CHUNK_BYTES if known else HEADER_BYTES, size - place))
+            raw = file.read(min(HEADER_BYTES, size - place))
             if not raw:
                 return None
-            parts.append(inflate.decompress(raw))
-            place += len(raw)
-            if known is None:
-                known = _header(b"".join(parts))
-                if known is None and (place - at >= 4 * HEADER_BYTES or inflate.eof or not b"".join(parts).startswith(b"WARC/1.")):
-                    return None
+            head += inflate.decompress(raw, len(BEGIN) - len(head))
+            rest, place = inflate.unconsumed_tail, place + len(raw)
     except zlib.error:
         return None
-    return b"".join(parts), place - len(inflate.unused_data)
+    if not head.startswith(BEGIN):
+        return None
+    parts = [head]
+    try:
+        if rest:
+            parts.append(inflate.decompress(rest))
+        while not inflate.eof:
+            file.seek(place)
+            raw = file.read(min(CHUNK_BYTES, size - place))
+            if not raw:
+                raise ValueError(f"byte {at}: a record that is cut off")
+            parts.append(inflate.decompress(raw))
+            place += len(raw)
+    except zlib.error as e:
+        raise ValueError(f"byte {at}: a damaged record") from e
+    content = b"".join(parts)
+    if _header(content) is None:
+        raise ValueError(f"byte {at}: a record without type or length")
+    return content, place - len(inflate.unused_data)
 
 
 def _starts(file, start: int, end: int, size: int) -> Iterator[tuple[bytes, int]]:
@@ -166,12 +225,10 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     splits = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
         for batch in batches:
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start"))):
-                store, place = fs.FileSystem.from_uri(path)
+                store, place = opened(path)
                 with store.open_input_file(place) as file:
                     rows, held = [], 0
                     for content, _ in _starts(file, start, min(start + split_bytes, size), size):
@@ -187,10 +244,18 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     return splits.repartition(4 * n, "path", "start").mapInArrow(scan, RECORDS)
 
 
+def checked(records: DataFrame, archives: DataFrame) -> DataFrame:
+    """records, staged, if they are as many as were written."""
+    records = staged(records, "records")
+    read_back, written = records.count(), archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if read_back != written:
+        raise ValueError(f"{written} records were written and {read_back} read back")
+    return records
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_folder(spark, "warc")
-    archives = write_archives(read(spark, sf_dir, "pages"), folder)
-    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = write_archives(read(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return checked(read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), archives)
 
 
 OP10_SQL = """
