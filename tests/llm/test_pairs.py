@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracewright.llm import collisions, components, jaccard, neighbours
@@ -187,6 +188,58 @@ def test_tiles_keep_all_that_bounds_allow():
         assert near.tolist() == [i for _, i in want] and score.tolist() == [-x for x, _ in want]
 
 
+@pytest.mark.parametrize("norm", [1e8, 1e-320, 1e-200, 1e200])
+def test_nearest_of_large_and_tiny_vectors(norm):
+    rng = np.random.default_rng(9)
+    q = rng.integers(-3, 4, size=(3, 6)) + 0.5
+    c = (rng.integers(-127, 128, size=(60, 6)) * norm) if norm < 1e150 else rng.normal(size=(60, 6)) * norm
+    c[5:20] *= 1e3  # rows of different powers in one block
+    c[~c.any(axis=1)] = norm
+    ids = np.arange(60)
+    for query, near, score in neighbours.tile(np.arange(100, 103), q, ids, c, 7):
+        s = neighbours.inner(np.repeat(q[query - 100][None], 60, 0), c)
+        want = sorted(zip(-s, ids))[:7]
+        assert near.tolist() == [i for _, i in want] and score.tolist() == [-x for x, _ in want]
+
+
+def test_double_vectors_and_text_labels(spark):
+    near, far = math.sqrt(1 - 0.98000001**2), math.sqrt(1 - 0.97999999**2)
+    rows = [(1, [1.0, 0.0], "x"), (2, [0.98000001, near], "x"), (3, [1.0, 0.0], "y"), (4, [0.97999999, far], "y"), (5, [1.0, 0.0], None)]
+    for i in range(6, 40):
+        rows.append((i, [1.0, 0.0], "x"))
+    got = {r["vec_id"]: r["n_links"] for r in collisions.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got[3] == got[4] == got[5] == 0 and got[1] in (34, 35) and got[2] in (0, 35)
+
+
+def test_measured_recall_over_the_given_vectors(spark, tmp_path):
+    """The given vectors and a copy of each third one at a cosine from 0.98 on: all links by brute force, and how many of them the query finds."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label")
+    rng, rows = np.random.default_rng(14), given.collect()
+    for r in rows[::3]:
+        v = np.array(r["embedding"], dtype=np.float64)
+        side = rng.normal(size=len(v))
+        side -= side @ v / (v @ v) * v
+        cosine = 0.9801 + 0.0199 * rng.random() ** 2
+        v = cosine * v / np.linalg.norm(v) + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+        rows.append(Row(vec_id=r["vec_id"] + 10_000_000, embedding=[float(np.float32(x)) for x in v], label=r["label"]))
+    spark.createDataFrame(rows, given.schema).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: r["n_links"] for r in collisions.op5_embedding_near_dedup(spark, str(tmp_path)).collect()}
+    want, by = {r["vec_id"]: 0 for r in rows}, {}
+    for r in rows:
+        if r["label"] is not None and usable(r["embedding"]):
+            by.setdefault((r["label"], len(r["embedding"])), []).append(r)
+    for own in by.values():
+        x = np.array([r["embedding"] for r in own], dtype=np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        n = (x @ x.T >= 0.98).sum(axis=1) - 1
+        for r, k in zip(own, n.tolist()):
+            want[r["vec_id"]] = k
+    found, total = sum(got.values()), sum(want.values())
+    print(f"op5 recall: {found} of {total} link ends over {len(rows)} vectors, {found / total:.4f}")
+    assert len(got) == len(rows) and 0.97 * total <= found <= total
+    assert all(got[i] <= want[i] for i in want)
+
+
 def test_embedding_duplicates_against_brute_force(spark):
     rows = some_vectors()
     got = {r["vec_id"]: r for r in collisions.near_duplicates(vectors(spark, rows)).collect()}

@@ -201,7 +201,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def within(keys: DataFrame, df: DataFrame, on: str, most: int = 1 << 20) -> DataFrame:
-    """Rows of df whose key is in keys: the keys are broadcast when a count shows that they are at most `most` longs, else both sides are shuffled."""
+def within(keys: DataFrame, df: DataFrame, on: str | list[str], how: str = "left_semi", most: int = 1 << 20) -> DataFrame:
+    """df joined with keys, which are staged rows of a few longs: broadcast when a count shows that they are at most `most`, so a key that many rows of df have does not gather them; else both sides are shuffled."""
     few = keys.limit(most + 1).count() <= most
-    return df.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), on, "left_semi")
+    return df.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), on, how)

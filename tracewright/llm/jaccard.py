@@ -280,7 +280,7 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     tight = staged(frequent.join(tight, ["node", "inst"], "left_semi").select("sig", "node"), "tight", small=True)
     # Each group has a centre of its own, so a set meets as many others as it has frequent signatures.
     centre = tight.groupBy("sig").agg(F.min_by("node", F.xxhash64("sig", "node")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("sig", "c")
-    stars = tight.join(centre, "sig").filter("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    stars = within(staged(centre, "centres", small=True), tight, "sig", "inner").filter("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
     met = staged(pairs.unionByName(stars).distinct(), "met", small=True)
     nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
@@ -302,15 +302,15 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
         """sig, node, root: sets with too many frequent signatures that lead to other components. One within a component hides no link."""
         rooted = frequent.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
-        rooted = staged(rooted.join(mixed, "sig", "left_semi"), "mixed", small=True)
+        rooted = staged(within(staged(mixed, "leading", small=True), rooted, "sig"), "mixed", small=True)
         many = rooted.groupBy("node", "inst").agg(F.count("*").alias("c")).filter(F.col("c") > F.shiftright("inst", 1)).select("node", "inst")
         return rooted.join(many, ["node", "inst"], "left_semi").select("sig", "node", "root").distinct()
 
     def both(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Pairs of x and y with one signature, of two components, that sketches allow."""
+        """Pairs of x and y (staged) with one signature, of two components, that sketches allow."""
         x = _sketched(x, sets, "node", "x").withColumnRenamed("node", "a")
         y = _sketched(y.withColumnRenamed("root", "_root"), sets, "node", "y").withColumnRenamed("node", "b")
-        return x.join(y, "sig").filter((F.col("a") != F.col("b")) & (F.col("root") != F.col("_root")) & _may_link("x", "y"))
+        return within(staged(y, "other"), x, "sig", "inner", 1 << 17).filter((F.col("a") != F.col("b")) & (F.col("root") != F.col("_root")) & _may_link("x", "y"))
 
     for salt in range(CENTRES):
         left = staged(hidden(), "hidden", small=True)
@@ -318,7 +318,7 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
         pairs = both(left, centre).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = done.unionByName(staged(_verified(pairs, sets), "links", small=True))
         roots = staged(components(done), "roots", small=True)
-    left = hidden()
+    left = staged(hidden(), "hidden", small=True)
     rest = both(left, left).filter("a < b").select("a", "b").distinct()
     return done.unionByName(staged(_verified(rest, sets), "links", small=True))
 
