@@ -45,4 +45,4 @@ def scored(alerts: DataFrame, *by: str) -> DataFrame:
 def rules(df: DataFrame, table: list[tuple[str, str, str, Column]], keep: list[str]) -> DataFrame:
     """A row for each (rule, severity, mitre, condition) of the table that a row of df fulfils: one scan, no join."""
     hits = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.lit(m).alias("mitre"))) for n, s, m, c in table)), lambda x: x.isNotNull())
-    return df.withColumn("_hits", hits).filter(F.size("_hits") > 0).select(*keep, F.inline("_hits"))
+    return df.select(*keep, F.inline(hits))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .alerts import rules
 
 # Parents and children of suspicious spawns.
@@ -86,13 +87,21 @@ def attached(events: DataFrame, processes: DataFrame, by: list[str], ts: str, va
     return as_of(events, processes, by, ts, value, out).join(first, by, "left").withColumn(out, F.coalesce(out, "_first")).drop("_first")
 
 
-def depths(edges: DataFrame, most: int = 64) -> DataFrame:
-    """node, depth from edges (node, parent): roots have depth 0. Pointers double each round, so a chain of n takes log n rounds."""
+def depths(edges: DataFrame) -> DataFrame:
+    """node, depth from edges (node, parent): roots have depth 0, nodes on a cycle or below one null.
+
+    Pointers double each round, so a chain of n takes log n rounds; each round is staged and reads the one before
+    once a side. Rounds end when no pointer is left, or those left all lie on cycles.
+    """
     at = edges.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(most.bit_length()):
+    left = n = at.count()
+    at, reach = staged(at, "depths"), 1
+    while left and reach <= n:
         far = at.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
         at = at.join(far, F.col("up") == F.col("_n"), "left").select("node", F.when(F.col("_n").isNotNull(), F.col("_up")).alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-    return at.select("node", "depth")
+        at, reach = staged(at, "depths"), 2 * reach
+        left = at.filter("up is not null").count()
+    return at.select("node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
 def evidence(anomalies: DataFrame, hashes: DataFrame, connections: DataFrame, files: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import domains, network, text
 from ..operators import alerts, auth_logs, cloud, custody, dns, enrich, flows, iocs, messages, processes, risk, routes, rules, timeline
 from ..operators import files as triage
 
-from .shared import folder
+from ..staging import folder
 
 QUERIES: dict = {}
 
@@ -486,8 +486,7 @@ def _factors(spark, sf_dir):
     vectors = list(risk.CAPS)
     t = F.col("event_type")
     vector = F.when(t == "error", vectors[0]).when(t == "click", vectors[1]).when(t == "purchase", vectors[2]).when(t == "view", vectors[3]).otherwise(vectors[4])
-    e = events(spark, sf_dir).filter("k % 10 = 0")
-    return e.select("user_id", vector.alias("vector"), (F.col("k") / 10).alias("points"), F.when(F.col("k") > 80, "CRITICAL").otherwise("LOW").alias("severity"))
+    return events(spark, sf_dir).select("user_id", vector.alias("vector"), (F.col("k") / 8).alias("points"), F.when(F.col("k") > 80, "CRITICAL").otherwise("LOW").alias("severity"))
 
 
 @query
@@ -590,10 +589,12 @@ def metadata_scores(spark, sf_dir):
 @query
 def message_lifecycle(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    m = o.select(F.col("o_orderkey").alias("message_key"), F.col("o_orderdate").cast("timestamp").alias("date"), F.lit(None).cast("timestamp").alias("ingest_ts"))
+    day = lambda n: F.date_add(F.col("o_orderdate").cast("date"), n).cast("timestamp")
+    key = F.col("o_orderkey").alias("message_key")
+    m = o.select(key, F.col("o_orderdate").cast("timestamp").alias("date"), day(90).alias("ingest_ts"))
     hops = _hops(spark, sf_dir).withColumn("by_host", F.lit("h"))
-    signed = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("message_key"), F.lit("d").alias("domain"), F.col("o_orderdate").cast("timestamp").alias("signed"), F.lit(None).cast("timestamp").alias("expires"))
-    parts = m.limit(0).select("message_key", F.lit("").alias("filename"), F.col("date").alias("modified"))
+    signed = o.select(key, F.concat(F.lit("d"), F.col("o_custkey") % 5).alias("domain"), F.when(F.col("o_orderkey") % 3 != 1, day(1)).alias("signed"), day(30).alias("expires"))
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message_key"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("filename"), F.date_add(F.col("l_shipdate").cast("date"), 3).cast("timestamp").alias("modified")).distinct()
     return timeline.lifecycle(m, hops, signed, parts)
 
 
@@ -625,8 +626,8 @@ def _stream_logons(spark, sf_dir):
     return e.select("ts", F.col("user_id").cast("string").alias("user"), F.col("k").cast("string").alias("source_ip"), (F.col("event_type") == "purchase").alias("success"))
 
 
-def _drained(spark, stream, mode):
-    return streaming.drained(stream, mode, folder(spark, "stream-state"), folder(spark, "stream-out"))
+def _drained(spark, stream, mode, keys=None):
+    return streaming.drained(stream, mode, folder(spark, "stream-state"), folder(spark, "stream-out"), keys)
 
 
 @query
@@ -636,7 +637,9 @@ def stream_brute_force(spark, sf_dir):
 
 @query
 def stream_password_spray(spark, sf_dir):
-    return _drained(spark, streaming.password_spray(_stream_logons(spark, sf_dir), 3, "1 day"), "complete").select("source_ip", "start", "failures", "users")
+    """Users are counted approximately: their number is kept out, and whether it is possible at all is shown."""
+    found = _drained(spark, streaming.password_spray(_stream_logons(spark, sf_dir), 1, "1 day"), "complete")
+    return found.select("source_ip", "start", "failures", F.col("users").between(1, F.col("failures")).alias("possible"))
 
 
 @query
@@ -647,7 +650,7 @@ def stream_impossible_travel(spark, sf_dir):
 
 @query
 def stream_beacons(spark, sf_dir):
-    return _drained(spark, streaming.beacons(_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("apex"), "ts")), "update").select("apex", "gaps", F.round("mean_gap", 2).alias("mean_gap"), F.round("regularity", 3).alias("regularity"))
+    return _drained(spark, streaming.beacons(_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("apex"), "ts")), "update", ["apex"]).select("apex", "gaps", F.round("mean_gap", 2).alias("mean_gap"), F.round("regularity", 3).alias("regularity"))
 
 
 @query

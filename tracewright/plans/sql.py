@@ -194,7 +194,7 @@ SQL["prompt_injection_scan"] = f"SELECT * FROM ({_PHITS}) WHERE hits >= 1"
 SQL["zero_width"] = f"SELECT doc_id, (length(text) - length(translate(text, '{text.ZERO_WIDTH}', '')))::INT AS n, length(translate(text, '{text.ZERO_WIDTH}', ''))::INT AS visible FROM documents"
 _CAPS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in risk.CAPS.items())
 _VEC = list(risk.CAPS)
-VECTORS = f"""{E}, f AS (SELECT user_id, CASE event_type WHEN 'error' THEN '{_VEC[0]}' WHEN 'click' THEN '{_VEC[1]}' WHEN 'purchase' THEN '{_VEC[2]}' WHEN 'view' THEN '{_VEC[3]}' ELSE '{_VEC[4]}' END AS vector, k / 10 AS points, k > 80 AS c FROM e WHERE k % 10 = 0),
+VECTORS = f"""{E}, f AS (SELECT user_id, CASE event_type WHEN 'error' THEN '{_VEC[0]}' WHEN 'click' THEN '{_VEC[1]}' WHEN 'purchase' THEN '{_VEC[2]}' WHEN 'view' THEN '{_VEC[3]}' ELSE '{_VEC[4]}' END AS vector, k / 8 AS points, k > 80 AS c FROM e),
   v AS (SELECT user_id, vector, least(sum(points), CASE vector {_CAPS} END) AS score, count(*) AS factors, bool_or(c) AS critical FROM f GROUP BY 1, 2)"""
 SQL["risk_vectors"] = f"WITH {VECTORS} SELECT * FROM v"
 SQL["risk_total"] = f"""WITH {VECTORS}, t AS (SELECT user_id, round(least(100.0, sum(score)), 1) AS score, bool_or(critical) AS c FROM v GROUP BY 1)
@@ -237,6 +237,10 @@ SQL["message_factors"] = f"""WITH {E}, t(vector, factor, points, severity) AS (V
   SELECT user_id, vector, factor, points, severity FROM f JOIN t USING (vector, factor) UNION ALL SELECT user_id, vector, factor, round(c * 15, 1), CASE WHEN c >= 0.9 THEN 'CRITICAL' ELSE 'HIGH' END FROM f WHERE vector = 'BEC_SOCIAL_ENGINEERING'"""
 SQL["metadata_scores"] = """WITH d AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS c, o_orderdate::TIMESTAMP + to_days(((o_orderkey % 9) - 2)::INT) AS m FROM orders), a AS (SELECT o_orderkey, (greatest(c, m) > TIMESTAMP '1997-01-02')::INT AS f, (m < c)::INT + (least(c, m) < TIMESTAMP '1980-01-01')::INT AS o FROM d), s AS (SELECT o_orderkey, least(100, 35 * f + 20 * o) AS score, f FROM a WHERE f + o > 0)
   SELECT o_orderkey, score, CASE WHEN f > 0 OR score >= 75 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' WHEN score >= 15 THEN 'LOW' ELSE 'CLEAN' END AS severity FROM s"""
-SQL["message_lifecycle"] = f"""WITH {HOPS} SELECT o_orderkey AS entity, o_orderdate::TIMESTAMP AS ts, 'client' AS source, 'SENT' AS event, '' AS ref FROM orders UNION ALL SELECT message_key, ts, 'relay', 'RECEIVED', hop || ' h' FROM h WHERE ts IS NOT NULL UNION ALL SELECT o_orderkey, o_orderdate::TIMESTAMP, 'dkim', 'SIGNED', 'd' FROM orders WHERE o_orderkey % 3 = 0"""
+SQL["message_lifecycle"] = f"""WITH {HOPS} SELECT o_orderkey AS entity, o_orderdate::TIMESTAMP AS ts, 'client' AS source, 'SENT' AS event, '' AS ref FROM orders UNION ALL SELECT message_key, ts, 'relay', 'RECEIVED', hop || ' h' FROM h WHERE ts IS NOT NULL
+  UNION ALL SELECT o_orderkey, (o_orderdate::DATE + 1)::TIMESTAMP, 'dkim', 'SIGNED', 'd' || o_custkey % 5 FROM orders WHERE o_orderkey % 3 <> 1 UNION ALL SELECT o_orderkey, (o_orderdate::DATE + 30)::TIMESTAMP, 'dkim', 'EXPIRES', 'd' || o_custkey % 5 FROM orders
+  UNION ALL SELECT DISTINCT l_orderkey, (l_shipdate::DATE + 3)::TIMESTAMP, 'attachment', 'MODIFIED', 'p' || l_partkey FROM lineitem UNION ALL SELECT o_orderkey, (o_orderdate::DATE + 90)::TIMESTAMP, 'ingest', 'INGESTED', '' FROM orders"""
 SQL["alert_indicators"] = f"WITH {E} SELECT 'USER:' || user_id AS indicator FROM e WHERE event_type = 'error' AND value > 90 UNION SELECT 'IP:' || k FROM e WHERE event_type = 'error' AND value > 90 AND k % 2 = 0"
 SQL["process_evidence"] = f"WITH {E}, b AS (SELECT DISTINCT user_id FROM e WHERE value > 99.5) SELECT DISTINCT CASE event_type WHEN 'click' THEN 'hash' WHEN 'view' THEN 'egress' ELSE 'file' END AS kind, event_type || '-' || k AS value FROM e JOIN b USING (user_id) WHERE event_type IN ('click', 'view', 'signup')"
+
+SQL["stream_password_spray"] = f"""WITH {LOGONS} SELECT source_ip, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS failures, true AS possible FROM l WHERE NOT success AND source_ip IS NOT NULL GROUP BY 1, 2"""

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 LATE = "10 minutes"
 
@@ -99,12 +100,33 @@ def near_alerts(alerts: DataFrame, rows: DataFrame, seconds: int = 60, late: str
     return a.join(r, (F.col("_user") == F.col("user")) & (F.col("ts") > F.col("alert_ts") - gap) & (F.col("ts") < F.col("alert_ts") + gap)).drop("_user")
 
 
-def drained(stream: DataFrame, mode: str, checkpoint: str, out: str) -> DataFrame:
-    """All that the stream's sources hold now, run once: rows appended to a Parquet folder, or (complete, update) the last result of the run."""
+def drained(stream: DataFrame, mode: str, checkpoint: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """All that the stream's sources hold now, run once: rows appended to a Parquet folder, or the result after the last batch.
+
+    In complete mode each batch holds the whole result; in update mode a batch replaces the rows of its keys, and the
+    rows of other keys stay. Batches go to folders of their own, so a batch that runs again writes the same.
+    """
+    done: list[int] = []
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out) if not df.isEmpty() else None).start()
+
+        def keep(df: DataFrame, n: int) -> None:
+            df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+            done.append(n)
+
+        query = writer.foreachBatch(keep).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    spark, schema = stream.sparkSession, StructType([*stream.schema.fields, StructField("batch", LongType())])
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(out)  # a folder, also after no batch
+    found = spark.read.schema(schema).parquet(out)
+    if mode == "complete":
+        return found.filter(F.col("batch") == max(done, default=-1)).drop("batch")
+    if not keys:
+        raise ValueError("update mode needs the keys of its rows")
+    rest = [c for c in stream.columns if c not in keys]
+    latest = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return latest.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in stream.columns))
