@@ -4,7 +4,7 @@ import pytest
 from oracle import connect, same
 
 import __spark_entry__
-from tracewright.plans import catalogue, sql
+from tracewright.plans import catalogue, evidence, evidence_sql, sql  # noqa: F401 (evidence adds to both)
 
 SF = "/root/testdata/sf0.001"
 

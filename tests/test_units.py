@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright import sinks, streaming
 from tracewright.functions import domains, network, text, times
-from tracewright.operators import auth_logs, cloud, custody, dns, enrich, files, flows, iocs, messages, processes, risk, routes, rules, timeline
+from tracewright.operators import auth_logs, cloud, custody, dns, enrich, files, flows, iocs, messages, posture, processes, risk, routes, rules, timeline
 from tracewright.sources import logs, mail, packets
 
 T0 = datetime(2026, 1, 1)
@@ -252,7 +252,8 @@ def test_event_readers(spark, tmp_path):
     (tmp_path / "h.txt").write_text("# comment\nABCD\n\nabcd\n")
     assert [x["value"] for x in logs.read_hash_list(spark, str(tmp_path / "h.txt")).collect()] == ["abcd"]
     dnsrows = spark.createDataFrame([("a.com", "TXT", "v=spf1 -all"), ("b.com", "MX", "mx.b.com")], "name string, rtype string, value string")
-    assert {r["name"]: r["tier"] for r in logs.posture_score(logs.posture(dnsrows)).collect()} == {"a.com": "MEDIUM", "b.com": "HIGH"}
+    asked = logs.posture(dnsrows).withColumns({"brand_risk": F.lit(None).cast("string"), "is_email": F.lit(True)})
+    assert {r["name"]: (r["category"], r["score"], r["tier"]) for r in posture.assessed(asked).collect()} == {"a.com": ("UNRESOLVED", 55, "HIGH"), "b.com": ("CORPORATE", 35, "MEDIUM")}
 
 
 def test_sinks(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words of suspicious service and task commands, and paths that users can write to.
@@ -19,10 +19,11 @@ def named(code: Column, names: dict) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), code)
 
 
-def brute_force(logons: DataFrame, threshold: int = 5, window_seconds: int | None = None) -> DataFrame:
+def brute_force(logons: DataFrame, threshold: int = 5, window_seconds: int | None = None, evidence: bool = True) -> DataFrame:
     """Users with at least threshold failures; CRITICAL if a success came at or after the first of them.
 
-    Without window_seconds all failures of a user count together; with it, those of one tumbling window.
+    Without window_seconds all failures of a user count together; with it, those of one tumbling window. record_ids lists the
+    failures as evidence; without `evidence` it is left out, which spares a join.
     """
     user = F.lower("user")
     logons = logons.filter(F.col("user").isNotNull()).withColumn("user", user)
@@ -33,17 +34,23 @@ def brute_force(logons: DataFrame, threshold: int = 5, window_seconds: int | Non
     fail = ~F.col("success")
     out = logons.groupBy(*keys).agg(
         F.count_if(fail).alias("failures"), F.min(F.when(fail, F.col("ts"))).alias("first_failure"), F.max(F.when(fail, F.col("ts"))).alias("last_failure"),
-        F.max(F.when(F.col("success"), F.col("ts"))).alias("_last_success"), F.sort_array(F.collect_list(F.when(fail, F.col("record_id")))).alias("record_ids"),
+        F.max(F.when(F.col("success"), F.col("ts"))).alias("_last_success"),
     )
-    out = out.filter(F.col("failures") >= threshold).withColumn("compromised", F.coalesce(F.col("_last_success") >= F.col("first_failure"), F.lit(False)))
+    out = out.filter(F.col("failures") >= threshold)
+    if evidence:  # ids of those above the threshold alone are gathered
+        chosen = logons.filter(fail).join(out.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list("record_id")).alias("record_ids"))
+        out = out.join(chosen, keys)
+    out = out.withColumn("compromised", F.coalesce(F.col("_last_success") >= F.col("first_failure"), F.lit(False)))
     return out.withColumn("severity", F.when(F.col("compromised"), "CRITICAL").otherwise("HIGH")).drop("_last_success")
 
 
 def password_spray(logons: DataFrame, threshold: int = 3, shown: int = 5) -> DataFrame:
     """Sources from which at least threshold distinct users failed; the first few names are shown."""
     failed = logons.filter(~F.col("success") & F.col("source_ip").isNotNull()).groupBy("source_ip", F.lower("user").alias("user")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    out = failed.groupBy("source_ip").agg(F.count("user").alias("users"), F.sum("n").alias("failures"), F.min("first").alias("first_failure"), F.max("last").alias("last_failure"), F.sort_array(F.collect_set("user")).alias("names"))
-    return out.filter(F.col("users") >= threshold).withColumn("names", F.slice("names", 1, shown)).withColumn("severity", F.lit("HIGH"))
+    out = failed.groupBy("source_ip").agg(F.count("user").alias("users"), F.sum("n").alias("failures"), F.min("first").alias("first_failure"), F.max("last").alias("last_failure")).filter(F.col("users") >= threshold)
+    first = F.row_number().over(Window.partitionBy("source_ip").orderBy("user"))
+    names = failed.withColumn("_n", first).filter(F.col("_n") <= shown).groupBy("source_ip").agg(F.sort_array(F.collect_list("user")).alias("names"))
+    return out.join(names, "source_ip", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>"))).withColumn("severity", F.lit("HIGH"))
 
 
 def pass_the_hash(kind: Column, process: Column, package: Column, ip: Column, success: Column) -> Column:

@@ -25,6 +25,29 @@ def flattened(audit: DataFrame, raw: str = "raw") -> DataFrame:
     })
 
 
+def typed(records: DataFrame) -> DataFrame:
+    """Flattened records with kind (inbox_rule, delegation, consent, login, other) and the fields that audit_rules reads."""
+    op, p = F.lower("op"), lambda k: F.col("params")[k]
+    kind = (
+        F.when(op.isin("new-inboxrule", "set-inboxrule", "enable-inboxrule"), "inbox_rule").when(op.isin("add-mailboxpermission", "add-recipientpermission", "set-mailbox"), "delegation")
+        .when(op.rlike("consent to application|authorize application|add app role assignment|add service principal"), "consent")
+        .when(op.isin("userloggedin", "userloginfailed", "login", "login_verification", "login_failure"), "login").otherwise("other")
+    )
+    said = lambda k: F.coalesce(F.lower(p(k)) == "true", F.lit(False))
+    return records.withColumns({
+        "kind": kind, "forward_to": F.concat_ws(";", p("ForwardTo"), p("RedirectTo"), p("ForwardAsAttachmentTo")), "folder": p("MoveToFolder"), "delete_message": said("DeleteMessage"), "mark_read": said("MarkAsRead"),
+        "keywords": F.concat_ws(";", p("SubjectContainsWords"), p("BodyContainsWords")), "access": p("AccessRights"), "trustee": F.coalesce(p("User"), p("Trustee")), "scopes": p("Scope"),
+        "success": ~F.contains(op, F.lit("fail")),
+    })
+
+
+def external_forwards(records: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, target: addresses outside the user's domain that inbox rules forward to; all of them where none is outside."""
+    all_ = addresses(F.col("forward_to"))
+    outside = external(all_, F.substring_index("user", "@", -1))
+    return records.filter(F.lower("op").isin("new-inboxrule", "set-inboxrule", "enable-inboxrule")).select(*keep, F.explode(F.when(F.size(outside) > 0, outside).otherwise(all_)).alias("target"))
+
+
 def addresses(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[;,|\s]+"), lambda x: F.contains(x, F.lit("@")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import ip_number, is_private, is_tor
@@ -28,6 +28,18 @@ VPN_NETWORKS = [9009, 212238, 8100, 47583, 51167, 62240]
 PROTECTED = ["microsoft.com", "office.com", "office365.com", "live.com", "google.com", "apple.com", "paypal.com", "amazon.com", "docusign.com", "docusign.net", "chase.com", "bankofamerica.com", "wellsfargo.com", "citi.com", "dropbox.com", "adobe.com", "github.com", "linkedin.com", "netflix.com", "zoom.us"]
 
 
+# What is known of much seen public addresses without any source: address, country, network number, organisation.
+OFFLINE = [
+    ("8.8.8.8", "US", 15169, "Google LLC"), ("8.8.4.4", "US", 15169, "Google LLC"), ("1.1.1.1", "AU", 13335, "Cloudflare, Inc."),
+    ("209.85.208.177", "US", 15169, "Google LLC"), ("209.85.208.1", "US", 15169, "Google LLC"),
+]
+
+
+def offline_intel(spark: SparkSession) -> DataFrame:
+    """A last source for enriched_ips."""
+    return spark.createDataFrame(OFFLINE, "ip string, country string, asn int, org string")
+
+
 def cidr_ranges(cidrs: DataFrame, cidr: str = "cidr") -> DataFrame:
     """first and last address of IPv4 ranges, as longs."""
     bits = F.substring_index(cidr, "/", -1).try_cast("int")
@@ -77,17 +89,28 @@ def enriched_ips(ips: DataFrame, sources: list[DataFrame], ip: str = "ip", field
     return ips.join(known, ip, "left")
 
 
-def lookalikes(names: DataFrame, protected: DataFrame, name: str = "name") -> DataFrame:
-    """Distinct names that imitate a protected one (target): HOMOGLYPH, TYPOSQUAT or COMBOSQUAT, best first.
+def _shortened(label: Column) -> Column:
+    """A label and all that is left of it after one or two letters go: two labels at most two edits apart share one of these."""
+    cut = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+    once = F.transform(F.array(label), cut)[0]
+    return F.array_distinct(F.concat(F.array(label), once, F.flatten(F.transform(once, cut))))
 
-    Edits are counted between first labels of 4 letters or more whose lengths differ by at most two; the
-    protected list is a dimension of a few hundred rows, broadcast only as Spark's size threshold allows.
+
+def lookalikes(names: DataFrame, protected: DataFrame, name: str = "name", best: bool = True) -> DataFrame:
+    """Distinct names that imitate a protected one (target): HOMOGLYPH, TYPOSQUAT or COMBOSQUAT; the best match of each, or all.
+
+    A protected name itself imitates none. Edits are counted between first labels, for targets of 4 letters or more. Pairs meet on equal
+    keys: what is left of both after up to two letters go, a part of the name that is the target, or its Latin reading.
     """
     label = lambda c: F.substring_index(c, ".", 1)
     ours = protected.select(F.lower("target").alias("target")).distinct().withColumn("_target", label(F.col("target")))
     theirs = names.select(F.lower(name).alias(name)).distinct().withColumn("_label", label(F.col(name)))
     clean = theirs.join(ours, F.col(name) == F.col("target"), "left_anti")
-    pairs = clean.join(ours, F.abs(F.length("_label") - F.length("_target")).between(0, 2) | F.contains(F.col("_label"), F.col("_target")))
+    n = F.length("_label")
+    inside = F.when(n > 4, F.flatten(F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.transform(F.sequence(F.lit(4), n - i + 1), lambda k: F.col("_label").substr(i, k))))).otherwise(F.array().cast("array<string>"))
+    left = clean.withColumn("_key", F.explode(F.array_distinct(F.concat(_shortened(F.col("_label")), inside, F.array(transliterated(F.col("_label")))))))
+    right = ours.withColumn("_key", F.explode(_shortened(F.col("_target"))))
+    pairs = left.join(right, "_key").select(name, "_label", "target", "_target").distinct()
     edits = F.levenshtein("_label", "_target", 2)
     kind = (
         F.when((transliterated(F.col("_label")) == F.col("_target")) & (F.col("_label") != F.col("_target")), "HOMOGLYPH")
@@ -95,13 +118,23 @@ def lookalikes(names: DataFrame, protected: DataFrame, name: str = "name") -> Da
         .when((F.length("_target") >= 4) & F.contains(F.col("_label"), F.col("_target")) & (F.col("_label") != F.col("_target")), "COMBOSQUAT")
     )
     found = pairs.withColumns({"kind": kind, "similarity": F.round(1 - F.levenshtein("_label", "_target") / F.greatest(F.length("_label"), F.length("_target")), 4)}).filter("kind is not null")
+    if not best:
+        return found.select(name, "target", "kind", "similarity")
     rank = F.when(F.col("kind") == "HOMOGLYPH", 0).when(F.col("kind") == "TYPOSQUAT", 1).otherwise(2)
-    best = F.row_number().over(Window.partitionBy(name).orderBy(rank, F.desc("similarity"), "target"))
-    return found.withColumn("_n", best).filter("_n = 1").select(name, "target", "kind", "similarity")
+    first = F.row_number().over(Window.partitionBy(name).orderBy(rank, F.desc("similarity"), "target"))
+    return found.withColumn("_n", first).filter("_n = 1").select(name, "target", "kind", "similarity")
 
 
 def vendors(mx: DataFrame, patterns: DataFrame) -> DataFrame:
-    """mx (name, mx) with the vendor whose wildcard pattern (vendor, pattern) fits first, by pattern."""
-    like = F.concat(F.lit("^"), F.replace(F.replace(F.lower("pattern"), F.lit("."), F.lit("\\.")), F.lit("*"), F.lit(".*")), F.lit("$"))
-    hits = mx.select(F.lower("mx").alias("mx")).distinct().join(patterns.withColumn("_like", like), F.expr("mx rlike _like")).groupBy("mx").agg(F.min_by("vendor", "pattern").alias("vendor"))
+    """mx (name, mx) with the vendor whose wildcard pattern (vendor, pattern) fits first, by pattern.
+
+    A pattern's last labels without a wildcard must end the host: pairs meet on them, then the whole pattern is checked. Patterns without
+    such labels meet every host under an empty end.
+    """
+    p = patterns.select("vendor", F.lower("pattern").alias("pattern")).withColumn("_end", F.regexp_replace(F.regexp_extract("pattern", r"(?:^|\.)([^*]*)$", 1), r"^\.", ""))
+    like = F.concat(F.lit("^"), F.replace(F.replace("pattern", F.lit("."), F.lit("\\.")), F.lit("*"), F.lit(".*")), F.lit("$"))
+    labels = F.split("mx", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = mx.select(F.lower("mx").alias("mx")).distinct().withColumn("_end", F.explode(F.array_append(ends, F.lit(""))))
+    hits = hosts.join(p.withColumn("_like", like), "_end").filter(F.expr("mx rlike _like")).groupBy("mx").agg(F.min_by("vendor", "pattern").alias("vendor"))
     return mx.withColumn("mx", F.lower("mx")).join(hits, "mx", "left")

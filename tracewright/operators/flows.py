@@ -10,17 +10,24 @@ SUSPICIOUS_PORTS = [1337, 4444, 6667]
 
 
 def flows(packets: DataFrame, protocol: str | None = None) -> DataFrame:
-    """One row per unordered pair of endpoints: counts both ways, the side that spoke first, span, handshake time."""
+    """One row per unordered pair of endpoints: counts both ways, the side that spoke first, span, handshake time, TCP state, and what packets say of names (app, sni, http_host, dns_domain, where given)."""
     a, b = F.struct(F.col("src").alias("host"), F.col("src_port").alias("port")), F.struct(F.col("dst").alias("host"), F.col("dst_port").alias("port"))
     p = packets.withColumns({"low": F.least(a, b), "high": F.greatest(a, b)}).withColumn("_forward", F.col("low") == a)
     syn = F.array_contains("flags", "SYN") if "flags" in packets.columns else F.lit(False)
     ack = F.array_contains("flags", "ACK") if "flags" in packets.columns else F.lit(False)
+    order = F.struct("ts", "packet_num")
+    said = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("app", "sni", "http_host", "dns_domain") if c in packets.columns]  # what the latest packet that says it says
+    closing = (F.array_contains("flags", "FIN") | F.array_contains("flags", "RST")) if "flags" in packets.columns else F.lit(False)
     out = p.groupBy("low", "high", *([protocol] if protocol else [])).agg(
+        *said,
         F.count("*").alias("packets"), F.sum("wire_len").alias("bytes"), F.count_if("_forward").alias("forward"), F.count_if(~F.col("_forward")).alias("reverse"),
         F.min_by(F.struct("src", "src_port"), F.struct("ts", "packet_num")).alias("client"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.min(F.when(syn & ~ack, F.col("ts"))).alias("_syn"), F.min(F.when(syn & ack, F.col("ts"))).alias("_syn_ack"),
+        F.max(F.when(closing, F.col("ts"))).alias("_closed"), F.min_by(syn, order).alias("_began"),
     )
-    return out.withColumn("rtt", F.when(F.col("_syn_ack") >= F.col("_syn"), (F.unix_micros("_syn_ack") - F.unix_micros("_syn")) / 1000000)).drop("_syn", "_syn_ack")
+    shaken = F.coalesce(F.col("_syn_ack") >= F.col("_syn"), F.lit(False))
+    state = F.when(F.col("_closed").isNotNull() & ~F.coalesce(F.col("_closed") < F.col("_syn_ack"), F.lit(False)), "CLOSED").when(shaken | ~F.col("_began"), "ESTABLISHED").otherwise("SYN_SENT")
+    return out.withColumn("tcp_state", state).drop("_closed", "_began").withColumn("rtt", F.when(F.col("_syn_ack") >= F.col("_syn"), (F.unix_micros("_syn_ack") - F.unix_micros("_syn")) / 1000000)).drop("_syn", "_syn_ack")
 
 
 def top_talkers(packets: DataFrame, n: int = 10) -> DataFrame:

@@ -19,7 +19,7 @@ PATTERNS = {
     "eth": r"\b0x[a-fA-F0-9]{40}\b",
     "jwt": r"\beyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\b",
     "private_key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----",
-    "base64_executable": r"\bTV[qp]QAA[A-Za-z0-9+/=]{20,}",
+    "base64_executable": r"\b(?:TVqQAA[A-Za-z0-9+/=]{20,}|TVpQAA[A-Za-z0-9+/=]{20,})\b",
     "md5": r"\b[a-fA-F0-9]{32}\b",
     "sha1": r"\b[a-fA-F0-9]{40}\b",
     "sha256": r"\b[a-fA-F0-9]{64}\b",
@@ -56,6 +56,14 @@ def decoded_commands(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("command", decoded_wide(F.col("encoded")))
 
 
+def jwt_claims(token: Column) -> Column:
+    """The claims of a JSON web token, its middle part, as JSON text; null where it is none."""
+    middle = F.translate(F.get(F.split(token, r"\."), F.lit(1)), "-_", "+/")
+    padded = F.rpad(middle, (F.ceil(F.length(middle) / 4) * 4).cast("int"), F.lit("="))
+    claims = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    return F.when(F.get_json_object(claims, "$").isNotNull(), claims)
+
+
 def deduplicated(iocs: DataFrame, order: list[str], key: list[str] | None = None) -> DataFrame:
     """The first row, by order, of each kind and value; values without case and outer blanks."""
     norm = F.lower(F.trim("value"))
@@ -63,10 +71,17 @@ def deduplicated(iocs: DataFrame, order: list[str], key: list[str] | None = None
     return iocs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def shared(iocs: DataFrame, item: str, least: int = 2, shortest: int = 4) -> DataFrame:
-    """Values of at least four characters seen in at least two items, with the items. One aggregation, no self-join."""
+def shared(iocs: DataFrame, item: str, least: int = 2, shortest: int = 4, shown: int | None = None) -> DataFrame:
+    """Values of at least four characters seen in at least two items, with the items. One aggregation, no self-join.
+
+    A value that most items hold makes a long list; `shown` lists the first so many items only (their number counts all).
+    """
     value = F.lower(F.trim("value"))
     each = iocs.withColumn("value", value).filter(F.length("value") >= shortest).groupBy("ioc_type", "value", item).agg(F.count("*").alias("n"))
+    if shown:
+        each = each.withColumn("_n", F.row_number().over(Window.partitionBy("ioc_type", "value").orderBy(item))).withColumn("_shown", F.when(F.col("_n") <= shown, F.col(item)))
+        listed = F.array_join(F.sort_array(F.collect_list("_shown")), ",")
+        return each.groupBy("ioc_type", "value").agg(F.count(item).alias("items"), F.sum("n").alias("sightings"), listed.alias("seen_in")).filter(F.col("items") >= least)
     return each.groupBy("ioc_type", "value").agg(F.count(item).alias("items"), F.sum("n").alias("sightings"), F.array_join(F.sort_array(F.collect_list(item)), ",").alias("seen_in")).filter(F.col("items") >= least)
 
 

@@ -61,6 +61,27 @@ def dkim_tags(signature: Column) -> Column:
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(F.regexp_extract(p, r"=(.*)$", 1)).alias("v"))))
 
 
+def dkim_times(tags: Column) -> dict[str, Column]:
+    """Signing and expiry time of a DKIM signature's tags (t=, x=, seconds since 1970)."""
+    return {"signed": F.timestamp_seconds(tags["t"].try_cast("bigint")), "expires": F.timestamp_seconds(tags["x"].try_cast("bigint"))}
+
+
+def auth_flags(spf: Column, dkim: Column, dmarc_: Column, spf_aligned: Column, dkim_aligned: Column) -> Column:
+    """Flags of a message's authentication, DMARC's first. dkim: fail if any signature fails."""
+    none = lambda c: F.coalesce(c, F.lit("none")) == "none"
+    failed = dmarc_ == "fail"
+    nothing = none(spf) & none(dkim) & none(dmarc_)
+    passed = (spf == "pass") | (dkim == "pass")
+    found = F.array(
+        F.when(nothing, "NO_AUTH_HEADERS_FOUND"), F.when(failed, "SPOOFING_CRITICAL_DMARC_FAILED").when(dmarc_ == "pass", "DMARC_PASSED"),
+        F.when(spf == "fail", "SPF_HARD_FAIL").when(spf == "softfail", "SPF_SOFT_FAIL").when(spf == "pass", "SPF_PASSED"), F.when(dkim == "fail", "DKIM_SIGNATURE_VERIFICATION_FAILED").when(dkim == "pass", "DKIM_PASSED"),
+        F.when(failed & spf.isNotNull() & ~F.coalesce(spf_aligned, F.lit(False)), "SPF_ALIGNMENT_MISMATCH"), F.when(failed & dkim.isNotNull() & ~F.coalesce(dkim_aligned, F.lit(False)), "DKIM_ALIGNMENT_MISMATCH"),
+        F.when(~F.coalesce(dmarc_.isin("pass", "fail"), F.lit(False)) & (spf == "pass") & (dkim == "pass"), "SPF_AND_DKIM_PASSED"),
+        F.when(~nothing & ~F.coalesce(dmarc_.isin("pass", "fail") | passed, F.coalesce(passed, F.lit(False))), "UNVERIFIED_SENDER_AUTHENTICATION"),
+    )
+    return F.array_compact(found)
+
+
 def aligned(domain: Column, sender: Column, strict: bool = False) -> Column:
     return domain == sender if strict else registered_domain(domain) == registered_domain(sender)
 
@@ -104,6 +125,12 @@ def links(messages: DataFrame, key: str, html: str, text: str) -> DataFrame:
     return found.filter(~F.col("url").rlike(r"(?i)^(mailto|tel|javascript|data|cid|#|about):?")).distinct()
 
 
+def header_links(headers: DataFrame, key: str) -> DataFrame:
+    """url, origin of links in unsubscribe, archive, help and other headers (key, name, value)."""
+    found = F.regexp_extract_all("value", F.lit(r"(?i)\b(?:https?|ftp)://[^\s\"'<>]+"), F.lit(0))
+    return headers.select(key, F.explode(found).alias("url"), F.concat(F.lit("header:"), F.lower("name")).alias("origin")).distinct()
+
+
 def anchor_mismatch(url: Column, anchor: Column) -> Column:
     """The anchor's text names a host whose registered domain is not the link's."""
     shown = F.lower(F.regexp_extract(anchor, r"(?i)\b(?:https?://)?((?:[a-z0-9-]+\.)+[a-z]{2,})\b", 1))
@@ -135,12 +162,20 @@ def sender_indicators(messages: DataFrame, key: str, executives: DataFrame | Non
     found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in checks.items())), lambda x: x.isNotNull())
     out = messages.select(key, F.explode(found).alias("indicator"))
     people = messages.select(key, name.alias("_name"), F.lower("from_address").alias("_from"), sender.alias("_sender"))
-    if executives is not None:  # a dimension of protected people
-        who = executives.select(F.lower("name").alias("_vip"), F.lower("address").alias("_official"))
-        met = people.join(who, ((F.length("_name") > 0) & (F.contains(F.col("_name"), F.col("_vip")) | F.contains(F.col("_vip"), F.col("_name")))) & ~F.contains(F.col("_from"), F.col("_official")))
+    if executives is not None:
+        who = executives.select(F.lower("name").alias("_vip"), F.lower("address").alias("_official")).filter("_vip <> ''")
+        names = people.filter("_name <> ''").select("_name").distinct()
+        # One holds the other only if it holds the other's first three letters: both ways are joins on equal letters, once a name.
+        inner = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.col(c).substr(i, n))))))
+        a = names.withColumn("_g", inner("_name")).join(who.withColumn("_g", F.substring("_vip", 1, 3)), "_g").filter(F.contains("_name", "_vip"))
+        b = names.withColumn("_g", F.substring("_name", 1, 3)).join(who.withColumn("_g", inner("_vip")), "_g").filter(F.contains("_vip", "_name"))
+        pairs = a.unionByName(b).select("_name", "_official").distinct()
+        met = people.join(pairs, "_name").filter(~F.contains("_from", "_official"))
         out = out.unionByName(met.select(key, F.lit("VIP_IMPERSONATION").alias("indicator")).distinct())
-    if brands is not None:  # a dimension of brand words; the first by word counts
-        met = people.join(brands, F.expr("_name rlike concat('\\\\b', word, '\\\\b')") & ~F.contains(F.col("_sender"), F.col("word"))).groupBy(key).agg(F.min("word").alias("word"))
+    if brands is not None:  # the first by word counts; a brand can stand only where its first word does
+        words = people.select(key, "_name", "_sender", F.explode(F.array_distinct(F.regexp_extract_all("_name", F.lit(r"\w+"), F.lit(0)))).alias("_w"))
+        met = words.join(brands.withColumn("_w", F.regexp_extract("word", r"\w+", 0)), "_w").filter(F.expr(r"_name rlike concat(r'\b', word, r'\b')") & ~F.contains("_sender", "word"))
+        met = met.groupBy(key).agg(F.min("word").alias("word"))
         out = out.unionByName(met.select(key, F.lit("BRAND_DISPLAY_NAME_SPOOF").alias("indicator")))
     return out
 
@@ -164,14 +199,41 @@ def hidden_content(messages: DataFrame, key: str, html: str, text: str, least_co
     return messages.select(key, F.inline(F.concat(*arrays)))
 
 
-# Points of hidden content.
-HIDDEN_POINTS = {"ZERO_WIDTH": 30, "HTML_COMMENT": 15, "HIDDEN_ATTRIBUTE": 30, "HIDDEN_CSS": 30, "BASE64_TEXT": 15, "HEX_ESCAPES": 15, "PERCENT_ESCAPES": 10, "HTML_ENTITIES": 10}
+# Kinds of evidence that are encoded blobs.
+BLOBS = ["BASE64_TEXT", "HEX_ESCAPES", "PERCENT_ESCAPES", "HTML_ENTITIES"]
+
+
+def decoded_blobs(findings: DataFrame) -> DataFrame:
+    """Blobs of hidden_content's findings with their decoded text, its sha256, and what it holds: injection, script names, a link."""
+    b = findings.filter(F.col("kind").isin(BLOBS))
+    hexed = F.regexp_replace("evidence", r"(?i)\\x|%", "")
+    points = F.transform(F.regexp_extract_all("evidence", F.lit(r"&#(x?[0-9a-fA-F]+);"), F.lit(1)), lambda x: F.when(F.startswith(x, F.lit("x")), F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).try_cast("int"))
+    text = F.when(F.col("kind") == "BASE64_TEXT", decoded_base64(F.col("evidence"))).when(F.col("kind") == "HTML_ENTITIES", F.array_join(F.transform(points, lambda n: F.when(n < 256, F.char(n)).otherwise("?")), "")).otherwise(F.decode(F.unhex(hexed), "UTF-8"))
+    out = b.withColumn("decoded", F.coalesce(text, F.lit("")))
+    injection = reduce(lambda a, c: a | c, (F.col("decoded").rlike(p) for p in rules.PROMPT_INJECTION[4]))
+    return out.withColumns({
+        "sha256": F.sha2(F.col("decoded").cast("binary"), 256), "injection": injection, "scripts": rules.seen(F.col("decoded"), rules.SCRIPT_NAMES, rules.SCRIPT_PAYLOADS[4]),
+        "has_link": F.col("decoded").rlike(r"(?i)\b(?:https?|ftp)://"),
+    })
 
 
 def hidden_report(findings: DataFrame, key: str) -> DataFrame:
-    points = F.element_at(F.create_map(*(F.lit(x) for p in HIDDEN_POINTS.items() for x in p)), F.col("kind"))
-    out = findings.groupBy(key, "kind").agg(F.count("*").alias("n"), F.first(points).alias("p")).groupBy(key).agg(F.least(F.lit(100), F.sum("p")).cast("int").alias("score"), F.sum("n").alias("findings"))
-    return out.withColumn("verdict", F.when(F.col("score") >= 60, "MALICIOUS").when(F.col("score") >= 20, "SUSPICIOUS").otherwise("CLEAN"))
+    """Score and verdict per message of hidden_content's findings.
+
+    50 for an injection, 50 for a script, 30 for zero-width characters, 30 for 50 hidden characters or 15 for any, and for each blob
+    25 (suspicious), 15 (with a link) or 10; HIGH_RISK at 60, or with an injection or script; SUSPICIOUS with anything.
+    """
+    hidden = ~F.col("kind").isin(*BLOBS, "ZERO_WIDTH")
+    injection = reduce(lambda a, c: a | c, (F.col("evidence").rlike(p) for p in rules.PROMPT_INJECTION[4]))
+    plain = findings.filter(~F.col("kind").isin(BLOBS)).select(key, (F.col("kind") == "ZERO_WIDTH").alias("zero"), F.when(hidden, F.length("evidence")).otherwise(0).alias("chars"), (hidden & injection).alias("injection"), F.lit(False).alias("script"), F.lit(0).alias("points"), F.lit(0).alias("blob"))
+    b = decoded_blobs(findings)
+    odd = F.col("injection") | (F.size("scripts") > 0)
+    blobs = b.select(key, F.lit(False).alias("zero"), F.lit(0).alias("chars"), "injection", (F.size("scripts") > 0).alias("script"), F.when(odd, 25).when(F.col("has_link"), 15).otherwise(10).alias("points"), F.lit(1).alias("blob"))
+    out = plain.unionByName(blobs).groupBy(key).agg(F.bool_or("zero").alias("zero_width"), F.sum("chars").alias("hidden_chars"), F.bool_or("injection").alias("injection"), F.bool_or("script").alias("script"), F.sum("points").alias("_p"), F.sum("blob").alias("blobs"), F.count("*").alias("findings"))
+    score = F.when(F.col("injection"), 50).otherwise(0) + F.when(F.col("script"), 50).otherwise(0) + F.when(F.col("zero_width"), 30).otherwise(0) + F.when(F.col("hidden_chars") >= 50, 30).when(F.col("hidden_chars") > 0, 15).otherwise(0) + F.col("_p")
+    out = out.withColumn("score", F.least(F.lit(100), score).cast("int")).drop("_p")
+    some = (F.col("score") >= 20) | (F.col("hidden_chars") > 0) | F.col("zero_width") | (F.col("blobs") > 0)
+    return out.withColumn("verdict", F.when((F.col("score") >= 60) | F.col("injection") | F.col("script"), "HIGH_RISK").when(some, "SUSPICIOUS").otherwise("CLEAN"))
 
 
 def without_hidden(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Instructions that try to take over a model.
@@ -21,9 +21,12 @@ PROMPT_INJECTION = ("prompt_injection", "any", "HIGH", 30, [
 # Commands and script calls in text.
 SCRIPT_PAYLOADS = ("script_payload", "any", "HIGH", 30, [
     r"(?i)\bpowershell(?:\.exe)?\s+-[a-zA-Z]", r"(?i)\b(?:iex|invoke-expression)\s*\(", r"(?i)\bdownloadstring\s*\(", r"(?i)\bcmd(?:\.exe)?\s+/c\b", r"(?i)\bcertutil(?:\.exe)?\s+-urlcache\b",
-    r"(?i)\bbitsadmin(?:\.exe)?\s+/transfer\b", r"(?i)\beval\s*\(", r"(?i)<\s*script[^>]*>", r"(?i)\b(?:document|window)\.location\b",
+    r"(?i)\bbitsadmin(?:\.exe)?\s+/transfer\b", r"(?i)\beval\s*\(", r"(?i)<\s*script[^>]*>", r"(?i)\b(?:document|window)\.location\b", r"(?i)^MZ[\x00-\xff]{2,}",
 ])
 
+# Names of the script payloads, in the order of their patterns.
+SCRIPT_NAMES = ["POWERSHELL_CMD", "POWERSHELL_IEX", "POWERSHELL_DOWNLOAD", "CMD_EXEC", "CERTUTIL_DOWNLOAD", "BITSADMIN_DOWNLOAD", "JAVASCRIPT_EVAL", "JAVASCRIPT_SCRIPT_TAG", "DOCUMENT_LOCATION_REDIRECT", "EXECUTABLE_HEADER"]
+
 # Wordings of payment, payroll, gift card and urgency fraud.
 FRAUD_WORDING = [
     ("WIRE_TRANSFER_PAYMENT", "any", "HIGH", 20, [r"(?i)\bwire\s+transfer\b", r"(?i)\bbank\s+transfer\b", r"(?i)\bswift\s+(?:code|payment|transfer)\b", r"(?i)\bremittance\s+advice\b", r"(?i)\bupdated?\s+bank\s+(?:details|account|information)\b", r"(?i)\bnew\s+banking\s+details\b", r"(?i)\bpayment\s+instructions?\b", r"(?i)\brouting\s+number\b", r"(?i)\boverdue\s+invoice\s+payment\b", r"(?i)\bprocess\s+(?:this\s+)?payment\b"]),
@@ -48,6 +51,11 @@ def scan(df: DataFrame, rules: Sequence[Rule], text: str, keep: list[str]) -> Da
     return df.filter(value.rlike(some)).select(*keep, F.inline(found))
 
 
+def seen(text: Column, names: Sequence[str], patterns: Sequence[str]) -> Column:
+    """Names of the patterns that a text holds, in their order."""
+    return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in zip(names, patterns))))
+
+
 def attributed(hits: DataFrame, key: str, family: str = "rule") -> DataFrame:
     """Families and score per key: the highest score and 5 for each further family, 15 at most."""
     out = hits.groupBy(key).agg(F.countDistinct(family).alias("families"), F.max("score").alias("_max"))

@@ -34,6 +34,17 @@ def tagged(alerts: DataFrame, rows: DataFrame, by: str, seconds: int = 60) -> Da
     return met.filter(F.abs(F.unix_micros("ts") - F.unix_micros("alert_ts")) < seconds * 1000000).drop("_b")
 
 
+def chronological(timeline: DataFrame, *keys: str) -> DataFrame:
+    """All rows in order of time, rows without one last; for a final result or a file, as rows are dealt by ranges of time."""
+    return timeline.orderBy(F.col("ts").asc_nulls_last(), *(keys or ("source", "ref")))
+
+
+def previews(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows, by order, of each key."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
 def by_record(alerts: DataFrame, rows: DataFrame, record: str = "record_id") -> DataFrame:
     """Alerts with the rows whose ids they list (record_ids)."""
     return alerts.withColumn(record, F.explode("record_ids")).drop("record_ids").join(rows, record)

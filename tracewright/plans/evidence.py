@@ -1,0 +1,291 @@
+"""Sources and sinks as queries: evidence is built from rows of the given tables, written where needed, and read by the sources.
+
+Messages come from `conversations`, logs, audit exports and packets from `events`, DNS records from `pages`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import sinks
+from ..functions import domains, text, times
+from ..operators import auth_logs, cloud, custody, dns, enrich, flows, iocs, messages, posture, processes, risk, routes, rules, timeline
+from ..operators import files as triage
+from ..sources import logs, mail, packets
+from ..staging import folder
+from .catalogue import events, page_hosts, query, table
+
+
+def pick(values: list, n) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+
+
+def text_of(c) -> Column:
+    return F.col(c).cast("string")
+
+
+# Mail
+
+
+def _crlf(*lines) -> Column:
+    return F.concat(*(F.concat(x if not isinstance(x, str) else F.lit(x), F.lit("\r\n")) for x in lines))
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    """A message for each turn: plain, or with an HTML part and an attachment for odd turns."""
+    c = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    body = F.coalesce("text", F.lit(""))
+    head = [
+        F.concat(F.lit("From: Speaker "), "role", F.lit(" <"), "role", F.lit("@conv"), text_of("conv_id"), F.lit(".example.org>")), F.concat(F.lit("To: a@x.example, b"), text_of("turn"), F.lit("@y.example")),
+        F.concat(F.lit("Subject: Turn "), text_of("turn")), F.concat(F.lit("Message-ID: <"), text_of("conv_id"), F.lit("."), text_of("turn"), F.lit("@x>")), "Date: Mon, 01 Jan 2024 10:00:00 +0200",
+        F.concat(F.lit("Received: from a.example ([203.0.113."), (F.col("turn") % 250).cast("string"), F.lit("]) by b.example with ESMTPS id q1; Mon, 01 Jan 2024 08:00:"), F.lpad(text_of("turn"), 2, "0"), F.lit(" +0000")),
+        "Received: from c.example ([198.51.100.7]) by a.example with SMTP id q0; Mon, 01 Jan 2024 07:59:50 +0000", "X-Mailer: m", "ARC-Seal: i=1", "Authentication-Results: mx; spf=pass dkim=fail dmarc=none", "DKIM-Signature: v=1; d=x.example; s=s1; t=1704067200", "MIME-Version: 1.0",
+    ]
+    single = F.concat(_crlf(*head, "Content-Type: text/plain; charset=utf-8", "Content-Transfer-Encoding: 8bit", ""), body)
+    multi = F.concat(
+        _crlf(*head, 'Content-Type: multipart/mixed; boundary="=cut="', "", "--=cut=", "Content-Type: text/html; charset=utf-8", "Content-Transfer-Encoding: base64", "", F.base64(F.concat(F.lit("<p>"), body).cast("binary")), "--=cut=",
+              F.concat(F.lit('Content-Type: application/octet-stream; name="f'), text_of("turn"), F.lit('.exe"')), F.concat(F.lit('Content-Disposition: attachment; filename="f'), text_of("turn"), F.lit('.exe"')), "Content-Transfer-Encoding: base64", "", F.base64(body.cast("binary")), "--=cut=--"),
+    )
+    key = F.concat_ws("-", text_of("conv_id"), text_of("turn"))
+    return c.select(key.alias("message_key"), F.when(F.col("turn") % 2 == 0, single).otherwise(multi).cast("binary").alias("content"))
+
+
+@query
+def mail_messages(spark, sf_dir):
+    m = mail.parsed(_messages(spark, sf_dir))
+    return m.select("message_key", "message_id", "subject", "display_name", "from_address", F.array_join("to_addresses", "|").alias("to"), F.size("headers").alias("headers"), F.length("body_plain").alias("plain"), F.length("body_html").alias("html"), F.size("defects").alias("defects"))
+
+
+@query
+def mail_parts(spark, sf_dir):
+    p = mail.parts(mail.parsed(_messages(spark, sf_dir)))
+    return p.select("message_key", "index", "path", "depth", "parent", "content_type", "filename", "is_attachment", F.octet_length("content").alias("bytes"))
+
+
+@query
+def mail_headers(spark, sf_dir):
+    """Headers by kind, and the first of a name."""
+    m = mail.parsed(_messages(spark, sf_dir))
+    groups = messages.header_groups(F.col("headers"))
+    return m.select("message_key", *(F.size(g).alias(k) for k, g in groups.items()), messages.header(F.col("headers"), "x-mailer").alias("mailer"))
+
+
+@query
+def mailbox_messages(spark, sf_dir):
+    """Mailboxes written as text and split again."""
+    c = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^From ", ">From ")
+    entry = F.concat(F.lit("From a@x Mon Jan  1 00:00:00 2024\nSubject: "), text_of("conv_id"), F.lit("/"), text_of("turn"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), body)
+    path = folder(spark, "mailbox")
+    c.select(entry.alias("value")).write.text(path)
+    m = mail.read_mailbox(spark, path)
+    number = F.regexp_extract("message_key", "#([0-9]+)$", 1).cast("long")
+    one = m.groupBy(F.regexp_extract("message_key", "^(.*)#", 1).alias("file")).agg(F.count("*").alias("n"), F.countDistinct("message_key").alias("keys"), F.max(number).alias("last"))
+    numbered = one.agg(F.bool_and((F.col("n") == F.col("keys")) & (F.col("last") == F.col("n") - 1)).alias("numbered"))
+    return m.groupBy("subject").agg(F.count("*").alias("messages"), F.sum(F.length(F.rtrim("body_plain", F.lit("\n")))).alias("chars")).crossJoin(F.broadcast(numbered))
+
+
+@query
+def mail_formats(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    path = F.concat(F.lit("/e/"), text_of("page_id"), pick([".eml", ".mbox", ".bin", ".msg", ".txt"], F.col("page_id")))
+    content = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("From x\n"), "html")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("Subject: y\r\n"), "html")).otherwise(F.col("html")).cast("binary")
+    return p.select("page_id", mail.email_format(path, content).alias("kind"))
+
+
+@query
+def parsed_by_format(spark, sf_dir):
+    """Messages of two formats by a user's own table of parsers."""
+    m = _messages(spark, sf_dir).withColumn("path", F.when(F.col("message_key").endswith("0"), "/m.bin").otherwise("/m.eml"))
+    headless = m.withColumn("content", F.when(F.col("path") == "/m.bin", F.unhex(F.lit("00"))).otherwise(F.col("content")))
+    bare = lambda df: df.select("message_key", F.lit("unread").alias("subject"))
+    return mail.parsed_by_format(headless, {"eml": lambda df: mail.parsed(df).select("message_key", "subject"), "unknown": bare}).select("message_key", "subject")
+
+
+@query
+def evidence_kinds(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    path = F.concat(F.lit("/e/x"), pick([".eml", ".pcap", ".json", ".exe", ".dmp", ".evtx", ".csv", ".pdf"], F.col("page_id")))
+    content = F.when(F.col("page_id") % 16 < 8, F.concat(F.lit("{EventID: 1}"), "html")).otherwise(F.lit("a,b\n1,2")).cast("binary")
+    return p.select("page_id", mail.evidence_kind(path, content).alias("kind"))
+
+
+@query
+def received_hops(spark, sf_dir):
+    """Received headers, numbered from the last, with their clauses, delays and origins."""
+    h = mail.parsed(_messages(spark, sf_dir)).select("message_key", F.inline("headers")).filter("lower(name) = 'received'")
+    hops = routes.hop_delays(routes.parsed_received(routes.numbered(h)))
+    return hops.select("message_key", "hop", "from_host", "from_ip", "by_host", "protocol", "id", "ts", "delay")
+
+
+@query
+def clock_anomalies(spark, sf_dir):
+    h = mail.parsed(_messages(spark, sf_dir)).select("message_key", F.inline("headers")).filter("lower(name) = 'received'")
+    hops = routes.parsed_received(routes.numbered(h))
+    day = F.split("message_key", "-")[0].cast("int") % 4
+    m = hops.select("message_key").distinct().select("message_key", F.timestamp_seconds(F.lit(1704095990) - day * 50000).alias("date"), F.timestamp_seconds(F.lit(1704095990) - day * 100 - 400).alias("ingest_ts"))
+    return routes.clock_anomalies(m, hops).select("message_key", "drift", "future", "drifting")
+
+
+# Event logs
+
+
+def _event_rows(spark, sf_dir) -> DataFrame:
+    """Events as exported log records of eight kinds."""
+    e = events(spark, sf_dir)
+    n = F.col("event_id") % 12
+    kind = pick([1, 3, 7, 11, 4624, 4625, 4672, 4720, 4732, 7045, 4698, 1102], F.col("event_id"))
+    user = F.concat(F.lit("U"), text_of("user_id"))
+    task = F.concat(F.lit("<Task xmlns='x'><Exec><Command>"), pick(["mshta.exe", "C:\\Temp\\a.exe", "app.exe"], F.col("k")), F.lit("</Command><Arguments>/c a</Arguments></Exec><UserId>S-1</UserId></Task>"))
+    data = {
+        "ProcessGuid": F.concat(F.lit("g"), text_of("event_id")), "ProcessId": F.when(F.col("event_id") % 24 < 12, F.concat(F.lit("0x"), F.lower(F.hex("event_id")))).otherwise(text_of("event_id")), "ParentProcessGuid": F.concat(F.lit("g"), F.floor(F.col("event_id") / 2).cast("string")),
+        "Image": F.lit("C:\\a\\b.exe"), "CommandLine": F.concat(F.lit("b.exe <"), text_of("k"), F.lit("> & \"c\"")), "Hashes": F.concat(F.lit("MD5="), F.md5(text_of("k").cast("binary")), F.lit(",SHA256=00")),
+        "DestinationIp": F.concat(F.lit("203.0.113."), text_of("k")), "DestinationPort": F.lit("443"), "Initiated": F.when(F.col("k") % 2 == 0, "true").otherwise("false"), "Protocol": F.lit("TCP"),
+        "ImageLoaded": F.lit("C:\\x.dll"), "Signed": F.when(F.col("k") % 3 == 0, "True").otherwise("false"), "TargetFilename": F.concat(F.lit("C:\\t\\"), text_of("k")),
+        "TargetUserName": user, "IpAddress": F.when(F.col("k") % 5 == 0, "-").otherwise(text_of("k")), "LogonType": text_of("k"), "SubStatus": F.lit("0xC000006A"), "SubjectUserName": user, "PrivilegeList": F.lit("SeDebugPrivilege\t\tSeBackupPrivilege"), "MemberName": F.concat(F.lit("CN=M"), text_of("user_id")),
+        "ServiceName": F.lit("svc"), "ImagePath": F.when(n == 9, F.lit("powershell -enc AA")), "TaskName": F.lit("\\t"), "TaskContent": F.when(n == 10, task),
+    }
+    return e.select(kind.alias("kind"), "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), *(c.alias(k) for k, c in data.items()))
+
+
+_DATA = ["ProcessGuid", "ProcessId", "ParentProcessGuid", "Image", "CommandLine", "Hashes", "DestinationIp", "DestinationPort", "Initiated", "Protocol", "ImageLoaded", "Signed", "TargetFilename", "TargetUserName", "IpAddress", "LogonType", "SubStatus", "SubjectUserName", "PrivilegeList", "MemberName", "ServiceName", "ImagePath", "TaskName", "TaskContent"]
+
+
+def _json_log(spark, sf_dir, lines: bool = True) -> DataFrame:
+    r = _event_rows(spark, sf_dir)
+    record = F.struct(F.col("kind").alias("EventID"), F.col("event_id").alias("RecordId"), F.col("time").alias("TimeCreated"), F.lit("P").alias("Provider"), F.struct(*_DATA).alias("EventData"))
+    path = folder(spark, "log")
+    r.select(F.to_json(record).alias("value")).write.text(path)
+    return logs.read_event_json(spark, path, lines)
+
+
+@query
+def event_log_json(spark, sf_dir):
+    e = _json_log(spark, sf_dir)
+    return e.select("event_id", "record_id", "ts", "provider", F.size("data").alias("fields"))
+
+
+@query
+def event_log_envelopes(spark, sf_dir):
+    """A file that is a list, and one with an Events list."""
+    r = _event_rows(spark, sf_dir).filter("kind in (4624, 4625)").groupBy((F.col("event_id") % 2).alias("odd")).agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct(F.col("kind").alias("EventID"), F.col("event_id").alias("RecordId"))))), ",").alias("x"))
+    path = folder(spark, "log")
+    r.select(F.when(F.col("odd") == 0, F.concat(F.lit("["), "x", F.lit("]"))).otherwise(F.concat(F.lit('{"Events":['), "x", F.lit("]}"))).alias("value")).repartition(2, "value").write.option("maxRecordsPerFile", 1).text(path)
+    return logs.read_event_json(spark, path).select("event_id", "record_id")
+
+
+@query
+def event_log_xml(spark, sf_dir):
+    r = _event_rows(spark, sf_dir)
+    safe = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    named = F.concat(*(F.concat(F.lit(f'<Data Name="{k}">'), safe(k), F.lit("</Data>")) for k in ("ProcessGuid", "CommandLine", "TargetUserName")))
+    cleared = F.concat(F.lit("<UserData><LogFileCleared xmlns='y'><SubjectUserName>"), "SubjectUserName", F.lit("</SubjectUserName></LogFileCleared></UserData>"))
+    body = F.when(F.col("kind") == 1102, cleared).otherwise(F.concat(F.lit("<EventData>"), named, F.lit("</EventData>")))
+    system = F.concat(F.lit("<System><Provider Name='P'/><EventID Qualifiers='0'>"), text_of("kind"), F.lit("</EventID><TimeCreated SystemTime='"), "time", F.lit("'/><EventRecordID>"), text_of("event_id"), F.lit("</EventRecordID></System>"))
+    path = folder(spark, "log")
+    r.select(F.concat(F.lit("<Event xmlns='http://e'>"), system, body, F.lit("</Event>")).alias("value")).write.text(path)
+    e = logs.read_event_xml(spark, path)
+    return e.select("event_id", "record_id", "ts", "provider", F.col("data")["CommandLine"].alias("command"), F.col("data")["SubjectUserName"].alias("subject"))
+
+
+@query
+def process_log(spark, sf_dir):
+    p = logs.process_events(_json_log(spark, sf_dir))
+    return p.select("record_id", "ts", "guid", "pid", "parent_guid", "image", "command_line", F.col("hashes")["MD5"].alias("md5"))
+
+
+@query
+def process_parents(spark, sf_dir):
+    """Child to parent over exported process events, by guid."""
+    p = logs.process_events(_json_log(spark, sf_dir)).withColumn("host", F.lit("h")).withColumn("parent_pid", F.lit(None).cast("bigint"))
+    return processes.parents(p).select("guid", "parent")
+
+
+@query
+def process_activity(spark, sf_dir):
+    """Connections, module loads and files by processes, typed."""
+    e = _json_log(spark, sf_dir)
+    n = logs.network_events(e).select("record_id", F.lit("network").alias("kind"), "guid", "pid", F.concat_ws(":", "destination_ip", "destination_port").alias("target"), F.col("initiated").alias("flag"))
+    i = logs.image_loads(e).select("record_id", F.lit("image").alias("kind"), "guid", "pid", F.col("loaded").alias("target"), F.col("signed").alias("flag"))
+    f = logs.file_events(e).select("record_id", F.lit("file").alias("kind"), "guid", "pid", "target", F.lit(None).cast("boolean").alias("flag"))
+    return timeline.union(n, i, f)
+
+
+@query
+def security_log(spark, sf_dir):
+    """Logons, privileges, accounts and services by their typed readers, in one table."""
+    e = _json_log(spark, sf_dir)
+    one = lambda df, kind, user, detail: df.select("record_id", F.lit(kind).alias("kind"), user.alias("user"), detail.alias("detail"))
+    return timeline.union(
+        one(logs.logon_events(e), "logon", F.col("user"), F.concat_ws("|", text_of("success"), F.coalesce("source_ip", F.lit("none")), text_of("logon_type"), F.coalesce(auth_logs.named(F.col("sub_status"), auth_logs.FAILURES), F.lit("")))),
+        one(logs.privilege_events(e), "privileges", F.col("user"), F.array_join("privileges", "+")), one(logs.account_events(e), "account", F.col("user"), F.concat_ws("|", "action", "group")), one(logs.service_events(e), "service", F.col("account"), F.concat_ws("|", "kind", "name", "command")),
+    )
+
+
+@query
+def suspicious_tasks(spark, sf_dir):
+    t = logs.service_events(_json_log(spark, sf_dir)).filter("kind = 'task'")
+    return auth_logs.suspicious_commands(t, "command").select("record_id", "command", F.array_join("reasons", ",").alias("reasons"), "severity")
+
+
+@query
+def alert_rows(spark, sf_dir):
+    """Alerts with the rows that their record ids name."""
+    e = events(spark, sf_dir)
+    a = e.filter("event_type = 'error'").groupBy(F.col("user_id").alias("actor")).agg(F.slice(F.sort_array(F.collect_list("event_id")), 1, 3).alias("record_ids"))
+    return timeline.by_record(a, e.select(F.col("event_id").alias("record_id"), "k")).select("actor", "record_id", "k")
+
+
+# Cloud audit
+
+
+def _audit(spark, sf_dir) -> DataFrame:
+    """Audit records of five kinds, some nested in AuditData, read back from an export."""
+    e = events(spark, sf_dir)
+    user = F.concat(F.lit("u"), text_of("user_id"), F.lit("@corp.com"))
+    op = pick(["New-InboxRule", "Add-MailboxPermission", "Consent to application.", "assign_role", "UserLoggedIn"], F.col("event_id"))
+    p = lambda name, value: F.struct(F.lit(name).alias("Name"), value.alias("Value"))
+    parameters = F.array(
+        p("ForwardTo", pick(["x@evil.com; y@corp.com", "z@corp.com", ""], F.col("k"))), p("MoveToFolder", pick(["RSS Feeds", "Inbox"], F.col("k"))), p("DeleteMessage", F.when(F.col("k") % 3 == 0, "True").otherwise("False")), p("MarkAsRead", F.lit("false")),
+        p("AccessRights", pick(["FullAccess", "ReadPermission"], F.col("k"))), p("Trustee", pick(["a@notcorp.com", "b@corp.com"], F.col("user_id"))), p("Scope", pick(["Mail.Read offline_access", "openid"], F.col("k"))),
+    )
+    inner = F.struct(F.col("event_id").alias("Id"), op.alias("Operation"), user.alias("UserId"), F.concat(F.lit("[203.0.113."), text_of("k"), F.lit("]:80")).alias("ClientIP"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("CreationTime"), parameters.alias("Parameters"))
+    nested = F.to_json(F.struct(F.col("event_id").alias("Id"), F.to_json(inner).alias("AuditData")))
+    path = folder(spark, "audit")
+    e.select(F.when(F.col("event_id") % 2 == 0, F.to_json(inner)).otherwise(nested).alias("value")).write.text(path)
+    return logs.read_audit(spark, path).withColumn("event_id", F.get_json_object("raw", "$.Id").cast("long"))
+
+
+@query
+def audit_records(spark, sf_dir):
+    return cloud.typed(cloud.flattened(_audit(spark, sf_dir))).select("event_id", "kind", "op", "user", "client_ip", times.parsed_time(F.col("ts_text")).alias("ts"), "folder", "delete_message", "access", "trustee")
+
+
+@query
+def audit_alerts(spark, sf_dir):
+    return cloud.audit_rules(cloud.typed(cloud.flattened(_audit(spark, sf_dir))), ["event_id"])
+
+
+@query
+def external_forwards(spark, sf_dir):
+    return cloud.external_forwards(cloud.typed(cloud.flattened(_audit(spark, sf_dir))), ["event_id"])
+
+
+@query
+def audit_csv(spark, sf_dir):
+    path = folder(spark, "audit") + ".csv"
+    e = events(spark, sf_dir).select(F.col("event_type").alias("Operation"), F.concat(F.lit('{"UserId":"u'), text_of("user_id"), F.lit('","Id":'), text_of("event_id"), F.lit("}")).alias("AuditData"))
+    e.write.option("header", True).option("escape", '"').csv(path)
+    f = cloud.flattened(logs.read_audit(spark, path))
+    return f.select("op", "user", F.get_json_object(F.get_json_object("raw", "$.AuditData"), "$.Id").cast("long").alias("id"))
+
+
+@query
+def admin_events(spark, sf_dir):
+    """An activity with two events gives two rows, one without any gives one."""
+    e = events(spark, sf_dir)
+    par = F.array(F.struct(F.lit("p").alias("name"), text_of("k").alias("value")))
+    one = lambda n: F.struct(F.concat(F.col("event_type"), F.lit(n)).alias("name"), par.alias("parameters"))
+    a = e.select("event_id", F.when(F.col("k") % 3 == 0, F.array(one("1"), one("2"))).when(F.col("k") % 3 == 1, F.array(one("1"))).alias("events"))
+    return cloud.admin_events(a).select("event_id", "op", F.col("params")["p"].alias("p"))

@@ -1,0 +1,49 @@
+"""The queries of evidence.py in DuckDB SQL."""
+
+from __future__ import annotations
+
+from .sql import SQL, E, pick
+
+CONV = """c AS (SELECT *, coalesce(text, '') AS body, conv_id || '-' || turn AS message_key, turn % 2 = 1 AS multi FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"""
+SQL["mail_messages"] = rf"""WITH {CONV} SELECT message_key, '<' || conv_id || '.' || turn || '@x>' AS message_id, 'Turn ' || turn AS subject, 'Speaker ' || role AS display_name, role || '@conv' || conv_id || '.example.org' AS from_address, 'a@x.example|b' || turn || '@y.example' AS "to",
+  CASE WHEN multi THEN 13 ELSE 14 END AS headers, CASE WHEN NOT multi AND body <> '' THEN length(body) END AS plain, CASE WHEN multi THEN length(body) + 3 END AS html, 0 AS defects FROM c"""
+SQL["mail_parts"] = rf"""WITH {CONV} SELECT message_key, 0 AS index, '1' AS path, 0 AS depth, NULL AS parent, CASE WHEN multi THEN 'multipart/mixed' ELSE 'text/plain' END AS content_type, NULL AS filename, false AS is_attachment, CASE WHEN NOT multi THEN octet_length(encode(body)) END AS bytes FROM c
+  UNION ALL SELECT message_key, 1, '1.1', 1, '1', 'text/html', NULL, false, octet_length(encode(body)) + 3 FROM c WHERE multi
+  UNION ALL SELECT message_key, 2, '1.2', 1, '1', 'application/octet-stream', 'f' || turn || '.exe', true, octet_length(encode(body)) FROM c WHERE multi"""
+SQL["mail_headers"] = rf"""WITH {CONV} SELECT message_key, 2 AS received, 1 AS auth, 1 AS dkim, 1 AS arc, 1 AS x, CASE WHEN multi THEN 9 ELSE 10 END AS standard, 'm' AS mailer FROM c"""
+SQL["mailbox_messages"] = rf"""WITH {CONV} SELECT conv_id || '/' || turn AS subject, count(*) AS messages, sum(length(rtrim(regexp_replace(body, '(^|\n)From ', '\1>From ', 'g'), chr(10))))::BIGINT AS chars, true AS numbered FROM c GROUP BY 1"""
+SQL["mail_formats"] = """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'mbox' WHEN page_id % 5 = 0 OR page_id % 3 = 1 OR regexp_matches(substr(html, 1, 512), '(?im)^(received|from|to|subject|date|message-id|mime-version|return-path):') THEN 'eml' WHEN page_id % 5 = 1 THEN 'mbox' WHEN page_id % 5 = 3 THEN 'msg' ELSE 'unknown' END AS kind FROM pages"""
+SQL["parsed_by_format"] = rf"""WITH {CONV} SELECT message_key, CASE WHEN message_key LIKE '%0' THEN 'unread' ELSE 'Turn ' || turn END AS subject FROM c"""
+SQL["evidence_kinds"] = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'email' WHEN 1 THEN 'capture' WHEN 3 THEN 'binary' WHEN 4 THEN 'memory' WHEN 5 THEN 'log' WHEN 7 THEN 'document' ELSE CASE WHEN page_id % 16 < 8 THEN 'log' ELSE 'document' END END AS kind FROM pages"""
+SQL["received_hops"] = rf"""WITH {CONV} SELECT message_key, 1 AS hop, 'c.example' AS from_host, '198.51.100.7' AS from_ip, 'a.example' AS by_host, 'SMTP' AS protocol, 'q0' AS id, TIMESTAMP '2024-01-01 07:59:50' AS ts, NULL::DOUBLE AS delay FROM c
+  UNION ALL SELECT message_key, 2, 'a.example', '203.0.113.' || turn % 250, 'b.example', 'ESMTPS', 'q1', CASE WHEN turn < 60 THEN TIMESTAMP '2024-01-01 08:00:00' + to_seconds(turn) END, CASE WHEN turn < 60 THEN turn + 10.0 END FROM c"""
+SQL["clock_anomalies"] = rf"""WITH {CONV}, m AS (SELECT message_key, conv_id % 4 AS day FROM c), d AS (SELECT message_key, 1704095990 - day * 50000 AS date, 1704095990 - day * 100 - 400 AS ingest FROM m)
+  SELECT message_key, 1704095990.0 - date AS drift, date > ingest + 300 AS future, 1704095990 - date < -60 OR 1704095990 - date > 86400 AS drifting FROM (SELECT DISTINCT * FROM d)"""
+
+KINDS = "[1, 3, 7, 11, 4624, 4625, 4672, 4720, 4732, 7045, 4698, 1102]"
+LOG = rf"""{E}, r AS (SELECT *, {KINDS}[event_id % 12 + 1] AS kind, 'g' || event_id AS guid, 'U' || user_id AS who FROM e)"""
+SQL["event_log_json"] = rf"""WITH {LOG} SELECT kind AS event_id, event_id AS record_id, ts, 'P' AS provider, 28 - CASE WHEN kind = 7045 THEN 0 ELSE 1 END - CASE WHEN kind = 4698 THEN 0 ELSE 1 END AS fields FROM r"""
+SQL["event_log_envelopes"] = rf"""WITH {LOG} SELECT kind AS event_id, event_id AS record_id FROM r WHERE kind IN (4624, 4625)"""
+SQL["event_log_xml"] = rf"""WITH {LOG} SELECT kind AS event_id, event_id AS record_id, ts, 'P' AS provider, CASE WHEN kind <> 1102 THEN 'b.exe <' || k || '> & "c"' END AS command, CASE WHEN kind = 1102 THEN who END AS subject FROM r"""
+SQL["process_log"] = rf"""WITH {LOG} SELECT event_id AS record_id, ts, guid, event_id AS pid, 'g' || event_id // 2 AS parent_guid, 'C:\a\b.exe' AS image, 'b.exe <' || k || '> & "c"' AS command_line, md5(k::VARCHAR) AS md5 FROM r WHERE kind = 1"""
+SQL["process_parents"] = rf"""WITH {LOG}, p AS (SELECT event_id, guid, 'g' || event_id // 2 AS up FROM r WHERE kind = 1) SELECT a.guid, b.guid AS parent FROM p a LEFT JOIN p b ON a.up = b.guid AND a.guid <> b.guid"""
+SQL["process_activity"] = rf"""WITH {LOG} SELECT event_id AS record_id, CASE kind WHEN 3 THEN 'network' WHEN 7 THEN 'image' ELSE 'file' END AS kind, guid, event_id AS pid, CASE kind WHEN 3 THEN '203.0.113.' || k || ':443' WHEN 7 THEN 'C:\x.dll' ELSE 'C:\t\' || k END AS target,
+  CASE kind WHEN 3 THEN k % 2 = 0 WHEN 7 THEN k % 3 = 0 END AS flag FROM r WHERE kind IN (3, 7, 11)"""
+SQL["security_log"] = rf"""WITH {LOG} SELECT event_id AS record_id, 'logon' AS kind, who AS "user", CASE WHEN kind = 4624 THEN 'true' ELSE 'false' END || '|' || CASE WHEN k % 5 = 0 THEN 'none' ELSE k::VARCHAR END || '|' || k || '|Bad password' AS detail FROM r WHERE kind IN (4624, 4625)
+  UNION ALL SELECT event_id, 'privileges', who, 'SeDebugPrivilege+SeBackupPrivilege' FROM r WHERE kind = 4672
+  UNION ALL SELECT event_id, 'account', CASE WHEN kind = 4720 THEN who ELSE 'CN=M' || user_id END, CASE WHEN kind = 4720 THEN 'created' ELSE 'added|' || who END FROM r WHERE kind IN (4720, 4732)
+  UNION ALL SELECT event_id, 'service', CASE WHEN kind = 4698 THEN 'S-1' END, CASE WHEN kind = 7045 THEN 'service|svc|powershell -enc AA' ELSE 'task|svc|' || {pick(["mshta.exe", "C:\\Temp\\a.exe", "app.exe"], "k")} || ' /c a' END FROM r WHERE kind IN (7045, 4698)"""
+SQL["suspicious_tasks"] = rf"""WITH {LOG} SELECT event_id AS record_id, {pick(["mshta.exe", "C:\\Temp\\a.exe"], "k % 3")} || ' /c a' AS command, {pick(["exec keyword", "writable path"], "k % 3")} AS reasons, 'HIGH' AS severity FROM r WHERE kind = 4698 AND k % 3 < 2"""
+SQL["alert_rows"] = rf"""WITH {E}, n AS (SELECT user_id AS actor, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e WHERE event_type = 'error') SELECT actor::BIGINT AS actor, event_id AS record_id, e.k FROM n JOIN e USING (event_id) WHERE n <= 3"""
+
+AUDIT = rf"""{E}, a AS (SELECT *, {pick(["New-InboxRule", "Add-MailboxPermission", "Consent to application.", "assign_role", "UserLoggedIn"], "event_id")} AS op, {pick(["x@evil.com; y@corp.com", "z@corp.com", ""], "k")} AS fwd, {pick(["RSS Feeds", "Inbox"], "k")} AS folder,
+  {pick(["FullAccess", "ReadPermission"], "k")} AS access, {pick(["a@notcorp.com", "b@corp.com"], "user_id")} AS trustee FROM e)"""
+SQL["audit_records"] = rf"""WITH {AUDIT} SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'inbox_rule' WHEN 1 THEN 'delegation' WHEN 2 THEN 'consent' WHEN 4 THEN 'login' ELSE 'other' END AS kind, op, 'u' || user_id || '@corp.com' AS "user", '203.0.113.' || k AS client_ip, date_trunc('second', ts) AS ts, folder, k % 3 = 0 AS delete_message, access, trustee FROM a"""
+SQL["audit_alerts"] = rf"""WITH {AUDIT} SELECT event_id, 'EXTERNAL_FORWARDING' AS rule, 'CRITICAL' AS severity, 'T1114.003' AS mitre FROM a WHERE event_id % 5 = 0 AND k % 3 <> 2
+  UNION ALL SELECT event_id, 'EMAIL_HIDING_RULE', 'HIGH', 'T1564.008' FROM a WHERE event_id % 5 = 0 AND (k % 2 = 0 OR k % 3 = 0)
+  UNION ALL SELECT event_id, 'UNAUTHORIZED_MAILBOX_DELEGATION', 'HIGH', 'T1098.002' FROM a WHERE event_id % 5 = 1 AND (k % 2 = 0 OR user_id % 2 = 0)
+  UNION ALL SELECT event_id, 'HIGH_RISK_OAUTH_CONSENT', 'HIGH', 'T1528' FROM a WHERE event_id % 5 = 2 AND k % 2 = 0
+  UNION ALL SELECT event_id, 'SUSPICIOUS_ADMIN_ACTIVITY', 'HIGH', 'T1098' FROM a WHERE event_id % 5 = 3"""
+SQL["external_forwards"] = rf"""WITH {AUDIT} SELECT event_id, CASE k % 3 WHEN 0 THEN 'x@evil.com' ELSE 'z@corp.com' END AS target FROM a WHERE event_id % 5 = 0 AND k % 3 <> 2"""
+SQL["audit_csv"] = """SELECT event_type AS op, 'u' || user_id AS "user", event_id AS id FROM events"""
+SQL["admin_events"] = rf"""WITH {E} SELECT event_id, event_type || n AS op, k::VARCHAR AS p FROM e, (VALUES (1), (2)) t(n) WHERE (k % 3 = 0) OR (k % 3 = 1 AND n = 1) UNION ALL SELECT event_id, NULL, NULL FROM e WHERE k % 3 = 2"""

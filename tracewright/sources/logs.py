@@ -20,23 +20,30 @@ def _typed(rows: DataFrame, raw: str) -> DataFrame:
     )
 
 
-def read_event_json(spark: SparkSession, path: str) -> DataFrame:
-    """Lists, {"Events": [...]}, single objects, or one object a line."""
+def read_event_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Lists, {"Events": [...]}, single objects, or one object a line. A file is one row; with `lines` each line is one, and files are split."""
+    if lines:
+        return _typed(spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("raw")), "raw")
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
     many = F.coalesce(F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>"), F.from_json(F.get_json_object("value", "$.Events"), "array<string>"), F.filter(F.split("value", r"\r?\n(?=\s*\{\s*\")"), lambda x: F.length(F.trim(x)) > 0))
     return _typed(whole.select(F.explode(many).alias("raw")), "raw")
 
 
 def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
-    """<Event> blocks, with or without a namespace; System fields and named Data."""
-    block = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<Event\b.*?</Event>"), F.lit(0))).alias("raw"))
+    """<Event> blocks, with or without a namespace; System fields, named Data, and what UserData holds by its elements' names. Files are split where events end."""
+    block = spark.read.option("lineSep", "</Event>").text(path).select(F.regexp_extract("value", r"(?s)<Event\b.*$", 0).alias("raw")).filter("raw <> ''")
     one = lambda p: F.regexp_extract("raw", p, 1)
     plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
     data = F.regexp_extract_all("raw", F.lit(r"(?s)<Data\s+Name\s*=\s*[\"'][^\"']+[\"']\s*>.*?</Data>"), F.lit(0))
     pairs = F.transform(data, lambda d: F.struct(F.regexp_extract(d, r"Name\s*=\s*[\"']([^\"']+)", 1).alias("k"), plain(F.regexp_extract(d, r"(?s)>(.*)</Data>", 1)).alias("v")))
+    user = F.regexp_extract_all(F.regexp_extract("raw", r"(?s)<UserData\b[^>]*>(.*)</UserData>", 1), F.lit(r"<([\w:]+)(?:\s[^>]*)?>([^<]*)</"), F.lit(0))
+    own = F.transform(user, lambda d: F.struct(F.regexp_extract(d, r"^<(?:\w+:)?(\w+)", 1).alias("k"), plain(F.regexp_extract(d, r">([^<]*)</", 1)).alias("v")))
+    pairs = F.concat(pairs, own)
+    names = F.transform(pairs, lambda p: p["k"])
+    pairs = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
     return block.select(
         one(r"<EventID[^>]*>\s*(\d+)").try_cast("int").alias("event_id"), one(r"<EventRecordID[^>]*>\s*(\d+)").try_cast("bigint").alias("record_id"), F.try_to_timestamp(one(r"SystemTime\s*=\s*[\"']([^\"']+)")).alias("ts"),
-        F.nullif(one(r"<Provider\s[^>]*Name\s*=\s*[\"']([^\"']+)"), F.lit("")).alias("provider"), F.map_from_entries(F.array_distinct(pairs)).alias("data"),
+        F.nullif(one(r"<Provider\s[^>]*Name\s*=\s*[\"']([^\"']+)"), F.lit("")).alias("provider"), F.map_from_entries(pairs).alias("data"),
     )
 
 
@@ -65,6 +72,31 @@ def process_events(events: DataFrame) -> DataFrame:
     )
 
 
+def network_events(events: DataFrame) -> DataFrame:
+    """Connections of processes (event 3); initiated as a boolean."""
+    d = lambda k: F.col("data")[k]
+    return events.filter("event_id = 3").select("record_id", "ts", d("ProcessGuid").alias("guid"), numbers(d("ProcessId")).alias("pid"), d("Image").alias("image"), F.lower(d("Protocol")).alias("protocol"), d("SourceIp").alias("source_ip"), numbers(d("SourcePort")).alias("source_port"), d("DestinationIp").alias("destination_ip"), numbers(d("DestinationPort")).alias("destination_port"), d("DestinationHostname").alias("destination_host"), (F.lower(d("Initiated")) == "true").alias("initiated"))
+
+
+def image_loads(events: DataFrame) -> DataFrame:
+    """Modules that processes load (event 7); signed as a boolean, hashes as a map."""
+    d = lambda k: F.col("data")[k]
+    return events.filter("event_id = 7").select("record_id", "ts", d("ProcessGuid").alias("guid"), numbers(d("ProcessId")).alias("pid"), d("Image").alias("image"), d("ImageLoaded").alias("loaded"), (F.lower(d("Signed")) == "true").alias("signed"), d("Signature").alias("signature"), F.str_to_map(F.coalesce(d("Hashes"), F.lit("")), F.lit(","), F.lit("=")).alias("hashes"))
+
+
+def file_events(events: DataFrame) -> DataFrame:
+    """Files that processes create (event 11)."""
+    d = lambda k: F.col("data")[k]
+    return events.filter("event_id = 11").select("record_id", "ts", d("ProcessGuid").alias("guid"), numbers(d("ProcessId")).alias("pid"), d("Image").alias("image"), d("TargetFilename").alias("target"), F.try_to_timestamp(d("CreationUtcTime")).alias("created"))
+
+
+def privilege_events(events: DataFrame) -> DataFrame:
+    """Special privileges given to a logon (4672), listed."""
+    d = lambda k: F.col("data")[k]
+    listed = F.filter(F.split(F.coalesce(d("PrivilegeList"), F.lit("")), r"[\s,]+"), lambda x: x != "")
+    return events.filter("event_id = 4672").select("record_id", "ts", d("SubjectUserName").alias("user"), d("SubjectLogonId").alias("logon_id"), listed.alias("privileges"))
+
+
 def logon_events(events: DataFrame) -> DataFrame:
     """Logons: 4624 success, 4625 failure."""
     d = lambda k: F.col("data")[k]
@@ -104,18 +136,9 @@ def read_watchlist(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def posture(records: DataFrame) -> DataFrame:
-    """Per name its SPF, DMARC and MX records, from DNS rows (name, rtype, value) instead of live queries."""
-    txt = F.upper("rtype") == "TXT"
-    return records.groupBy("name").agg(
-        F.sort_array(F.collect_list(F.when(txt & F.lower("value").startswith("v=spf1"), F.col("value")))).alias("spf"),
-        F.sort_array(F.collect_list(F.when(txt & F.lower("value").startswith("v=dmarc1"), F.col("value")))).alias("dmarc"),
-        F.sort_array(F.collect_list(F.when(F.upper("rtype") == "MX", F.lower("value")))).alias("mx"),
-    )
-
-
-def posture_score(p: DataFrame) -> DataFrame:
-    """Weakness points: no SPF 35, several 40, no DMARC 35, DMARC none 25, no MX 10; tier at 75, 50, 25 and 5."""
-    policy = F.lower(F.regexp_extract(F.get("dmarc", F.lit(0)), r"(?i)\bp\s*=\s*(\w+)", 1))
-    score = F.when(F.size("spf") == 0, 35).when(F.size("spf") > 1, 40).otherwise(0) + F.when(F.size("dmarc") == 0, 35).when(policy == "none", 25).otherwise(0) + F.when(F.size("mx") == 0, 10).otherwise(0)
-    out = p.withColumn("score", F.least(F.lit(100), score))
-    return out.withColumn("tier", F.when(F.col("score") >= 75, "CRITICAL").when(F.col("score") >= 50, "HIGH").when(F.col("score") >= 25, "MEDIUM").when(F.col("score") >= 5, "LOW").otherwise("CLEAN"))
+    """Per name its SPF, DMARC and BIMI texts (of the name itself, of _dmarc. and default._bimi. under it), MX and addresses, from DNS rows (name, rtype, value) instead of live queries."""
+    kind, value = F.upper("rtype"), F.lower("value")
+    owner = F.regexp_replace(F.lower("name"), r"^(_dmarc|default\._bimi)\.", "")
+    listed = lambda when: F.sort_array(F.collect_set(F.when(when, F.col("value"))))
+    text = lambda start: listed((kind == "TXT") & value.startswith(start))
+    return records.groupBy(owner.alias("name")).agg(text("v=spf1").alias("spf"), text("v=dmarc1").alias("dmarc"), text("v=bimi1").alias("bimi"), F.sort_array(F.collect_set(F.when(kind == "MX", value))).alias("mx"), F.count_if(kind.isin("A", "AAAA")).alias("addresses"))

@@ -7,16 +7,17 @@ from __future__ import annotations
 
 import email
 import email.policy
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MESSAGES = (
     "message_key string, message_id string, date_raw string, subject string, display_name string, from_address string, to_addresses array<string>, cc_addresses array<string>, reply_to string, return_path string, "
     "headers array<struct<pos:int,name:string,value:string>>, body_plain string, body_html string, "
-    "parts array<struct<index:int,path:string,depth:int,parent:string,content_type:string,filename:string,is_attachment:boolean,content:binary>>"
+    "parts array<struct<index:int,path:string,depth:int,parent:string,content_type:string,filename:string,is_attachment:boolean,content:binary>>, defects array<string>"
 )
 
 
@@ -52,9 +53,17 @@ def _row(key: str, raw: bytes) -> dict:
         "to_addresses": people("To"), "cc_addresses": people("Cc"), "reply_to": first("Reply-To"), "return_path": first("Return-Path"),
         "headers": [{"pos": i, "name": n, "value": str(v)} for i, (n, v) in enumerate(m.items())], "body_plain": body("text/plain"), "body_html": body("text/html"),
         "parts": [{"index": i, "path": path, "depth": depth, "parent": parent, "content_type": p.get_content_type(), "filename": name, "is_attachment": attached, "content": None if p.is_multipart() else p.get_payload(decode=True)} for i, (p, path, depth, parent, name, attached) in enumerate(found)],
+        "defects": sorted({type(d).__name__ for p, *_ in found for d in p.defects}),
     }
 
 
+def parsed_by_format(raw: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]], path: str = "path") -> DataFrame:
+    """Messages from rows (path, message_key, content) of mixed formats: each format's rows go to its parser, those of formats without one are left out. A parser is any function from (message_key, content) to messages."""
+    kind = raw.withColumn("_format", email_format(F.col(path), F.col("content")))
+    one = [parser(kind.filter(F.col("_format") == name).select("message_key", "content")) for name, parser in parsers.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one)
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """Messages from rows (message_key, content binary)."""
     schema = raw.sparkSession.createDataFrame([], MESSAGES).schema
@@ -77,12 +86,19 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of mailboxes, split where a line begins with `From ` by Spark's splittable text reader."""
-    rows = spark.read.option("lineSep", "\nFrom ").text(path).withColumn("_file", F.input_file_name())
+    """Messages of mailboxes, split where a line begins with `From ` by Spark's splittable text reader.
+
+    A message's key is its file and its number there. Numbers are counts of the blocks before and places within
+    the block, so a mailbox of many blocks is numbered without gathering it.
+    """
+    rows = spark.read.option("lineSep", "\nFrom ").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")
+    rows = rows.join(blocks.withColumn("_before", before), ["_file", "_block"])
     entry = F.regexp_replace("value", r"^(From )?[^\n]*\n", "")  # the envelope line
+    number = F.col("_before") + F.col("_at") - F.col("_first")
     rows = rows.filter(F.length(F.trim("value")) > 0)
-    key = F.concat_ws("#", "_file", F.sha2(F.col("value").cast("binary"), 256))
-    return parsed(rows.select(key.alias("message_key"), entry.cast("binary").alias("content")))
+    return parsed(rows.select(F.concat_ws("#", "_file", number.cast("string")).alias("message_key"), entry.cast("binary").alias("content")))
 
 
 def parts(messages: DataFrame) -> DataFrame:

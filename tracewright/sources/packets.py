@@ -29,20 +29,35 @@ def _classic(raw: bytes) -> Iterator[tuple]:
         at += 16 + cap
 
 
+def _tick(raw: bytes, at: int, end: int, order: str) -> float:
+    """Microseconds of an interface's time unit: option 9 is a power of ten, or of two with its high bit; a microsecond without it."""
+    while at + 4 <= end:
+        code, size = struct.unpack_from(order + "HH", raw, at)
+        if code == 9 and size:
+            n = raw[at + 4]
+            return 1e6 / (2 ** (n & 0x7F) if n & 0x80 else 10**n)
+        if code == 0:
+            break
+        at += 4 + (size + 3) // 4 * 4
+    return 1.0
+
+
 def _blocks(raw: bytes) -> Iterator[tuple]:
-    at, order, links, n = 0, "<", [], 0
+    at, order, links, ticks, n = 0, "<", [], [], 0
     while at + 12 <= len(raw):
         if raw[at : at + 4] == b"\x0a\x0d\x0d\x0a":
             order, links = ("<" if raw[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
+            ticks = []
         kind, size = struct.unpack_from(order + "II", raw, at)
         if size < 12 or at + size > len(raw):
             return
         if kind == 1:
             links.append(struct.unpack_from(order + "H", raw, at + 8)[0])
+            ticks.append(_tick(raw, at + 16, at + size - 4, order))
         elif kind == 6:
             iface, high, low, cap, wire = struct.unpack_from(order + "IIIII", raw, at + 8)
             n += 1
-            yield n, (high << 32) + low, links[iface] if iface < len(links) else 1, wire, raw[at + 28 : at + 28 + cap]
+            yield n, round(((high << 32) + low) * (ticks[iface] if iface < len(ticks) else 1.0)), links[iface] if iface < len(links) else 1, wire, raw[at + 28 : at + 28 + cap]
         elif kind == 3:
             wire = struct.unpack_from(order + "I", raw, at + 8)[0]
             n += 1
@@ -50,8 +65,8 @@ def _blocks(raw: bytes) -> Iterator[tuple]:
         at += size
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """One row a frame; a task per capture file. Files that are no captures give none."""
+def frames(captures: DataFrame) -> DataFrame:
+    """One row a frame of captures (path, content); content that is no capture gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -68,7 +83,12 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, FRAMES)
+    return captures.select("path", "content").mapInArrow(run, FRAMES)
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """One row a frame of capture files."""
+    return frames(spark.read.format("binaryFile").load(path))
 
 
 def _number(frame: Column, at: Column, size: int) -> Column:
@@ -80,22 +100,28 @@ def _address(frame: Column, at: Column) -> Column:
 
 
 def decoded(frames: DataFrame) -> DataFrame:
-    """packets: Ethernet with or without a VLAN tag, or cooked capture; IPv4; TCP flags, UDP and ICMP; the payload behind them."""
+    """packets: Ethernet with or without a VLAN tag, or cooked capture; IPv4, IPv6 (addresses in full form, no extension headers), ARP; TCP flags, UDP and ICMP; the payload behind them."""
     frame = F.col("frame")
     tagged = (F.col("link") == 1) & (_number(frame, F.lit(12), 2) == 0x8100)
     at = F.when(F.col("link") == 113, 16).when(F.col("link") == 101, 0).when(tagged, 18).otherwise(14)
     p = frames.withColumn("_ip", at)
     ip = F.col("_ip")
     v4 = (_number(frame, ip, 1).bitwiseAND(F.lit(0xF0)) == 0x40)
-    p = p.withColumn("_l4", F.when(v4, ip + _number(frame, ip, 1).bitwiseAND(F.lit(0x0F)) * 4).cast("int")).withColumn("protocol", F.when(v4, _number(frame, ip + 9, 1)))
+    arp = (F.col("link") == 1) & (_number(frame, ip - 2, 2) == 0x0806)
+    v6 = ~arp & (_number(frame, ip, 1).bitwiseAND(F.lit(0xF0)) == 0x60)
+    v4 = ~arp & v4
+    start = F.when(v4, ip + _number(frame, ip, 1).bitwiseAND(F.lit(0x0F)) * 4).when(v6, ip + 40)
+    p = p.withColumn("_l4", start.cast("int")).withColumn("protocol", F.when(v4, _number(frame, ip + 9, 1)).when(v6, _number(frame, ip + 6, 1)))
+    wide = lambda at: F.concat_ws(":", *(F.lower(F.hex(frame.substr(at + 1 + 2 * i, F.lit(2)))) for i in range(8)))
+    end = lambda four, six, hw: F.when(v4, _address(frame, ip + four)).when(v6, wide(ip + six)).when(arp, _address(frame, ip + hw))
     l4, proto = F.col("_l4"), F.col("protocol")
     flags = _number(frame, l4 + 13, 1)
     names = F.filter(F.array(*(F.when(flags.bitwiseAND(F.lit(1 << i)) > 0, n) for i, n in enumerate(("FIN", "SYN", "RST", "PSH", "ACK", "URG")))), lambda x: x.isNotNull())
     has_ports = proto.isin(6, 17)
     body = F.when(proto == 6, l4 + F.shiftright(_number(frame, l4 + 12, 1), 4) * 4).when(proto == 17, l4 + 8)
     return p.select(
-        "path", "packet_num", F.timestamp_micros("ts_micros").alias("ts"), "wire_len", F.when(proto == 6, "TCP").when(proto == 17, "UDP").when(proto == 1, "ICMP").alias("transport"),
-        F.when(v4, _address(frame, ip + 12)).alias("src"), F.when(has_ports, _number(frame, l4, 2)).cast("int").alias("src_port"), F.when(v4, _address(frame, ip + 16)).alias("dst"), F.when(has_ports, _number(frame, l4 + 2, 2)).cast("int").alias("dst_port"),
+        "path", "packet_num", F.timestamp_micros("ts_micros").alias("ts"), "wire_len", F.when(proto == 6, "TCP").when(proto == 17, "UDP").when(proto.isin(1, 58), "ICMP").when(arp, "ARP").alias("transport"),
+        end(12, 8, 14).alias("src"), F.when(has_ports, _number(frame, l4, 2)).cast("int").alias("src_port"), end(16, 24, 24).alias("dst"), F.when(has_ports, _number(frame, l4 + 2, 2)).cast("int").alias("dst_port"),
         F.when(proto == 6, names).otherwise(F.array().cast("array<string>")).alias("flags"), F.when(has_ports, frame.substr(body.cast("int") + 1, F.length(frame))).alias("payload"),
     )
 
@@ -171,39 +197,89 @@ def dns_records(packets: DataFrame) -> DataFrame:
 
 
 def http_requests(packets: DataFrame) -> DataFrame:
-    """Method, target, host, user agent and status of plain HTTP payloads."""
+    """Method, target, host, user agent, status, headers (names in lower case, the first of each) and the first 256 characters of the body of plain HTTP payloads."""
     text = F.decode("payload", "ISO-8859-1")
     head = F.substring_index(text, "\r\n\r\n", 1)
     one = lambda p: F.nullif(F.regexp_extract(head, p, 1), F.lit(""))
+    lines = F.filter(F.split(head, "\r\n"), lambda x: x.rlike(r"^[A-Za-z0-9-]+:"))
+    names = F.transform(lines, lambda x: F.lower(F.substring_index(x, ":", 1)))
+    entries = F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, "(?s)^[^:]*:(.*)$", 1)).alias("v")))
+    headers = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["k"]) == i + 1))
     return packets.filter(text.rlike(r"^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) |^HTTP/1\.")).select(
-        "path", "packet_num", "ts", one(r"^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) ").alias("method"), one(r"^\w+ (\S+) HTTP/").alias("target"), F.lower(one(r"(?im)^host:\s*(\S+)")).alias("host"),
-        one(r"(?im)^user-agent:\s*([^\r\n]*)").alias("user_agent"), one(r"^HTTP/1\.\d (\d{3})").try_cast("int").alias("status"), F.substring(F.regexp_extract(text, r"(?s)\r\n\r\n(.*)$", 1), 1, 256).alias("body"),
+        "path", "packet_num", "ts", one(r"^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) ").alias("method"), one(r"^\w+ (\S+) HTTP/").alias("target"), F.lower(headers["host"]).alias("host"),
+        headers["user-agent"].alias("user_agent"), one(r"^HTTP/1\.\d (\d{3})").try_cast("int").alias("status"), headers.alias("headers"), F.substring(F.regexp_extract(text, r"(?s)\r\n\r\n(.*)$", 1), 1, 256).alias("body"),
     )
 
 
-def tls_server_name(packets: DataFrame) -> DataFrame:
-    """packets with sni: the name in a TLS client hello, read behind its extension header (type 0)."""
-    hello = F.hex(F.substring("payload", 1, 6)).rlike("^1603..")
-    name = F.regexp_extract(F.hex("payload"), r"^1603(?:..)+?0000(?:....)(?:....)00(?:....)((?:[2-7][0-9A-F])+)", 1)
-    return packets.withColumn("sni", F.when(hello & (name != ""), F.lower(F.decode(F.unhex(name), "US-ASCII"))))
+# Names of TLS versions.
+TLS_VERSIONS = {0x0300: "SSL 3.0", 0x0301: "TLS 1.0", 0x0302: "TLS 1.1", 0x0303: "TLS 1.2", 0x0304: "TLS 1.3"}
+
+HELLO = "sni string, version int, ciphers array<int>, extensions array<int>, supported array<string>"
+
+
+def client_hello(raw: bytes) -> tuple | None:
+    """sni, version, ciphers, extensions and supported versions of a TLS client hello; None where it is none or cut off before its extensions."""
+    try:
+        if raw[0] != 22 or raw[5] != 1:
+            return None
+        version, at = struct.unpack_from(">H", raw, 9)[0], 43
+        at += 1 + raw[at]
+        size = struct.unpack_from(">H", raw, at)[0] // 2
+        ciphers = struct.unpack_from(f">{size}H", raw, at + 2)
+        at += 2 + 2 * size
+        at += 1 + raw[at]
+        kinds, name, supported = [], None, []
+        end = min(len(raw), at + 2 + struct.unpack_from(">H", raw, at)[0]) if at + 2 <= len(raw) else at
+        at += 2
+        while at + 4 <= end:
+            kind, size = struct.unpack_from(">HH", raw, at)
+            body = raw[at + 4 : at + 4 + size]
+            kinds.append(kind)
+            if kind == 0 and size >= 5 and len(body) == size and body[2] == 0:
+                name = body[5 : 5 + struct.unpack_from(">H", body, 3)[0]].decode("latin-1")
+            elif kind == 43 and size >= 2 and len(body) == size:
+                supported = [TLS_VERSIONS.get(v, f"0x{v:04X}") for v in struct.unpack_from(f">{body[0] // 2}H", body, 1)]
+            at += 4 + size
+    except (IndexError, struct.error):
+        return None
+    return name, version, list(ciphers), kinds, supported
+
+
+def tls_hellos(packets: DataFrame) -> DataFrame:
+    """path, packet_num, ts with the client hellos of packets and their JA3 text (version, ciphers, extensions; curves and formats are left empty) and its md5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+        for batch in batches:
+            found = [(i, h) for i, v in enumerate(batch.column("payload")) if (h := client_hello(v.as_py() or b""))]
+            if found:
+                kept = batch.select(["path", "packet_num", "ts"]).take(pa.array([i for i, _ in found], pa.int64()))
+                columns = [pa.array(c, k) for c, k in zip(zip(*(h for _, h in found)), kinds)]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=[*kept.schema.names, "sni", "version", "ciphers", "extensions", "supported"])
+
+    some = packets.filter(F.hex(F.substring("payload", 1, 6)).rlike("^1603......01"))
+    out = some.select("path", "packet_num", "ts", "payload").mapInArrow(run, "path string, packet_num long, ts timestamp, " + HELLO)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "-")
+    ja3 = F.concat_ws(",", F.col("version").cast("string"), listed("ciphers"), listed("extensions"), F.lit(""), F.lit(""))
+    return out.withColumn("ja3", ja3).withColumn("ja3_md5", F.md5(F.col("ja3").cast("binary")))
 
 
 def cleartext_credentials(payloads: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """protocol, username, masked secret of credentials in clear text: HTTP Basic and Bearer, FTP, Telnet, mail."""
+    """protocol, username, masked secret of every credential in clear text: HTTP Basic and Bearer, FTP and POP3, IMAP, Telnet, SMTP PLAIN and LOGIN."""
     from ..functions.text import decoded_base64, masked
 
     value = F.col(text)
-    basic = decoded_base64(F.regexp_extract(value, r"(?i)authorization:\s*basic\s+([A-Za-z0-9+/=]+)", 1))
-    one = lambda p, g=1: F.nullif(F.regexp_extract(value, p, g), F.lit(""))
+    every = lambda p, g=1: F.regexp_extract_all(value, F.lit(p), F.lit(g))
+    none = F.lit(None).cast("string")
     row = lambda protocol, user, secret: F.struct(F.lit(protocol).alias("protocol"), user.alias("username"), secret.alias("secret"))
-    rows = F.filter(
-        F.array(
-            row("HTTP_BASIC", F.substring_index(basic, ":", 1), F.nullif(F.regexp_extract(basic, "(?s)^[^:]*:(.*)$", 1), F.lit(""))),
-            row("HTTP_BEARER", F.lit(None).cast("string"), one(r"(?i)authorization:\s*bearer\s+(\S+)")),
-            row("FTP_OR_POP3", one(r"(?im)^USER\s+(\S+)"), one(r"(?im)^PASS\s+(\S+)")),
-            row("IMAP", one(r"(?im)^\S+\s+LOGIN\s+\"?([^\s\"]+)"), one(r"(?im)^\S+\s+LOGIN\s+\"?[^\s\"]+\"?\s+\"?([^\s\"]+)")),
-            row("TELNET", one(r"(?im)^login:\s*(\S+)"), one(r"(?im)^password:\s*(\S+)")),
-        ),
-        lambda x: x["secret"].isNotNull(),
-    )
-    return payloads.select(*keep, F.inline(rows)).withColumn("secret", masked(F.col("secret")))
+    both = lambda protocol, users, secrets: F.zip_with(users, F.slice(secrets, 1, F.greatest(F.size(users), F.lit(1))), lambda u, s: row(protocol, u, s))
+    basic = F.transform(F.transform(every(r"(?i)authorization:\s*basic\s+([A-Za-z0-9+/=]+)"), decoded_base64), lambda d: row("HTTP_BASIC", F.substring_index(d, ":", 1), F.nullif(F.regexp_extract(d, "(?s)^[^:]*:(.*)$", 1), F.lit(""))))
+    plain = F.transform(F.transform(every(r"(?im)^AUTH PLAIN\s+([A-Za-z0-9+/=]+)"), decoded_base64), lambda d: row("SMTP_PLAIN", F.regexp_extract(d, r"^[^\x00]*\x00([^\x00]*)\x00", 1), F.nullif(F.regexp_extract(d, r"\x00([^\x00]*)$", 1), F.lit(""))))
+    login = r"(?im)^AUTH LOGIN\s*\r?\n([A-Za-z0-9+/=]+)\r?\n([A-Za-z0-9+/=]+)"
+    imap = r"(?im)^\S+\s+LOGIN\s+\"?([^\s\"]+)\"?\s+\"?([^\s\"]+)"
+    rows = F.concat(
+        basic, F.transform(every(r"(?i)authorization:\s*bearer\s+(\S+)"), lambda t: row("HTTP_BEARER", none, t)), both("FTP_OR_POP3", every(r"(?im)^USER\s+(\S+)"), every(r"(?im)^PASS\s+(\S+)")),
+        both("IMAP", every(imap), every(imap, 2)), both("TELNET", every(r"(?im)^login:\s*(\S+)"), every(r"(?im)^password:\s*(\S+)")),
+        plain, both("SMTP_LOGIN", F.transform(every(login), decoded_base64), F.transform(every(login, 2), decoded_base64)),
+    )
+    return payloads.select(*keep, F.inline(F.filter(rows, lambda x: x["secret"].isNotNull()))).withColumn("secret", masked(F.col("secret")))
