@@ -165,7 +165,7 @@ def test_hidden_content(spark):
     df = spark.createDataFrame([("m", '<p style="display:none">x</p><!-- a long enough comment --><a href="http://evil.com">http://bank.com</a>', "ig​nore")], "k string, html string, text string")
     kinds = {r["kind"] for r in messages.hidden_content(df, "k", "html", "text").collect()}
     assert kinds == {"HIDDEN_CSS", "HTML_COMMENT", "ZERO_WIDTH"}
-    assert messages.hidden_report(messages.hidden_content(df, "k", "html", "text"), "k").first()["score"] == 75
+    assert messages.hidden_report(messages.hidden_content(df, "k", "html", "text"), "k").first()["score"] == 45  # 30 for zero-width characters, 15 for 46 hidden ones
     r = messages.link_report(messages.links(df, "k", "html", "text"), "k").first()
     assert (r["links"], r["flags"], r["score"]) == (1, ["ANCHOR_URL_MISMATCH"], 40)
     clean = spark.range(1).select(messages.sanitised_html(F.lit('<b onclick="x()">a</b><script>y</script><a href="javascript:z">q</a>'))).first()[0]
@@ -330,3 +330,78 @@ def test_hidden_content_is_whole(spark, tmp_path):
     assert {(r["doc_id"], r["n"]) for r in catalogue.encoded_blobs(spark, str(tmp_path)).collect()} == {(0, 6400), (1, len(blob))}
     spark.createDataFrame([(1, f"<p><!--{comment}-->")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [(r["comments"], r["longest"]) for r in catalogue.html_comments(spark, str(tmp_path)).collect()] == [(1, len(comment))]
+
+
+def test_depths_of_long_chains_and_cycles(spark):
+    n = 1500
+    rows = [(i, i - 1 if i else None) for i in range(n)] + [(5001, 5002), (5002, 5001), (5003, 5001)]
+    got = {r["node"]: r["depth"] for r in processes.depths(spark.createDataFrame(rows, "node long, parent long")).collect()}
+    assert all(got[i] == i for i in range(n)) and [got[i] for i in (5001, 5002, 5003)] == [None] * 3
+
+
+def test_drained_keeps_keys_of_all_batches(spark, tmp_path):
+    rows = [(T0 + timedelta(minutes=i), f"a{i % 3}") for i in range(30)]
+    src = tmp_path / "in"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 10 : part * 10 + 10], "ts timestamp, apex string").coalesce(1).write.mode("append").parquet(str(src))
+    s = spark.readStream.schema("ts timestamp, apex string").option("maxFilesPerTrigger", 1).parquet(str(src))
+    counts = s.groupBy("apex").count()
+    for mode, keys in (("complete", None), ("update", ["apex"])):
+        got = streaming.drained(counts, mode, str(tmp_path / f"cp-{mode}"), str(tmp_path / f"out-{mode}"), keys).collect()
+        assert {r["apex"]: r["count"] for r in got} == {"a0": 10, "a1": 10, "a2": 10}
+    empty = streaming.drained(counts.filter("count > 99"), "complete", str(tmp_path / "cp-none"), str(tmp_path / "out-none"))
+    assert empty.count() == 0 and empty.columns == ["apex", "count"]
+
+
+def test_equal_messages_of_a_mailbox_keep_their_own_keys(spark, tmp_path):
+    one = "From a@x Mon Jan  1 00:00:00 2024\nSubject: same\n\nbody\n"
+    (tmp_path / "box").write_text(one * 3)
+    keys = [r["message_key"] for r in mail.read_mailbox(spark, str(tmp_path / "box")).collect()]
+    assert sorted(k.rpartition("#")[2] for k in keys) == ["0", "1", "2"]
+
+
+def test_defects_of_broken_mail(spark):
+    raw = spark.createDataFrame([("k", bytearray(b"Subject: x\nContent-Type: multipart/mixed\n\nno boundary"))], "message_key string, content binary")
+    assert mail.parsed(raw).first()["defects"]
+
+
+def test_time_units_of_capture_interfaces():
+    head = struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28)
+
+    def interface(option):
+        body = struct.pack("<HHI", 1, 0, 65535) + option
+        return struct.pack("<II", 1, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+
+    def packet(iface, ticks):
+        body = struct.pack("<IIIII", iface, ticks >> 32, ticks & 0xFFFFFFFF, 4, 4) + b"abcd"
+        return struct.pack("<II", 6, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+
+    nano, halves = struct.pack("<HHBxxx", 9, 1, 9) + struct.pack("<HH", 0, 0), struct.pack("<HHBxxx", 9, 1, 0x81) + struct.pack("<HH", 0, 0)
+    raw = head + interface(b"") + interface(nano) + interface(halves) + packet(0, 5_000_000) + packet(1, 7_000_000_000) + packet(2, 9)
+    assert [row[1] for row in packets._blocks(raw)] == [5_000_000, 7_000_000, 4_500_000]
+
+
+def test_hellos_cut_off_are_none():
+    assert packets.client_hello(b"") is None and packets.client_hello(b"\x16\x03\x01\x00\x05\x01\x00\x00") is None
+
+
+def test_running_sums_and_places(spark):
+    from tracewright.functions import arrays
+
+    text_ = "ab12cd3456 é789" * 40
+    got = spark.createDataFrame([(text_,)], "t string").select(arrays.matches(F.col("t"), "[0-9]{2,}")).first()[0]
+    assert [(r["start"], r["value"]) for r in got] == [(m.start(), m[0]) for m in re.finditer("[0-9]{2,}", text_)]
+
+
+def test_best_and_all_lookalikes(spark):
+    names = spark.createDataFrame([("paypal.com",), ("paypa1.com",), ("payal.net",), ("my-paypal-paypol.org",)], "name string")
+    ours = spark.createDataFrame([("paypal.com",), ("paypol.com",)], "target string")
+    every = {(r["name"], r["target"], r["kind"]) for r in enrich.lookalikes(names, ours, best=False).collect()}
+    assert ("my-paypal-paypol.org", "paypol.com", "COMBOSQUAT") in every and ("my-paypal-paypol.org", "paypal.com", "COMBOSQUAT") in every and not any(n == "paypal.com" for n, _, _ in every)
+    assert ("payal.net", "paypal.com", "TYPOSQUAT") in every
+
+
+def test_vendor_patterns_of_all_shapes(spark):
+    mx = spark.createDataFrame([("a", "mx1.google.com"), ("b", "in-3.mail.b.net"), ("c", "exact.c.org"), ("d", "none.d")], "name string, mx string")
+    patterns = spark.createDataFrame([("G", "*.google.com"), ("B", "in-*.mail.*"), ("C", "exact.c.org")], "vendor string, pattern string")
+    assert {r["name"]: r["vendor"] for r in enrich.vendors(mx, patterns).collect()} == {"a": "G", "b": "B", "c": "C", "d": None}

@@ -70,6 +70,29 @@ def tld(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+def unicode_name(name: Column) -> Column:
+    """A host with its punycode labels decoded."""
+    return F.when(F.contains(name, F.lit("xn--")), F.java_method(F.lit("java.net.IDN"), F.lit("toUnicode"), name)).otherwise(name)
+
+
+def ascii_name(name: Column) -> Column:
+    """A host with labels beyond ASCII in punycode."""
+    return F.when(name.rlike(r"[^\x00-\x7F]"), F.java_method(F.lit("java.net.IDN"), F.lit("toASCII"), name)).otherwise(name)
+
+
+def targets(target: Column) -> dict[str, Column]:
+    """domain, username, is_email, registered, tld, punycode and unicode of an address, a URL or a name."""
+    bare = F.trim(target)
+    bare = F.when(F.contains(bare, F.lit("://")), F.regexp_extract(bare, r"^[^:]+://([^/?#]*)", 1)).otherwise(bare)
+    inner = F.regexp_extract(bare, r"<([^<>]+)>", 1)
+    bare = F.when(inner != "", inner).otherwise(bare)
+    mail = F.contains(bare, F.lit("@"))
+    name = F.lower(F.trim(F.when(mail, F.substring_index(bare, "@", -1)).otherwise(F.substring_index(bare, "/", 1))))
+    name = F.regexp_replace(F.regexp_replace(name, r":\d+$", ""), r"\.+$", "")
+    ascii_ = ascii_name(name)
+    return {"domain": ascii_, "username": F.when(mail, F.trim(F.substring_index(bare, "@", 1))), "is_email": mail, "registered": registered_domain(ascii_), "tld": tld(ascii_), "punycode": F.contains(ascii_, F.lit("xn--")), "unicode": unicode_name(ascii_)}
+
+
 def defanged(url: Column) -> Column:
     """hxxp for http, and bracketed dots in the host alone."""
     head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import matches
+
 # Instructions that try to take over a model.
 PROMPT_INJECTION = ("prompt_injection", "any", "HIGH", 30, [
     r"(?i)\bignore\s+(?:all\s+)?previous\s+instructions\b", r"(?i)\bdisregard\s+(?:all\s+)?prior\s+(?:instructions|prompts)\b", r"(?i)\bsystem\s+prompt\s*:\s*",
@@ -56,6 +58,19 @@ def seen(text: Column, names: Sequence[str], patterns: Sequence[str]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in zip(names, patterns))))
 
 
+def located(df: DataFrame, rules: Sequence[Rule], text: str, keep: list[str]) -> DataFrame:
+    """keep, rule, pattern, offset, value of every match of rules that hit; offsets of a chunk that tells its own (chunk_off) count from the image's start, and a match that overlapping chunks share comes once."""
+    value = F.col(text)
+    base = F.col("chunk_off") if "chunk_off" in df.columns else F.lit(0).cast("long")
+
+    def one(name: str, n: int, p: str) -> Column:
+        return F.transform(matches(value, p), lambda m: F.struct(F.lit(name).alias("rule"), F.lit(n).alias("pattern"), (base + m["start"]).alias("offset"), m["value"].alias("value")))
+
+    found = [one(name, n, p) for name, _, _, _, patterns in rules for n, p in enumerate(patterns)]
+    some = "|".join(f"(?:{p})" for _, _, _, _, patterns in rules for p in patterns)
+    return df.filter(value.rlike(some)).select(*keep, F.inline(F.concat(*found))).distinct()
+
+
 def attributed(hits: DataFrame, key: str, family: str = "rule") -> DataFrame:
     """Families and score per key: the highest score and 5 for each further family, 15 at most."""
     out = hits.groupBy(key).agg(F.countDistinct(family).alias("families"), F.max("score").alias("_max"))

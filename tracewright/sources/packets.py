@@ -276,7 +276,7 @@ def cleartext_credentials(payloads: DataFrame, text: str, keep: list[str]) -> Da
     basic = F.transform(F.transform(every(r"(?i)authorization:\s*basic\s+([A-Za-z0-9+/=]+)"), decoded_base64), lambda d: row("HTTP_BASIC", F.substring_index(d, ":", 1), F.nullif(F.regexp_extract(d, "(?s)^[^:]*:(.*)$", 1), F.lit(""))))
     plain = F.transform(F.transform(every(r"(?im)^AUTH PLAIN\s+([A-Za-z0-9+/=]+)"), decoded_base64), lambda d: row("SMTP_PLAIN", F.regexp_extract(d, r"^[^\x00]*\x00([^\x00]*)\x00", 1), F.nullif(F.regexp_extract(d, r"\x00([^\x00]*)$", 1), F.lit(""))))
     login = r"(?im)^AUTH LOGIN\s*\r?\n([A-Za-z0-9+/=]+)\r?\n([A-Za-z0-9+/=]+)"
-    imap = r"(?im)^\S+\s+LOGIN\s+\"?([^\s\"]+)\"?\s+\"?([^\s\"]+)"
+    imap = r"(?im)^(?!AUTH )\S+ +LOGIN +\"?([^\s\"]+)\"? +\"?([^\s\"]+)"
     rows = F.concat(
         basic, F.transform(every(r"(?i)authorization:\s*bearer\s+(\S+)"), lambda t: row("HTTP_BEARER", none, t)), both("FTP_OR_POP3", every(r"(?im)^USER\s+(\S+)"), every(r"(?im)^PASS\s+(\S+)")),
         both("IMAP", every(imap), every(imap, 2)), both("TELNET", every(r"(?im)^login:\s*(\S+)"), every(r"(?im)^password:\s*(\S+)")),
