@@ -49,6 +49,16 @@ def fast_flux(answers: DataFrame, servers: DataFrame | None = None) -> DataFrame
     return out.withColumn("flux", F.when(F.col("name_servers") >= 3, "DOUBLE_FLUX").otherwise("SINGLE_FLUX")).withColumn("severity", F.when(F.col("name_servers") >= 3, "CRITICAL").otherwise("HIGH"))
 
 
+def flux_lists(answers: DataFrame, servers: DataFrame, most_ips: int = 15, most_servers: int = 10) -> DataFrame:
+    """Per domain its first addresses and name servers, so many at most; only these are gathered."""
+
+    def first(df: DataFrame, value: str, n: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("domain").orderBy(value))
+        return df.select("domain", value).filter(F.col(value).isNotNull()).distinct().withColumn("_n", place).filter(F.col("_n") <= n).groupBy("domain").agg(F.sort_array(F.collect_list(value)).alias(f"{value}_list"))
+
+    return first(answers, "ip", most_ips).join(first(servers, "ns", most_servers), "domain", "left")
+
+
 def intervals(events: DataFrame, key: str = "apex") -> DataFrame:
     """Seconds between successive events of a key; those of 0.05 s or less are bursts and left out."""
     w = Window.partitionBy(key).orderBy("ts")

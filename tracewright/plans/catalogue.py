@@ -212,9 +212,9 @@ def process_depth(spark, sf_dir):
     return processes.depths(e.select(F.col("event_id").alias("node"), F.when(F.col("event_id") > 1, F.floor(F.col("event_id") / 2)).alias("parent")))
 
 
-_IMAGES = ["C:\\Windows\\cmd.exe", "C:\\Windows\\System32\\certutil.exe", "powershell.exe", "C:\\Tools\\notepad.exe", "rundll32.exe", "vssadmin.exe", "mshta.exe"]
-_PARENTS = ["C:\\Office\\WINWORD.EXE", "w3wp.exe", "explorer.exe", "services.exe"]
-_COMMANDS = ["run /c dir", "-urlcache http://x", "-enc AAAA", "delete shadows /all", "comsvcs.dll minidump lsass"]
+_IMAGES = ["C:\\Windows\\cmd.exe", "C:\\Windows\\System32\\certutil.exe", "powershell.exe", "C:\\Tools\\notepad.exe", "rundll32.exe", "vssadmin.exe", "mshta.exe", "regsvr32.exe", "bitsadmin.exe", "wmic.exe", "wbadmin.exe", "bcdedit.exe", "procdump64.exe", "whoami.exe", "bash.exe"]
+_PARENTS = ["C:\\Office\\WINWORD.EXE", "w3wp.exe", "explorer.exe", "services.exe", "spoolsv.exe", "java.exe", "EXCEL.EXE"]
+_COMMANDS = ["run /c dir", "-urlcache http://x", "-enc AAAA", "delete shadows /all", "comsvcs.dll minidump lsass", "javascript:alert(1)", "/s /u /i:http://x scrobj.dll", "/transfer job http://x y", "shadowcopy delete", "delete catalog -quiet", "/set {default} recoveryenabled no", "-ep bypass iex(1)", "url.dll,openurl"]
 
 
 @query

@@ -13,7 +13,7 @@ from ..functions import domains, text, times
 from ..operators import auth_logs, cloud, custody, dns, enrich, flows, iocs, messages, posture, processes, risk, routes, rules, timeline
 from ..operators import files as triage
 from ..sources import logs, mail, packets
-from ..staging import folder
+from ..staging import folder, staged
 from .catalogue import events, page_hosts, query, table
 
 
@@ -850,3 +850,51 @@ def log_times(spark, sf_dir):
     forms = F.array(iso, mail_, F.unix_seconds("s").cast("string"), (F.unix_seconds("s") * 1000).cast("string"))
     parsed = F.transform(forms, times.parsed_time)
     return e.select("event_id", times.from_filetime(ticks).alias("filetime"), *(parsed[i].alias(n) for i, n in enumerate(("iso", "mail", "seconds", "millis"))))
+
+
+@query
+def flux_lists(spark, sf_dir):
+    """At most 15 addresses and 10 name servers of each domain."""
+    d = table(spark, sf_dir, "documents")
+    a = iocs.extract(d, "text", [F.col("source").alias("domain")], ["ipv4"]).select("domain", F.col("value").alias("ip"))
+    ns = d.select(F.col("source").alias("domain"), F.concat(F.lit("ns"), F.lpad(text_of("doc_id"), 7, "0")).alias("ns"))
+    f = dns.flux_lists(a, ns)
+    return f.select("domain", F.array_join("ip_list", ",").alias("ips"), F.array_join("ns_list", ",").alias("servers"))
+
+
+@query
+def message_links(spark, sf_dir):
+    """Links of all origins: anchors, sources, actions and text."""
+    p = table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    html = F.concat(F.lit('<img src="http://i.example/'), text_of("page_id"), F.lit('.png"><form action="https://f.example/p"></form><a href="mailto:x@y">m</a><a href="http://a.example/'), (n % 7).cast("string"), F.lit('"> A <b>b</b></a>'))
+    plain = F.concat(F.lit("see "), "url", F.lit(", or (ftp://t.example/x)."))
+    return messages.links(p.select("page_id", html.alias("html"), plain.alias("text")), "page_id", "html", "text")
+
+
+@query
+def case_timeline(spark, sf_dir):
+    """A timeline of five sources."""
+    row = lambda df, entity, ts, source, ref: df.select(entity.cast("string").alias("entity"), ts.alias("ts"), F.lit(source).alias("source"), ref.cast("string").alias("ref"))
+    e, o, li, c, p = (events(spark, sf_dir), *(table(spark, sf_dir, t) for t in ("orders", "lineitem", "conversations", "pages")))
+    return timeline.union(
+        row(e, F.col("user_id"), F.col("ts"), "log", F.col("event_id")), row(o, F.col("o_custkey"), F.col("o_orderdate").cast("timestamp"), "mail", F.col("o_orderkey")), row(li, F.col("l_suppkey"), F.col("l_shipdate").cast("timestamp"), "capture", F.col("l_orderkey")),
+        row(c, F.col("conv_id"), F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")), "chat", F.col("turn")), row(p, F.col("page_id"), F.timestamp_seconds(F.col("page_id")), "web", F.col("page_id")),
+    )
+
+
+@query
+def message_triage(spark, sf_dir):
+    """Messages parsed, judged by authentication, attachments, links and hidden content, and scored as one risk."""
+    m = staged(mail.parsed(_messages(spark, sf_dir)).select("message_key", "headers", "body_plain", "body_html", "parts"), "messages")
+    body = F.concat_ws("\n", "body_plain", "body_html")
+    named = lambda df, vector, found: df.select("message_key", F.lit(vector).alias("vector"), F.explode(F.array_compact(F.array(*(F.when(c, k) for k, c in found.items())))).alias("factor"))
+    auth = messages.authentication(messages.header(F.col("headers"), "authentication-results"))
+    parts = mail.parts(m).filter("is_attachment").withColumn("kind", triage.file_type(F.col("content")))
+    urls = m.select("message_key", F.explode(F.regexp_extract_all(body, F.lit(r"(?i)\bhttps?://[^\s\"'<>]+"), F.lit(0))).alias("url"))
+    findings = timeline.union(
+        named(m, "AUTHENTICATION", {"SPF_FAIL": auth["spf"] == "fail", "DKIM_INVALID": auth["dkim"] == "fail", "DMARC_FAIL": auth["dmarc"] == "fail"}), named(parts, "ATTACHMENT_MALWARE", triage.name_flags(F.col("filename"), F.col("kind"))),
+        named(urls, "PHISHING_URL", {k: c for k, _, c in domains.url_flags(F.col("url"))}), named(m, "OBFUSCATION_TRANSIT", {"ZERO_WIDTH": text.zero_width_count(body) > 0}),
+    )
+    scored = risk.totals(risk.vector_scores(risk.factors(findings.withColumn("confidence", F.lit(None).cast("double")), "message_key"), "message_key"), "message_key")
+    return scored.select("message_key", "score", "level")

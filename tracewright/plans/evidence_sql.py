@@ -180,3 +180,11 @@ SQL["byte_entropies"] = r"""WITH b AS (SELECT page_id, unnest(regexp_extract_all
 SQL["file_types"] = f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'exe' ELSE CASE WHEN regexp_full_match(substr(hex(encode(html)), 1, 1024), {PRINTABLE}) THEN 'text' ELSE 'unknown' END END AS kind FROM pages"""
 SQL["encoded_blobs"] = f"""WITH t AS (SELECT doc_id, text || chr(10) || base64(encode(text)) AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-z0-9+/]{{24,}}={{0,2}}')) AS b FROM t)
   SELECT doc_id, length(b) AS n FROM b WHERE CASE WHEN length(b) % 4 = 0 THEN regexp_full_match(hex(from_base64(b)), {PRINTABLE}) ELSE false END"""
+
+SQL["flux_lists"] = rf"""WITH {IPS}, a AS (SELECT DISTINCT source AS domain, ip FROM ips JOIN documents USING (doc_id)), i AS (SELECT domain, array_to_string(list_slice(list(ip ORDER BY ip), 1, 15), ',') AS ips FROM a GROUP BY 1),
+  n AS (SELECT source AS domain, array_to_string(list_slice(list('ns' || lpad(doc_id::VARCHAR, 7, '0') ORDER BY lpad(doc_id::VARCHAR, 7, '0')), 1, 10), ',') AS servers FROM documents GROUP BY 1) SELECT i.domain, ips, servers FROM i LEFT JOIN n USING (domain) WHERE i.domain IS NOT NULL"""
+SQL["message_links"] = """SELECT page_id, 'http://i.example/' || page_id || '.png' AS url, 'src' AS origin, NULL AS anchor FROM pages UNION ALL SELECT page_id, 'https://f.example/p', 'action', NULL FROM pages UNION ALL SELECT page_id, 'http://a.example/' || page_id % 7, 'a', 'A b' FROM pages
+  UNION ALL SELECT page_id, regexp_replace(url, '[.,;:!?)\\]}]+$', ''), 'text', NULL FROM pages UNION ALL SELECT page_id, 'ftp://t.example/x', 'text', NULL FROM pages"""
+SQL["case_timeline"] = """SELECT user_id::VARCHAR AS entity, ts, 'log' AS source, event_id::VARCHAR AS ref FROM events UNION ALL SELECT o_custkey::VARCHAR, o_orderdate, 'mail', o_orderkey::VARCHAR FROM orders UNION ALL SELECT l_suppkey::VARCHAR, l_shipdate, 'capture', l_orderkey::VARCHAR FROM lineitem
+  UNION ALL SELECT conv_id::VARCHAR, make_timestamp((conv_id * 60 + turn) * 1000000), 'chat', turn::VARCHAR FROM conversations UNION ALL SELECT page_id::VARCHAR, make_timestamp(page_id * 1000000), 'web', page_id::VARCHAR FROM pages"""
+SQL["message_triage"] = f"""WITH {CONV} SELECT message_key, CASE WHEN multi THEN 25.0 ELSE 10.0 END AS score, CASE WHEN multi THEN 'SUSPICIOUS_LOW' ELSE 'CLEAN' END AS level FROM c"""

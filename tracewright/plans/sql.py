@@ -96,15 +96,15 @@ SQL["asof_parent"] = f"SELECT event_id, user_id, {ASOF} AS parent FROM events p
 SQL["event_attach_fallback"] = f"SELECT event_id, user_id, coalesce({ASOF}, (SELECT arg_min(s.event_id, (s.ts, s.event_id)) FROM events s WHERE s.event_type = 'signup' AND s.user_id = p.user_id)) AS process FROM events p WHERE event_type = 'view'"
 SQL["process_depth"] = "SELECT event_id AS node, floor(log2(event_id) + 1e-9)::INT AS depth FROM events WHERE event_id > 0"
 _NAME = "lower(regexp_extract({0}, '([^\\\\/]*)$', 1))"
-_IMG = ["C:\\Windows\\cmd.exe", "C:\\Windows\\System32\\certutil.exe", "powershell.exe", "C:\\Tools\\notepad.exe", "rundll32.exe", "vssadmin.exe", "mshta.exe"]
-_PAR = ["C:\\Office\\WINWORD.EXE", "w3wp.exe", "explorer.exe", "services.exe"]
-_CMD = ["run /c dir", "-urlcache http://x", "-enc AAAA", "delete shadows /all", "comsvcs.dll minidump lsass"]
+_IMG = ["C:\\Windows\\cmd.exe", "C:\\Windows\\System32\\certutil.exe", "powershell.exe", "C:\\Tools\\notepad.exe", "rundll32.exe", "vssadmin.exe", "mshta.exe", "regsvr32.exe", "bitsadmin.exe", "wmic.exe", "wbadmin.exe", "bcdedit.exe", "procdump64.exe", "whoami.exe", "bash.exe"]
+_PAR = ["C:\\Office\\WINWORD.EXE", "w3wp.exe", "explorer.exe", "services.exe", "spoolsv.exe", "java.exe", "EXCEL.EXE"]
+_CMD = ["run /c dir", "-urlcache http://x", "-enc AAAA", "delete shadows /all", "comsvcs.dll minidump lsass", "javascript:alert(1)", "/s /u /i:http://x scrobj.dll", "/transfer job http://x y", "shadowcopy delete", "delete catalog -quiet", "/set {default} recoveryenabled no", "-ep bypass iex(1)", "url.dll,openurl"]
 _RULES = [
     ("OFFICE_MACRO_SPAWN", "CRITICAL", "T1204.002", f"p IN ({words(processes.OFFICE_PARENTS)}) AND (n IN ({words(processes.SHELLS)}) OR {any_of('n', ['cmd', 'powershell', 'wscript', 'cscript', 'mshta', 'certutil'])})"),
     ("WEB_SHELL_SPAWN", "CRITICAL", "T1505.003", f"p IN ({words(processes.WEB_PARENTS)}) AND (n IN ({words(processes.SHELLS)}) OR {any_of('n', ['cmd', 'powershell', 'whoami', 'net', 'bash', 'sh'])})"),
     ("SUSPICIOUS_SERVICE_SPAWN", "CRITICAL", "T1059", f"p IN ({words(processes.SERVICE_PARENTS)}) AND n IN ('cmd.exe', 'powershell.exe', 'pwsh.exe')"),
     *((f"LOLBAS_{t.upper()}", s, m, f"contains(n, '{t}') AND {any_of('c', w)}") for t, s, m, w in processes.TOOL_RULES),
-    ("SHADOW_COPY_DELETION", "CRITICAL", "T1490", "contains(n, 'vssadmin') AND contains(c, 'delete') AND contains(c, 'shadows')"),
+    ("SHADOW_COPY_DELETION", "CRITICAL", "T1490", "(contains(n, 'vssadmin') AND contains(c, 'delete') AND contains(c, 'shadows')) OR (contains(n, 'wmic') AND contains(c, 'shadowcopy') AND contains(c, 'delete')) OR (contains(n, 'wbadmin') AND contains(c, 'delete')) OR (contains(n, 'bcdedit') AND contains(c, 'recoveryenabled') AND contains(c, 'no'))"),
     ("ENCODED_COMMAND", "HIGH", "T1059.001", f"{any_of('n', ['powershell', 'pwsh'])} AND {any_of('c', processes.ENCODED_FLAGS)}"),
     ("CREDENTIAL_DUMPING", "CRITICAL", "T1003", f"{any_of('c', processes.DUMP_WORDS)} AND {any_of('n', processes.DUMP_TOOLS)}"),
 ]

@@ -124,14 +124,28 @@ def read_hash_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(line).alias("value")).filter((F.length("value") > 0) & ~F.col("value").startswith("#")).distinct()
 
 
-def read_watchlist(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """protected domains, executives and vendors of a JSON watch list."""
+# Vendors and the hosts of their mail, where no list is given.
+VENDORS = [("DocuSign", "*.docusign.net"), ("DocuSign", "*.mktomail.com"), ("Microsoft 365", "*.protection.outlook.com"), ("ADP Payroll", "*.adp.com")]
+
+
+def read_watchlist(spark: SparkSession, path: str | None = None) -> dict[str, DataFrame]:
+    """protected domains, executives (also by their aliases) and vendors of a JSON watch list; built-in ones without a path."""
+    if path is None:
+        from ..operators.enrich import PROTECTED
+
+        return {
+            "domains": spark.createDataFrame([(x,) for x in PROTECTED], "target string"),
+            "executives": spark.createDataFrame([], "name string, address string"),
+            "vendors": spark.createDataFrame(VENDORS, "vendor string, pattern string"),
+        }
     raw = spark.read.text(path, wholetext=True)
-    inner = lambda key, schema: raw.select(F.explode(F.from_json(F.get_json_object("value", f"$.{key}"), schema)).alias("x"))
+    inner = lambda schema, *keys: raw.select(F.explode(F.coalesce(*(F.from_json(F.get_json_object("value", f"$.{k}"), schema) for k in keys))).alias("x"))
+    people = inner("array<struct<name:string,email:string,aliases:array<string>>>", "protected_executives", "executives")
+    vendors = inner("array<struct<name:string,vendor_name:string,mx_patterns:array<string>,allowed_mx_patterns:array<string>>>", "trusted_partner_vendors", "vendors")
     return {
-        "domains": inner("protected_domains", "array<string>").select(F.lower("x").alias("target")),
-        "executives": inner("executives", "array<struct<name:string,email:string>>").select("x.name", F.col("x.email").alias("address")),
-        "vendors": inner("vendors", "array<struct<name:string,mx_patterns:array<string>>>").select(F.col("x.name").alias("vendor"), F.explode("x.mx_patterns").alias("pattern")),
+        "domains": inner("array<string>", "protected_domains").select(F.lower("x").alias("target")),
+        "executives": people.select(F.explode(F.array_distinct(F.concat(F.array("x.name"), F.coalesce("x.aliases", F.array().cast("array<string>"))))).alias("name"), F.col("x.email").alias("address")),
+        "vendors": vendors.select(F.coalesce("x.vendor_name", "x.name").alias("vendor"), F.explode(F.coalesce("x.allowed_mx_patterns", "x.mx_patterns")).alias("pattern")),
     }
 
 
