@@ -81,7 +81,7 @@ SQL["dns_scores"] = f"""WITH {E}, g AS (SELECT event_id % 97 AS capture, least(1
 
 POSTURE = f"""d AS (SELECT s_suppkey AS n, 'd' || s_suppkey || {pick([".com", ".edu", ".co.uk"], "s_suppkey")} AS name, (s_suppkey % 5 <> 0)::INT + (s_suppkey % 11 = 0)::INT AS spf_count,
     CASE WHEN s_suppkey % 11 = 0 AND s_suppkey % 5 = 0 THEN 'STRICT' ELSE {pick(["STRICT", "SOFTFAIL", "PERMISSIVE", "NEUTRAL"], "s_suppkey")} END AS sign, s_suppkey % 3 <> 0 AS has_dmarc, {pick(["none", "quarantine", "reject"], "s_suppkey")} AS policy, s_suppkey % 2 = 0 AS has_mx, s_suppkey % 7 <> 0 AS has_a FROM supplier),
-  p AS (SELECT *, CASE WHEN spf_count = 0 THEN 'MISSING' WHEN spf_count > 1 THEN 'INVALID' ELSE sign END AS spf_strictness, CASE WHEN spf_count = 0 THEN 0 WHEN n % 11 = 0 AND n % 5 <> 0 THEN CASE n % 4 WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE 0 END WHEN n % 11 = 0 THEN 0 ELSE [2, 0, 1, 0][n % 4 + 1] END AS spf_lookups,
+  p AS (SELECT *, CASE WHEN spf_count = 0 THEN 'MISSING' WHEN spf_count > 1 THEN 'INVALID' ELSE sign END AS spf_strictness, CASE WHEN spf_count = 0 THEN 0 WHEN n % 11 = 0 AND n % 5 <> 0 THEN CASE n % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END WHEN n % 11 = 0 THEN 0 ELSE [2, 0, 1, 0][n % 4 + 1] END AS spf_lookups,
     CASE WHEN NOT has_dmarc THEN 'MISSING' WHEN policy = 'none' THEN 'NONE' ELSE upper(policy) END AS dmarc_enforcement FROM d)"""
 SQL["mail_posture"] = f"""WITH {POSTURE}, b AS (SELECT *, CASE WHEN n % 13 < 2 THEN 'LOOKALIKE' WHEN n % 3 = 1 THEN 'GOVERNMENT_EDU' WHEN NOT has_mx AND NOT has_a THEN 'UNRESOLVED' ELSE 'CORPORATE' END AS category FROM p),
   s AS (SELECT *, least(100, CASE n % 13 WHEN 0 THEN 55 WHEN 1 THEN 35 ELSE 0 END + CASE spf_strictness WHEN 'MISSING' THEN 15 WHEN 'PERMISSIVE' THEN 25 WHEN 'NEUTRAL' THEN 10 ELSE 0 END + CASE dmarc_enforcement WHEN 'MISSING' THEN 20 WHEN 'NONE' THEN 10 ELSE 0 END + CASE WHEN NOT has_mx AND n % 2 = 1 THEN 15 ELSE 0 END + CASE category WHEN 'UNRESOLVED' THEN 20 ELSE 0 END) AS score FROM b)
