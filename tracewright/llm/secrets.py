@@ -17,11 +17,11 @@ table gives no row, and training from it leaves both models even, so no token is
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, plus, running
 from .common import read
 
 # The patterns of the contract.
@@ -46,47 +46,17 @@ SPAN = "struct<start:int,kind:int,end:int>"
 SEGMENT = 1024
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """Running totals of an array of integers from 0 on, taken within blocks of about the root of its size, then over the blocks."""
-
-    def totals(xs: Column) -> Column:
-        step = lambda acc, x: _let(combine(acc["at"], x), lambda y: F.struct(y.alias("at"), F.array_append(acc["out"], y).alias("out")))
-        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(xs, first, step, lambda acc: acc["out"])
-
-    def blocked(xs: Column) -> Column:
-        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda i: totals(F.slice(xs, i * size + 1, size)))
-        return _let(blocks, whole)
-
-    def whole(blocks: Column) -> Column:
-        until = totals(F.transform(blocks, lambda b: F.element_at(b, -1)))
-        before = F.concat(F.array(F.lit(0)), F.slice(until, 1, F.size(until) - 1))
-        return F.flatten(F.zip_with(blocks, before, lambda b, t: F.transform(b, lambda x: combine(t, x))))
-
-    return _let(values, lambda xs: F.when(F.size(xs) > 0, blocked(xs)).otherwise(xs))
-
-
-def _plus(a: Column, b: Column) -> Column:
-    return a + b
-
-
 def _matches(text: Column, pattern: str, value_group: int = 0, min_value: int = 0) -> Column:
     """start, end, match of a pattern's matches whose value is long enough. Ends are running sums of what was split off and matched."""
     found = F.struct(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(c) for g, c in ((0, "m"), (value_group, "v"))), F.split(text, pattern, -1).alias("b"))
 
     def placed(x: Column) -> Column:
-        ends = running(F.zip_with(x["m"], F.slice(x["b"], 1, F.size(x["m"])), lambda m, b: F.length(m) + F.length(b)), _plus)
+        ends = running(F.zip_with(x["m"], F.slice(x["b"], 1, F.size(x["m"])), lambda m, b: F.length(m) + F.length(b)), plus)
         rows = F.zip_with(x["m"], ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match")))
         return F.array_compact(F.zip_with(rows, x["v"], lambda row, v: F.when(F.length(v) >= min_value, row)))
 
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(text.rlike(pattern), _let(found, placed)).otherwise(none)
+    return F.when(text.rlike(pattern), let(found, placed)).otherwise(none)
 
 
 def _spans(matches: Column, kind: int) -> Column:
@@ -151,7 +121,7 @@ def random_spans(text: Column, base: Column, table: list[float]) -> Column:
         """Tokens by their ends among base spans by their starts: none that begins before a token's end may reach beyond its start."""
         event = lambda at, base_end, x: F.struct(at.alias("at"), base_end.alias("reach"), x["start"].alias("start"), x["end"].alias("end"))
         events = F.sort_array(F.concat(F.transform(base, lambda b: event(b["start"], b["end"], b)), F.transform(tokens, lambda t: event(t["end"], F.lit(0), t))))
-        return _let(events, untouched)
+        return let(events, untouched)
 
     def untouched(events: Column) -> Column:
         reach = running(F.transform(events, lambda e: e["reach"]), F.greatest)
@@ -159,7 +129,7 @@ def random_spans(text: Column, base: Column, table: list[float]) -> Column:
         return F.array_compact(F.zip_with(events, reach, lambda e, r: F.when((e["reach"] == 0) & (r <= e["start"]), span(e))))
 
     tokens = F.filter(_matches(text, TOKEN), random)
-    return _let(tokens, lambda t: F.when(F.size(t) > 0, free(t)).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return let(tokens, lambda t: F.when(F.size(t) > 0, free(t)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def scan(docs: DataFrame, table: list[float]) -> DataFrame:
@@ -190,7 +160,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         return F.concat(F.array_join(kept, ""), part(x["segments"], F.element_at(x["reach"], -1), F.length(text)))
 
     x = F.struct(spans.alias("spans"), running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("reach"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)).alias("segments"))
-    return F.when(F.size(spans) == 0, text).otherwise(_let(x, rebuilt))
+    return F.when(F.size(spans) == 0, text).otherwise(let(x, rebuilt))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
