@@ -142,7 +142,7 @@ def link_report(urls: DataFrame, key: str) -> DataFrame:
     flags = F.filter(F.array(*(F.when(c, n) for n, _, c in url_flags(F.col("url"))), F.when(F.coalesce(anchor_mismatch(F.col("url"), F.col("anchor")), F.lit(False)), "ANCHOR_URL_MISMATCH")), lambda x: x.isNotNull())
     points = reduce(lambda a, b: a + b, (F.when(c, p).otherwise(0) for _, p, c in url_flags(F.col("url"))), F.when(F.coalesce(anchor_mismatch(F.col("url"), F.col("anchor")), F.lit(False)), 40).otherwise(0))
     one = urls.withColumns({"flags": flags, "points": F.least(F.lit(100), points), "domain": registered_domain(host(F.col("url")))})
-    out = one.groupBy(key).agg(F.count("*").alias("links"), F.countDistinct("domain").alias("domains"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags"), F.max("points").alias("score"))
+    out = one.groupBy(key).agg(F.count("*").alias("links"), F.countDistinct("domain").alias("domains"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"), F.max("points").alias("score"))
     return out.withColumn("verdict", F.when(F.col("score") >= 60, "MALICIOUS").when(F.col("score") >= 20, "SUSPICIOUS").otherwise("CLEAN"))
 
 

@@ -254,7 +254,7 @@ def _audit(spark, sf_dir) -> DataFrame:
     nested = F.to_json(F.struct(F.col("event_id").alias("Id"), F.to_json(inner).alias("AuditData")))
     path = folder(spark, "audit")
     e.select(F.when(F.col("event_id") % 2 == 0, F.to_json(inner)).otherwise(nested).alias("value")).write.text(path)
-    return logs.read_audit(spark, path).withColumn("event_id", F.get_json_object("raw", "$.Id").cast("long"))
+    return logs.read_audit(spark, path, lines=True).withColumn("event_id", F.get_json_object("raw", "$.Id").cast("long"))
 
 
 @query

@@ -47,8 +47,10 @@ def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """raw JSON objects of audit exports: arrays, {"items"} or {"value"} envelopes, one object a line, or CSV with a header."""
+def read_audit(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """raw JSON objects of audit exports: arrays, {"items"} or {"value"} envelopes, one object a line, or CSV with a header. A file is one row; with `lines` each line is one, and files are split."""
+    if lines:
+        return spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("raw"))
     if path.endswith(".csv"):
         return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).select(F.to_json(F.struct("*")).alias("raw"))
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
