@@ -188,3 +188,12 @@ SQL["message_links"] = """SELECT page_id, 'http://i.example/' || page_id || '.pn
 SQL["case_timeline"] = """SELECT user_id::VARCHAR AS entity, ts, 'log' AS source, event_id::VARCHAR AS ref FROM events UNION ALL SELECT o_custkey::VARCHAR, o_orderdate, 'mail', o_orderkey::VARCHAR FROM orders UNION ALL SELECT l_suppkey::VARCHAR, l_shipdate, 'capture', l_orderkey::VARCHAR FROM lineitem
   UNION ALL SELECT conv_id::VARCHAR, make_timestamp((conv_id * 60 + turn) * 1000000), 'chat', turn::VARCHAR FROM conversations UNION ALL SELECT page_id::VARCHAR, make_timestamp(page_id * 1000000), 'web', page_id::VARCHAR FROM pages"""
 SQL["message_triage"] = f"""WITH {CONV} SELECT message_key, CASE WHEN multi THEN 25.0 ELSE 10.0 END AS score, CASE WHEN multi THEN 'SUSPICIOUS_LOW' ELSE 'CLEAN' END AS level FROM c"""
+
+#: Columns whose types in DuckDB differ from Spark's, cast to Spark's.
+TYPES = {
+    "capture_packets": {"wire_len": "INT", "src_port": "INT", "dst_port": "INT", "payload": "INT"}, "clock_anomalies": {"drift": "DOUBLE"}, "dns_policies": {"percentage": "INT"}, "encoded_blobs": {"n": "INT"}, "hidden_reports": {"findings": "BIGINT", "blobs": "BIGINT"},
+    "image_strings": {"wide": "BIGINT", "longest": "INT"}, "large_dns_payloads": {"bytes": "INT"}, "ledger_history": {"case_id": "INT"}, "mail_messages": {"plain": "INT", "html": "INT"}, "mail_parts": {"bytes": "INT"}, "message_triage": {"score": "DOUBLE"},
+    "page_strings": {"wide": "BIGINT", "longest": "INT"}, "payload_table": {"case_id": "INT"}, "rule_offsets": {"offset": "BIGINT"}, "string_previews": {"offset": "BIGINT", "length": "INT"},
+}
+for _name, _types in TYPES.items():
+    SQL[_name] = f"""SELECT * REPLACE ({", ".join(f'"{c}"::{t} AS "{c}"' for c, t in _types.items())}) FROM ({SQL[_name]})"""
