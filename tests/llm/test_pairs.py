@@ -89,6 +89,15 @@ def test_jaccard_null_id_before_its_copies(docs_of):
     assert got == {None: 3, 7: 3, 3: 3, 9: 3, 1: 1}
 
 
+def test_jaccard_of_one_id_with_several_texts(docs_of):
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(9, text[0]), (9, text[1]), (9, text[1]), (9, text[1] + " more"), (4, text[0] + " more"), (7, text[1] + " less"), (8, text[2])] + [(3, text[2] + " x")] * 3
+    for parts in (1, 3):
+        docs = docs_of([(i, t, None, None) for i, t in rows]).repartition(parts, "doc_id", "text")
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect())
+        assert got == sorted([(9, 56, 4), (9, 56, 7), (9, 56, 7), (9, 57, 7), (4, 57, 4), (7, 57, 7), (8, 56, 3)] + [(3, 57, 3)] * 3)
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     for n in (4, 5, 7, 8, 15, 16, 40, 127, 128, 500):

@@ -1,8 +1,14 @@
 """The numbered queries against their SQL, and the pipeline's contract."""
 
+import re
+from collections import Counter, defaultdict
+
 import pytest
 from oracle import connect, same
+from test_pairs import brute
+from test_texts import brute_spans, check_packing
 
+from tracewright.llm import mixing
 from tracewright.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -13,31 +19,50 @@ def test_matches_sql(spark, name):
     assert same(QUERIES[name](spark, SF), connect(SF), SQL[name]) > 0
 
 
-def test_pipeline(spark, odd, tmp_path):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: labels, sets compared pair by pair, patterns by Python, words a source, pieces by the tokenizer."""
     import corpus_pipeline
-    from tracewright.llm import jaccard, mixing, secrets
-    from pyspark.sql import functions as F
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = docs.count()
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = docs.collect()
         out = stage(spark, docs, SF)
         if i < 4:
             assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / str(i)))
         out = spark.read.parquet(str(tmp_path / str(i)))
+        got = out.collect()
         if i == 0:
-            assert 0.75 * n < out.count() < n
+            label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+            kept = {r["doc_id"] for r in got}
+            right = [(d in kept) == (q == 1) for d, q in label.items() if q is not None]
+            assert sum(right) >= 0.9 * len(right) and {tuple(r) for r in got} <= {tuple(r) for r in rows}
         elif i == 1:
-            kept = {r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
-            assert {r["doc_id"] for r in out.collect()} == kept
+            groups = brute([(r["doc_id"], r["text"]) for r in rows])
+            assert {tuple(r) for r in got} == {tuple(r) for r in rows if groups[r["doc_id"]][1] == r["doc_id"]}
         elif i == 2:
-            assert out.count() == docs.count() and out.filter(F.col("text").rlike(secrets.HEX)).count() == 0 and out.filter("n_chars <> length(text)").count() == 0
+            before = {r["doc_id"]: r for r in rows}
+            for r in got:
+                was = before[r["doc_id"]]
+                spans = brute_spans(was["text"] or "")
+                assert brute_spans(r["text"] or "") == "" and (not spans or "[SECRET]" in r["text"]) and r["n_chars"] == len(r["text"] or "")
+                assert "[SECRET]" in (r["text"] or "") or r["text"] == was["text"]
+            assert len(got) == len(rows)
         elif i == 3:
-            taken = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.mix_sources(docs).collect()}
-            assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == {k: v for k, v in taken.items() if v}
+            size = {r["doc_id"]: len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")) for r in rows}
+            source = {r["doc_id"]: r["source"] for r in rows}
+            taken, whole = defaultdict(int), defaultdict(int)
+            for r in got:
+                taken[source[r["doc_id"]]] += size[r["doc_id"]]
+            for d, n in size.items():
+                whole[source[d]] += n
+            names = sorted(whole)
+            want = dict(zip(names, mixing.capped_targets([whole[x] for x in names], [(5.0, 2.0, 1.0)[k % 3] for k in range(len(names))])))
+            assert all(abs(taken[x] - want[x]) <= max(n for d, n in size.items() if source[d] == x) for x in names)
+            assert max(Counter(r["doc_id"] for r in got).values()) <= 2
         else:
-            assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").distinct().collect()}
+            n = check_packing(got, [(r["doc_id"], r["text"]) for r in rows])
+            assert n <= 1.03 * -(-sum(r["length"] for r in got) // 2048) + 1
         docs = out
 
 

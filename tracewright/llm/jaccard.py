@@ -17,8 +17,9 @@ pairs that lead from one component to another. Equal sets are one node throughou
 Sets are known by 64-bit hashes of sorted 64-bit shingle hashes. Nothing is sampled or capped.
 
 Defined results: null or empty texts have no shingle and link with nothing; fewer than five words are one
-shingle; repeated rows are equal sets, so they share a component; an empty table gives no row; a null doc_id
-is an id like any other but never names a component while another id is there.
+shingle; repeated rows are equal sets, so they share a component; rows of one doc_id with different texts have a
+set each and the component of each; an empty table gives no row; a null doc_id is an id like any other but never
+names a component while another id is there. Long texts are read step by step.
 """
 
 from __future__ import annotations
@@ -217,7 +218,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b whose sets are similar enough. sets: node, s (packed hashes)."""
+    """Pairs a, b whose sets are similar enough. sets: node, s (packed hashes). Only sets that pairs name are shuffled."""
+    pairs = staged(pairs, "pairs", small=True)
+    needed = lambda c: within(staged(pairs.select(F.col(c).alias("node")).distinct(), "needed", small=True), sets.select("node", "s"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +233,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    joined = pairs.join(needed("a").select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(needed("b").select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -244,11 +247,20 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _packed_sets(docs: DataFrame) -> DataFrame:
-    """node, n, s (packed hashes) and a sketch, w0 and on."""
+    """node, n, s (packed hashes) and a sketch, w0 and on, for texts (node, text) that are of their node: rows of one id may be of others. A task gives a node once."""
     names = ["node", "n", "s", *(f"w{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch, found in sets_of(batches):
+            keep = []
+            for node, s in zip(batch.column("node").to_pylist(), found):
+                keep.append(node not in seen and set_id(s) == node)
+                if keep[-1] and len(seen) < REMEMBERED_SETS:
+                    seen.add(node)
+            batch, found = batch.filter(pa.array(keep, pa.bool_())), [s for s, k in zip(found, keep) if k]
+            if not found:
+                continue
             words = np.stack([sketch(s) for s in found])
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, found), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary()), *(pa.array(w) for w in words.T.copy())], names=names)
 
@@ -272,7 +284,7 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     rows = known.filter("own is not null").select("node", F.explode(F.array(F.struct(F.col("own").alias("sig"), (F.col("own_spare") * 2).alias("inst")), F.struct(F.col("next").alias("sig"), (F.col("next_spare") * 2 + 1).alias("inst")))).alias("x"))
     rows = rows.select(F.explode("x.sig").alias("sig"), "node", F.col("x.inst").alias("inst"))
     found = staged(_grouped(rows.repartition("sig").sortWithinPartitions("sig", "node")), "groups")
-    pairs = found.filter("inst is null").select("a", "b").distinct()
+    pairs = found.filter("inst is null").select("a", "b")
 
     # The exact way for sets that have more frequent signatures than they can spare.
     frequent = found.filter("inst is not null").select(F.col("a").alias("sig"), F.col("b").alias("node"), "inst")
@@ -280,13 +292,15 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     tight = staged(frequent.join(tight, ["node", "inst"], "left_semi").select("sig", "node"), "tight", small=True)
     # Each group has a centre of its own, so a set meets as many others as it has frequent signatures.
     centre = tight.groupBy("sig").agg(F.min_by("node", F.xxhash64("sig", "node")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("sig", "c")
-    stars = within(staged(centre, "centres", small=True), tight, "sig", "inner").filter("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    stars = within(staged(centre, "centres", small=True), tight, "sig", "inner").filter("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
 
     met = staged(pairs.unionByName(stars).distinct(), "met", small=True)
     nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
     home = staged(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "homes", small=True)
     texts = within(home.select("doc_id"), docs.select("doc_id", "text"), "doc_id")
-    sets = staged(_packed_sets(_with_node(texts, home).dropDuplicates(["node"])), "sets")
+    sets = staged(_packed_sets(_with_node(texts, home)), "sets")
+    if sets.count() > sets.select("node").distinct().count():  # several tasks gave a node, from repeated rows of its id
+        sets = staged(sets.dropDuplicates(["node"]), "sets")
     candidates = staged(_sketched(_sketched(met, sets, "a", "x"), sets, "b", "y").filter(_may_link("x", "y")).select("a", "b"), "candidates", small=True)
 
     first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -314,6 +328,8 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     for salt in range(CENTRES):
         left = staged(hidden(), "hidden", small=True)
+        if left.isEmpty():
+            return done
         centre = left.groupBy("sig").agg(F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(salt), "sig", "node")).alias("c")).select("sig", "c.*")
         pairs = both(left, centre).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = done.unionByName(staged(_verified(pairs, sets), "links", small=True))
