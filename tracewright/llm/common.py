@@ -106,7 +106,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str, words: bool = True) -> I
                     break
             yield batch.slice(row, end - row), own[begin:], np.maximum(at[row : end + 1] - at[row] - begin, 0), False
             row = end
-    released()
+        released()
 
 
 def _limit(data: np.ndarray, at: int, words: bool) -> int:

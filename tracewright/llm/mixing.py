@@ -180,7 +180,7 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     times = mixed.filter("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"), F.count("*").cast("int").alias("_rows"))
     times = staged(times.filter("_times > 0"), "times")
     held = docs.select("doc_id", F.struct(*docs.columns).alias("doc"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))  # other columns may have any name
-    held = held.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
+    held = held.join(times.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
     if not times.filter("_rows > 1").isEmpty():
         nth = F.row_number().over(Window.partitionBy("_id", "_size").orderBy("doc.text"))
         held = held.withColumn("_nth", nth).withColumn("_times", (F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)).cast("int")).filter("_times > 0")
