@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collisions, jaccard, language, mixing, neighbours, packing, perspectives, quality, secrets, warc
+from . import collisions, jaccard, language, manifest, mixing, negatives, neighbours, packing, perspectives, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_perspective_chats": perspectives.op8_perspective_chats,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_warc": warc.op10_warc,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +29,6 @@ SQL: dict[str, str] = {
     "op8_perspective_chats": perspectives.OP8_SQL,
     "op9_source_mixing": mixing.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op13_merkle_manifest": manifest.OP13_SQL,
 }
