@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collisions, jaccard, language, manifest, mixing, negatives, neighbours, packing, perspectives, quality, secrets, warc
+from . import collisions, jaccard, language, manifest, mixing, negatives, neighbours, packing, perspectives, quality, secrets, templates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_warc": warc.op10_warc,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_html_extraction": templates.op12_html_extraction,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
@@ -30,5 +31,6 @@ SQL: dict[str, str] = {
     "op9_source_mixing": mixing.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
     "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_html_extraction": templates.OP12_SQL,
     "op13_merkle_manifest": manifest.OP13_SQL,
 }
