@@ -261,6 +261,50 @@ def test_hashes_of_words_that_fool_polynomials():
     assert len(set(common.span_hashes(data, end - [len(x) for x in spans], end).tolist())) == len(set(spans))
 
 
+def undone(word, first):
+    """A word with the unkeyed hash of a 16-byte one whose first eight bytes are others: the second eight undo the difference of the first."""
+    def inside(b):
+        return common.mix(common.mix(np.array([16], np.uint64) + common._KEY) ^ np.frombuffer(b, "<u8")) * (common._KEY | np.uint64(1)) + common._KEY
+
+    second = inside(word[:8]) ^ inside(first) ^ np.frombuffer(word[8:], "<u8")
+    return first + second.tobytes()
+
+
+def test_words_made_to_meet_have_keyed_hashes_of_their_own():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        word, first = rng.bytes(16), rng.bytes(8)
+        other = undone(word, first)
+        data = np.frombuffer(word + other, np.uint8)
+        at, end = np.array([0, 16]), np.array([16, 32])
+        assert len(set(common.span_hashes(data, at, end).tolist())) == 1  # the unkeyed hash is fooled
+        assert len(set(common.keyed_hashes(data, at, end, common.hash_keys(int(rng.integers(1 << 62)))).tolist())) == 2
+    spans = [b"a" * i for i in range(1, 130)] + [b"\0" * i for i in range(1, 40)] + [bytes([i, j]) for i in range(256) for j in range(0, 256, 5)]
+    data, end = np.frombuffer(b"".join(spans), np.uint8), np.cumsum([len(x) for x in spans])
+    assert len(set(common.keyed_hashes(data, end - [len(x) for x in spans], end, common.hash_keys(5)).tolist())) == len(set(spans))
+
+
+#: Pairs with one unkeyed hash.
+MEETING = [("4duW8jLCl4uyAhZd", "RELUXrP2xFcxuSF9"), ("g76csmjsq4h1lmii", "2kz5iulqs7y631a3")]
+
+
+def test_operators_tell_meeting_words_apart(docs_of):
+    for a, b in MEETING:
+        rows = [(i, f"{w} one two three four", None, None) for i, w in enumerate((a, b))]
+        assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs_of(rows)).collect()) == [(0, 0), (1, 1)]
+        check_packing(packing.pack_documents(docs_of(rows), TOKENIZER).collect(), [r[:2] for r in rows])
+
+
+@pytest.mark.parametrize("modulus", [1, 3, 50])
+def test_ids_when_all_hashes_meet(monkeypatch, modulus):
+    monkeypatch.setattr(packing._WordIds, "_hashes", lambda self, data, start, end: (data[start] % np.uint64(modulus)).astype(np.uint64))
+    memory, whole = packing._WordIds(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for text in ("the cat the cat Sat! x", "the dog on the mat, the é cat", "x y z the", "", "cat"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, first = memory.of(data, np.array([0, len(data)]))
+        assert ids[first[0] : first[1]].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_language_against_plain_naive_bayes(spark, docs_of):
     """The same grams counted in dicts, probabilities from logarithms of shares."""
     import math

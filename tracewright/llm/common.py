@@ -142,14 +142,12 @@ _SHORT = 64
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, wherever it stands. Different spans of up to seven bytes have different hashes."""
+    """A 64-bit hash of each span of bytes, the same in every run, for features of models; where equal hashes must mean equal spans, take keyed_hashes."""
     n = (end - start).astype(np.int64)
     out = np.zeros(len(n), np.uint64)
     if not len(n):
         return out
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    eights = _eights(data)
     short = n < 8
     k = np.flatnonzero(short)
     size = n[k].astype(np.uint64)
@@ -170,6 +168,67 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+def hash_keys(seed: int) -> np.ndarray:
+    """Keys of keyed_hashes. Draw the seed anew (secrets.randbits) where texts may be made to collide, and give all tasks the same."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 4 * (_SHORT // 8 + 1) + 2, np.uint64)
+
+
+def keyed_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, in which nobody who doesn't know the keys can make spans meet.
+
+    Spans of up to seven bytes have different hashes. Longer ones are two sums of products of keyed halves of their
+    eights (a universal family: two spans meet in both for one in 2 ** 64 keys), those beyond 64 bytes are left to xxh3 with the key.
+    """
+    n = (end - start).astype(np.int64)
+    out = np.zeros(len(n), np.uint64)
+    if not len(n):
+        return out
+    eights, low = _eights(data), np.uint64(0xFFFFFFFF)
+    short = n < 8
+    k = np.flatnonzero(short)
+    size = n[k].astype(np.uint64)
+    out[k] = mix(((eights[start[k]] & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1))) | (size << np.uint64(56))) ^ keys[-1]) * (keys[-2] | np.uint64(1))
+    k = np.flatnonzero(~short & (n <= _SHORT))
+    at, left, live, i = start[k], n[k].copy(), np.arange(len(k)), 4
+    sums = [(n[k].astype(np.uint64) + keys[j] & low) * (keys[j + 1] & low) for j in (0, 2)]
+    while len(live):
+        size = np.minimum(left[live], 8).astype(np.uint64)
+        part = eights[at[live]] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * size))
+        for total, j in zip(sums, (i, i + 2)):
+            total[live] += ((part & low) + keys[j] & low) * ((part >> np.uint64(32)) + keys[j + 1] & low)
+        at[live] += 8
+        left[live] -= 8
+        live = live[left[live] > 0]
+        i += 4
+    out[k] = mix(sums[0] ^ mix(sums[1] ^ keys[-1]))
+    for k in np.flatnonzero(n > _SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), seed=int(keys[-1]))
+    return out
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def same_bytes(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, x_size: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Whether each span of x holds the bytes of that of y."""
+    same = x_size == y_size
+    live = np.flatnonzero(same & (x_size > 0))
+    if not len(live):
+        return same
+    xs, ys, done = _eights(x), _eights(y), 0
+    while len(live):
+        size = np.minimum(x_size[live] - done, 8).astype(np.uint64)
+        differ = ((xs[x_start[live] + done] ^ ys[y_start[live] + done]) & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * size))) != 0
+        same[live[differ]] = False
+        done += 8
+        live = live[~differ & (x_size[live] > done)]
+    return same
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

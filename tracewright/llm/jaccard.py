@@ -14,7 +14,8 @@ sets that are not in one component yet. Parity sketches, whose difference never
 the others are verified on the whole shingle sets: first each set with its smallest partner, then only
 pairs that lead from one component to another. Equal sets are one node throughout.
 
-Sets are known by 64-bit hashes of sorted 64-bit shingle hashes. Nothing is sampled or capped.
+Sets are known by 64-bit hashes of sorted 64-bit shingle hashes, words by hashes with keys that each run draws anew, so
+that nobody can make words that meet. Nothing is sampled or capped.
 
 Defined results: null or empty texts have no shingle and link with nothing; fewer than five words are one
 shingle; repeated rows are equal sets, so they share a component; rows of one doc_id with different texts have a
@@ -24,6 +25,7 @@ names a component while another id is there. Long texts are read step by step.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, read, span_hashes, staged, steps, within, word_spans
+from .common import hash_keys, keyed_hashes, lower_ascii, mix, read, staged, steps, within, word_spans
 from .components import components, smallest_member
 
 WORDS = 5
@@ -55,11 +57,11 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return mix(whole)
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, before: list[np.ndarray] | None = None, more: bool = False) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, at: np.ndarray, before: list[np.ndarray] | None = None, more: bool = False, keys: np.ndarray = hash_keys(0)) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each row. A row that goes on (more) leaves its own in `before`, which its next step takes up."""
     lower = lower_ascii(data)
     start, end, rows = word_spans(lower, at)
-    words = span_hashes(lower, start, end)
+    words = keyed_hashes(lower, start, end, keys)
     if more or before:
         last, found = before or (words[:0], words[:0])
         words = np.concatenate([last, words])
@@ -80,11 +82,12 @@ def _few(words: np.ndarray) -> np.ndarray:
     return mix(np.array([(words * _FACTORS[: len(words)]).sum(dtype=np.uint64) + np.uint64(len(words))], dtype=np.uint64))
 
 
-def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def sets_of(batches: Iterable[pa.RecordBatch], seed: int = 0) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows of the batches with the shingle sets of their texts."""
     before: list[np.ndarray] = []
+    keys = hash_keys(seed)
     for batch, data, at, more in steps(batches, "text"):
-        found = list(shingle_sets(data, at, before, more))
+        found = list(shingle_sets(data, at, before, more, keys))
         if not more:
             yield batch, found
 
@@ -129,12 +132,12 @@ def bands(n: int) -> list[int]:
 SETS = "doc_id long, n long, node long, own array<long>, own_spare int, next array<long>, next_spare int"
 
 
-def document_signatures(docs: DataFrame) -> DataFrame:
+def document_signatures(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Per document its set's size and id, and its signatures, which equal sets of one task have once, with a document that has an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, found_sets in sets_of(batches):
+        for batch, found_sets in sets_of(batches, seed):
             sizes, nodes, lists, spares = [], [], ([], []), ([], [])
             known = batch.column("doc_id").is_valid().to_pylist()  # the others take no part in links
             for has_id, s in zip(known, found_sets):
@@ -246,13 +249,13 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _packed_sets(docs: DataFrame) -> DataFrame:
+def _packed_sets(docs: DataFrame, seed: int) -> DataFrame:
     """node, n, s (packed hashes) and a sketch, w0 and on, for texts (node, text) that are of their node: rows of one id may be of others. A task gives a node once."""
     names = ["node", "n", "s", *(f"w{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, found in sets_of(batches):
+        for batch, found in sets_of(batches, seed):
             keep = []
             for node, s in zip(batch.column("node").to_pylist(), found):
                 keep.append(node not in seen and set_id(s) == node)
@@ -278,8 +281,8 @@ def _may_link(x: str, y: str) -> Column:
     return differ * (100 + PERCENT) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - PERCENT)
 
 
-def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges between nodes (distinct sets) that join all linked ones. known: staged document_signatures(docs)."""
+def links(docs: DataFrame, known: DataFrame, seed: int = 0) -> DataFrame:
+    """Edges between nodes (distinct sets) that join all linked ones. known: staged document_signatures(docs), with the same seed."""
     spark = docs.sparkSession
     rows = known.filter("own is not null").select("node", F.explode(F.array(F.struct(F.col("own").alias("sig"), (F.col("own_spare") * 2).alias("inst")), F.struct(F.col("next").alias("sig"), (F.col("next_spare") * 2 + 1).alias("inst")))).alias("x"))
     rows = rows.select(F.explode("x.sig").alias("sig"), "node", F.col("x.inst").alias("inst"))
@@ -298,7 +301,7 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
     home = staged(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "homes", small=True)
     texts = within(home.select("doc_id"), docs.select("doc_id", "text"), "doc_id")
-    sets = staged(_packed_sets(_with_node(texts, home)), "sets")
+    sets = staged(_packed_sets(_with_node(texts, home), seed), "sets")
     if sets.count() > sets.select("node").distinct().count():  # several tasks gave a node, from repeated rows of its id
         sets = staged(sets.dropDuplicates(["node"]), "sets")
     candidates = staged(_sketched(_sketched(met, sets, "a", "x"), sets, "b", "y").filter(_may_link("x", "y")).select("a", "b"), "candidates", small=True)
@@ -347,8 +350,9 @@ def _with_node(texts: DataFrame, home: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for docs (doc_id, text)."""
-    known = staged(document_signatures(docs), "signatures")
-    edges = links(docs, known.filter("doc_id is not null"))
+    seed = secrets.randbits(64)  # of this run's word hashes, so no texts can be made to collide
+    known = staged(document_signatures(docs, seed), "signatures")
+    edges = links(docs, known.filter("doc_id is not null"), seed)
     members = known.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
     named = smallest_member(members, staged(components(edges), "roots", small=True))
     out = known.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")

@@ -8,13 +8,15 @@ most a few thousand configurations, never a row per piece) goes back to the exec
 finds its place from its rank among the pieces of its length.
 
 Defined results: a null or empty text is one piece that holds the closing id alone; repeated rows are
-pieces of their own; a long text is tokenised step by step, so only a word without a blank is held whole; an
+pieces of their own; words are known by a keyed hash and their bytes, so different ones never share ids;
+a long text is tokenised step by step, so only a word without a blank is held whole; an
 empty table gives no row; other columns of the input are left out.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, span_hashes, staged, steps, word_spans
+from .common import hash_keys, keyed_hashes, read, same_bytes, staged, steps, word_spans
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -39,7 +41,10 @@ _tokenizers: dict[str, object] = {}
 
 
 class _WordIds:
-    """Ids of words as one array, and a place in it for each word's 64-bit hash, sorted. Words beyond the bound last for one step."""
+    """Ids of words as one array, and a place in it for each word's 64-bit hash, sorted. Words beyond the bound last for one step.
+
+    A word takes the ids of one with its hash only if their bytes are the same.
+    """
 
     def __init__(self, path: str):
         import json
@@ -53,6 +58,8 @@ class _WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
+        self.keys = hash_keys(secrets.randbits(64))
+        self.bytes, self.begin, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)  # of known words
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         """Words of Latin letters with ASCII marks behind are one or two parts, each closed by one end-of-word id, so all of them go in one call."""
@@ -83,25 +90,42 @@ class _WordIds:
     def of(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a step, one after another, and where each row's begin."""
         start, end, rows = word_spans(data, at)
-        kinds, sample, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        kinds, sample, which = np.unique(self._hashes(data, start, end), return_index=True, return_inverse=True)
+        length = (end - start).astype(np.int64)
+        odd = np.flatnonzero(~same_bytes(data, start, data, start[sample[which]], length, length[sample[which]]))  # words whose hash another has
         place = np.searchsorted(self.known, kinds)
         old = place < len(self.known)
         old[old] = self.known[place[old]] == kinds[old]
+        taken = old.copy()  # hashes that known words have
+        old[old] = same_bytes(data, start[sample[old]], self.bytes, self.begin[place[old]].astype(np.int64), length[sample[old]], self.length[place[old]])
         first, size, ids = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64), self.ids
         first[old], size[old] = self.first[place[old]], self.size[place[old]]
-        if not old.all():
-            raw, new = data.tobytes(), ~old
-            learnt = self._encode([raw[start[k] : end[k]].decode() for k in sample[new]])
-            size[new] = [len(x) for x in learnt]
-            first[new] = len(ids) + np.cumsum(size[new]) - size[new]
+        if not old.all() or len(odd):
+            raw, new, fit = data.tobytes(), ~old, ~taken
+            learnt = self._encode([raw[start[k] : end[k]].decode() for k in (*sample[new], *odd)])
+            sizes = np.array([len(x) for x in learnt])
+            place_of = len(ids) + np.cumsum(sizes) - sizes
+            n = int(new.sum())
+            size[new], first[new] = sizes[:n], place_of[:n]
             ids = np.concatenate([ids, *learnt])
-            if self.known.nbytes * 2 + ids.nbytes <= REMEMBERED_BYTES:
-                self.known, self.first, self.size = (np.insert(x, place[new], y[new].astype(x.dtype)) for x, y in ((self.known, kinds), (self.first, first), (self.size, size)))
+            words = [np.frombuffer(raw, np.uint8)[start[k] : end[k]] for k in sample[fit]]
+            if self.known.nbytes * 3 + self.bytes.nbytes + ids.nbytes <= REMEMBERED_BYTES and words:
+                sizes_of = length[sample[fit]]
+                begin = len(self.bytes) + np.cumsum(sizes_of) - sizes_of
+                both = ((self.known, kinds[fit]), (self.first, first[fit]), (self.size, size[fit]), (self.begin, begin), (self.length, sizes_of))
+                self.known, self.first, self.size, self.begin, self.length = (np.insert(x, place[fit], y.astype(x.dtype)) for x, y in both)
+                self.bytes = np.concatenate([self.bytes, *words])
                 self.ids = ids
+            which = which.copy()
+            which[odd] = len(kinds) + np.arange(len(odd))
+            size, first = np.concatenate([size, sizes[n:]]), np.concatenate([first, place_of[n:]])
         size, first = size[which], first[which]
         until = np.concatenate([[0], np.cumsum(size)])
         return ids[np.repeat(first - until[:-1], size) + np.arange(until[-1])], until[rows]
 
+    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return keyed_hashes(data, start, end, self.keys)
+
 
 #: ASCII marks but the apostrophe, which can begin a part of its own; letters that lower-case one to one and are composed already.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
