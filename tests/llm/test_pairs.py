@@ -301,3 +301,9 @@ def test_recall_of_pairs_at_the_threshold(spark):
         d = np.linspace(-collisions.WINDOW, collisions.WINDOW, 20_001)
         first = float(np.trapezoid(np.exp(-d * d / 2) / math.sqrt(2 * math.pi) * (1 - np.abs(d) / collisions.CELL_WIDTH), d))
         assert 1 - (1 - first * collisions._together(p["width"], near) ** (p["per_cell"] - 1)) ** p["tables"] >= collisions.TARGET
+
+
+def test_norms_beyond_the_range_of_squares(spark):
+    rows = [(1, [1e-170, 2e-170], 1), (2, [1e-170, 2.0001e-170], 1), (3, [1.0, 2.0], 1), (4, [1e200, 2e200], 1), (5, [-1e200, 2e200], 1), (6, [5e-324, 1e-323], 1), (7, [1e308, 1.7e308], 1), (8, [2e-170, -1e-170], 1), (9, [1e200, 2e200], 2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in collisions.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (5, 1), 2: (5, 1), 3: (5, 1), 4: (5, 1), 6: (5, 1), 7: (5, 1), 5: (0, 5), 8: (0, 8), 9: (0, 9)}

@@ -533,3 +533,35 @@ def test_reader_refuses_false_magic():
     raw = b"\x1f\x8b\x08junk" + other + good + b"\x1f\x8b" + good
     found = [warc._parsed(c)[0] for c, _ in warc._starts(io.BytesIO(raw), 0, len(raw), len(raw))]
     assert found == [1, 1]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """warcinfo, request, response without digest or with a hex one, revisit without length, metadata; ids are UUIDs."""
+    import gzip
+
+    def record(kind, block, **fields):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}-1>", "Content-Length": len(block), **{k.replace("_", "-"): v for k, v in fields.items()}}
+        return gzip.compress(b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n")
+
+    body = b"<html>caf\xc3\xa9</html>"
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    raw = b"".join(
+        [
+            record("warcinfo", b"software: a crawler\r\n", Content_Type="application/warc-fields", WARC_Filename="a.warc.gz"),
+            record("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", Content_Type="application/http; msgtype=request", WARC_Target_URI="http://h/"),
+            record("response", http + body, Content_Type="application/http; msgtype=response", WARC_Target_URI="http://h/?a=%20b"),
+            record("response", http + body, Content_Type="application/http;msgtype=response", WARC_Payload_Digest="sha1:" + hashlib.sha1(body).hexdigest()),
+            record("resource", body, Content_Type="text/html", WARC_Payload_Digest="md5:abc"),
+            record("revisit", http, Content_Type="application/http;msgtype=response", WARC_Refers_To="<urn:uuid:response-1>"),
+            record("metadata", b"", WARC_Concurrent_To="<urn:uuid:response-1>"),
+        ]
+    )
+    (tmp_path / "other.warc.gz").write_bytes(raw)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz", len(raw))], "path string, bytes long")
+    own = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    for split in (60, 1 << 20):
+        got = {(r["record_type"], r["url"], r["record_id"], r["refers_to_id"], r["payload_bytes"], r["payload_digest"] == own) for r in warc.read_archives(archives, split).collect()}
+        assert got == {
+            ("warcinfo", None, "urn:uuid:warcinfo-1", None, 21, False), ("request", "http://h/", "urn:uuid:request-1", None, 0, False), ("response", "http://h/?a=%20b", "urn:uuid:response-1", None, len(body), True),
+            ("response", None, "urn:uuid:response-1", None, len(body), True), ("resource", None, "urn:uuid:resource-1", None, len(body), True), ("revisit", None, "urn:uuid:revisit-1", "urn:uuid:response-1", None, False), ("metadata", None, "urn:uuid:metadata-1", None, 0, False),
+        }

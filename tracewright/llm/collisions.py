@@ -14,7 +14,7 @@ TARGET recall of pairs exactly at the threshold; closer pairs are found more sur
 
 Defined results: null labels, and vectors that are null, empty, zero or hold null or non-finite components, link
 with nothing and are kept; labels are equal when they are as text; vectors of different lengths do not link; repeated rows are vectors of their own;
-an empty table gives no row.
+of vectors whose squares leave the range of doubles the cosines are those of multiples by powers of two; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -75,10 +75,21 @@ def _lines(dim: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _projected(x: np.ndarray, n: int) -> np.ndarray:
-    x = x.astype(np.float64)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True) @ _lines(x.shape[1], n)[0]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows as doubles; those whose squares would leave the range of doubles, or come near its end, by a power of two nearer to 1, which changes no cosine."""
+    x = x.astype(np.float64)
+    power = np.frexp(np.abs(x).max(axis=1))[1]
+    power[np.abs(power) < 256] = 0
+    if power.any():  # in two steps, as the power itself may be beyond the range
+        half = power // 2
+        x = np.ldexp(np.ldexp(x, -half[:, None]), (half - power)[:, None])
+    return x
+
+
 def cells(x: np.ndarray, label: np.ndarray, p: dict) -> np.ndarray:
     """The cell of each vector in each table, with label and length, as 64-bit keys."""
     n, shift = p["tables"] * p["per_cell"], _lines(x.shape[1], p["lines"])[1]
@@ -111,6 +122,7 @@ def _linked(group: np.ndarray, table: np.ndarray, lone: np.ndarray, block: np.nd
     first = lines[np.arange(len(x)), table * p["per_cell"]]
     order = np.lexsort((first, group))
     group, table, lone, block, first, keys, lines, x = (v[order] for v in (group, table, lone, block, first, keys, lines, x))
+    x = scaled(x)
     norm = np.sqrt(inner(x, x))
     found = []
 

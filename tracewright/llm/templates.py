@@ -67,13 +67,13 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Kinds of elements: text goes on, HEADER is left out outside of articles only, FORM unless it holds most of the page.
 PLAIN, HEADER, FORM, OUT = 0, 1, 2, 3
 
-TOKENS = "host string, token long, parent long, element boolean, mark int, kind int, pages long, total long, f1 long, f2 long, text long, link long"
+TOKENS = "host string, token long, parent long, element boolean, mark int, kind int, pages long, total long, f1 long, f2 long, f3 long, text long, link long"
 TEMPLATES = "host string, slots array<long>, texts array<long>, menus array<long>"
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 ROOT = 0
 
 
-@functools.lru_cache(maxsize=1 << 16)
+@functools.lru_cache(maxsize=1 << 12)
 def element(raw: str) -> tuple[str, str, int, int]:
     """Tag, signature, kind and mark (3 article, 2 main, 1 a name of an article, 0 none) of a start tag."""
     tag = re.match(r"<([a-zA-Z][^\s/>]*)", raw)[1].lower()
@@ -105,7 +105,7 @@ def element(raw: str) -> tuple[str, str, int, int]:
     return tag, signature, kind, mark
 
 
-@functools.lru_cache(maxsize=1 << 16)
+@functools.lru_cache(maxsize=1 << 12)
 def below(parent: int, signature: str) -> int:
     """The token of a container in another: a signed 64-bit hash, never ROOT."""
     return xxhash.xxh3_64_intdigest(f"{parent} {signature}") - (1 << 63) or 1
@@ -219,18 +219,19 @@ class Counts:
             own[container][6] += linked
             row = own.setdefault(text_token(container, text), [container, False, 0, PLAIN, 0, len(text), 0])
             row[4] += 1
-        low, high = number & 0x7FFFFFFF, number >> 33
+        low, mid, high = number & 0xFFFFFF, number >> 20 & 0xFFFFFF, number >> 40  # 24 bits each: sums over 5e11 occurrences are longs
         for token, (parent, is_element, mark, kind, n, text, link) in own.items():
-            row = self.rows.setdefault((host, token), [parent, is_element, mark, kind, 0, 0, 0, 0, 0, 0])
+            row = self.rows.setdefault((host, token), [parent, is_element, mark, kind, 0, 0, 0, 0, 0, 0, 0])
             row[4] += 1
             row[5] += n
             row[6] += n * low
-            row[7] += n * high
-            row[8] += text
-            row[9] += link
+            row[7] += n * mid
+            row[8] += n * high
+            row[9] += text
+            row[10] += link
 
     def batch(self) -> pa.RecordBatch:
-        types = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        types = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), *[pa.int64()] * 7)
         hosts, tokens = zip(*self.rows)
         columns = [pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*self.rows.values()), types))]
         self.rows = {}
@@ -243,7 +244,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
         for host, number, html in zip(*(batch.column(c) for c in ("host", "number", "html"))):
             counts.add(host.as_py(), number.as_py() & ((1 << 64) - 1), Page(html.as_py() or ""))
-            if len(counts.rows) > 1 << 16:
+            if len(counts.rows) > 1 << 14:
                 yield counts.batch()
         if counts.rows:
             yield counts.batch()
@@ -263,7 +264,7 @@ def decided(tokens: list[dict]) -> dict[str, list[int]]:
     while at < len(alive):
         alive += [c for c in parents.get(alive[at], ()) if nodes[c]["kind"] < OUT]
         at += 1
-    vector = lambda t: (t["pages"], t["total"], t["f1"], t["f2"])
+    vector = lambda t: (t["pages"], t["total"], t["f1"], t["f2"], t["f3"])
     repeated: dict[int, int] = {}  # letters of blocks that stand once on each page of their container
     for t in tokens:
         if not t["element"] and t["total"] == t["pages"] and t["parent"] in nodes and vector(t) == vector(nodes[t["parent"]]):
@@ -337,8 +338,8 @@ def article(page: Page, template: dict | None) -> str:
 
 def templates(pages: DataFrame) -> DataFrame:
     """TEMPLATES of the hosts of pages (host, number, html)."""
-    big = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
-    tokens = pages.mapInArrow(counted, TOKENS).groupBy("host", "token").agg(F.max("parent").alias("parent"), F.max("element").alias("element"), F.max("mark").alias("mark"), F.max("kind").alias("kind"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), big("f1"), big("f2"), F.sum("text").alias("text"), F.sum("link").alias("link"))
+    sums = [F.max(c).alias(c) for c in ("parent", "element", "mark", "kind")] + [F.sum(c).alias(c) for c in ("pages", "total", "f1", "f2", "f3", "text", "link")]
+    tokens = pages.mapInArrow(counted, TOKENS).groupBy("host", "token").agg(*sums)
     tokens = staged(tokens.filter(F.col("element") | (F.col("pages") >= DEDUCED_PAGES)), "tokens")
     hosts = tokens.filter(f"element and token = {ROOT}").select("host", F.col("pages").alias("of"))
     frequent = tokens.join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("of")).drop("of")  # bounded by twice a page's mean number of tokens

@@ -10,7 +10,10 @@ op10 compares the numbers of records written and read, which the archives' rows
 
 Defined results: a null html is an empty payload; of equal payloads of at least min_revisit_bytes the smallest
 page_id is the response (all its rows are), other rows revisit it; a null page_id is larger than any
-other; a url of any length is kept; an empty table gives no archive and no row.
+other; a url of any length is kept as its header has it; an empty table gives no archive and no row. Archives of other
+writers give all their records, warcinfo and others too: their ids are text, page_id is null, a digest that is missing or no SHA-1 is
+computed, a revisit without a length has none. An archive within a record is part of its payload, but one that stands
+there uncompressed can't be told from records by a range that begins inside it: compress members, as gzip does.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ MOST_REPEATED, SALTS = 1 << 19, 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, record_id string, refers_to_id string"
 
 
 #: Names that Spark's file systems have and pyarrow's have not, and which of pyarrow's reads the same store.
@@ -199,33 +202,44 @@ def _starts(file, start: int, end: int, size: int) -> Iterator[tuple[bytes, int]
         at = found[1] if found else at + 1
 
 
-def _number(urn: str) -> int | None:
-    digits = urn.strip("<>").rpartition(":")[2]
-    return int(digits) if digits else None
+def _page(urn: str | None) -> int | None:
+    """The page_id in an id that the writer gave; None for other ids."""
+    found = re.fullmatch(r"<?urn:page:(-?\d+)>?", urn or "")
+    return int(found[1]) if found else None
+
+
+def _http(block: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields of an HTTP message, in lower case, and its body."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, body
 
 
 def _parsed(content: bytes) -> tuple:
+    """A row of RECORDS: of any record, whoever wrote it. The payload is the body of an HTTP message, else the whole block."""
     fields = _header(content)
+    kind = fields["warc-type"]
     block = content.partition(b"\r\n\r\n")[2][: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest = fields["warc-payload-digest"].partition(":")[2]
-    revisit = fields["warc-type"] == "revisit"
-    if revisit:
-        size = int(dict(x.lower().split(b": ", 1) for x in http.split(b"\r\n")[1:])[b"content-length"])
+    http, payload = _http(block) if fields.get("content-type", "").replace(" ", "").startswith("application/http") else ({}, block)
+    algorithm, _, digest = fields.get("warc-payload-digest", "").partition(":")
+    if kind == "revisit":
+        payload, length = None, http.get("content-length", "")
+        size, digest = int(length) if length.isdigit() else None, digest or None
     else:
         size, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        if own != digest:
-            raise ValueError(f"{fields['warc-record-id']}: its payload has the digest {own}, its header {digest}")
-    refers = _number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
-    return _number(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], refers, None if revisit else payload, size, digest
+        if algorithm.lower() == "sha1" and digest.upper() not in (own, hashlib.sha1(payload).hexdigest().upper()) and "transfer-encoding" not in http:
+            raise ValueError(f"{fields.get('warc-record-id')}: its payload has the digest {own}, its header {digest}")
+        digest = own
+    record, refers = (fields.get(x, "").strip("<>") or None for x in ("warc-record-id", "warc-refers-to"))
+    return _page(record), fields.get("warc-target-uri"), kind, _page(refers), payload, size, digest, record, refers
 
 
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of archives (path, bytes), by ranges of split_bytes."""
+    """Records of archives (path, bytes), by ranges of split_bytes: ours and those of other writers, of every type."""
     splits = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string())])
         for batch in batches:
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start"))):
                 store, place = opened(path)
