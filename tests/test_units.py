@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright import sinks, streaming
 from tracewright.functions import domains, network, text, times
-from tracewright.operators import auth_logs, cloud, custody, dns, enrich, files, flows, iocs, messages, posture, processes, risk, routes, rules, timeline
+from tracewright.operators import auth_logs, cloud, custody, dns, enrich, files, flows, hidden, iocs, messages, posture, processes, risk, routes, rules, timeline
 from tracewright.sources import logs, mail, packets
 
 T0 = datetime(2026, 1, 1)
@@ -163,9 +163,9 @@ def test_alignment_and_records(spark):
 
 def test_hidden_content(spark):
     df = spark.createDataFrame([("m", '<p style="display:none">x</p><!-- a long enough comment --><a href="http://evil.com">http://bank.com</a>', "ig​nore")], "k string, html string, text string")
-    kinds = {r["kind"] for r in messages.hidden_content(df, "k", "html", "text").collect()}
-    assert kinds == {"HIDDEN_CSS", "HTML_COMMENT", "ZERO_WIDTH"}
-    assert messages.hidden_report(messages.hidden_content(df, "k", "html", "text"), "k").first()["score"] == 45  # 30 for zero-width characters, 15 for 46 hidden ones
+    kinds = {r["kind"] for r in hidden.content(df, "k", "html", "text").collect()}
+    assert kinds == {"CSS_DISPLAY_NONE", "HTML_COMMENT", "ZERO_WIDTH"}
+    assert hidden.report(hidden.content(df, "k", "html", "text"), "k").first()["score"] == 45  # 30 for zero-width characters, 15 for 24 hidden ones
     r = messages.link_report(messages.links(df, "k", "html", "text"), "k").first()
     assert (r["links"], r["flags"], r["score"]) == (1, ["ANCHOR_URL_MISMATCH"], 40)
     clean = spark.range(1).select(messages.sanitised_html(F.lit('<b onclick="x()">a</b><script>y</script><a href="javascript:z">q</a>'))).first()[0]
@@ -186,7 +186,7 @@ def test_rules_and_iocs(spark):
 def test_lookalikes(spark):
     names = spark.createDataFrame([("paypa1.com",), ("paypal.com",), ("paypal-login.com",), ("microsofd.com",), ("example.org",)], "name string")
     ours = spark.createDataFrame([("paypal.com",), ("microsoft.com",)], "target string")
-    assert {r["name"]: r["kind"] for r in enrich.lookalikes(names, ours).collect()} == {"paypa1.com": "HOMOGLYPH", "paypal-login.com": "COMBOSQUAT", "microsofd.com": "TYPOSQUAT"}
+    assert {r["name"]: r["kind"] for r in enrich.lookalikes(names, ours).collect()} == {"paypa1.com": "TYPOSQUAT", "paypal-login.com": "COMBOSQUAT", "microsofd.com": "TYPOSQUAT"}
 
 
 def test_risk(spark):
@@ -324,10 +324,10 @@ def test_hidden_content_is_whole(spark, tmp_path):
 
     comment, blob = "note " * 150, base64.b64encode(b"a plain line\n" * 90).decode()
     df = spark.createDataFrame([("m", f"<!--{comment}-->", f"x {blob} y")], "k string, html string, text string")
-    assert {r["kind"]: r["evidence"] for r in messages.hidden_content(df, "k", "html", "text").collect()} == {"HTML_COMMENT": comment, "BASE64_TEXT": blob}
+    assert {r["kind"]: r["evidence"] for r in hidden.content(df, "k", "html", "text").collect()} == {"HTML_COMMENT": comment.strip(), "BASE64_TEXT": blob}
     texts = ["plain words " * 400, f"\u00e9t\u00e9 {blob} \u00e9", "short", None, "plain words " * 400 + "\u00e9"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {(r["doc_id"], r["n"]) for r in catalogue.encoded_blobs(spark, str(tmp_path)).collect()} == {(0, 6400), (1, len(blob))}
+    assert {(r["doc_id"], r["n"]) for r in catalogue.encoded_blobs(spark, str(tmp_path)).collect()} == {(0, 6400), (1, len(blob)), (1, 2092), (4, 6404)}
     spark.createDataFrame([(1, f"<p><!--{comment}-->")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [(r["comments"], r["longest"]) for r in catalogue.html_comments(spark, str(tmp_path)).collect()] == [(1, len(comment))]
 

@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import suffixes
+from .suffixes import SuffixRules
 from .text import decoded_base64
 
-# Suffixes of two labels under which names are registered; elsewhere the last label is the suffix.
-TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "co.in", "co.za", "com.mx", "com.cn", "com.tr"]
-
 # Link shorteners.
 SHORTENERS = ["bit.ly", "tinyurl.com", "t.co", "ow.ly", "is.gd", "buff.ly", "adf.ly", "bit.do", "mcaf.ee", "su.pr", "cutt.ly", "shorturl.at", "goo.gl", "qr.net", "v.gd", "trib.al", "rebrand.ly", "tiny.cc", "bl.ink", "clck.ru", "s.id", "linktr.ee"]
 
@@ -46,18 +45,13 @@ def query_keys(url: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.concat(F.lit("&"), query(url)), F.lit("&([^=&]+)"), F.lit(1)), F.lower)
 
 
-def _is_two_label(name: Column) -> Column:
-    return F.substring_index(name, ".", -2).isin(TWO_LABEL_SUFFIXES)
-
-
-def registered_domain(name: Column) -> Column:
-    """Suffix and one label more; a name without a dot, or an address, is itself."""
-    labels = F.when(_is_two_label(name), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
-    return F.when(is_ip_host(name), name).otherwise(labels)
+def registered_domain(name: Column, rules: SuffixRules | None = None) -> Column:
+    """Public suffix and one label more, by a user's rules or the built-in ones; a name without a dot, or an address, is itself."""
+    return F.when(is_ip_host(name), name).otherwise(suffixes.registered(name, rules))
 
 
-def subdomain(name: Column) -> Column:
-    apex = registered_domain(name)
+def subdomain(name: Column, rules: SuffixRules | None = None) -> Column:
+    apex = registered_domain(name, rules)
     return F.when(F.length(name) > F.length(apex), name.substr(F.lit(1), F.length(name) - F.length(apex) - 1)).otherwise("")
 
 
@@ -76,11 +70,11 @@ def unicode_name(name: Column) -> Column:
 
 
 def ascii_name(name: Column) -> Column:
-    """A host with labels beyond ASCII in punycode."""
-    return F.when(name.rlike(r"[^\x00-\x7F]"), F.java_method(F.lit("java.net.IDN"), F.lit("toASCII"), name)).otherwise(name)
+    """A host with labels beyond ASCII in punycode; null where it can't be, as of labels that are too long."""
+    return F.when(name.rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name)).otherwise(name)
 
 
-def targets(target: Column) -> dict[str, Column]:
+def targets(target: Column, rules: SuffixRules | None = None) -> dict[str, Column]:
     """domain, username, is_email, registered, tld, punycode and unicode of an address, a URL or a name."""
     bare = F.trim(target)
     bare = F.when(F.contains(bare, F.lit("://")), F.regexp_extract(bare, r"^[^:]+://([^/?#]*)", 1)).otherwise(bare)
@@ -90,7 +84,7 @@ def targets(target: Column) -> dict[str, Column]:
     name = F.lower(F.trim(F.when(mail, F.substring_index(bare, "@", -1)).otherwise(F.substring_index(bare, "/", 1))))
     name = F.regexp_replace(F.regexp_replace(name, r":\d+$", ""), r"\.+$", "")
     ascii_ = ascii_name(name)
-    return {"domain": ascii_, "username": F.when(mail, F.trim(F.substring_index(bare, "@", 1))), "is_email": mail, "registered": registered_domain(ascii_), "tld": tld(ascii_), "punycode": F.contains(ascii_, F.lit("xn--")), "unicode": unicode_name(ascii_)}
+    return {"domain": ascii_, "username": F.when(mail, F.trim(F.substring_index(bare, "@", 1))), "is_email": mail, "registered": registered_domain(ascii_, rules), "tld": tld(ascii_), "punycode": F.contains(ascii_, F.lit("xn--")), "unicode": unicode_name(ascii_)}
 
 
 def defanged(url: Column) -> Column:
@@ -106,13 +100,13 @@ def refanged(url: Column) -> Column:
     return F.regexp_replace(plain, "^(?i)hxxp", "http")
 
 
-def url_flags(url: Column) -> list[tuple[str, int, Column]]:
+def url_flags(url: Column, rules: SuffixRules | None = None) -> list[tuple[str, int, Column]]:
     """Name, points and condition of each flag of a single URL."""
     name, keys = host(url), query_keys(url)
     return [
         ("IP_HOST_URL", 35, is_ip_host(name)),
         ("IDN_HOMOGRAPH_ATTACK", 45, name.contains("xn--") | name.rlike(r"[^\x00-\x7F]")),
-        ("SUSPICIOUS_SHORTENER", 20, registered_domain(name).isin(SHORTENERS)),
+        ("SUSPICIOUS_SHORTENER", 20, registered_domain(name, rules).isin(SHORTENERS)),
         ("SUSPICIOUS_TLD", 15, tld(name).isin(RISKY_TLDS)),
         ("SUSPICIOUS_PORT", 20, F.coalesce(~port(url).isin(COMMON_PORTS), F.lit(False))),
         ("CREDENTIAL_PHISH_PARAM", 25, F.arrays_overlap(keys, F.array(*map(F.lit, IDENTITY_PARAMETERS)))),
@@ -121,5 +115,5 @@ def url_flags(url: Column) -> list[tuple[str, int, Column]]:
     ]
 
 
-def url_score(url: Column) -> Column:
-    return F.least(F.lit(100), reduce(lambda a, b: a + b, (F.when(when, points).otherwise(0) for _, points, when in url_flags(url))))
+def url_score(url: Column, rules: SuffixRules | None = None) -> Column:
+    return F.least(F.lit(100), reduce(lambda a, b: a + b, (F.when(when, points).otherwise(0) for _, points, when in url_flags(url, rules))))

@@ -10,8 +10,9 @@ ZERO_WIDTH = "​‌‍﻿‎‏‪‫‬‭‮"
 
 # Look-alike letters and the Latin ones they stand for; `vv` stands for `w`.
 LOOKALIKES = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "ո": "n", "ν": "v", "ο": "o", "α": "a", "ρ": "p", "τ": "t", "υ": "u", "κ": "k", "ι": "i",
-    "0": "o", "1": "l", "3": "e", "5": "s",
+    "а": "a", "à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "α": "a", "с": "c", "ç": "c", "ϲ": "c", "е": "e", "è": "e", "é": "e", "ê": "e", "ë": "e", "ε": "e",
+    "і": "i", "í": "i", "ì": "i", "ï": "i", "ι": "i", "1": "i", "!": "i", "ј": "j", "о": "o", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ο": "o", "0": "o", "р": "p", "ρ": "p",
+    "ѕ": "s", "ș": "s", "$": "s", "5": "s", "у": "y", "ý": "y", "ÿ": "y", "γ": "y", "х": "x", "χ": "x", "ѵ": "v", "ν": "v", "ԁ": "d", "ԛ": "q", "ԍ": "g",
 }
 
 VOWELS = "aeiou"
@@ -103,9 +104,12 @@ def decoded_base64(text: Column) -> Column:
 
 
 def decoded_wide(text: Column) -> Column:
-    """Base64 of UTF-16LE whose characters are all below U+0100; else null."""
-    pairs = F.hex(F.try_to_binary(text, F.lit("base64")))
-    return F.when(pairs.rlike("^(?:..00)+$"), F.decode(F.unhex(F.regexp_replace(pairs, "(..)00", "$1")), "ISO-8859-1"))
+    """Base64 of UTF-16LE, without outer blanks; what is no character becomes U+FFFD. Null where it is no base64."""
+    unit = "[0-9A-F]{2}"
+    paired = rf"(?:{unit}D[89AB]{unit}D[C-F]|{unit}(?:D[0-7]|[0-9A-CEF][0-9A-F]))"
+    raw = F.hex(F.try_to_binary(text, F.lit("base64")))
+    valid = F.regexp_replace(raw, rf"\G((?:{paired})*+)(?:{unit}D[89A-F]|{unit}$)", "$1FDFF")
+    return F.trim(F.decode(F.unhex(valid), "UTF-16LE"))
 
 
 def masked(secret: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.maps import first_of_each
 from .alerts import rules
 
 # Folders and words of hiding rules, scopes of broad consent, admin operations that reroute or raise.
@@ -21,7 +22,7 @@ def flattened(audit: DataFrame, raw: str = "raw") -> DataFrame:
     pairs = F.from_json(field("Parameters"), "array<struct<Name:string,Value:string>>")
     return audit.withColumns({
         "op": field("Operation", "Operations"), "user": field("UserId", "UserIds", "actor.email"), "client_ip": F.regexp_extract(field("ClientIP", "ClientIPAddress", "ActorIpAddress", "ipAddress"), r"^\[?([0-9a-fA-F.:]+?)\]?(?::\d+)?$", 1),
-        "ts_text": field("CreationTime", "CreationDate", "Date", "timestamp", "id.time"), "params": F.map_from_entries(F.array_distinct(F.coalesce(pairs, F.array().cast("array<struct<Name:string,Value:string>>")))),
+        "ts_text": field("CreationTime", "CreationDate", "Date", "timestamp", "id.time"), "params": first_of_each(F.coalesce(pairs, F.array().cast("array<struct<Name:string,Value:string>>")), "Name"),
     })
 
 
@@ -89,5 +90,5 @@ def impossible_travel(logins: DataFrame, seconds: int = 3600, tie: str = "record
 def admin_events(activities: DataFrame) -> DataFrame:
     """One row per element of events (array of struct<name, parameters array<struct<name,value>>>), parameters as a map."""
     one = activities.withColumn("event", F.explode_outer("events"))
-    pairs = F.map_from_entries(F.transform("event.parameters", lambda p: F.struct(p["name"], p["value"])))
+    pairs = first_of_each(F.transform("event.parameters", lambda p: F.struct(p["name"].alias("k"), p["value"].alias("v"))))
     return one.withColumns({"op": F.col("event.name"), "params": pairs}).drop("events", "event")

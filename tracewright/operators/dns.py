@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domains import registered_domain, subdomain
+from ..functions.suffixes import SuffixRules
 from ..functions.network import ip_number, subnet24
 from ..functions.text import covert_subdomain, encoding_class, entropy
 
@@ -15,12 +16,12 @@ from ..functions.text import covert_subdomain, encoding_class, entropy
 BENIGN_ROOTS = ["google.com", "googleapis.com", "gstatic.com", "microsoft.com", "windowsupdate.com", "live.com", "office.com", "amazon.com", "amazonaws.com", "cloudfront.net", "akamai.net", "akamaiedge.net", "cloudflare.com", "apple.com", "icloud.com", "github.com", "githubusercontent.com", "facebook.com", "fbcdn.net", "twitter.com", "t.co", "digicert.com", "sectigo.com", "letsencrypt.org", "verisign.com"]
 
 
-def tunnelling(queries: DataFrame) -> DataFrame:
+def tunnelling(queries: DataFrame, suffixes: SuffixRules | None = None) -> DataFrame:
     """Apexes whose queries (name, rtype) carry payloads: two of six signs, or four entropic names with one of 35 characters."""
     name = F.lower(F.rtrim(F.col("name"), F.lit(".")))
     rows = queries.withColumn("name", name).groupBy("name", F.upper("rtype").alias("rtype")).agg(F.count("*").alias("k"))  # each distinct name is analysed once
-    sub = subdomain(F.col("name"))
-    rows = rows.withColumns({"apex": registered_domain(F.col("name")), "sub": sub}).filter(~F.col("apex").isin(BENIGN_ROOTS))
+    sub = subdomain(F.col("name"), suffixes)
+    rows = rows.withColumns({"apex": registered_domain(F.col("name"), suffixes), "sub": sub}).filter(~F.col("apex").isin(BENIGN_ROOTS))
     rows = rows.withColumns({"n": F.length("sub"), "odd": (entropy(F.col("sub")) >= 4.0) | F.coalesce(covert_subdomain(F.col("sub")), F.lit(False)), "kind": encoding_class(F.col("sub"))})
     out = rows.groupBy("apex").agg(
         F.sum("k").alias("queries"), F.countDistinct("name").alias("names"), F.sum(F.when(F.col("odd"), F.col("k")).otherwise(0)).alias("entropic"),

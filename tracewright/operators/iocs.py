@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import matches
 from ..functions.network import ip_number
 from ..functions.text import decoded_wide
 
 # Patterns of each kind of indicator, and its risk.
 PATTERNS = {
     "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-    "ipv6": r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
+    "ipv6": r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,7}:[0-9a-fA-F]{1,4}\b",
     "url": r"\b(?i:https?|ftp|wss?)://[^\s\"'<>\\]+",
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
     "btc_legacy": r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b",
     "btc_bech32": r"\bbc1[a-zA-HJ-NP-Z0-9]{25,39}\b",
     "eth": r"\b0x[a-fA-F0-9]{40}\b",
     "jwt": r"\beyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\b",
-    "private_key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----",
+    "private_key": r"(?i)-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----",
     "base64_executable": r"\b(?:TVqQAA[A-Za-z0-9+/=]{20,}|TVpQAA[A-Za-z0-9+/=]{20,})\b",
     "md5": r"\b[a-fA-F0-9]{32}\b",
     "sha1": r"\b[a-fA-F0-9]{40}\b",
@@ -38,8 +39,12 @@ def extract(df: DataFrame, text: str, keep: list[str], kinds: list[str] | None =
 
 
 def with_context(df: DataFrame, text: str, pattern: str, around: int = 40) -> DataFrame:
-    """df with context: each match of the pattern and up to so many characters on both sides."""
-    return df.withColumn("context", F.explode(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{0,{around}}}(?:{pattern}).{{0,{around}}}"), F.lit(0))))
+    """df with value and context: each match of the pattern, and it with up to so many characters on both sides, in one line, without outer blanks. Neighbours share characters."""
+    found = df.withColumn("_m", F.explode(matches(F.col(text), pattern)))
+    begin = F.greatest(F.col("_m.start") - around, F.lit(0))
+    size = F.col("_m.start") - begin + F.length("_m.value") + around
+    line = F.trim(F.translate(F.substring(F.col(text), begin + 1, size), "\r\n", "  "))
+    return found.withColumns({"value": F.col("_m.value"), "context": line}).drop("_m")
 
 
 def risk(ioc_type: Column) -> Column:

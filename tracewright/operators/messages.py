@@ -1,4 +1,4 @@
-"""Mail messages: headers, authentication, sender fraud, links, hidden content, attachments."""
+"""Mail messages: headers, authentication, sender fraud, links, attachments."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import host, registered_domain, url_flags
-from ..functions.text import ZERO_WIDTH, decoded_base64, zero_width_count
+from ..functions.maps import first_of_each
+from ..functions.suffixes import SuffixRules
+from ..functions.text import ZERO_WIDTH
 from . import rules
 
 # Free and throw-away mail domains.
@@ -56,9 +58,9 @@ def authentication(results: Column) -> dict[str, Column]:
 
 
 def dkim_tags(signature: Column) -> Column:
-    """Tags of a DKIM signature or a DMARC, BIMI or DKIM record, names trimmed."""
+    """Tags of a DKIM signature or a DMARC, BIMI or DKIM record, names trimmed; of a tag that comes twice the first."""
     pairs = F.filter(F.split(signature, ";"), lambda p: F.contains(p, F.lit("=")))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(F.regexp_extract(p, r"=(.*)$", 1)).alias("v"))))
+    return first_of_each(F.transform(pairs, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(F.regexp_extract(p, r"(?s)=(.*)$", 1)).alias("v"))))
 
 
 def dkim_times(tags: Column) -> dict[str, Column]:
@@ -82,14 +84,14 @@ def auth_flags(spf: Column, dkim: Column, dmarc_: Column, spf_aligned: Column, d
     return F.array_compact(found)
 
 
-def aligned(domain: Column, sender: Column, strict: bool = False) -> Column:
-    return domain == sender if strict else registered_domain(domain) == registered_domain(sender)
+def aligned(domain: Column, sender: Column, strict: bool = False, suffixes: SuffixRules | None = None) -> Column:
+    return domain == sender if strict else registered_domain(domain, suffixes) == registered_domain(sender, suffixes)
 
 
-def dmarc(auth: DataFrame, signatures: DataFrame, key: str = "message_key") -> DataFrame:
+def dmarc(auth: DataFrame, signatures: DataFrame, key: str = "message_key", suffixes: SuffixRules | None = None) -> DataFrame:
     """dmarc_pass per message: SPF passes aligned, or any DKIM signature does. auth: from_domain, spf, spf_domain; signatures: domain, result."""
-    base = auth.select(key, "from_domain", ((F.col("spf") == "pass") & aligned(F.col("spf_domain"), F.col("from_domain"))).alias("_spf"))
-    signed = base.join(signatures, key, "left").groupBy(key).agg(F.first("_spf").alias("_spf"), F.bool_or((F.col("result") == "pass") & aligned(F.col("domain"), F.col("from_domain"))).alias("_dkim"))
+    base = auth.select(key, "from_domain", ((F.col("spf") == "pass") & aligned(F.col("spf_domain"), F.col("from_domain"), suffixes=suffixes)).alias("_spf"))
+    signed = base.join(signatures, key, "left").groupBy(key).agg(F.first("_spf").alias("_spf"), F.bool_or((F.col("result") == "pass") & aligned(F.col("domain"), F.col("from_domain"), suffixes=suffixes)).alias("_dkim"))
     return signed.select(key, (F.coalesce("_spf", F.lit(False)) | F.coalesce("_dkim", F.lit(False))).alias("dmarc_pass"))
 
 
@@ -131,32 +133,32 @@ def header_links(headers: DataFrame, key: str) -> DataFrame:
     return headers.select(key, F.explode(found).alias("url"), F.concat(F.lit("header:"), F.lower("name")).alias("origin")).distinct()
 
 
-def anchor_mismatch(url: Column, anchor: Column) -> Column:
+def anchor_mismatch(url: Column, anchor: Column, suffixes: SuffixRules | None = None) -> Column:
     """The anchor's text names a host whose registered domain is not the link's."""
     shown = F.lower(F.regexp_extract(anchor, r"(?i)\b(?:https?://)?((?:[a-z0-9-]+\.)+[a-z]{2,})\b", 1))
-    return (shown != "") & (registered_domain(shown) != registered_domain(host(url)))
+    return (shown != "") & (registered_domain(shown, suffixes) != registered_domain(host(url), suffixes))
 
 
-def link_report(urls: DataFrame, key: str) -> DataFrame:
+def link_report(urls: DataFrame, key: str, suffixes: SuffixRules | None = None) -> DataFrame:
     """Per message: links, domains, flags and verdict from urls (url, anchor)."""
-    flags = F.filter(F.array(*(F.when(c, n) for n, _, c in url_flags(F.col("url"))), F.when(F.coalesce(anchor_mismatch(F.col("url"), F.col("anchor")), F.lit(False)), "ANCHOR_URL_MISMATCH")), lambda x: x.isNotNull())
-    points = reduce(lambda a, b: a + b, (F.when(c, p).otherwise(0) for _, p, c in url_flags(F.col("url"))), F.when(F.coalesce(anchor_mismatch(F.col("url"), F.col("anchor")), F.lit(False)), 40).otherwise(0))
-    one = urls.withColumns({"flags": flags, "points": F.least(F.lit(100), points), "domain": registered_domain(host(F.col("url")))})
+    flags = F.filter(F.array(*(F.when(c, n) for n, _, c in url_flags(F.col("url"), suffixes)), F.when(F.coalesce(anchor_mismatch(F.col("url"), F.col("anchor"), suffixes), F.lit(False)), "ANCHOR_URL_MISMATCH")), lambda x: x.isNotNull())
+    points = reduce(lambda a, b: a + b, (F.when(c, p).otherwise(0) for _, p, c in url_flags(F.col("url"), suffixes)), F.when(F.coalesce(anchor_mismatch(F.col("url"), F.col("anchor"), suffixes), F.lit(False)), 40).otherwise(0))
+    one = urls.withColumns({"flags": flags, "points": F.least(F.lit(100), points), "domain": registered_domain(host(F.col("url")), suffixes)})
     out = one.groupBy(key).agg(F.count("*").alias("links"), F.countDistinct("domain").alias("domains"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"), F.max("points").alias("score"))
     return out.withColumn("verdict", F.when(F.col("score") >= 60, "MALICIOUS").when(F.col("score") >= 20, "SUSPICIOUS").otherwise("CLEAN"))
 
 
-def sender_indicators(messages: DataFrame, key: str, executives: DataFrame | None = None, brands: DataFrame | None = None) -> DataFrame:
+def sender_indicators(messages: DataFrame, key: str, executives: DataFrame | None = None, brands: DataFrame | None = None, suffixes: SuffixRules | None = None) -> DataFrame:
     """indicator rows of messages (display_name, from_address, reply_to, return_path, subject, body). executives: name, address; brands: word, domain."""
-    name, sender = F.lower(F.coalesce("display_name", F.lit(""))), registered_domain(address_domain(F.col("from_address")))
-    reply, back = (registered_domain(address_domain(F.col(c))) for c in ("reply_to", "return_path"))
+    name, sender = F.lower(F.coalesce("display_name", F.lit(""))), registered_domain(address_domain(F.col("from_address")), suffixes)
+    reply, back = (registered_domain(address_domain(F.col(c)), suffixes) for c in ("reply_to", "return_path"))
     inside = F.lower(F.regexp_extract(F.col("display_name"), r"([\w.+-]+@[\w-]+\.[\w.]+)", 1))
     title = name.rlike(r"\b(" + "|".join(TITLES) + r")\b")
     body = F.concat_ws(" ", "subject", "body")
     urgent = reduce(lambda a, b: a | b, (body.rlike(p) for _, _, _, _, ps in rules.FRAUD_WORDING for p in ps))
     checks = {
         "REPLY_TO_DOMAIN_MISMATCH": reply != sender, "RETURN_PATH_MISMATCH": back != sender, "DISPOSABLE_EMAIL_DOMAIN": sender.isin(DISPOSABLE),
-        "DISPLAY_NAME_EMBEDDED_EMAIL_SPOOF": (inside != "") & (registered_domain(address_domain(inside)) != sender),
+        "DISPLAY_NAME_EMBEDDED_EMAIL_SPOOF": (inside != "") & (registered_domain(address_domain(inside), suffixes) != sender),
         "EXECUTIVE_TITLE_FREEMAIL_SPOOF": title & sender.isin(FREEMAIL), "BEC_URGENCY_KEYWORDS": urgent,
     }
     found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in checks.items())), lambda x: x.isNotNull())
@@ -187,55 +189,6 @@ def fraud_report(indicators: DataFrame, key: str) -> DataFrame:
     return out.withColumn("level", level).drop("_hard")
 
 
-def hidden_content(messages: DataFrame, key: str, html: str, text: str, least_comment: int = 15) -> DataFrame:
-    """kind, whole evidence of zero-width text, comments of so many characters, hidden elements and encoded blobs."""
-    h, t = F.coalesce(F.col(html), F.lit("")), F.coalesce(F.col(text), F.lit(""))
-    tag = lambda kind, arr: F.transform(arr, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("evidence")))
-    every = lambda src, p, g=0: F.regexp_extract_all(src, F.lit(p), F.lit(g))
-    css = r"(?is)<[^>]+style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*[01](?:px|pt|em)?\b|opacity\s*:\s*0(?:\.0+)?\b|(?:max-)?(?:height|width)\s*:\s*0|text-indent\s*:\s*-\d{3,}|color\s*:\s*(?:transparent|#fff(?:fff)?|white))[^\"']*[\"'][^>]*>"
-    blobs = F.filter(every(t, r"[A-Za-z0-9+/]{24,}={0,2}"), lambda b: F.coalesce(decoded_base64(b).rlike(r"^[\x20-\x7E\s]+$"), F.lit(False)))
-    zero = F.when(zero_width_count(t) > 0, F.array(F.concat(zero_width_count(t).cast("string"), F.lit(" characters")))).otherwise(F.array().cast("array<string>"))
-    arrays = [tag("ZERO_WIDTH", zero), tag("HTML_COMMENT", F.filter(every(h, r"(?s)<!--(.*?)-->", 1), lambda c: F.length(F.trim(c)) >= least_comment)), tag("HIDDEN_ATTRIBUTE", every(h, r"(?is)<[a-z]+\b[^>]*\shidden(?:\s|=|>)[^>]*>?")), tag("HIDDEN_CSS", every(h, css)), tag("BASE64_TEXT", blobs), tag("HEX_ESCAPES", every(t, r"(?:\\x[0-9a-fA-F]{2}){4,}")), tag("PERCENT_ESCAPES", every(t, r"(?:%[0-9a-fA-F]{2}){4,}")), tag("HTML_ENTITIES", every(h, r"(?:&#x?[0-9a-fA-F]+;){4,}"))]
-    return messages.select(key, F.inline(F.concat(*arrays)))
-
-
-# Kinds of evidence that are encoded blobs.
-BLOBS = ["BASE64_TEXT", "HEX_ESCAPES", "PERCENT_ESCAPES", "HTML_ENTITIES"]
-
-
-def decoded_blobs(findings: DataFrame) -> DataFrame:
-    """Blobs of hidden_content's findings with their decoded text, its sha256, and what it holds: injection, script names, a link."""
-    b = findings.filter(F.col("kind").isin(BLOBS))
-    hexed = F.regexp_replace("evidence", r"(?i)\\x|%", "")
-    points = F.transform(F.regexp_extract_all("evidence", F.lit(r"&#(x?[0-9a-fA-F]+);"), F.lit(1)), lambda x: F.when(F.startswith(x, F.lit("x")), F.conv(F.substring(x, 2, 8), 16, 10)).otherwise(x).try_cast("int"))
-    text = F.when(F.col("kind") == "BASE64_TEXT", decoded_base64(F.col("evidence"))).when(F.col("kind") == "HTML_ENTITIES", F.array_join(F.transform(points, lambda n: F.when(n < 256, F.char(n)).otherwise("?")), "")).otherwise(F.decode(F.unhex(hexed), "UTF-8"))
-    out = b.withColumn("decoded", F.coalesce(text, F.lit("")))
-    injection = reduce(lambda a, c: a | c, (F.col("decoded").rlike(p) for p in rules.PROMPT_INJECTION[4]))
-    return out.withColumns({
-        "sha256": F.sha2(F.col("decoded").cast("binary"), 256), "injection": injection, "scripts": rules.seen(F.col("decoded"), rules.SCRIPT_NAMES, rules.SCRIPT_PAYLOADS[4]),
-        "has_link": F.col("decoded").rlike(r"(?i)\b(?:https?|ftp)://"),
-    })
-
-
-def hidden_report(findings: DataFrame, key: str) -> DataFrame:
-    """Score and verdict per message of hidden_content's findings.
-
-    50 for an injection, 50 for a script, 30 for zero-width characters, 30 for 50 hidden characters or 15 for any, and for each blob
-    25 (suspicious), 15 (with a link) or 10; HIGH_RISK at 60, or with an injection or script; SUSPICIOUS with anything.
-    """
-    hidden = ~F.col("kind").isin(*BLOBS, "ZERO_WIDTH")
-    injection = reduce(lambda a, c: a | c, (F.col("evidence").rlike(p) for p in rules.PROMPT_INJECTION[4]))
-    plain = findings.filter(~F.col("kind").isin(BLOBS)).select(key, (F.col("kind") == "ZERO_WIDTH").alias("zero"), F.when(hidden, F.length("evidence")).otherwise(0).alias("chars"), (hidden & injection).alias("injection"), F.lit(False).alias("script"), F.lit(0).alias("points"), F.lit(0).alias("blob"))
-    b = decoded_blobs(findings)
-    odd = F.col("injection") | (F.size("scripts") > 0)
-    blobs = b.select(key, F.lit(False).alias("zero"), F.lit(0).alias("chars"), "injection", (F.size("scripts") > 0).alias("script"), F.when(odd, 25).when(F.col("has_link"), 15).otherwise(10).alias("points"), F.lit(1).alias("blob"))
-    out = plain.unionByName(blobs).groupBy(key).agg(F.bool_or("zero").alias("zero_width"), F.sum("chars").alias("hidden_chars"), F.bool_or("injection").alias("injection"), F.bool_or("script").alias("script"), F.sum("points").alias("_p"), F.sum("blob").alias("blobs"), F.count("*").alias("findings"))
-    score = F.when(F.col("injection"), 50).otherwise(0) + F.when(F.col("script"), 50).otherwise(0) + F.when(F.col("zero_width"), 30).otherwise(0) + F.when(F.col("hidden_chars") >= 50, 30).when(F.col("hidden_chars") > 0, 15).otherwise(0) + F.col("_p")
-    out = out.withColumn("score", F.least(F.lit(100), score).cast("int")).drop("_p")
-    some = (F.col("score") >= 20) | (F.col("hidden_chars") > 0) | F.col("zero_width") | (F.col("blobs") > 0)
-    return out.withColumn("verdict", F.when((F.col("score") >= 60) | F.col("injection") | F.col("script"), "HIGH_RISK").when(some, "SUSPICIOUS").otherwise("CLEAN"))
-
-
 def without_hidden(text: Column) -> Column:
     return F.translate(text, ZERO_WIDTH, "")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domains import registered_domain, tld
+from ..functions.suffixes import SuffixRules
 from .messages import DISPOSABLE, FREEMAIL, dkim_tags
 
 # Beginnings of SPF terms that ask the DNS, the most of them that are allowed, and strictness by the first sign of `all`.
@@ -57,13 +58,13 @@ def dkim_key(record: Column) -> dict[str, Column]:
     return {"key_type": F.lower(F.coalesce(tags["k"], F.lit("rsa"))), "preview": F.when(F.length(key) > 24, F.concat(F.substring(key, 1, 16), F.lit("..."), F.right(key, F.lit(8)))).otherwise(key), "valid": key != ""}
 
 
-def category(name: Column, lookalike: Column, has_mx: Column, has_address: Column) -> Column:
-    apex = registered_domain(name)
+def category(name: Column, lookalike: Column, has_mx: Column, has_address: Column, suffixes: SuffixRules | None = None) -> Column:
+    apex = registered_domain(name, suffixes)
     public = tld(name).isin(PUBLIC_SUFFIXES) | F.substring_index(name, ".", -2).isin(PUBLIC_SUFFIXES)
     return F.when(lookalike, "LOOKALIKE").when(apex.isin(DISPOSABLE), "DISPOSABLE").when(apex.isin(FREEMAIL), "FREEMAIL").when(public, "GOVERNMENT_EDU").when(~has_mx & ~has_address, "UNRESOLVED").otherwise("CORPORATE")
 
 
-def assessed(domains: DataFrame) -> DataFrame:
+def assessed(domains: DataFrame, suffixes: SuffixRules | None = None) -> DataFrame:
     """Category, score and tier of names (as logs.posture gives them) with brand_risk (CRITICAL, HIGH_RISK or null) and is_email (whether an address was asked for).
 
     Points: brand 55 or 35, disposable 40, SPF missing 15, permissive 25 or neutral 10, DMARC missing 20 or none 10, no MX for an address 15, unresolved 20.
@@ -71,10 +72,10 @@ def assessed(domains: DataFrame) -> DataFrame:
     s, d = spf(F.col("spf")), dmarc(F.col("dmarc"))
     has_mx = F.size("mx") > 0
     out = domains.withColumns({"spf_strictness": s["strictness"], "spf_lookups": s["lookups"], "dmarc_enforcement": d["enforcement"], "has_mx": has_mx})
-    out = out.withColumn("category", category(F.col("name"), F.col("brand_risk").isNotNull(), F.col("has_mx"), F.col("addresses") > 0))
+    out = out.withColumn("category", category(F.col("name"), F.col("brand_risk").isNotNull(), F.col("has_mx"), F.col("addresses") > 0, suffixes))
     points = lambda *cases: sum((F.when(c, p).otherwise(0) for c, p in cases[1:]), F.when(cases[0][0], cases[0][1]).otherwise(0))
     score = points(
-        (F.coalesce(F.col("brand_risk") == "CRITICAL", F.lit(False)), 55), (F.coalesce(F.col("brand_risk") == "HIGH_RISK", F.lit(False)), 35), (registered_domain(F.col("name")).isin(DISPOSABLE), 40),
+        (F.coalesce(F.col("brand_risk") == "CRITICAL", F.lit(False)), 55), (F.coalesce(F.col("brand_risk") == "HIGH_RISK", F.lit(False)), 35), (registered_domain(F.col("name"), suffixes).isin(DISPOSABLE), 40),
         (F.col("spf_strictness") == "MISSING", 15), (F.col("spf_strictness") == "PERMISSIVE", 25), (F.col("spf_strictness") == "NEUTRAL", 10), (F.col("dmarc_enforcement") == "MISSING", 20), (F.col("dmarc_enforcement") == "NONE", 10),
         (~F.col("has_mx") & F.col("is_email"), 15), (F.col("category") == "UNRESOLVED", 20),
     )

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import matches
+from ..functions.arrays import matches, plus, running
 
 # Instructions that try to take over a model.
 PROMPT_INJECTION = ("prompt_injection", "any", "HIGH", 30, [
@@ -58,17 +58,37 @@ def seen(text: Column, names: Sequence[str], patterns: Sequence[str]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in zip(names, patterns))))
 
 
-def located(df: DataFrame, rules: Sequence[Rule], text: str, keep: list[str]) -> DataFrame:
-    """keep, rule, pattern, offset, value of every match of rules that hit; offsets of a chunk that tells its own (chunk_off) count from the image's start, and a match that overlapping chunks share comes once."""
-    value = F.col(text)
-    base = F.col("chunk_off") if "chunk_off" in df.columns else F.lit(0).cast("long")
-
-    def one(name: str, n: int, p: str) -> Column:
-        return F.transform(matches(value, p), lambda m: F.struct(F.lit(name).alias("rule"), F.lit(n).alias("pattern"), (base + m["start"]).alias("offset"), m["value"].alias("value")))
+def located(df: DataFrame, rules: Sequence[Rule], text: str, keep: list[str], overlap: int = 64) -> DataFrame:
+    """keep, rule, pattern, offset, value of every match of rules that hit, from left to right without overlaps.
 
-    found = [one(name, n, p) for name, _, _, _, patterns in rules for n, p in enumerate(patterns)]
+    Chunks of a text that tell their own offset (chunk_off) and share `overlap` characters give the matches of the whole text, as long as a
+    match and what it looks at beside it are within overlap / 2 characters: all places where a match can begin are taken, each from
+    the chunk that shows most around it, and of places that overlap those that a search from the text's start finds stay.
+    """
+    value = F.col(text)
     some = "|".join(f"(?:{p})" for _, _, _, _, patterns in rules for p in patterns)
-    return df.filter(value.rlike(some)).select(*keep, F.inline(F.concat(*found))).distinct()
+    hit = df.filter(value.rlike(some))
+    named = [(name, n, p) for name, _, _, _, patterns in rules for n, p in enumerate(patterns)]
+    row = lambda name, n, offset, v: F.struct(F.lit(name).alias("rule"), F.lit(n).alias("pattern"), offset.alias("offset"), v.alias("value"))
+    if "chunk_off" not in df.columns:
+        every = lambda name, n, p: F.transform(matches(value, p), lambda m: row(name, n, m["start"].cast("long"), m["value"]))
+        return hit.select(*keep, F.inline(F.concat(*(every(*x) for x in named))))
+
+    def begins(name: str, n: int, p: str) -> Column:
+        places = F.slice(running(F.transform(F.split(value, f"(?={p})", -1), F.length), plus), 1, F.size(F.split(value, f"(?={p})", -1)) - 1)
+        places = F.when(value.rlike(rf"\A(?:{p})"), F.concat(F.array(F.lit(0)), F.filter(places, lambda x: x > 0))).otherwise(places)
+        return F.zip_with(places, F.regexp_extract_all(value, F.lit(f"(?=({p}))"), F.lit(1)), lambda at, v: row(name, n, F.col("chunk_off") + at, v))
+
+    found = hit.select(*keep, "chunk_off", F.inline(F.concat(*(begins(*x) for x in named)))).filter((F.col("chunk_off") == 0) | (F.col("offset") - F.col("chunk_off") >= overlap // 2))
+    one = [*keep, "rule", "pattern"]
+    found = found.groupBy(*one, "offset").agg(F.max_by("value", "chunk_off").alias("value"))
+    ordered = Window.partitionBy(*one).orderBy("offset")
+    before = F.max(F.col("offset") + F.length("value")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("_new", F.coalesce(F.col("offset") >= before, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    places = F.array_sort(F.collect_list(F.struct("offset", "value")))  # of places that overlap one another
+    first = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<struct<offset:bigint,value:string>>").alias("kept"))
+    step = lambda acc, x: F.when(x["offset"] >= acc["end"], F.struct((x["offset"] + F.length(x["value"])).alias("end"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+    return found.groupBy(*one, "_run").agg(F.aggregate(places, first, step, lambda acc: acc["kept"]).alias("_kept")).select(*one, F.inline("_kept"))
 
 
 def attributed(hits: DataFrame, key: str, family: str = "rule") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks, streaming
 from ..functions import domains, network, text
-from ..operators import alerts, auth_logs, cloud, custody, dns, enrich, flows, iocs, messages, processes, risk, routes, rules, timeline
+from ..operators import alerts, auth_logs, cloud, custody, dns, enrich, flows, hidden, iocs, messages, processes, risk, routes, rules, timeline
 from ..operators import files as triage
 
 from ..staging import folder
@@ -346,7 +346,7 @@ def link_reports(spark, sf_dir):
 
 @query
 def html_comments(spark, sf_dir):
-    found = messages.hidden_content(table(spark, sf_dir, "pages").withColumn("text", F.lit("")), "page_id", "html", "text", least_comment=3)
+    found = hidden.content(table(spark, sf_dir, "pages").withColumn("text", F.lit("")), "page_id", "html", "text", least_comment=3)
     return found.filter("kind = 'HTML_COMMENT'").groupBy("page_id").agg(F.count("*").alias("comments"), F.max(F.length("evidence")).alias("longest"))
 
 
@@ -456,7 +456,7 @@ def encoded_blobs(spark, sf_dir):
     """Blobs in whole texts and in their encodings, which Spark breaks into lines."""
     encoded = F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", encoded).alias("text"), F.lit("").alias("html"))
-    return messages.hidden_content(d, "doc_id", "html", "text").filter("kind = 'BASE64_TEXT'").select("doc_id", F.length("evidence").alias("n"))
+    return hidden.content(d, "doc_id", "html", "text").filter("kind = 'BASE64_TEXT'").select("doc_id", F.length("evidence").alias("n"), F.length("decoded").alias("chars"))
 
 
 @query

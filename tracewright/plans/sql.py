@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import domains, network, text
+from ..functions import domains, network, suffixes, text
 from ..functions.network import bounds
 from ..operators import auth_logs, dns, iocs, processes, risk, rules
 
@@ -29,7 +29,7 @@ def words(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-TWO = words(domains.TWO_LABEL_SUFFIXES)
+TWO = words(suffixes.DEFAULT.of("plain", 2))
 APEX = f"""array_to_string(list_slice(string_split({{0}}, '.'), CASE WHEN array_to_string(list_slice(string_split({{0}}, '.'), -2, -1), '.') IN ({TWO}) THEN -3 ELSE -2 END, -1), '.')"""
 IP = r"""CASE WHEN list_max([x::BIGINT FOR x IN string_split(value, '.')]) <= 255 THEN list_reduce([x::BIGINT FOR x IN string_split(value, '.')], lambda a, b: a * 256 + b) END"""
 IPS = rf"""ip0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b')) AS value FROM documents), ips AS (SELECT doc_id, value AS ip, {IP} AS number FROM ip0 WHERE ({IP}) IS NOT NULL)"""
@@ -148,7 +148,7 @@ SQL["link_reports"] = f"""WITH {HOSTS}, f AS (SELECT *, least(100, {POINTS}) AS
   CASE WHEN list_has_any({KEYS}, [{words(domains.IDENTITY_PARAMETERS)}]) THEN 'CREDENTIAL_PHISH_PARAM' END, CASE WHEN list_has_any({KEYS}, [{words(domains.REDIRECT_PARAMETERS)}]) THEN 'OPEN_REDIRECT_PARAM' END], lambda x: x IS NOT NULL) AS flags FROM n),
   g AS (SELECT array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS site, count(*) AS links, count(DISTINCT {A}) AS domains, array_to_string(list_sort(list_distinct(flatten(list(flags)))), ',') AS flags, max(points) AS score FROM f GROUP BY 1)
   SELECT *, CASE WHEN score >= 60 THEN 'MALICIOUS' WHEN score >= 20 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS verdict FROM g"""
-SQL["html_comments"] = "WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS c FROM pages) SELECT page_id, count(*) AS comments, max(length(substr(c, 1, 200)))::INT AS longest FROM c WHERE length(trim(c, ' ')) >= 3 GROUP BY 1"
+SQL["html_comments"] = "WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS c FROM pages) SELECT page_id, count(*) AS comments, max(length(trim(c, ' ')))::INT AS longest FROM c WHERE length(trim(c, ' ')) >= 3 GROUP BY 1"
 SQL["text_entropy"] = f"WITH {HOSTS} SELECT page_id, {ENTROPY.format('name')} AS entropy FROM n"
 _LETTERS = "len(regexp_extract_all(l, '[a-zA-Z]'))"
 _VOWELS = f"CASE WHEN {_LETTERS} > 0 THEN len(regexp_extract_all(lower(l), '[aeiou]')) / {_LETTERS} ELSE 0 END"

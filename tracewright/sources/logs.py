@@ -5,28 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.maps import first_of_each, text_map
+from . import records
+
 EVENTS = "event_id int, record_id bigint, ts timestamp, provider string, data map<string,string>"
 
 
-def _typed(rows: DataFrame, raw: str) -> DataFrame:
-    """Events from JSON objects; root values stand in for those that EventData lacks."""
-    text = lambda *paths: F.coalesce(*(F.get_json_object(raw, f"$.{p}") for p in paths))
-    root = F.from_json(raw, "map<string,string>")
-    inner = F.from_json(F.coalesce(text("EventData"), F.lit("{}")), "map<string,string>")
-    extra = F.map_filter(root, lambda k, v: ~k.isin("EventData", "Event") & ~F.map_contains_key(inner, k))
-    return rows.select(
+def event_objects(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """Events from rows with JSON objects; root values stand in for those that EventData lacks. Rows that hold none are left out: rejected_events has them."""
+    obj = records.good(records.objects(rows, raw))
+    text = lambda *paths: records.field("object", *paths)
+    none = F.create_map().cast("map<string,string>")
+    inner = F.coalesce(records.fields("object", ".EventData"), none)
+    extra = F.map_filter(records.fields("object"), lambda k, v: ~k.isin("EventData", "Event") & ~F.map_contains_key(inner, k))
+    return obj.select(
         text("EventID", "System.EventID", "event_id").try_cast("int").alias("event_id"), text("RecordId", "EventRecordID", "record_id").try_cast("bigint").alias("record_id"),
-        F.try_to_timestamp(text("Timestamp", "TimeCreated", "UtcTime", "ts")).alias("ts"), text("Provider", "ProviderName").alias("provider"), F.map_concat(inner, F.coalesce(extra, F.create_map().cast("map<string,string>"))).alias("data"),
+        F.try_to_timestamp(text("Timestamp", "TimeCreated", "UtcTime", "ts")).alias("ts"), text("Provider", "ProviderName").alias("provider"), F.map_concat(inner, F.coalesce(extra, none)).alias("data"),
     )
 
 
-def read_event_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Lists, {"Events": [...]}, single objects, or one object a line. A file is one row; with `lines` each line is one, and files are split."""
+def _event_texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     if lines:
-        return _typed(spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("raw")), "raw")
+        return spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("raw"))
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
     many = F.coalesce(F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>"), F.from_json(F.get_json_object("value", "$.Events"), "array<string>"), F.filter(F.split("value", r"\r?\n(?=\s*\{\s*\")"), lambda x: F.length(F.trim(x)) > 0))
-    return _typed(whole.select(F.explode(many).alias("raw")), "raw")
+    return whole.select(F.explode(many).alias("raw"))
+
+
+def read_event_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Lists, {"Events": [...]}, single objects, or one object a line. A file is one row; with `lines` each line is one, and files are split."""
+    return event_objects(_event_texts(spark, path, lines))
+
+
+def rejected_events(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """raw, reason of the records that read_event_json leaves out."""
+    return records.rejects(records.objects(_event_texts(spark, path, lines)))
 
 
 def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -39,11 +52,9 @@ def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
     user = F.regexp_extract_all(F.regexp_extract("raw", r"(?s)<UserData\b[^>]*>(.*)</UserData>", 1), F.lit(r"<([\w:]+)(?:\s[^>]*)?>([^<]*)</"), F.lit(0))
     own = F.transform(user, lambda d: F.struct(F.regexp_extract(d, r"^<(?:\w+:)?(\w+)", 1).alias("k"), plain(F.regexp_extract(d, r">([^<]*)</", 1)).alias("v")))
     pairs = F.concat(pairs, own)
-    names = F.transform(pairs, lambda p: p["k"])
-    pairs = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
     return block.select(
         one(r"<EventID[^>]*>\s*(\d+)").try_cast("int").alias("event_id"), one(r"<EventRecordID[^>]*>\s*(\d+)").try_cast("bigint").alias("record_id"), F.try_to_timestamp(one(r"SystemTime\s*=\s*[\"']([^\"']+)")).alias("ts"),
-        F.nullif(one(r"<Provider\s[^>]*Name\s*=\s*[\"']([^\"']+)"), F.lit("")).alias("provider"), F.map_from_entries(pairs).alias("data"),
+        F.nullif(one(r"<Provider\s[^>]*Name\s*=\s*[\"']([^\"']+)"), F.lit("")).alias("provider"), first_of_each(pairs).alias("data"),
     )
 
 
@@ -70,7 +81,7 @@ def process_events(events: DataFrame) -> DataFrame:
     d = lambda k: F.col("data")[k]
     return events.filter("event_id = 1").select(
         "record_id", "ts", d("ProcessGuid").alias("guid"), numbers(d("ProcessId")).alias("pid"), d("ParentProcessGuid").alias("parent_guid"), numbers(d("ParentProcessId")).alias("parent_pid"),
-        d("Image").alias("image"), d("CommandLine").alias("command_line"), d("ParentImage").alias("parent_image"), d("User").alias("user"), F.str_to_map(F.coalesce(d("Hashes"), F.lit("")), F.lit(","), F.lit("=")).alias("hashes"),
+        d("Image").alias("image"), d("CommandLine").alias("command_line"), d("ParentImage").alias("parent_image"), d("User").alias("user"), text_map(d("Hashes"), ",", "=").alias("hashes"),
     )
 
 
@@ -83,7 +94,7 @@ def network_events(events: DataFrame) -> DataFrame:
 def image_loads(events: DataFrame) -> DataFrame:
     """Modules that processes load (event 7); signed as a boolean, hashes as a map."""
     d = lambda k: F.col("data")[k]
-    return events.filter("event_id = 7").select("record_id", "ts", d("ProcessGuid").alias("guid"), numbers(d("ProcessId")).alias("pid"), d("Image").alias("image"), d("ImageLoaded").alias("loaded"), (F.lower(d("Signed")) == "true").alias("signed"), d("Signature").alias("signature"), F.str_to_map(F.coalesce(d("Hashes"), F.lit("")), F.lit(","), F.lit("=")).alias("hashes"))
+    return events.filter("event_id = 7").select("record_id", "ts", d("ProcessGuid").alias("guid"), numbers(d("ProcessId")).alias("pid"), d("Image").alias("image"), d("ImageLoaded").alias("loaded"), (F.lower(d("Signed")) == "true").alias("signed"), d("Signature").alias("signature"), text_map(d("Hashes"), ",", "=").alias("hashes"))
 
 
 def file_events(events: DataFrame) -> DataFrame:

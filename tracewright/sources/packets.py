@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.maps import first_of_each
+
 FRAMES = "path string, packet_num long, ts_micros long, link int, wire_len int, frame binary"
 DNS = "id int, is_response boolean, rcode int, section string, name string, rtype string, ttl long, rdata string"
 
@@ -202,9 +204,8 @@ def http_requests(packets: DataFrame) -> DataFrame:
     head = F.substring_index(text, "\r\n\r\n", 1)
     one = lambda p: F.nullif(F.regexp_extract(head, p, 1), F.lit(""))
     lines = F.filter(F.split(head, "\r\n"), lambda x: x.rlike(r"^[A-Za-z0-9-]+:"))
-    names = F.transform(lines, lambda x: F.lower(F.substring_index(x, ":", 1)))
     entries = F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, "(?s)^[^:]*:(.*)$", 1)).alias("v")))
-    headers = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["k"]) == i + 1))
+    headers = first_of_each(entries)
     return packets.filter(text.rlike(r"^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) |^HTTP/1\.")).select(
         "path", "packet_num", "ts", one(r"^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) ").alias("method"), one(r"^\w+ (\S+) HTTP/").alias("target"), F.lower(headers["host"]).alias("host"),
         headers["user-agent"].alias("user_agent"), one(r"^HTTP/1\.\d (\d{3})").try_cast("int").alias("status"), headers.alias("headers"), F.substring(F.regexp_extract(text, r"(?s)\r\n\r\n(.*)$", 1), 1, 256).alias("body"),
@@ -265,21 +266,29 @@ def tls_hellos(packets: DataFrame) -> DataFrame:
 
 
 def cleartext_credentials(payloads: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """protocol, username, masked secret of every credential in clear text: HTTP Basic and Bearer, FTP and POP3, IMAP, Telnet, SMTP PLAIN and LOGIN."""
+    """protocol, username, masked secret of every credential in clear text: HTTP Basic and Bearer, FTP and POP3, IMAP, Telnet, SMTP PLAIN and LOGIN. A password belongs to the user named last before it."""
     from ..functions.text import decoded_base64, masked
 
     value = F.col(text)
     every = lambda p, g=1: F.regexp_extract_all(value, F.lit(p), F.lit(g))
     none = F.lit(None).cast("string")
     row = lambda protocol, user, secret: F.struct(F.lit(protocol).alias("protocol"), user.alias("username"), secret.alias("secret"))
-    both = lambda protocol, users, secrets: F.zip_with(users, F.slice(secrets, 1, F.greatest(F.size(users), F.lit(1))), lambda u, s: row(protocol, u, s))
+    both = lambda protocol, users, secrets: F.zip_with(users, secrets, lambda u, s: row(protocol, u, s))
+
+    def lines(protocol: str, user: str, secret: str) -> Column:
+        """Each secret with the user named last before it, if any."""
+        said = every(rf"(?im)^(?:{user}|{secret})\s*\S+", 0)
+        value = lambda x, word: F.regexp_extract(x, rf"(?i)^(?:{word})\s*(\S+)", 1)
+        named = lambda i: F.filter(F.slice(said, 1, i), lambda x: x.rlike(f"(?i)^{user}"))
+        return F.filter(F.transform(said, lambda x, i: F.when(x.rlike(f"(?i)^{secret}"), row(protocol, value(F.get(F.slice(named(i), -1, 1), F.lit(0)), user), value(x, secret)))), lambda r: r.isNotNull())
+
     basic = F.transform(F.transform(every(r"(?i)authorization:\s*basic\s+([A-Za-z0-9+/=]+)"), decoded_base64), lambda d: row("HTTP_BASIC", F.substring_index(d, ":", 1), F.nullif(F.regexp_extract(d, "(?s)^[^:]*:(.*)$", 1), F.lit(""))))
     plain = F.transform(F.transform(every(r"(?im)^AUTH PLAIN\s+([A-Za-z0-9+/=]+)"), decoded_base64), lambda d: row("SMTP_PLAIN", F.regexp_extract(d, r"^[^\x00]*\x00([^\x00]*)\x00", 1), F.nullif(F.regexp_extract(d, r"\x00([^\x00]*)$", 1), F.lit(""))))
     login = r"(?im)^AUTH LOGIN\s*\r?\n([A-Za-z0-9+/=]+)\r?\n([A-Za-z0-9+/=]+)"
     imap = r"(?im)^(?!AUTH )\S+ +LOGIN +\"?([^\s\"]+)\"? +\"?([^\s\"]+)"
     rows = F.concat(
-        basic, F.transform(every(r"(?i)authorization:\s*bearer\s+(\S+)"), lambda t: row("HTTP_BEARER", none, t)), both("FTP_OR_POP3", every(r"(?im)^USER\s+(\S+)"), every(r"(?im)^PASS\s+(\S+)")),
-        both("IMAP", every(imap), every(imap, 2)), both("TELNET", every(r"(?im)^login:\s*(\S+)"), every(r"(?im)^password:\s*(\S+)")),
+        basic, F.transform(every(r"(?i)authorization:\s*bearer\s+(\S+)"), lambda t: row("HTTP_BEARER", none, t)), lines("FTP_OR_POP3", r"USER\s", r"PASS\s"),
+        both("IMAP", every(imap), every(imap, 2)), lines("TELNET", "login:", "password:"),
         plain, both("SMTP_LOGIN", F.transform(every(login), decoded_base64), F.transform(every(login, 2), decoded_base64)),
     )
     return payloads.select(*keep, F.inline(F.filter(rows, lambda x: x["secret"].isNotNull()))).withColumn("secret", masked(F.col("secret")))

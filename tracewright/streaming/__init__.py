@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
@@ -100,13 +100,19 @@ def near_alerts(alerts: DataFrame, rows: DataFrame, seconds: int = 60, late: str
     return a.join(r, (F.col("_user") == F.col("user")) & (F.col("ts") > F.col("alert_ts") - gap) & (F.col("ts") < F.col("alert_ts") + gap)).drop("_user")
 
 
+def _last_batch(spark: SparkSession, out: str) -> int:
+    """The number of the last batch that has a folder, from this run or one before; -1 without any. A batch that did not end is run again and writes the same folder."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    names = [f.getPath().getName() for f in top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(top)]
+    return max((int(n[6:]) for n in names if n.startswith("batch=") and n[6:].isdigit()), default=-1)
+
+
 def drained(stream: DataFrame, mode: str, checkpoint: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """All that the stream's sources hold now, run once: rows appended to a Parquet folder, or the result after the last batch.
 
     In complete mode each batch holds the whole result; in update mode a batch replaces the rows of its keys, and the
     rows of other keys stay. Batches go to folders of their own, so a batch that runs again writes the same.
     """
-    done: list[int] = []
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
@@ -114,7 +120,6 @@ def drained(stream: DataFrame, mode: str, checkpoint: str, out: str, keys: list[
 
         def keep(df: DataFrame, n: int) -> None:
             df.write.mode("overwrite").parquet(f"{out}/batch={n}")
-            done.append(n)
 
         query = writer.foreachBatch(keep).start()
     query.awaitTermination()
@@ -124,7 +129,7 @@ def drained(stream: DataFrame, mode: str, checkpoint: str, out: str, keys: list[
     spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(out)  # a folder, also after no batch
     found = spark.read.schema(schema).parquet(out)
     if mode == "complete":
-        return found.filter(F.col("batch") == max(done, default=-1)).drop("batch")
+        return found.filter(F.col("batch") == _last_batch(spark, out)).drop("batch")
     if not keys:
         raise ValueError("update mode needs the keys of its rows")
     rest = [c for c in stream.columns if c not in keys]
