@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.network import ip_number, is_private, is_tor
+from ..functions.network import address, ip_number, is_private, is_private_address, is_tor, is_tor_address, prefix
 from ..functions.text import transliterated
 
 # Cloud providers, their networks and words of their names, first match wins.
@@ -64,6 +64,32 @@ def in_range(ips: DataFrame, ranges: DataFrame, number: str, keep: list[str], sh
     return ips.join(best, number, "left").select(*ips.columns, *(F.col(f"_r.{c}").alias(c) for c in keep))
 
 
+def networks(cidrs: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """bits (0 to 128; 96 more for IPv4) and prefix of networks of both versions; what is none is left out."""
+    start, size = F.substring_index(cidr, "/", 1), F.substring_index(cidr, "/", -1).try_cast("int")
+    four = ip_number(F.trim(start)).isNotNull()
+    whole = F.when(four, 32).otherwise(128)
+    bits = F.when(F.contains(cidr, F.lit("/")), size).otherwise(whole)
+    found = cidrs.withColumn("_a", address(start)).withColumn("bits", F.when(bits.between(0, whole), bits + F.when(four, 96).otherwise(0)))
+    return found.withColumn("prefix", prefix(F.col("_a"), F.col("bits"))).filter("prefix is not null").drop("_a")
+
+
+def in_networks(ips: DataFrame, nets: DataFrame, ip: str, keep: list[str]) -> DataFrame:
+    """ips of either version with the columns of the longest of nets (as networks gives them) that holds them, null if none does.
+
+    One join on equal (bits, prefix), for each length of prefix that the networks have: 129 at most, whatever their number. Distinct
+    addresses are looked up once.
+    """
+    lengths = sorted(r["bits"] for r in nets.select("bits").distinct().collect())
+    found = ips.withColumn("_address", address(F.col(ip)))
+    if not lengths:
+        return found.drop("_address").select(*ips.columns, *(F.lit(None).cast(dict(nets.dtypes)[c]).alias(c) for c in keep))
+    once = found.select("_address").filter("_address is not null").distinct()
+    probes = once.withColumn("bits", F.explode(F.array(*map(F.lit, lengths)))).withColumn("prefix", prefix(F.col("_address"), F.col("bits")))
+    best = probes.join(nets.select("bits", "prefix", *keep), ["bits", "prefix"]).groupBy("_address").agg(F.max_by(F.struct(*keep), F.struct("bits", *keep)).alias("_r"))
+    return found.join(best, "_address", "left").select(*ips.columns, *(F.col(f"_r.{c}").alias(c) for c in keep))
+
+
 def provider(asn: Column, org: Column) -> Column:
     """The first provider with this network number, or whose words are in the organisation's name."""
     out = F.lit(None).cast("string")
@@ -78,13 +104,17 @@ def ip_risk(number: Column, asn: Column, org: Column) -> Column:
     return F.when(is_private(number), 10).when(is_tor(number), 85).when(asn.isin(VPN_NETWORKS), 65).when(provider(asn, org).isNotNull(), 45).otherwise(35)
 
 
+def address_risk(address_: Column, asn: Column, org: Column) -> Column:
+    """ip_risk of addresses of either version, as network.address gives them."""
+    return F.when(is_private_address(address_), 10).when(is_tor_address(address_), 85).when(asn.isin(VPN_NETWORKS), 65).when(provider(asn, org).isNotNull(), 45).otherwise(35)
+
+
 def enriched_ips(ips: DataFrame, sources: list[DataFrame], ip: str = "ip", fields: tuple[str, ...] = ("country", "asn", "org")) -> DataFrame:
-    """ips with each field from the first source (ip, fields) that has it; private addresses take none."""
-    number = ip_number(F.col(ip))
+    """ips of either version with each field from the first source (ip, fields) that has it; private addresses take none."""
     once = ips.select(ip).distinct()
     for i, source in enumerate(sources):
         once = once.join(source.select(F.col("ip").alias(ip), *(F.col(f).alias(f"_{i}_{f}") for f in fields)), ip, "left")
-    known = once.withColumn("_private", F.coalesce(is_private(number), F.lit(False)))
+    known = once.withColumn("_private", F.coalesce(is_private_address(address(F.col(ip))), F.lit(False)))
     known = known.select(ip, *(F.when(~F.col("_private"), F.coalesce(*(F.col(f"_{i}_{f}") for i in range(len(sources))))).alias(f) for f in fields))
     return ips.join(known, ip, "left")
 

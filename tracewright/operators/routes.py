@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.network import ip_number, is_private
+from ..functions.network import address, is_private_address
 from ..functions.times import parsed_time
 
 MOST_DELAY = 86400
@@ -43,8 +43,8 @@ def time_travel(hops: DataFrame, key: str = "message_key", hop: str = "hop") ->
 
 def origins(hops: DataFrame, key: str = "message_key") -> DataFrame:
     """The first hop with a public address, else hop 1, and the seconds in transit. hops: hop, from_ip, delay."""
-    number = ip_number(F.col("from_ip"))
-    public = number.isNotNull() & ~is_private(number)
+    own = address(F.col("from_ip"))
+    public = own.isNotNull() & ~is_private_address(own)
     return hops.groupBy(key).agg(
         F.min_by("from_ip", F.struct((~F.coalesce(public, F.lit(False))).alias("p"), F.col("hop"))).alias("origin"), F.count("*").alias("hops"), F.sum(F.greatest(F.lit(0.0), F.coalesce("delay", F.lit(0.0)))).alias("transit")
     )

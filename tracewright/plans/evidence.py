@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..functions import domains, suffixes, text, times
+from ..sinks.files import write_files
+from ..functions import domains, network, suffixes, text, times
 from ..operators import auth_logs, cloud, custody, dns, enrich, flows, hidden, iocs, messages, posture, processes, risk, routes, rules, timeline
 from ..operators import files as triage
-from ..sources import logs, mail, packets, records
+from ..sources import logs, mail, packets, ranges, records
 from ..staging import folder, staged
 from .catalogue import events, page_hosts, query, table
 
@@ -331,8 +332,8 @@ def _http_payload(n: Column) -> Column:
     return F.lower(F.hex(request))
 
 
-def _captures(spark, sf_dir) -> DataFrame:
-    """A capture file of each user's events: DNS over UDP, TLS, HTTP, an IPv6 packet and ARP in turn."""
+def _capture_files(spark, sf_dir) -> str:
+    """A folder with a capture of each user's events: DNS over UDP, TLS, HTTP, an IPv6 packet and ARP in turn; the frame after the last runs beyond the file."""
     e = events(spark, sf_dir).filter("user_id is not null")
     n = F.col("event_id")
     ether = F.lit("0a0b0c0d0e0f0a0b0c0d0e10")
@@ -347,18 +348,32 @@ def _captures(spark, sf_dir) -> DataFrame:
     frame = F.concat(ether, rest)
     size = F.length(frame) / 2
     record = F.concat(_hex(F.unix_seconds("ts"), 8), _hex(F.unix_micros("ts") % 1000000, 8), _hex(size, 8), _hex(size, 8), frame)
-    one = e.select(F.col("user_id"), F.struct("event_id", record.alias("r")).alias("x")).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["r"]), "").alias("h"))
+    name = F.concat(F.lit("u"), text_of("user_id"), F.lit(".pcap"))
     head = F.lit("a1b2c3d4" + "00020004" + "00000000" + "00000000" + "0000ffff" + "00000001")
-    return one.select(F.concat(F.lit("u"), text_of("user_id")).alias("path"), F.unhex(F.concat(head, "h")).alias("content"))
+    users = e.groupBy("user_id").agg(F.max("event_id").alias("last"))
+    pieces = e.select(name.alias("name"), F.col("event_id").alias("at"), F.unhex(record).alias("bytes")).unionByName(users.select(name.alias("name"), F.lit(-1).cast("long").alias("at"), F.unhex(head).alias("bytes")))
+    cut = users.select(name.alias("name"), (F.col("last") + 1).alias("at"), F.unhex(F.lit("00000001" + "00000000" + "00000040" + "00000040" + "aabb")).alias("bytes"))
+    path = folder(spark, "captures")
+    write_files(pieces.unionByName(cut), path)
+    return path
+
 
+def _packets(spark, sf_dir, **options) -> DataFrame:
+    """Whole packets of the captures."""
+    frames = packets.read_frames(spark, _capture_files(spark, sf_dir), **options).filter("not cut")
+    return packets.decoded(frames.withColumn("path", F.regexp_extract("path", r"(\w+)\.pcap$", 1)))
 
-def _packets(spark, sf_dir) -> DataFrame:
-    return packets.decoded(packets.frames(_captures(spark, sf_dir)))
+
+@query
+def capture_cuts(spark, sf_dir):
+    """Frames that run beyond their file."""
+    f = packets.read_frames(spark, _capture_files(spark, sf_dir), split_bytes=1 << 14).filter("cut")
+    return f.select(F.regexp_extract("path", r"(\w+)\.pcap$", 1).alias("path"), "packet_num", F.octet_length("frame").alias("bytes"))
 
 
 @query
 def capture_packets(spark, sf_dir):
-    p = _packets(spark, sf_dir)
+    p = _packets(spark, sf_dir, split_bytes=1 << 14)  # several ranges a file
     return p.select("path", "packet_num", "ts", "wire_len", "transport", "src", "src_port", "dst", "dst_port", F.array_join("flags", "+").alias("flags"), F.octet_length("payload").alias("payload"))
 
 
@@ -382,7 +397,7 @@ def capture_requests(spark, sf_dir):
 @query
 def capture_flows(spark, sf_dir):
     """Flows of a capture's packets with names from its requests and hellos, and the state of their connections."""
-    p = _packets(spark, sf_dir).filter("transport in ('TCP', 'UDP')")
+    p = staged(_packets(spark, sf_dir).filter("transport in ('TCP', 'UDP')"), "packets")
     sni = packets.tls_hellos(p).select("path", "packet_num", "sni")
     asked = packets.http_requests(p).select("path", "packet_num", F.col("host").alias("http_host"))
     named = p.join(sni, ["path", "packet_num"], "left").join(asked, ["path", "packet_num"], "left")
@@ -501,6 +516,20 @@ def mx_vendors(spark, sf_dir):
     return enrich.vendors(mx, patterns.filter("vendor <> 'any net'"))
 
 
+@query
+def address_networks(spark, sf_dir):
+    """Addresses of both versions in many forms, with the longest network that holds each, private ones marked."""
+    e = events(spark, sf_dir)
+    k, n = text_of("k"), text_of("event_id")
+    h = F.lower(F.hex("k"))
+    shapes = [F.concat(F.lit("10.1."), k, F.lit(".7")), F.concat(F.lit("2600:1f18:"), h, F.lit("::"), F.lower(F.hex(F.col("event_id") % 60000))), F.concat(F.lit("::ffff:203.0.113."), k), F.concat(F.lit("FE80::"), h, F.lit("%eth0")), F.concat(F.lit("[2600:1F18:0:0:0:0:0:"), h, F.lit("]")), F.concat(F.lit("300."), k, F.lit(".1.1")), F.concat(F.lit("1:2::3::"), h), F.concat(F.lit("9.9.9."), k)]
+    ips = e.select("event_id", F.element_at(F.array(*shapes), (F.col("event_id") % len(shapes) + 1).cast("int")).alias("ip"))
+    listed = e.select("k").distinct().select(F.concat(F.lit("2600:1f18:"), F.lower(F.hex("k")), F.lit("::/48")).alias("cidr"), F.concat(F.lit("site"), text_of("k")).alias("net")).filter("net like '%1'")
+    fixed = spark.createDataFrame([("10.0.0.0/8", "ten"), ("10.1.2.0/23", "ten-one"), ("2600:1f18::/32", "cloud"), ("203.0.113.0/25", "low"), ("203.0.113.128/25", "high"), ("::ffff:203.0.113.5/128", "five"), ("fe80::/10", "link"), ("no/8", "bad")], "cidr string, net string")
+    own = network.address(F.col("ip"))
+    return enrich.in_networks(ips, enrich.networks(fixed.unionByName(listed)), "ip", ["net"]).select("event_id", own.alias("address"), "net").withColumn("private", network.is_private_address(F.col("address")))
+
+
 @query
 def ip_intelligence(spark, sf_dir):
     """Addresses of texts with what a user's source says, and then what is known offline."""
@@ -715,9 +744,13 @@ def _chunks(spark, sf_dir) -> DataFrame:
 
 @query
 def image_strings(spark, sf_dir):
-    """Strings of images read in overlapping chunks, with the printable share of their bytes."""
-    sizes = table(spark, sf_dir, "pages").select(text_of("page_id").alias("image_id"), F.octet_length("html").alias("bytes"))
-    return triage.string_statistics(triage.strings(_chunks(spark, sf_dir), 6), "image_id", sizes)
+    """Strings of image files (fifty pages each) that are read by ranges, in overlapping pieces, with the printable share of their bytes."""
+    p = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).alias("image"), F.col("page_id").alias("at"), F.concat(F.coalesce("html", F.lit("")).cast("binary"), F.unhex(F.lit("0101"))).alias("bytes"))
+    path = folder(spark, "images")
+    sizes = write_files(p.select(F.concat(F.lit("i"), text_of("image"), F.lit(".bin")).alias("name"), "at", "bytes"), path)
+    named = lambda df, c: df.withColumn(c, F.regexp_extract(c, r"i(\d+)\.bin$", 1))
+    pieces = named(ranges.read_pieces(spark, path, piece_bytes=1 << 14, split_bytes=1 << 17), "image_id")
+    return triage.string_statistics(triage.strings(pieces, 6), "image_id", named(sizes.withColumnRenamed("path", "image_id"), "image_id"))
 
 
 @query

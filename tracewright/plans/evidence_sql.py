@@ -54,6 +54,7 @@ SQL["admin_events"] = rf"""WITH {E} SELECT event_id, event_type || n AS op, k::V
 CAP = f"""{E}, u AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS num, 'u' || user_id AS path, event_id % 5 AS m, '10.0.0.' || user_id % 250 AS host FROM e WHERE user_id IS NOT NULL),
   p AS (SELECT *, CASE WHEN m = 0 THEN 57 WHEN m = 1 THEN 75 + 10 WHEN m = 2 THEN 0 END AS x, length('GET /p0 HTTP/1.1') + 2 + length('Host: W0.example') + 2 + length('User-Agent: ua') + 2 + 2 * (length('X-Twice: 1') + 2) + 2 + 4 AS http FROM u),
   q AS (SELECT *, CASE m WHEN 0 THEN 48 WHEN 1 THEN 5 + 4 + 2 + 32 + 1 + 2 + 4 + 2 + 2 + 19 + 7 WHEN 2 THEN http WHEN 3 THEN 0 END AS payload FROM p)"""
+SQL["capture_cuts"] = f"""WITH {CAP} SELECT path, max(num) + 1 AS packet_num, 2 AS bytes FROM u GROUP BY 1"""
 SQL["capture_packets"] = f"""WITH {CAP} SELECT path, num AS packet_num, ts, CASE m WHEN 0 THEN 42 + payload WHEN 1 THEN 54 + payload WHEN 2 THEN 54 + payload WHEN 3 THEN 74 ELSE 42 END AS wire_len, CASE m WHEN 0 THEN 'UDP' WHEN 4 THEN 'ARP' ELSE 'TCP' END AS transport,
   CASE WHEN m = 3 THEN '2001:0db8:0000:0000:0000:0000:0000:0001' ELSE host END AS src, CASE m WHEN 0 THEN 53 WHEN 4 THEN NULL ELSE event_id % 1000 + 2000 END AS src_port,
   CASE m WHEN 3 THEN '2001:0db8:0000:0000:0000:0000:' || lpad(lower(to_hex(user_id // 65536)), 4, '0') || ':' || lpad(lower(to_hex(user_id % 65536)), 4, '0') WHEN 4 THEN '10.0.0.254' ELSE '203.0.113.1' END AS dst, CASE m WHEN 0 THEN event_id % 1000 + 3000 WHEN 1 THEN 443 WHEN 2 THEN 80 WHEN 3 THEN 443 END AS dst_port,
@@ -96,6 +97,9 @@ SQL["registered_domains"] = """WITH p AS (SELECT page_id, page_id::VARCHAR AS n,
     CASE m WHEN 0 THEN 'a' WHEN 1 THEN 'x' WHEN 2 THEN 'x.y' || n WHEN 3 THEN 'w' WHEN 5 THEN 'x' WHEN 7 THEN 'a' WHEN 9 THEN 'a.k' || n WHEN 10 THEN 's' ELSE '' END AS sub FROM p"""
 SQL["mixed_script_hosts"] = """SELECT page_id, page_id % 2 = 0 AS mixed, page_id % 2 = 0 AS mixed_ascii, true AS round_trip FROM pages"""
 SQL["mx_vendors"] = rf"""WITH {HOSTS} SELECT 'mx1.' || array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS mx, page_id, CASE string_split(name, '.')[-2] WHEN 'example' THEN CASE WHEN string_split(name, '.')[-1] IN ('org', 'com', 'net') THEN string_split(name, '.')[-1] END END AS vendor FROM n"""
+SQL["address_networks"] = rf"""WITH {E}, s AS (SELECT event_id, k, event_id % 8 AS m, lower(to_hex(k)) AS h FROM e)
+  SELECT event_id, CASE m WHEN 0 THEN '00000000000000000000ffff0a01' || lpad(h, 2, '0') || '07' WHEN 1 THEN '26001f18' || lpad(h, 4, '0') || repeat('0', 16) || lpad(lower(to_hex(event_id % 60000)), 4, '0') WHEN 2 THEN '00000000000000000000ffffcb0071' || lpad(h, 2, '0') WHEN 3 THEN 'fe80' || repeat('0', 24) || lpad(h, 4, '0') WHEN 4 THEN '26001f18' || repeat('0', 20) || lpad(h, 4, '0') WHEN 7 THEN '00000000000000000000ffff090909' || lpad(h, 2, '0') END AS address,
+    CASE m WHEN 0 THEN CASE WHEN k IN (2, 3) THEN 'ten-one' ELSE 'ten' END WHEN 1 THEN CASE WHEN k % 10 = 1 THEN 'site' || k ELSE 'cloud' END WHEN 2 THEN CASE WHEN k = 5 THEN 'five' WHEN k < 128 THEN 'low' ELSE 'high' END WHEN 3 THEN 'link' WHEN 4 THEN 'cloud' END AS net, CASE WHEN m IN (0, 2, 3) THEN true WHEN m IN (1, 4, 7) THEN false END AS private FROM s"""
 SQL["ip_intelligence"] = rf"""WITH {IPS}, f AS (SELECT DISTINCT ip, number FROM ips), o(ip, country, asn, org) AS (VALUES ('8.8.8.8', 'US', 15169, 'Google LLC'), ('8.8.4.4', 'US', 15169, 'Google LLC'), ('1.1.1.1', 'AU', 13335, 'Cloudflare, Inc.'), ('209.85.208.177', 'US', 15169, 'Google LLC'), ('209.85.208.1', 'US', 15169, 'Google LLC'))
   SELECT ip, CASE WHEN NOT {ranges("number", SPECIAL_RANGES)} AND length(ip) % 2 = 0 THEN 'XX' END AS country, CASE WHEN NOT {ranges("number", SPECIAL_RANGES)} THEN 64500 END AS asn, NULL AS org FROM f UNION ALL SELECT * FROM o"""
 
@@ -147,7 +151,8 @@ SQL["pdf_findings"] = """SELECT page_id, page_id % 2 = 0 AS is_pdf, CASE WHEN pa
 SQL["container_types"] = """SELECT page_id, ['zip', 'text', 'text', 'exe', 'acme', 'text'][page_id % 6 + 1] AS kind, ['docx', 'html', 'script', 'dos', 'acme', 'text'][page_id % 6 + 1] AS inner FROM pages"""
 SQL["interesting_strings"] = r"""SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '(?i)\b[\w./:\\-]*(?:http|powershell|cmd\.exe|password|token|secret|wget|curl|registry|shell)[\w./:\\-]*'))), 1, 15), '|') AS found FROM documents"""
 RUNS = r"""r AS (SELECT page_id::VARCHAR AS image_id, unnest(regexp_extract_all(html, '[\x20-\x7e]{6,}')) AS v FROM pages)"""
-SQL["image_strings"] = rf"""WITH {RUNS}, g AS (SELECT image_id, count(*) AS strings, count(*) AS ascii, 0 AS wide, round(avg(length(v)), 2) AS mean_length, max(length(v)) AS longest, sum(length(v)) AS c FROM r GROUP BY 1) SELECT g.* EXCLUDE (c), round(c / octet_length(encode(html)), 4) AS printable_ratio FROM g JOIN pages ON page_id::VARCHAR = image_id"""
+SQL["image_strings"] = rf"""WITH {RUNS}, g AS (SELECT (image_id::BIGINT // 50)::VARCHAR AS image_id, count(*) AS strings, count(*) AS ascii, 0 AS wide, round(avg(length(v)), 2) AS mean_length, max(length(v)) AS longest, sum(length(v)) AS c FROM r GROUP BY 1),
+  s AS (SELECT (page_id // 50)::VARCHAR AS image_id, sum(octet_length(encode(coalesce(html, ''))) + 2) AS n FROM pages GROUP BY 1) SELECT g.* EXCLUDE (c), round(c / n, 4) AS printable_ratio FROM g JOIN s USING (image_id)"""
 SQL["page_strings"] = rf"""WITH {RUNS} SELECT image_id, count(*) AS strings, count(*) AS ascii, 0 AS wide, round(avg(length(v)), 2) AS mean_length, max(length(v)) AS longest FROM r GROUP BY 1"""
 SQL["string_previews"] = r"""WITH p AS (SELECT page_id::VARCHAR AS image_id, regexp_extract_all(html, '[\x20-\x7e]{6,}') AS m, string_split_regex(html, '[\x20-\x7e]{6,}') AS b FROM pages), i AS (SELECT *, unnest(range(1, least(len(m), 3) + 1)) AS i FROM p)
   SELECT image_id, list_sum([octet_length(encode(x)) FOR x IN b[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS offset, length(m[i]) AS length FROM i"""
@@ -206,7 +211,7 @@ SQL["message_triage"] = f"""WITH {CONV} SELECT message_key, CASE WHEN multi THEN
 
 #: Columns whose types in DuckDB differ from Spark's, cast to Spark's.
 TYPES = {
-    "capture_packets": {"wire_len": "INT", "src_port": "INT", "dst_port": "INT", "payload": "INT"}, "clock_anomalies": {"drift": "DOUBLE"}, "dns_policies": {"percentage": "INT"}, "encoded_blobs": {"n": "INT", "chars": "INT"}, "hidden_reports": {"findings": "BIGINT", "blobs": "BIGINT", "hidden_chars": "BIGINT"},
+    "capture_cuts": {"packet_num": "BIGINT"}, "capture_packets": {"wire_len": "BIGINT", "src_port": "INT", "dst_port": "INT", "payload": "INT"}, "clock_anomalies": {"drift": "DOUBLE"}, "dns_policies": {"percentage": "INT"}, "encoded_blobs": {"n": "INT", "chars": "INT"}, "hidden_reports": {"findings": "BIGINT", "blobs": "BIGINT", "hidden_chars": "BIGINT"},
     "image_strings": {"wide": "BIGINT", "longest": "INT"}, "large_dns_payloads": {"bytes": "INT"}, "ledger_history": {"case_id": "INT"}, "mail_messages": {"plain": "INT", "html": "INT"}, "mail_parts": {"bytes": "INT"}, "message_triage": {"score": "DOUBLE"},
     "page_strings": {"wide": "BIGINT", "longest": "INT"}, "payload_table": {"case_id": "INT"}, "rule_offsets": {"offset": "BIGINT"}, "string_previews": {"offset": "BIGINT", "length": "INT"},
 }

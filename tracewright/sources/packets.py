@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
 from ..functions.maps import first_of_each
+from ..staging import staged
+from .ranges import CHUNK_BYTES, SPLIT_BYTES, Window, files, opened, ranges
 
-FRAMES = "path string, packet_num long, ts_micros long, link int, wire_len int, frame binary"
+FRAMES = "path string, packet_num long, ts_micros long, link int, wire_len long, frame binary, cut boolean"
 DNS = "id int, is_response boolean, rcode int, section string, name string, rtype string, ttl long, rdata string"
 
 # Record types by number.
@@ -19,16 +23,126 @@ RECORD_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 10: "NULL", 12: "PTR", 15
 MOST_QUESTIONS, MOST_RECORDS, MOST_POINTERS = 20, 50, 10
 
 
-def _classic(raw: bytes) -> Iterator[tuple]:
-    order, unit = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}[raw[:4]]
-    link, at, n = struct.unpack_from(order + "I", raw, 20)[0], 24, 0
-    while at + 16 <= len(raw):
-        sec, part, cap, wire = struct.unpack_from(order + "IIII", raw, at)
-        if at + 16 + cap > len(raw):
-            return
-        n += 1
-        yield n, sec * 1_000_000 + part // unit, link, wire, raw[at + 16 : at + 16 + cap]
-        at += 16 + cap
+#: Heads in a row that must fit for a place to be taken for a frame's.
+CHAIN = 6
+#: Bytes of a frame, or of a block, that a head may announce at most while its place is looked for.
+MOST_FRAME, MOST_BLOCK = 1 << 18, 1 << 24
+MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
+SECTION = b"\x0a\x0d\x0d\x0a"
+
+
+class Classic:
+    """Frames of a pcap file, from any place on where one begins."""
+
+    first, gap = 24, 1
+
+    def __init__(self, window: Window):
+        self.window = window
+        head = window.read(0, 24)
+        self.order, self.unit = MAGIC[head[:4]]
+        self.link = struct.unpack_from(self.order + "I", head, 20)[0]
+        self.seen: list[tuple] = []
+
+    def _head(self, at: int) -> tuple[int, int, int, int] | None:
+        raw = self.window.read(at, 16)
+        return struct.unpack(self.order + "IIII", raw) if len(raw) == 16 else None
+
+    def fits(self, at: int) -> bool:
+        """Whether a chain of heads of likely frames, of about one time, begins here, or reaches the file's end."""
+        last = None
+        for _ in range(CHAIN):
+            if at == self.window.size:
+                return last is not None
+            head = self._head(at)
+            if head is None or head[1] >= 1_000_000 * self.unit or not 0 < head[2] <= MOST_FRAME or head[3] < head[2] or head[3] > MOST_FRAME or last is not None and abs(head[0] - last) > 86400:
+                return False
+            last, at = head[0], at + 16 + head[2]
+            if at > self.window.size:
+                return False
+        return True
+
+    def frames(self, start: int, end: int, sections: list | None = None) -> Iterator[tuple]:
+        """at, next place, ts_micros, link, wire_len, frame, cut of frames that begin from start to before end."""
+        at = start
+        while at < end:
+            head = self._head(at)
+            if head is None:
+                yield at, self.window.size, None, self.link, None, self.window.read(at, 16), True
+                return
+            sec, part, cap, wire = head
+            last = min(at + 16 + cap, self.window.size)
+            yield at, last, sec * 1_000_000 + part // self.unit, self.link, wire, self.window.read(at + 16, last - at - 16), last < at + 16 + cap
+            at = last
+
+
+class Blocks:
+    """Frames of a pcapng file, from any place on where a block begins."""
+
+    first, gap = 0, 4
+
+    def __init__(self, window: Window):
+        self.window = window
+        self.seen: list[tuple] = []  # what sections and interfaces say: (order, None, None) or (None, link, micros a tick)
+
+    def _size(self, at: int, order: str) -> int | None:
+        """A block's size, if it is told alike at both its ends."""
+        raw = self.window.read(at, 12)
+        if len(raw) < 12:
+            return None
+        if raw[:4] == SECTION:
+            order = "<" if raw[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
+        size = struct.unpack_from(order + "I", raw, 4)[0]
+        if size < 12 or size % 4 or at + size > self.window.size:
+            return None
+        return size if self.window.read(at + size - 4, 4) == raw[4:8] else None
+
+    def fits(self, at: int) -> bool:
+        return any(self._chained(at, order) for order in "<>")
+
+    def _chained(self, at: int, order: str) -> bool:
+        for n in range(3):
+            if at == self.window.size:
+                return n > 0
+            size = self._size(at, order)
+            if size is None or size > MOST_BLOCK:
+                return False
+            at += size
+        return True
+
+    def frames(self, start: int, end: int, sections: list | None = None) -> Iterator[tuple]:
+        order, links, ticks = next((o for o in "<>" if self._size(start, o) is not None), "<"), [], []  # until sections say it, as the first block has it
+        for kind, link, tick in sections or ():
+            if kind is not None:
+                order, links, ticks = kind, [], []
+            else:
+                links.append(link)
+                ticks.append(tick)
+        at = start
+        while at < end:
+            raw = self.window.read(at, 12)
+            if raw[:4] == SECTION and len(raw) == 12:
+                order, links, ticks = ("<" if raw[8:12] == b"\x4d\x3c\x2b\x1a" else ">"), [], []
+                self.seen.append((order, None, None))
+            kind, size = struct.unpack_from(order + "II", raw, 0) if len(raw) == 12 else (None, 0)
+            if size < 12 or at + size > self.window.size:
+                yield at, self.window.size, None, links[0] if links else 1, None, self.window.read(at, min(self.window.size - at, MOST_FRAME)), True
+                return
+            if kind == 1:
+                body = self.window.read(at, size)
+                links.append(struct.unpack_from(order + "H", body, 8)[0])
+                ticks.append(_tick(body, 16, size - 4, order))
+                self.seen.append((None, links[-1], ticks[-1]))
+            elif kind == 6 and size >= 32:
+                body = self.window.read(at, size)
+                iface, high, low, cap, wire = struct.unpack_from(order + "IIIII", body, 8)
+                cut = cap > size - 32
+                yield at, at + size, round(((high << 32) + low) * (ticks[iface] if iface < len(ticks) else 1.0)), links[iface] if iface < len(links) else 1, wire, body[28 : 28 + min(cap, size - 32)], cut
+            elif kind == 3 and size >= 16:
+                body = self.window.read(at, size)
+                wire = struct.unpack_from(order + "I", body, 8)[0]
+                yield at, at + size, 0, links[0] if links else 1, wire, body[12 : 12 + min(wire, size - 16)], False
+            at += size
+            self.at = at
 
 
 def _tick(raw: bytes, at: int, end: int, order: str) -> float:
@@ -44,53 +158,105 @@ def _tick(raw: bytes, at: int, end: int, order: str) -> float:
     return 1.0
 
 
-def _blocks(raw: bytes) -> Iterator[tuple]:
-    at, order, links, ticks, n = 0, "<", [], [], 0
-    while at + 12 <= len(raw):
-        if raw[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            order, links = ("<" if raw[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-            ticks = []
-        kind, size = struct.unpack_from(order + "II", raw, at)
-        if size < 12 or at + size > len(raw):
-            return
-        if kind == 1:
-            links.append(struct.unpack_from(order + "H", raw, at + 8)[0])
-            ticks.append(_tick(raw, at + 16, at + size - 4, order))
-        elif kind == 6:
-            iface, high, low, cap, wire = struct.unpack_from(order + "IIIII", raw, at + 8)
-            n += 1
-            yield n, round(((high << 32) + low) * (ticks[iface] if iface < len(ticks) else 1.0)), links[iface] if iface < len(links) else 1, wire, raw[at + 28 : at + 28 + cap]
-        elif kind == 3:
-            wire = struct.unpack_from(order + "I", raw, at + 8)[0]
-            n += 1
-            yield n, 0, links[0] if links else 1, wire, raw[at + 12 : at + 12 + min(wire, size - 16)]
-        at += size
+def scanner(window: Window) -> Classic | Blocks | None:
+    """What reads a file's frames; None where it is no capture."""
+    head = window.read(0, 24)
+    return Blocks(window) if head[:4] == SECTION else Classic(window) if len(head) == 24 and head[:4] in MAGIC else None
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """FRAMES rows in batches of about a chunk of bytes."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
+    names = ["path", "packet_num", "ts_micros", "link", "wire_len", "frame", "cut"]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[5]) + 64
+        if size >= CHUNK_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
 
 def frames(captures: DataFrame) -> DataFrame:
-    """One row a frame of captures (path, content); content that is no capture gives none."""
+    """One row a frame of captures (path, content); content that is no capture gives none. What runs beyond the content's end comes as a row with cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        names = ["path", "packet_num", "ts_micros", "link", "wire_len", "frame"]
         for batch in batches:
             for file, raw in zip(batch.column("path").to_pylist(), (v.as_py() for v in batch.column("content"))):
-                scan = _blocks if raw[:4] == b"\x0a\x0d\x0d\x0a" else _classic if len(raw) >= 24 and raw[:4] in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else None
-                rows: list[tuple] = []
-                for row in scan(raw) if scan else ():
-                    rows.append((file, *row))
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                window = Window(io.BytesIO(raw or b""), len(raw or b""))
+                scan = scanner(window)
+                found = scan.frames(scan.first, window.size) if scan else ()
+                yield from _batches((file, n + 1, *x[2:]) for n, x in enumerate(found))
 
     return captures.select("path", "content").mapInArrow(run, FRAMES)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """One row a frame of capture files."""
-    return frames(spark.read.format("binaryFile").load(path))
+INDEX = "path string, bytes long, start long, end long, found long, next long, packets long, said array<struct<order:string,link:int,tick:double>>"
+
+
+def _indexed(splits: DataFrame) -> DataFrame:
+    """INDEX of ranges (path, bytes, start, end, found): where the first frame or block of each begins (found, looked for where it is null), where the first
+    behind it does (next), how many frames begin in it, and what it says of sections and interfaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, size, start, end, found in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start", "end", "found"))):
+                store, place = opened(name)
+                with store.open_input_file(place) as file:
+                    window = Window(file, size)
+                    scan = scanner(window)
+                    if scan is None:
+                        continue
+                    if found is None:
+                        found = scan.first if start <= scan.first < end else next((at for at in range(-(-start // scan.gap) * scan.gap, end, scan.gap) if scan.fits(at)), end)
+                    last, n = found, 0
+                    for x in scan.frames(found, end):
+                        last, n = x[1], n + 1
+                    rows.append((name, size, start, end, found, max(last, getattr(scan, "at", 0), end if found >= end else 0), n, [dict(zip(("order", "link", "tick"), s)) for s in scan.seen]))
+            said = pa.list_(pa.struct([("order", pa.string()), ("link", pa.int32()), ("tick", pa.float64())]))
+            kinds = (pa.string(), *[pa.int64()] * 6, said)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "bytes", "start", "end", "found", "next", "packets", "said"])
+
+    return splits.select("path", "bytes", "start", "end", "found").mapInArrow(run, INDEX)
+
+
+def read_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """One row a frame of capture files, each read by many tasks.
+
+    A first pass finds where frames begin in each range, by chains of likely heads, and counts them. Ranges must meet: where
+    one was taken to begin elsewhere than the one before ends, it is read again from there, until all meet. The second pass
+    reads the frames; what a range needs from before it (number of frames, sections and interfaces) is a running sum over its file's ranges.
+    """
+    index = staged(_indexed(ranges(files(spark, path), split_bytes).withColumn("found", F.lit(None).cast("long"))), "index")
+    by_file = SqlWindow.partitionBy("path").orderBy("start")
+    while True:
+        reach = F.max("next").over(by_file.rowsBetween(SqlWindow.unboundedPreceding, -1))
+        met = index.withColumn("_due", F.coalesce(reach, F.col("found")))
+        wrong = met.filter("found <> _due and not (found >= end and _due >= end)").withColumn("found", F.col("_due"))
+        if wrong.isEmpty():
+            break
+        first = wrong.groupBy("path").agg(F.min("start").alias("start"))  # the next may be right once this one is
+        again = _indexed(wrong.join(F.broadcast(first), ["path", "start"], "left_semi"))
+        index = staged(index.join(first, ["path", "start"], "left_anti").unionByName(again), "index")
+    ahead = by_file.rowsBetween(SqlWindow.unboundedPreceding, -1)
+    known = index.filter("packets > 0 or size(said) > 0").withColumn("before", F.coalesce(F.sum("packets").over(ahead), F.lit(0))).withColumn("sections", F.flatten(F.collect_list(F.when(F.size("said") > 0, F.col("said"))).over(ahead)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("path", "bytes", "end", "found", "before", "sections")]
+            for name, size, end, found, before, sections in zip(*columns):
+                store, place = opened(name)
+                with store.open_input_file(place) as file:
+                    scan = scanner(Window(file, size))
+                    rows = scan.frames(found, end, [(s["order"], s["link"], s["tick"]) for s in sections])
+                    yield from _batches((name, before + n + 1, *x[2:]) for n, x in enumerate(rows))
+
+    parts = 4 * spark.sparkContext.defaultParallelism
+    return known.filter("packets > 0").repartition(parts, "path", "start").select("path", "bytes", "end", "found", "before", "sections").mapInArrow(run, FRAMES)
 
 
 def _number(frame: Column, at: Column, size: int) -> Column:
