@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maps import first_of_each
+from . import scans
 from .alerts import rules
 
 # Folders and words of hiding rules, scopes of broad consent, admin operations that reroute or raise.
@@ -80,9 +81,8 @@ def audit_rules(records: DataFrame, keep: list[str]) -> DataFrame:
 
 def impossible_travel(logins: DataFrame, seconds: int = 3600, tie: str = "record_id") -> DataFrame:
     """Successive logins (user, ts, country) of one user from two countries within so many seconds."""
-    w = Window.partitionBy("user").orderBy("ts", tie)
-    later = lambda c: F.lead(c).over(w)
-    out = logins.filter("ts is not null").withColumns({"next_ts": later("ts"), "next_country": later("country"), "next_record_id": later(tie)})
+    out = scans.led(logins.filter("ts is not null"), ["user"], ["ts", tie], F.struct("ts", "country", F.col(tie).alias("id")), "_next")
+    out = out.withColumns({"next_ts": F.col("_next.ts"), "next_country": F.col("_next.country"), "next_record_id": F.col("_next.id")}).drop("_next")
     gap = (F.unix_micros("next_ts") - F.unix_micros("ts")) / 1000000
     return out.withColumn("seconds", gap).filter((F.col("country") != F.col("next_country")) & F.col("seconds").between(0, seconds))
 

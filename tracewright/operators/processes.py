@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import staged
+from . import scans
 from .alerts import rules
 
 # Parents and children of suspicious spawns.
@@ -61,14 +62,13 @@ def process_rules(processes: DataFrame, keep: list[str]) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, by: list[str], ts: str, value: str, out: str) -> DataFrame:
     """left with `out`: value of the latest right row of the same keys with ts at or before its own.
 
-    A union and one running last value, so a busy key costs a sort, never a product. Equal right times go to the larger value.
+    A union and one running last value, so a busy key costs a sort, never a product, and beyond a size is cut into runs. Equal right times go to the larger value.
     """
     none = F.lit(None)
     both = left.withColumn("_side", F.lit(1)).withColumn("_value", none.cast(dict(right.dtypes)[value])).unionByName(
         right.select(*by, ts, F.col(value).alias("_value")).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    w = Window.partitionBy(*by).orderBy(ts, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.last("_value", ignorenulls=True).over(w)).filter("_side = 1").drop("_side", "_value")
+    return scans.last_known(both, by, [ts, "_side", "_value"], "_value", out).filter("_side = 1").drop("_side", "_value")
 
 
 def parents(processes: DataFrame) -> DataFrame:
@@ -81,10 +81,14 @@ def parents(processes: DataFrame) -> DataFrame:
     return late.withColumn("parent", F.coalesce("_guid", by_pid)).drop("_guid", "_pid", "_by_pid")
 
 
-def attached(events: DataFrame, processes: DataFrame, by: list[str], ts: str, value: str, out: str) -> DataFrame:
-    """As as_of, and where no process had started yet, the one of these keys seen first."""
+def attached(events: DataFrame, processes: DataFrame, by: list[str], ts: str, value: str, out: str, guid: str | None = None) -> DataFrame:
+    """The process of each event: by guid, where both sides have the column and it names one; else the latest of these keys started by then; else the first of these keys. Of processes with one guid the latest counts."""
     first = processes.groupBy(*by).agg(F.min_by(value, F.struct(ts, value)).alias("_first"))
-    return as_of(events, processes, by, ts, value, out).join(first, by, "left").withColumn(out, F.coalesce(out, "_first")).drop("_first")
+    found = as_of(events, processes.drop(guid) if guid else processes, by, ts, value, out).join(first, by, "left").withColumn(out, F.coalesce(out, "_first")).drop("_first")
+    if guid is None:
+        return found
+    named = processes.filter(F.col(guid).isNotNull() & (F.col(guid) != "")).groupBy(guid).agg(F.max_by(value, F.struct(ts, value)).alias("_named"))
+    return found.join(named, guid, "left").withColumn(out, F.coalesce("_named", out)).select(*events.columns, out)
 
 
 def depths(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import duration
+from . import scans
 
 COLUMNS = ["entity", "ts", "source", "event", "ref"]
 
@@ -18,8 +19,8 @@ def union(*parts: DataFrame) -> DataFrame:
 
 def deltas(timeline: DataFrame, by: str = "entity", most: float = 3600, order: tuple[str, ...] = ("source", "ref")) -> DataFrame:
     """seconds since the row before (0 for the first), as text, and whether the gap is excessive."""
-    w = Window.partitionBy(by).orderBy("ts", *order)
-    out = timeline.withColumn("delta", F.coalesce((F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1000000, F.lit(0.0)))
+    out = scans.lagged(timeline, [by], ["ts", *order], F.unix_micros("ts"), "_before")
+    out = out.withColumn("delta", F.coalesce((F.unix_micros("ts") - F.col("_before")) / 1000000, F.lit(0.0))).drop("_before")
     return out.withColumns({"delta_text": duration(F.col("delta")), "excessive": F.col("delta") > most})
 
 

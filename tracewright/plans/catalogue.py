@@ -206,6 +206,14 @@ def event_attach_fallback(spark, sf_dir):
     return processes.attached(left, e.filter("event_type = 'signup'").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id", "process").select("event_id", "user_id", "process")
 
 
+@query
+def event_attach_guid(spark, sf_dir):
+    """As event_attach_fallback, but by guid first: of events and processes of one name, some of which no process has."""
+    e = events(spark, sf_dir).withColumn("guid", F.concat(F.lit("g"), (F.col("event_id") % 211).cast("string")))
+    left = e.filter("event_type = 'view'").select("event_id", "user_id", "ts", F.when(F.col("event_id") % 3 > 0, F.col("guid")).otherwise("").alias("guid"))
+    return processes.attached(left, e.filter("event_type = 'signup' and event_id % 5 < 3").select("user_id", "ts", "event_id", "guid"), ["user_id"], "ts", "event_id", "process", "guid").select("event_id", "user_id", "process")
+
+
 @query
 def process_depth(spark, sf_dir):
     e = events(spark, sf_dir).filter("event_id > 0")

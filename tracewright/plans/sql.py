@@ -94,6 +94,8 @@ SQL["alert_band_tag"] = "SELECT a.event_id AS alert_id, a.user_id, b.event_id FR
 ASOF = "(SELECT arg_max(s.event_id, (s.ts, s.event_id)) FROM events s WHERE s.event_type = 'signup' AND s.user_id = p.user_id AND s.ts <= p.ts)"
 SQL["asof_parent"] = f"SELECT event_id, user_id, {ASOF} AS parent FROM events p WHERE event_type = 'purchase'"
 SQL["event_attach_fallback"] = f"SELECT event_id, user_id, coalesce({ASOF}, (SELECT arg_min(s.event_id, (s.ts, s.event_id)) FROM events s WHERE s.event_type = 'signup' AND s.user_id = p.user_id)) AS process FROM events p WHERE event_type = 'view'"
+SQL["event_attach_guid"] = f"""WITH p AS (SELECT * FROM events WHERE event_type = 'signup' AND event_id % 5 < 3), g AS (SELECT 'g' || (event_id % 211) AS guid, arg_max(event_id, (ts, event_id)) AS named FROM p GROUP BY 1)
+  SELECT v.event_id, v.user_id, coalesce(g.named, {ASOF.replace("FROM events s WHERE s.event_type = 'signup' AND", "FROM p s WHERE").replace("p.user_id", "v.user_id").replace("p.ts", "v.ts")}, (SELECT arg_min(s.event_id, (s.ts, s.event_id)) FROM p s WHERE s.user_id = v.user_id)) AS process FROM events v LEFT JOIN g ON event_id % 3 > 0 AND guid = 'g' || (v.event_id % 211) WHERE event_type = 'view'"""
 SQL["process_depth"] = "SELECT event_id AS node, floor(log2(event_id) + 1e-9)::INT AS depth FROM events WHERE event_id > 0"
 _NAME = "lower(regexp_extract({0}, '([^\\\\/]*)$', 1))"
 _IMG = ["C:\\Windows\\cmd.exe", "C:\\Windows\\System32\\certutil.exe", "powershell.exe", "C:\\Tools\\notepad.exe", "rundll32.exe", "vssadmin.exe", "mshta.exe", "regsvr32.exe", "bitsadmin.exe", "wmic.exe", "wbadmin.exe", "bcdedit.exe", "procdump64.exe", "whoami.exe", "bash.exe"]
