@@ -180,11 +180,18 @@ def event_log_json(spark, sf_dir):
 
 @query
 def event_log_envelopes(spark, sf_dir):
-    """A file that is a list, and one with an Events list."""
-    r = _event_rows(spark, sf_dir).filter("kind in (4624, 4625)").groupBy((F.col("event_id") % 2).alias("odd")).agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct(F.col("kind").alias("EventID"), F.col("event_id").alias("RecordId"))))), ",").alias("x"))
+    """Files of one line that are lists or have an Events list, beside lists of other names; blocks begin anywhere in them, also within strings with brackets and escapes."""
+    r = _event_rows(spark, sf_dir).filter("kind in (4624, 4625)")
+    note = F.concat(F.lit('a "quoted] } \\'), text_of("event_id"), F.lit('\\'))
+    record = F.to_json(F.struct(F.col("kind").alias("EventID"), F.col("event_id").alias("RecordId"), note.alias("Note"), F.array(F.struct(F.lit(1).alias("EventID"))).alias("Inner")))
+    n = F.col("event_id")
+    name = F.concat(F.lit("f"), (n % 10).cast("string"), F.lit(".json"))
+    part = lambda at, text: r.select((n % 10).alias("m")).distinct().select(F.concat(F.lit("f"), F.col("m").cast("string"), F.lit(".json")).alias("name"), F.lit(at).cast("long").alias("at"), F.when(F.col("m") % 2 == 0, text[0]).otherwise(text[1]).cast("binary").alias("bytes"))
+    pieces = r.select(name.alias("name"), n.alias("at"), F.concat(record, F.lit(",")).cast("binary").alias("bytes"))
     path = folder(spark, "log")
-    r.select(F.when(F.col("odd") == 0, F.concat(F.lit("["), "x", F.lit("]"))).otherwise(F.concat(F.lit('{"Events":['), "x", F.lit("]}"))).alias("value")).repartition(2, "value").write.option("maxRecordsPerFile", 1).text(path)
-    return logs.read_event_json(spark, path).select("event_id", "record_id")
+    write_files(pieces.unionByName(part(-1, ("[", '{"Other":[{"EventID":1}],"Events" : ['))).unionByName(part(1 << 40, ("7]", '{"EventID":4624,"RecordId":-1}],"Last":[{"EventID":2}]}'))), path)
+    found, _ = logs.read_event_files(spark, path, block_bytes=1 << 12)
+    return found.select("event_id", "record_id", F.col("data")["Note"].alias("note"))
 
 
 @query

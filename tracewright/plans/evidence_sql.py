@@ -25,7 +25,7 @@ KINDS = "[1, 3, 7, 11, 4624, 4625, 4672, 4720, 4732, 7045, 4698, 1102]"
 LOG = rf"""{E}, r AS (SELECT *, {KINDS}[event_id % 12 + 1] AS kind, 'g' || event_id AS guid, 'U' || user_id AS who FROM e)"""
 SQL["event_log_json"] = rf"""WITH {LOG} SELECT kind AS event_id, event_id AS record_id, ts, 'P' AS provider, 28 - CASE WHEN kind = 7045 THEN 0 ELSE 1 END - CASE WHEN kind = 4698 THEN 0 ELSE 1 END AS fields FROM r"""
 SQL["event_log_rejects"] = rf"""WITH {LOG} SELECT CASE WHEN event_id % 10 IN (0, 3) THEN 'REPEATED_KEY' WHEN event_id % 10 = 1 THEN 'NOT_JSON' ELSE 'NOT_AN_OBJECT' END AS reason, count(*) AS records FROM r WHERE event_id % 10 < 4 GROUP BY 1"""
-SQL["event_log_envelopes"] = rf"""WITH {LOG} SELECT kind AS event_id, event_id AS record_id FROM r WHERE kind IN (4624, 4625)"""
+SQL["event_log_envelopes"] = rf"""WITH {LOG}, s AS (SELECT * FROM r WHERE kind IN (4624, 4625)) SELECT kind AS event_id, event_id AS record_id, 'a "quoted] }} \' || event_id || '\' AS note FROM s UNION ALL SELECT 4624, -1, NULL FROM (SELECT DISTINCT event_id % 10 FROM s WHERE event_id % 2 = 1)"""
 SQL["event_log_xml"] = rf"""WITH {LOG} SELECT kind AS event_id, event_id AS record_id, ts, 'P' AS provider, CASE WHEN kind <> 1102 THEN 'b.exe <' || k || '> & "c"' END AS command, CASE WHEN kind = 1102 THEN who END AS subject FROM r"""
 SQL["process_log"] = rf"""WITH {LOG} SELECT event_id AS record_id, ts, guid, event_id AS pid, 'g' || event_id // 2 AS parent_guid, 'C:\a\b.exe' AS image, 'b.exe <' || k || '> & "c"' AS command_line, md5(k::VARCHAR) AS md5 FROM r WHERE kind = 1"""
 SQL["process_parents"] = rf"""WITH {LOG}, p AS (SELECT event_id, guid, 'g' || event_id // 2 AS up FROM r WHERE kind = 1) SELECT a.guid, b.guid AS parent FROM p a LEFT JOIN p b ON a.up = b.guid AND a.guid <> b.guid"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.maps import first_of_each, text_map
-from . import records
+from . import nested, records
 
 EVENTS = "event_id int, record_id bigint, ts timestamp, provider string, data map<string,string>"
 
@@ -37,6 +37,12 @@ def read_event_json(spark: SparkSession, path: str, lines: bool = False) -> Data
     return event_objects(_event_texts(spark, path, lines))
 
 
+def read_event_files(spark: SparkSession, path: str, block_bytes: int = nested.BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Events, and rejects (raw, reason), of files that are lists, {"Events": [...]}, or objects one after another; many tasks read a file, whatever its lines."""
+    found = records.objects(nested.read_records(spark, path, ("Events",), block_bytes))
+    return event_objects(found.select("raw")), records.rejects(found)
+
+
 def rejected_events(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """raw, reason of the records that read_event_json leaves out."""
     return records.rejects(records.objects(_event_texts(spark, path, lines)))
@@ -71,6 +77,11 @@ def read_audit(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     return whole.select(F.explode(many).alias("raw"))
 
 
+def read_audit_files(spark: SparkSession, path: str, block_bytes: int = nested.BLOCK_BYTES) -> DataFrame:
+    """raw JSON objects of arrays and {"items"} or {"value"} envelopes; many tasks read a file, whatever its lines."""
+    return nested.read_records(spark, path, ("items", "value"), block_bytes).select("raw")
+
+
 def numbers(value: Column) -> Column:
     """Decimal or 0x hexadecimal text as a long."""
     return F.when(F.lower(value).startswith("0x"), F.conv(F.substring(value, 3, 16), 16, 10).try_cast("bigint")).otherwise(value.try_cast("bigint"))
