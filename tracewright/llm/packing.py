@@ -31,7 +31,7 @@ from .common import hash_keys, keyed_hashes, read, same_bytes, staged, steps, wo
 CAPACITY = 2048
 CLOSING_ID = 0
 #: Bytes in which a Python worker remembers the ids of words; words beyond them are encoded in each step anew.
-REMEMBERED_BYTES = 12 << 20
+REMEMBERED_BYTES = 40 << 20
 #: Pieces that one part of a length holds or so, and parts at least, so that a length which a third of all pieces have is ranked by many tasks.
 PART_PIECES, PARTS = 100_000, 256
 
@@ -108,13 +108,14 @@ class _WordIds:
             n = int(new.sum())
             size[new], first[new] = sizes[:n], place_of[:n]
             ids = np.concatenate([ids, *learnt])
-            words = [np.frombuffer(raw, np.uint8)[start[k] : end[k]] for k in sample[fit]]
-            if self.known.nbytes * 3 + self.bytes.nbytes + ids.nbytes <= REMEMBERED_BYTES and words:
+            if self.known.nbytes * 3 + self.bytes.nbytes + ids.nbytes <= REMEMBERED_BYTES and fit.any():
                 sizes_of = length[sample[fit]]
-                begin = len(self.bytes) + np.cumsum(sizes_of) - sizes_of
+                begin = np.cumsum(sizes_of) - sizes_of
+                own = data[np.repeat(start[sample[fit]] - begin, sizes_of) + np.arange(sizes_of.sum())]  # the bytes of the new words, one after another
+                begin += len(self.bytes)
                 both = ((self.known, kinds[fit]), (self.first, first[fit]), (self.size, size[fit]), (self.begin, begin), (self.length, sizes_of))
                 self.known, self.first, self.size, self.begin, self.length = (np.insert(x, place[fit], y.astype(x.dtype)) for x, y in both)
-                self.bytes = np.concatenate([self.bytes, *words])
+                self.bytes = np.concatenate([self.bytes, own])
                 self.ids = ids
             which = which.copy()
             which[odd] = len(kinds) + np.arange(len(odd))
