@@ -76,23 +76,20 @@ def deduplicated(iocs: DataFrame, order: list[str], key: list[str] | None = None
     return iocs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def shared(iocs: DataFrame, item: str, least: int = 2, shortest: int = 4, shown: int | None = None) -> DataFrame:
-    """Values of at least four characters seen in at least two items, with the items. One aggregation, no self-join.
-
-    A value that most items hold makes a long list; `shown` lists the first so many items only (their number counts all).
-    """
+def shared(iocs: DataFrame, item: str, least: int = 2, shortest: int = 4, shown: int = 20) -> DataFrame:
+    """Values of at least four characters seen in at least two items, with the first `shown` items (their number counts all). One aggregation, no self-join; shared_rows has every item."""
     value = F.lower(F.trim("value"))
     each = iocs.withColumn("value", value).filter(F.length("value") >= shortest).groupBy("ioc_type", "value", item).agg(F.count("*").alias("n"))
-    if shown:
-        each = each.withColumn("_n", F.row_number().over(Window.partitionBy("ioc_type", "value").orderBy(item))).withColumn("_shown", F.when(F.col("_n") <= shown, F.col(item)))
-        listed = F.array_join(F.sort_array(F.collect_list("_shown")), ",")
-        return each.groupBy("ioc_type", "value").agg(F.count(item).alias("items"), F.sum("n").alias("sightings"), listed.alias("seen_in")).filter(F.col("items") >= least)
-    return each.groupBy("ioc_type", "value").agg(F.count(item).alias("items"), F.sum("n").alias("sightings"), F.array_join(F.sort_array(F.collect_list(item)), ",").alias("seen_in")).filter(F.col("items") >= least)
+    each = each.withColumn("_n", F.row_number().over(Window.partitionBy("ioc_type", "value").orderBy(item))).withColumn("_shown", F.when(F.col("_n") <= shown, F.col(item)))
+    listed = F.array_join(F.sort_array(F.collect_list("_shown")), ",")
+    return each.groupBy("ioc_type", "value").agg(F.count(item).alias("items"), F.sum("n").alias("sightings"), listed.alias("seen_in")).filter(F.col("items") >= least)
 
 
-def listed(values: DataFrame, watch: DataFrame, on: str = "value") -> DataFrame:
-    """Rows whose value is on a list (value), without case."""
-    return values.join(watch.select(F.lower(F.trim("value")).alias("_w")).distinct(), F.lower(F.col(on)) == F.col("_w"), "left_semi")
+def shared_rows(iocs: DataFrame, item: str, least: int = 2, shortest: int = 4) -> DataFrame:
+    """ioc_type, value, item, sightings of shared values: a row an item, however many have one."""
+    each = iocs.withColumn("value", F.lower(F.trim("value"))).filter(F.length("value") >= shortest).groupBy("ioc_type", "value", item).agg(F.count("*").alias("sightings"))
+    many = each.groupBy("ioc_type", "value").agg(F.count(item).alias("_n")).filter(F.col("_n") >= least).drop("_n")
+    return each.join(many, ["ioc_type", "value"], "left_semi")
 
 
 def from_alerts(alerts: DataFrame) -> DataFrame:

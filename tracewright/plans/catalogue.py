@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks, streaming
 from ..functions import domains, network, text
-from ..operators import alerts, auth_logs, cloud, custody, dns, enrich, flows, hidden, iocs, messages, processes, risk, routes, rules, timeline
+from ..operators import alerts, auth_logs, cloud, custody, dns, enrich, flows, hidden, iocs, lists, messages, processes, risk, routes, rules, timeline
 from ..operators import files as triage
 
 from ..staging import folder
@@ -402,7 +402,7 @@ def hash_watchlist(spark, sf_dir):
     digests = custody.digests(F.col("text"))
     hashes = d.select("doc_id", F.explode(F.array(digests["md5"], digests["sha256"])).alias("value"))
     watch = d.filter("length(text) < 100").select(digests["sha256"].alias("value"))
-    return iocs.listed(hashes, watch).select("doc_id", "value").distinct()
+    return lists.listed(hashes, watch).select("doc_id", "value").distinct()
 
 
 @query
@@ -427,6 +427,11 @@ def shared_ioc(spark, sf_dir):
     return iocs.shared(_sightings(spark, sf_dir), "item")
 
 
+@query
+def shared_ioc_rows(spark, sf_dir):
+    return iocs.shared_rows(_sightings(spark, sf_dir), "item")
+
+
 @query
 def first_iocs(spark, sf_dir):
     return iocs.deduplicated(_sightings(spark, sf_dir), ["item", "value"]).select("item", "ioc_type", "value")

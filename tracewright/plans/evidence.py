@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..sinks.files import write_files
 from ..functions import domains, network, suffixes, text, times
-from ..operators import auth_logs, cloud, custody, dns, enrich, flows, hidden, iocs, messages, posture, processes, risk, routes, rules, timeline
+from ..operators import auth_logs, cloud, custody, dns, enrich, flows, hidden, iocs, lists, messages, posture, processes, risk, routes, rules, timeline
 from ..operators import files as triage
 from ..sources import logs, mail, packets, ranges, records
 from ..staging import folder, staged
@@ -349,7 +349,7 @@ def _capture_files(spark, sf_dir) -> str:
     ipv4 = lambda proto, body: F.concat(F.lit("0800"), F.lit("4500"), _hex(F.length(body) / 2 + 20, 4), F.lit("000100004006"[:10]), _hex(F.lit(proto), 2), F.lit("0000"), host, F.lit("cb007101"), body)
     flags = F.when(F.col("k") % 3 == 0, F.lit("02")).when(F.col("k") % 3 == 1, F.lit("12")).otherwise(F.lit("18"))
     udp = lambda payload: F.concat(F.lit("0035"), _hex(n % 1000 + 3000, 4), _hex(F.length(payload) / 2 + 8, 4), F.lit("0000"), payload)
-    v6 = F.concat(F.lit("86dd"), F.lit("60000000"), F.lit("0014"), F.lit("0640"), F.lit("20010db8000000000000000000000001"), F.lit("20010db80000000000000000"), _hex(F.col("user_id"), 8), tcp(F.lit(""), 443, F.lit("11")))
+    v6 = F.concat(F.lit("86dd"), F.lit("60000000"), F.lit("001c"), F.lit("0040"), F.lit("20010db8000000000000000000000001"), F.lit("20010db80000000000000000"), _hex(F.col("user_id"), 8), F.lit("0600010400000000"), tcp(F.lit(""), 443, F.lit("11")))
     arp = F.concat(F.lit("0806"), F.lit("0001080006040001"), F.lit("0a0b0c0d0e10"), host, F.lit("000000000000"), F.lit("0a0000fe"))
     rest = F.when(n % 5 == 0, ipv4(17, udp(_dns_payload(n)))).when(n % 5 == 1, ipv4(6, tcp(_hello_payload(n), 443, flags))).when(n % 5 == 2, ipv4(6, tcp(_http_payload(n), 80, flags))).when(n % 5 == 3, v6).otherwise(arp)
     frame = F.concat(ether, rest)
@@ -849,7 +849,7 @@ def hash_list_hits(spark, sf_dir):
     path = folder(spark, "list")
     digest = F.upper(F.md5(F.col("text").cast("binary")))
     d.filter("doc_id % 7 = 0").select(F.explode(F.array(F.concat(F.lit("# "), text_of("doc_id")), F.concat(digest, F.lit("  ")), F.lit(""))).alias("value")).write.text(path)
-    return iocs.listed(d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("value")), logs.read_hash_list(spark, path)).select("doc_id")
+    return lists.listed(d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("value")), logs.read_hash_list(spark, path)).select("doc_id")
 
 
 @query
@@ -895,6 +895,16 @@ def message_ledger(spark, sf_dir):
     return out.select("message_key", "ioc_type", F.when(F.col("ioc_type") == "sha256", "-").otherwise(F.col("value")).alias("value"), "severity", "category")
 
 
+@query
+def stix_bundles(spark, sf_dir):
+    """Objects in the bundles of each case, read back from their JSON."""
+    found = iocs.extract(table(spark, sf_dir, "documents"), "text", ["doc_id"], ["ipv4", "email", "sha1"])
+    objects = sinks.stix_indicators(found.select((F.col("doc_id") % 3).alias("case_id"), "ioc_type", "value").distinct())
+    bundles = sinks.stix_bundles(objects, "case_id", per_bundle=10)
+    inside = F.explode(F.from_json(F.get_json_object("json", "$.objects"), "array<struct<id:string,pattern:string>>"))
+    return bundles.select("case_id", inside.alias("o")).select("case_id", F.col("o.id").alias("stix_id"), "o.pattern")
+
+
 @query
 def stix_attack_patterns(spark, sf_dir):
     technique = pick(["T1110.001", "T1566.002", "T1098", "T1999"], F.col("event_id"))

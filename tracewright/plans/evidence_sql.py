@@ -55,7 +55,7 @@ CAP = f"""{E}, u AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY
   p AS (SELECT *, CASE WHEN m = 0 THEN 57 WHEN m = 1 THEN 75 + 10 WHEN m = 2 THEN 0 END AS x, length('GET /p0 HTTP/1.1') + 2 + length('Host: W0.example') + 2 + length('User-Agent: ua') + 2 + 2 * (length('X-Twice: 1') + 2) + 2 + 4 AS http FROM u),
   q AS (SELECT *, CASE m WHEN 0 THEN 48 WHEN 1 THEN 5 + 4 + 2 + 32 + 1 + 2 + 4 + 2 + 2 + 19 + 7 WHEN 2 THEN http WHEN 3 THEN 0 END AS payload FROM p)"""
 SQL["capture_cuts"] = f"""WITH {CAP} SELECT path, max(num) + 1 AS packet_num, 2 AS bytes FROM u GROUP BY 1"""
-SQL["capture_packets"] = f"""WITH {CAP} SELECT path, num AS packet_num, ts, CASE m WHEN 0 THEN 42 + payload WHEN 1 THEN 54 + payload WHEN 2 THEN 54 + payload WHEN 3 THEN 74 ELSE 42 END AS wire_len, CASE m WHEN 0 THEN 'UDP' WHEN 4 THEN 'ARP' ELSE 'TCP' END AS transport,
+SQL["capture_packets"] = f"""WITH {CAP} SELECT path, num AS packet_num, ts, CASE m WHEN 0 THEN 42 + payload WHEN 1 THEN 54 + payload WHEN 2 THEN 54 + payload WHEN 3 THEN 82 ELSE 42 END AS wire_len, CASE m WHEN 0 THEN 'UDP' WHEN 4 THEN 'ARP' ELSE 'TCP' END AS transport,
   CASE WHEN m = 3 THEN '2001:0db8:0000:0000:0000:0000:0000:0001' ELSE host END AS src, CASE m WHEN 0 THEN 53 WHEN 4 THEN NULL ELSE event_id % 1000 + 2000 END AS src_port,
   CASE m WHEN 3 THEN '2001:0db8:0000:0000:0000:0000:' || lpad(lower(to_hex(user_id // 65536)), 4, '0') || ':' || lpad(lower(to_hex(user_id % 65536)), 4, '0') WHEN 4 THEN '10.0.0.254' ELSE '203.0.113.1' END AS dst, CASE m WHEN 0 THEN event_id % 1000 + 3000 WHEN 1 THEN 443 WHEN 2 THEN 80 WHEN 3 THEN 443 END AS dst_port,
   CASE WHEN m IN (1, 2) THEN CASE k % 3 WHEN 0 THEN 'SYN' WHEN 1 THEN 'SYN+ACK' ELSE 'PSH+ACK' END WHEN m = 3 THEN 'FIN+ACK' ELSE '' END AS flags, payload FROM q"""

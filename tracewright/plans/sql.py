@@ -184,7 +184,8 @@ LEVEL = "CASE WHEN ioc_type = 'eth' THEN 'HIGH' ELSE 'LOW' END"
 SQL["ioc_extract"] = f"SELECT doc_id, ioc_type, value, count(*) AS n, {LEVEL} AS severity FROM {found('documents', 'doc_id', 'text', ['ipv4', 'email', 'md5', 'sha1', 'sha256', 'eth'])} GROUP BY ALL"
 SQL["secret_leaks"] = """WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, 'token = "([0-9a-f]+)"', 1)) AS s FROM documents) SELECT doc_id, CASE WHEN length(s) <= 6 THEN repeat('*', length(s)) ELSE substr(s, 1, 2) || repeat('*', length(s) - 4) || right(s, 2) END AS masked, length(s)::INT AS n FROM s"""
 SIGHTINGS = "s AS (" + " UNION ALL ".join(f"SELECT '{t}-' || {k} AS item, ioc_type, value FROM {found(t, k, c, ['ipv4', 'email', 'sha1'])}" for t, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("benchmark", "item_id", "text"))) + ")"
-SQL["shared_ioc"] = f"WITH {SIGHTINGS} SELECT ioc_type, lower(trim(value)) AS value, count(DISTINCT item) AS items, count(*)::BIGINT AS sightings, array_to_string(list_sort(list(DISTINCT item)), ',') AS seen_in FROM s WHERE length(trim(value)) >= 4 GROUP BY 1, 2 HAVING count(DISTINCT item) >= 2"
+SQL["shared_ioc"] = f"WITH {SIGHTINGS} SELECT ioc_type, lower(trim(value)) AS value, count(DISTINCT item) AS items, count(*)::BIGINT AS sightings, array_to_string(list_slice(list_sort(list(DISTINCT item)), 1, 20), ',') AS seen_in FROM s WHERE length(trim(value)) >= 4 GROUP BY 1, 2 HAVING count(DISTINCT item) >= 2"
+SQL["shared_ioc_rows"] = f"WITH {SIGHTINGS}, v AS (SELECT ioc_type, lower(trim(value)) AS value, item, count(*) AS sightings FROM s WHERE length(trim(value)) >= 4 GROUP BY 1, 2, 3) SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY ioc_type, value) >= 2"
 SQL["first_iocs"] = f"WITH {SIGHTINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY ioc_type, lower(trim(value)) ORDER BY item, value) AS i FROM s) SELECT item, ioc_type, value FROM r WHERE i = 1"
 _TEXT = [("licence", "LOW", 10, 1, ["(?i)all rights reserved", "(?i)general public license"]), ("credentials", "HIGH", 40, 2, ["token = ", "[0-9a-f]{40}"]), ("abuse", "MEDIUM", 20, 2, [rf"(?i)\b{w}\b" for w in ("stupid", "pathetic", "disgusting", "trash", "idiot")])]
 _HITS = " UNION ALL ".join("SELECT doc_id, '{}' AS rule, '{}' AS severity, {} AS score, ({}) AS hits, {} AS need FROM documents".format(n, s, p, " + ".join(f"regexp_matches(coalesce(text, ''), '{x}')::INT" for x in ps), need) for n, s, p, need, ps in _TEXT)
@@ -213,6 +214,7 @@ SQL["kill_chain"] = f"WITH {E} SELECT k AS case_id, bool_or(event_type = 'error'
 SQL["stix_patterns"] = f"""WITH f AS (SELECT DISTINCT ioc_type, value FROM {found('documents', 'doc_id', 'text', ['ipv4', 'email', 'sha1'])}), h AS (SELECT *, sha256(ioc_type || '|' || value) AS h FROM f)
   SELECT 'indicator--' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-8' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS stix_id, ioc_type,
   '[' || CASE ioc_type WHEN 'ipv4' THEN 'ipv4-addr:value' WHEN 'email' THEN 'email-addr:value' ELSE 'file:hashes.''SHA-1''' END || ' = ''' || value || ''']' AS pattern FROM h"""
+SQL["stix_bundles"] = SQL["stix_patterns"].replace("SELECT DISTINCT ioc_type, value", "SELECT DISTINCT doc_id % 3 AS case_id, ioc_type, value").replace("AS stix_id, ioc_type,", "AS stix_id, case_id,")
 SQL["ioc_ledger"] = f"SELECT DISTINCT source AS case_id, doc_id::VARCHAR AS item_id, ioc_type, value, 'LOW' AS severity FROM {found('documents', 'doc_id', 'text', ['ipv4', 'email', 'sha1'])} JOIN documents USING (doc_id)"
 _URGENT = " OR ".join("regexp_matches(' ' || text, '{}')".format(x.replace("'", "''")) for _, _, _, _, ps in rules.FRAUD_WORDING for x in ps)
 SQL["mail_fraud"] = f"""WITH m AS (SELECT conv_id || '-' || turn AS message_key, conv_id AS n, text FROM conversations), i AS (

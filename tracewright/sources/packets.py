@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.maps import first_of_each
 from ..staging import staged
 from .ranges import CHUNK_BYTES, SPLIT_BYTES, Window, files, opened, ranges
@@ -23,6 +24,8 @@ RECORD_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 10: "NULL", 12: "PTR", 15
 MOST_QUESTIONS, MOST_RECORDS, MOST_POINTERS = 20, 50, 10
 
 
+#: Extension headers of an IPv6 packet that are followed.
+EXTENSIONS = 6
 #: Heads in a row that must fit for a place to be taken for a frame's.
 CHAIN = 6
 #: Bytes of a frame, or of a block, that a head may announce at most while its place is looked for.
@@ -263,12 +266,16 @@ def _number(frame: Column, at: Column, size: int) -> Column:
     return F.conv(F.hex(frame.substr(at + 1, F.lit(size))), 16, 10).try_cast("bigint")
 
 
+def _byte(frame: Column, at: Column) -> Column:
+    return F.conv(F.hex(frame.substr((at + 1).cast("int"), F.lit(1))), 16, 10).try_cast("bigint")
+
+
 def _address(frame: Column, at: Column) -> Column:
     return F.concat_ws(".", *(_number(frame, at + i, 1).cast("string") for i in range(4)))
 
 
 def decoded(frames: DataFrame) -> DataFrame:
-    """packets: Ethernet with or without a VLAN tag, or cooked capture; IPv4, IPv6 (addresses in full form, no extension headers), ARP; TCP flags, UDP and ICMP; the payload behind them."""
+    """packets: Ethernet with or without a VLAN tag, or cooked capture; IPv4, IPv6 (addresses in full form; up to EXTENSIONS extension headers are passed), ARP; TCP flags, UDP and ICMP; the payload behind them."""
     frame = F.col("frame")
     tagged = (F.col("link") == 1) & (_number(frame, F.lit(12), 2) == 0x8100)
     at = F.when(F.col("link") == 113, 16).when(F.col("link") == 101, 0).when(tagged, 18).otherwise(14)
@@ -278,8 +285,12 @@ def decoded(frames: DataFrame) -> DataFrame:
     arp = (F.col("link") == 1) & (_number(frame, ip - 2, 2) == 0x0806)
     v6 = ~arp & (_number(frame, ip, 1).bitwiseAND(F.lit(0xF0)) == 0x60)
     v4 = ~arp & v4
-    start = F.when(v4, ip + _number(frame, ip, 1).bitwiseAND(F.lit(0x0F)) * 4).when(v6, ip + 40)
-    p = p.withColumn("_l4", start.cast("int")).withColumn("protocol", F.when(v4, _number(frame, ip + 9, 1)).when(v6, _number(frame, ip + 6, 1)))
+    first = lambda kind, at: F.struct(kind.cast("long").alias("kind"), at.cast("long").alias("at"))
+    four = first(_number(frame, ip + 9, 1), ip + _number(frame, ip, 1).bitwiseAND(F.lit(0x0F)) * 4)
+    six = first(_number(frame, ip + 6, 1), ip + 40)
+    for _ in range(EXTENSIONS):
+        six = let(six, lambda x: F.when(x["kind"].isin(0, 43, 60), first(_byte(frame, x["at"]), x["at"] + (_byte(frame, x["at"] + 1) + 1) * 8)).when(x["kind"] == 44, first(_byte(frame, x["at"]), x["at"] + 8)).when(x["kind"] == 51, first(_byte(frame, x["at"]), x["at"] + (_byte(frame, x["at"] + 1) + 2) * 4)).otherwise(x))
+    p = p.withColumn("_l4p", F.when(v4, four).when(v6, six)).withColumn("_l4", F.col("_l4p.at").cast("int")).withColumn("protocol", F.col("_l4p.kind"))
     wide = lambda at: F.concat_ws(":", *(F.lower(F.hex(frame.substr(at + 1 + 2 * i, F.lit(2)))) for i in range(8)))
     end = lambda four, six, hw: F.when(v4, _address(frame, ip + four)).when(v6, wide(ip + six)).when(arp, _address(frame, ip + hw))
     l4, proto = F.col("_l4"), F.col("protocol")
