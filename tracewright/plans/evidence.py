@@ -983,16 +983,20 @@ def case_timeline(spark, sf_dir):
 
 @query
 def message_triage(spark, sf_dir):
-    """Messages parsed, judged by authentication, attachments, links and hidden content, and scored as one risk."""
-    m = staged(mail.parsed(_messages(spark, sf_dir)).select("message_key", "headers", "body_plain", "body_html", "parts"), "messages")
-    body = F.concat_ws("\n", "body_plain", "body_html")
+    """Messages parsed, judged by authentication, sender, attachments, links and hidden content, and scored as one risk."""
+    head = lambda name: messages.header(F.col("headers"), name)
+    files = F.transform(F.filter("parts", lambda p: p["is_attachment"]), lambda p: F.struct(p["filename"].alias("filename"), F.substring(p["content"], 1, 512).alias("content")))
+    m = mail.parsed(_messages(spark, sf_dir)).select("message_key", "display_name", "from_address", head("reply-to").alias("reply_to"), head("return-path").alias("return_path"), "subject", F.col("body_plain").alias("body"), "body_html", head("authentication-results").alias("auth"), files.alias("files"))
+    m = staged(m, "messages")
     named = lambda df, vector, found: df.select("message_key", F.lit(vector).alias("vector"), F.explode(F.array_compact(F.array(*(F.when(c, k) for k, c in found.items())))).alias("factor"))
-    auth = messages.authentication(messages.header(F.col("headers"), "authentication-results"))
-    parts = mail.parts(m).filter("is_attachment").withColumn("kind", triage.file_type(F.col("content")))
-    urls = m.select("message_key", F.explode(F.regexp_extract_all(body, F.lit(r"(?i)\bhttps?://[^\s\"'<>]+"), F.lit(0))).alias("url"))
+    auth = messages.authentication(F.col("auth"))
+    parts = m.select("message_key", F.inline("files")).withColumn("kind", triage.file_type(F.col("content")))
+    people = spark.createDataFrame([("Speaker user", "user@corp.example")], "name string, address string")
+    fraud = messages.sender_indicators(m, "message_key", people).select("message_key", F.lit("BEC_SOCIAL_ENGINEERING").alias("vector"), F.col("indicator").alias("factor"))
+    urls = messages.links(m, "message_key", "body_html", "body").select("message_key", "url").distinct()
     findings = timeline.union(
-        named(m, "AUTHENTICATION", {"SPF_FAIL": auth["spf"] == "fail", "DKIM_INVALID": auth["dkim"] == "fail", "DMARC_FAIL": auth["dmarc"] == "fail"}), named(parts, "ATTACHMENT_MALWARE", triage.name_flags(F.col("filename"), F.col("kind"))),
-        named(urls, "PHISHING_URL", {k: c for k, _, c in domains.url_flags(F.col("url"))}), named(m, "OBFUSCATION_TRANSIT", {"ZERO_WIDTH": text.zero_width_count(body) > 0}),
+        named(m, "AUTHENTICATION", {"SPF_FAIL": auth["spf"] == "fail", "DKIM_INVALID": auth["dkim"] == "fail", "DMARC_FAIL": auth["dmarc"] == "fail"}), named(parts, "ATTACHMENT_MALWARE", triage.name_flags(F.col("filename"), F.col("kind"))), fraud,
+        named(urls, "PHISHING_URL", {k: c for k, _, c in domains.url_flags(F.col("url"))}), named(m, "OBFUSCATION_TRANSIT", {"ZERO_WIDTH": text.zero_width_count(F.concat_ws("\n", "body", "body_html")) > 0}),
     )
     scored = risk.totals(risk.vector_scores(risk.factors(findings.withColumn("confidence", F.lit(None).cast("double")), "message_key"), "message_key"), "message_key")
     return scored.select("message_key", "score", "level")

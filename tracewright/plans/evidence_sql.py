@@ -207,7 +207,7 @@ SQL["message_links"] = """SELECT page_id, 'http://i.example/' || page_id || '.pn
   UNION ALL SELECT page_id, regexp_replace(url, '[.,;:!?)\\]}]+$', ''), 'text', NULL FROM pages UNION ALL SELECT page_id, 'ftp://t.example/x', 'text', NULL FROM pages"""
 SQL["case_timeline"] = """SELECT user_id::VARCHAR AS entity, ts, 'log' AS source, event_id::VARCHAR AS ref FROM events UNION ALL SELECT o_custkey::VARCHAR, o_orderdate, 'mail', o_orderkey::VARCHAR FROM orders UNION ALL SELECT l_suppkey::VARCHAR, l_shipdate, 'capture', l_orderkey::VARCHAR FROM lineitem
   UNION ALL SELECT conv_id::VARCHAR, make_timestamp((conv_id * 60 + turn) * 1000000), 'chat', turn::VARCHAR FROM conversations UNION ALL SELECT page_id::VARCHAR, make_timestamp(page_id * 1000000), 'web', page_id::VARCHAR FROM pages"""
-SQL["message_triage"] = f"""WITH {CONV} SELECT message_key, CASE WHEN multi THEN 25.0 ELSE 10.0 END AS score, CASE WHEN multi THEN 'SUSPICIOUS_LOW' ELSE 'CLEAN' END AS level FROM c"""
+SQL["message_triage"] = f"""WITH {CONV}, s AS (SELECT message_key, CASE WHEN multi THEN 25.0 ELSE 10.0 END + CASE WHEN contains(lower('Speaker ' || role), 'speaker user') THEN 15.0 ELSE 0.0 END AS score FROM c) SELECT *, CASE WHEN score >= 40 THEN 'MEDIUM' WHEN score >= 20 THEN 'SUSPICIOUS_LOW' ELSE 'CLEAN' END AS level FROM s"""
 
 #: Columns whose types in DuckDB differ from Spark's, cast to Spark's.
 TYPES = {
