@@ -196,10 +196,20 @@ SQL["byte_entropies"] = r"""WITH b AS (SELECT page_id, unnest(regexp_extract_all
 SQL["file_types"] = f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'exe' ELSE CASE WHEN regexp_full_match(substr(hex(encode(html)), 1, 1024), {PRINTABLE}) THEN 'text' ELSE 'unknown' END END AS kind FROM pages"""
 # Bytes as hexadecimal text: the sequences that are valid UTF-8, and any other byte.
 UTF8 = "[0-7].|C[2-9A-F][89AB].|D.[89AB].|E0[AB].[89AB].|E[1-9A-CEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].|.."
+
+
+def _unprintable() -> str:
+    """Ranges of code points that no one prints (controls, unassigned ones, separators but the blank), as a class of a pattern; line ends and tabs count as printed."""
+    odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not chr(c).isprintable() and chr(c) not in "\n\r\t"]
+    first = [c for k, c in enumerate(odd) if not k or odd[k - 1] != c - 1]
+    last = [c for k, c in enumerate(odd) if k + 1 == len(odd) or odd[k + 1] != c + 1]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(first, last))
+
+
 SQL["encoded_blobs"] = rf"""WITH t AS (SELECT doc_id, text || chr(10) || base64(encode(text)) AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '[A-Za-z0-9+/=]{{24,}}'))) AS b FROM t),
   p AS (SELECT *, b || repeat('=', (4 - length(b) % 4)::INT % 4) AS padded FROM b), h AS (SELECT doc_id, b, hex(from_base64(padded)) AS h FROM p WHERE regexp_full_match(padded, '[A-Za-z0-9+/]+={{0,2}}')),
   s AS (SELECT doc_id, b, h, list_filter(regexp_extract_all(h, '{UTF8}'), lambda x: length(x) > 2 OR x < '8') AS s FROM h), d AS (SELECT doc_id, b, h, regexp_replace(decode(from_hex(array_to_string(s, ''))), '^[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+|[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]+$', '', 'g') AS d FROM s)
-  SELECT doc_id, length(b) AS n, length(d) AS chars FROM d WHERE length(h) >= 16 AND length(d) >= 8 AND length(d) - length(regexp_replace(d, '[^\p{{Cc}}\p{{Cf}}\p{{Co}}\p{{Z}}]|[ \n\r\t]', '', 'g')) >= 0.85 * length(d)"""
+  SELECT doc_id, length(b) AS n, length(d) AS chars FROM d WHERE length(h) >= 16 AND length(d) >= 8 AND length(d) - length(regexp_replace(d, '[^{_unprintable()}]', '', 'g')) >= 0.85 * length(d)"""
 
 SQL["flux_lists"] = rf"""WITH {IPS}, a AS (SELECT DISTINCT source AS domain, ip FROM ips JOIN documents USING (doc_id)), i AS (SELECT domain, array_to_string(list_slice(list(ip ORDER BY ip), 1, 15), ',') AS ips FROM a GROUP BY 1),
   n AS (SELECT source AS domain, array_to_string(list_slice(list('ns' || lpad(doc_id::VARCHAR, 7, '0') ORDER BY lpad(doc_id::VARCHAR, 7, '0')), 1, 10), ',') AS servers FROM documents GROUP BY 1) SELECT i.domain, ips, servers FROM i LEFT JOIN n USING (domain) WHERE i.domain IS NOT NULL"""
