@@ -31,7 +31,7 @@ from .common import hash_keys, keyed_hashes, read, same_bytes, staged, steps, wo
 CAPACITY = 2048
 CLOSING_ID = 0
 #: Bytes in which a Python worker remembers the ids of words; words beyond them are encoded in each step anew.
-REMEMBERED_BYTES = 40 << 20
+REMEMBERED_BYTES = 20 << 20
 #: Pieces that one part of a length holds or so, and parts at least, so that a length which a third of all pieces have is ranked by many tasks.
 PART_PIECES, PARTS = 100_000, 256
 
