@@ -15,7 +15,7 @@ def objects(rows: DataFrame, raw: str = "raw") -> DataFrame:
     parsed = rows.withColumn("object", F.try_parse_json(text))
     reason = (
         F.when(F.coalesce(F.trim(text), F.lit("")) == "", "EMPTY").when(F.col("object").isNull() & F.get_json_object(text, "$").isNotNull(), "REPEATED_KEY").when(F.col("object").isNull(), "NOT_JSON")
-        .when(~F.schema_of_variant("object").startswith("OBJECT"), "NOT_AN_OBJECT")
+        .when(~F.ltrim(text).startswith("{") & ~F.schema_of_variant("object").startswith("OBJECT"), "NOT_AN_OBJECT")
     )
     return parsed.withColumn("reason", reason)
 
