@@ -1,13 +1,18 @@
-"""Running totals within arrays, without growing an array element by element."""
+"""Values computed once, and running totals within arrays, without growing an array element by element."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, whatever filters and columns read them; a projection's would be copied into each of these."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]

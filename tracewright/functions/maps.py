@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 
 def first_of_each(entries: Column, key: str = "k") -> Column:
     """A map of an array of structs of a key (its field's name is given) and a value: of a key that comes twice the first, none of a null one."""
-    keys = F.transform(entries, lambda e: e[key])
-    return F.map_from_entries(F.filter(entries, lambda e, i: e[key].isNotNull() & (F.array_position(keys, e[key]) == i + 1)))
+    first = lambda es, ks: F.when(F.size(F.array_distinct(ks)) == F.size(ks), es).otherwise(F.filter(es, lambda e, i: F.array_position(ks, e[key]) == i + 1))
+    named = lambda es: let(F.transform(es, lambda e: e[key]), lambda ks: F.map_from_entries(first(es, ks)))
+    return let(F.filter(entries, lambda e: e[key].isNotNull()), named)
 
 
 def text_map(text: Column, between: str, sign: str) -> Column:

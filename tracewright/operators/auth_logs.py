@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import computed, let
+
 # Words of suspicious service and task commands, and paths that users can write to.
 EXEC_WORDS = ["powershell", "pwsh", "cmd.exe", "-enc", "-encodedcommand", "-w hidden", "-ep bypass", "downloadstring", "iex", "cscript", "wscript", "mshta", "certutil", "regsvr32", "rundll32", "bitsadmin", "vssadmin"]
 WRITABLE_PATHS = ["appdata", "temp", "tmp", "users\\public", "perflogs", "programdata", "windows\\temp"]
@@ -64,15 +66,14 @@ def cleartext_logon(kind: Column, success: Column) -> Column:
 
 def command_reasons(command: Column) -> Column:
     """Why a service or task command is suspicious; an empty array if it isn't."""
-    text = F.lower(F.coalesce(command, F.lit("")))
-    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
-    ends = F.exists(F.array(*map(F.lit, SCRIPT_ENDINGS)), lambda w: F.endswith(F.trim(text), w))
-    found = F.array(F.when(any_of(EXEC_WORDS), "exec keyword"), F.when(any_of(WRITABLE_PATHS), "writable path"), F.when(ends, "script file"))
-    return F.filter(found, lambda x: x.isNotNull())
+    any_of = lambda text, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    ends = lambda text: F.exists(F.array(*map(F.lit, SCRIPT_ENDINGS)), lambda w: F.endswith(F.trim(text), w))
+    found = lambda text: F.array(F.when(any_of(text, EXEC_WORDS), "exec keyword"), F.when(any_of(text, WRITABLE_PATHS), "writable path"), F.when(ends(text), "script file"))
+    return F.filter(let(F.lower(F.coalesce(command, F.lit(""))), found), lambda x: x.isNotNull())
 
 
 def suspicious_commands(df: DataFrame, command: str) -> DataFrame:
-    return df.withColumn("reasons", command_reasons(F.col(command))).filter(F.size("reasons") > 0).withColumn("severity", F.when(F.size("reasons") >= 2, "CRITICAL").otherwise("HIGH"))
+    return computed(df, reasons=command_reasons(F.col(command))).filter(F.size("reasons") > 0).withColumn("severity", F.when(F.size("reasons") >= 2, "CRITICAL").otherwise("HIGH"))
 
 
 def privileged_after_creation(created: DataFrame, granted: DataFrame) -> DataFrame:

@@ -26,6 +26,11 @@ def text_of(c) -> Column:
     return F.col(c).cast("string")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over many tasks by a key: a table may be one row group, which one task reads."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 # Mail
 
 
@@ -134,7 +139,7 @@ def clock_anomalies(spark, sf_dir):
 
 def _event_rows(spark, sf_dir) -> DataFrame:
     """Events as exported log records of eight kinds."""
-    e = events(spark, sf_dir)
+    e = dealt(events(spark, sf_dir), "event_id")
     n = F.col("event_id") % 12
     kind = pick([1, 3, 7, 11, 4624, 4625, 4672, 4720, 4732, 7045, 4698, 1102], F.col("event_id"))
     user = F.concat(F.lit("U"), text_of("user_id"))

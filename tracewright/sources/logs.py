@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import computed
 from ..functions.maps import first_of_each, text_map
 from . import nested, records
 
@@ -16,11 +17,12 @@ def event_objects(rows: DataFrame, raw: str = "raw") -> DataFrame:
     obj = records.good(records.objects(rows, raw))
     text = lambda *paths: records.field("object", *paths)
     none = F.create_map().cast("map<string,string>")
-    inner = F.coalesce(records.fields("object", ".EventData"), none)
-    extra = F.map_filter(records.fields("object"), lambda k, v: ~k.isin("EventData", "Event") & ~F.map_contains_key(inner, k))
-    return obj.select(
-        text("EventID", "System.EventID", "event_id").try_cast("int").alias("event_id"), text("RecordId", "EventRecordID", "record_id").try_cast("bigint").alias("record_id"),
-        F.try_to_timestamp(text("Timestamp", "TimeCreated", "UtcTime", "ts")).alias("ts"), text("Provider", "ProviderName").alias("provider"), F.map_concat(inner, F.coalesce(extra, none)).alias("data"),
+    numbered = computed(obj, event_id=text("EventID", "System.EventID", "event_id").try_cast("int"))  # before the maps, so that filters on it come before them
+    found = computed(numbered, _inner=F.coalesce(records.fields("object", ".EventData"), none), _root=F.coalesce(records.fields("object"), none))
+    extra = F.map_filter("_root", lambda k, v: ~k.isin("EventData", "Event") & ~F.map_contains_key("_inner", k))
+    return computed(found, data=F.map_concat("_inner", extra)).select(
+        "event_id", text("RecordId", "EventRecordID", "record_id").try_cast("bigint").alias("record_id"),
+        F.try_to_timestamp(text("Timestamp", "TimeCreated", "UtcTime", "ts")).alias("ts"), text("Provider", "ProviderName").alias("provider"), "data",
     )
 
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import computed
+
 
 def objects(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """rows with object, the VARIANT of a JSON object, and reason: why there is none (EMPTY, NOT_JSON, REPEATED_KEY, NOT_AN_OBJECT), else null."""
     text = F.col(raw)
-    parsed = rows.withColumn("object", F.try_parse_json(text))
+    parsed = computed(rows, object=F.try_parse_json(text))
     reason = (
         F.when(F.coalesce(F.trim(text), F.lit("")) == "", "EMPTY").when(F.col("object").isNull() & F.get_json_object(text, "$").isNotNull(), "REPEATED_KEY").when(F.col("object").isNull(), "NOT_JSON")
         .when(~F.ltrim(text).startswith("{") & ~F.schema_of_variant("object").startswith("OBJECT"), "NOT_AN_OBJECT")
