@@ -22,8 +22,9 @@ def brute_force(logons: DataFrame, threshold: int = 5, window: str = "10 minutes
 
 
 def password_spray(logons: DataFrame, threshold: int = 3, window: str = "10 minutes", late: str = LATE) -> DataFrame:
-    """Distinct failing users per source and window (approximate, as exact distinct counts have unbounded state)."""
-    out = logons.filter("not success").withWatermark("ts", late).groupBy(F.window("ts", window), "source_ip").agg(F.approx_count_distinct(F.lower("user"), 0.01).alias("users"), F.count("*").alias("failures"))
+    """Distinct failing users per source and window (approximate, as exact distinct counts have unbounded state, but never more than failures that name a user)."""
+    users = F.least(F.approx_count_distinct(F.lower("user"), 0.01), F.count("user"))
+    out = logons.filter("not success").withWatermark("ts", late).groupBy(F.window("ts", window), "source_ip").agg(users.alias("users"), F.count("*").alias("failures"))
     return out.filter(F.col("users") >= threshold).select("source_ip", F.col("window.start").alias("start"), "users", "failures")
 
 
