@@ -73,12 +73,13 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], ts: str, value: str,
 
 def parents(processes: DataFrame) -> DataFrame:
     """processes (host, guid, pid, parent_guid, parent_pid, ts) with parent: by guid, else the latest process of that pid started by then."""
-    known = processes.groupBy("guid").agg(F.max("ts").alias("_ts")).select(F.col("guid").alias("_guid"))
-    joined = processes.join(known, (F.col("parent_guid") == F.col("_guid")) & (F.col("parent_guid") != F.col("guid")), "left")
-    mine = joined.select("*", F.col("parent_pid").alias("_pid"))
-    late = as_of(mine, processes.select("host", F.col("pid").alias("_pid"), "ts", F.col("guid").alias("_parent")), ["host", "_pid"], "ts", "_parent", "_by_pid")
+    known = processes.filter("guid is not null").select(F.col("guid").alias("_guid")).distinct()
+    joined = processes.join(known, (F.col("parent_guid") == F.col("_guid")) & (F.col("parent_guid") != F.col("guid")), "left").withColumnRenamed("_guid", "parent")
+    some = F.col("parent").isNull() & F.col("parent_pid").isNotNull()  # only these are looked up; a pid that is unknown is nobody's
+    mine = joined.filter(some).drop("parent").withColumn("_pid", F.col("parent_pid"))
+    late = as_of(mine, processes.filter("pid is not null").select("host", F.col("pid").alias("_pid"), "ts", F.col("guid").alias("_parent")), ["host", "_pid"], "ts", "_parent", "_by_pid")
     by_pid = F.when(F.col("_by_pid") != F.col("guid"), F.col("_by_pid"))
-    return late.withColumn("parent", F.coalesce("_guid", by_pid)).drop("_guid", "_pid", "_by_pid")
+    return joined.filter(~some).unionByName(late.withColumn("parent", by_pid).drop("_pid", "_by_pid"))
 
 
 def attached(events: DataFrame, processes: DataFrame, by: list[str], ts: str, value: str, out: str, guid: str | None = None) -> DataFrame:

@@ -222,7 +222,7 @@ def process_log(spark, sf_dir):
 @query
 def process_parents(spark, sf_dir):
     """Child to parent over exported process events, by guid."""
-    p = logs.process_events(_json_log(spark, sf_dir)).withColumn("host", F.lit("h")).withColumn("parent_pid", F.lit(None).cast("bigint"))
+    p = staged(logs.process_events(_json_log(spark, sf_dir)).select("guid", "pid", "parent_guid", "ts").withColumn("host", F.lit("h")).withColumn("parent_pid", F.lit(None).cast("bigint")), "processes")
     return processes.parents(p).select("guid", "parent")
 
 
