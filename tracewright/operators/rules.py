@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import matches, plus, running
+from ..functions.arrays import let, matches, plus, running
 
 # Instructions that try to take over a model.
 PROMPT_INJECTION = ("prompt_injection", "any", "HIGH", 30, [
@@ -75,9 +75,12 @@ def located(df: DataFrame, rules: Sequence[Rule], text: str, keep: list[str], ov
         return hit.select(*keep, F.inline(F.concat(*(every(*x) for x in named))))
 
     def begins(name: str, n: int, p: str) -> Column:
-        places = F.slice(running(F.transform(F.split(value, f"(?={p})", -1), F.length), plus), 1, F.size(F.split(value, f"(?={p})", -1)) - 1)
-        places = F.when(value.rlike(rf"\A(?:{p})"), F.concat(F.array(F.lit(0)), F.filter(places, lambda x: x > 0))).otherwise(places)
-        return F.zip_with(places, F.regexp_extract_all(value, F.lit(f"(?=({p}))"), F.lit(1)), lambda at, v: row(name, n, F.col("chunk_off") + at, v))
+        def placed(x: Column) -> Column:
+            ends = lambda b: running(F.transform(F.slice(b, 1, F.size(b) - 1), F.length), plus)
+            places = let(ends(x["b"]), lambda at: F.when(value.rlike(rf"\A(?:{p})"), F.concat(F.array(F.lit(0)), F.filter(at, lambda i: i > 0))).otherwise(at))
+            return F.zip_with(places, x["m"], lambda at, v: row(name, n, F.col("chunk_off") + at, v))
+
+        return let(F.struct(F.split(value, f"(?={p})", -1).alias("b"), F.regexp_extract_all(value, F.lit(f"(?=({p}))"), F.lit(1)).alias("m")), placed)
 
     found = hit.select(*keep, "chunk_off", F.inline(F.concat(*(begins(*x) for x in named)))).filter((F.col("chunk_off") == 0) | (F.col("offset") - F.col("chunk_off") >= overlap // 2))
     one = [*keep, "rule", "pattern"]

@@ -775,7 +775,7 @@ def string_previews(spark, sf_dir):
 @query
 def rule_offsets(spark, sf_dir):
     """Places of rule matches in overlapping chunks of documents, each once."""
-    d = table(spark, sf_dir, "documents").filter("text is not null")
+    d = dealt(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"), "doc_id")
     chunks = d.withColumn("chunk_off", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 65, F.lit(0)), F.lit(1000 - 64)))).withColumn("text", F.col("text").substr(F.col("chunk_off") + 1, F.lit(1000))).withColumn("chunk_off", F.col("chunk_off").cast("long"))
     return rules.located(chunks, [("q", "any", "LOW", 1, ["[0-9]{5}", "xq", "[a-z]{3} [a-z]{2}"])], "text", ["doc_id"]).select("doc_id", "rule", "pattern", "offset", "value")
 
