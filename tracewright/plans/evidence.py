@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..sinks.files import write_files
 from ..functions import domains, network, suffixes, text, times
+from ..functions.arrays import computed
 from ..operators import auth_logs, cloud, custody, dns, enrich, flows, hidden, iocs, lists, messages, posture, processes, risk, routes, rules, timeline
 from ..operators import files as triage
 from ..sources import logs, mail, packets, ranges, records
@@ -590,9 +591,9 @@ def dkim_results(spark, sf_dir):
 
 @query
 def dkim_signatures(spark, sf_dir):
-    e = events(spark, sf_dir)
+    e = dealt(events(spark, sf_dir), "event_id")
     header = F.concat(F.lit("v=1; a=rsa-sha256; =x; d=D"), text_of("user_id"), F.lit(".com ; s=sel; d=second.example; s=s2; t="), F.unix_seconds("ts").cast("string"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("; x="), (F.unix_seconds("ts") + 86400).cast("string"))).otherwise(""))
-    tags = messages.dkim_tags(header)
+    e, tags = computed(e, tags=messages.dkim_tags(header)), F.col("tags")
     t = messages.dkim_times(tags)
     return e.select("event_id", tags["d"].alias("domain"), tags["s"].alias("selector"), t["signed"].alias("signed"), t["expires"].alias("expires"))
 
