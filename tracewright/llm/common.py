@@ -15,21 +15,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import small_batches
+
 #: Bytes of text that one numpy step holds at once; a longer text is cut into such steps at its words' limits.
 STEP_BYTES = 1 << 18
-#: Bytes that an Arrow batch to a Python worker holds, a row at least.
-BATCH_BYTES = 4 << 20
 
 _own_folder: dict[str, str] = {}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session hold BATCH_BYTES at most, as long texts make batches of a number of rows large."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) != f"{BATCH_BYTES}b":
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

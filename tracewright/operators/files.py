@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import small_batches
 from .messages import DANGEROUS, MACRO
 
 # Type, offset and magic bytes in hex; the first that fits wins.
@@ -182,6 +183,32 @@ def entropy_tier(entropy: Column) -> Column:
     return F.when(entropy >= 7.2, "ENCRYPTED").when(entropy >= 6.8, "PACKED").when(entropy >= 5.0, "CODE").otherwise("PLAIN")
 
 
+def _printable(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Printable runs of chunks, a chunk in memory at a time and batches of some 256 KB out."""
+    import re
+
+    kinds = [("ascii", re.compile(rb"[\x20-\x7e]{%d,}" % least)), ("utf-16le", re.compile(rb"(?:[\x20-\x7e]\x00){%d,}" % least))]
+    rows, held = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["image_id", "offset", "encoding", "value"])
+
+    for batch in batches:
+        for image, off, data in zip(batch.column("image_id"), batch.column("chunk_off"), batch.column("bytes")):
+            if not data.is_valid:
+                continue
+            image, off, data = image.as_py(), off.as_py(), data.as_buffer()
+            for encoding, pattern in kinds:
+                for m in pattern.finditer(data):
+                    rows.append((image, off + m.start(), encoding, m[0].decode(encoding)))
+                    held += 128 + len(m[0])
+                    if held >= 1 << 18:
+                        yield out()
+                        rows, held = [], 0
+    if rows:
+        yield out()
+
+
 def strings(chunks: DataFrame, least: int = 4) -> DataFrame:
     """image_id, offset, encoding, value, length: printable runs of chunks (image_id, chunk_off, bytes), ASCII and UTF-16LE.
 
@@ -189,21 +216,8 @@ def strings(chunks: DataFrame, least: int = 4) -> DataFrame:
     spans. Chunks of one image that are cut inside a run should overlap by 4 * least bytes, as shorter pieces are not seen.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        ascii_, wide = re.compile(rb"[\x20-\x7e]{%d,}" % least), re.compile(rb"(?:[\x20-\x7e]\x00){%d,}" % least)
-        for batch in batches:
-            rows = []
-            for image, off, data in zip(*(batch.column(c).to_pylist() for c in ("image_id", "chunk_off", "bytes"))):
-                for m in ascii_.finditer(data or b""):
-                    rows.append((image, off + m.start(), "ascii", m[0].decode()))
-                for m in wide.finditer(data or b""):
-                    rows.append((image, off + m.start(), "utf-16le", m[0].decode("utf-16le")))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["image_id", "offset", "encoding", "value"])
-
-    found = chunks.select(F.col("image_id").cast("string").alias("image_id"), "chunk_off", "bytes").mapInArrow(run, "image_id string, offset long, encoding string, value string")
+    small_batches(chunks.sparkSession)
+    found = chunks.select(F.col("image_id").cast("string").alias("image_id"), "chunk_off", "bytes").mapInArrow(lambda batches: _printable(batches, least), "image_id string, offset long, encoding string, value string")
     unit = F.when(F.col("encoding") == "ascii", 1).otherwise(2)
     w = Window.partitionBy("image_id", "encoding").orderBy("offset", "_end")
     ended = found.withColumn("_end", F.col("offset") + F.length("value") * unit).withColumn("_before", F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -221,7 +235,7 @@ def string_statistics(found: DataFrame, key: str = "image_id", sizes: DataFrame
     if sizes is not None:
         chars = string_statistics(found, key).join(found.groupBy(key).agg(F.sum("length").alias("_chars")), key)
         return chars.join(sizes.select(key, "bytes"), key).withColumn("printable_ratio", F.round(F.when(F.col("bytes") > 0, F.col("_chars") / F.col("bytes")).otherwise(0.0), 4)).drop("_chars", "bytes")
-    return found.groupBy(key).agg(F.count("*").alias("strings"), F.count_if(F.col("encoding") == "ascii").alias("ascii"), F.count_if(F.col("encoding") != "ascii").alias("wide"), F.round(F.avg("length"), 2).alias("mean_length"), F.max("length").alias("longest"))
+    return found.groupBy(key).agg(F.count("*").alias("strings"), F.count_if(F.col("encoding") == "ascii").alias("ascii"), F.count_if(F.col("encoding") != "ascii").alias("wide"), (F.floor(F.avg("length") * 100 + 0.5) / 100).alias("mean_length"), F.max("length").alias("longest"))
 
 
 def chunked(images: DataFrame, size: int, overlap: int) -> DataFrame:
