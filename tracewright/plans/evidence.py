@@ -347,7 +347,7 @@ def _http_payload(n: Column) -> Column:
 
 def _capture_files(spark, sf_dir) -> str:
     """A folder with a capture of each user's events: DNS over UDP, TLS, HTTP, an IPv6 packet and ARP in turn; the frame after the last runs beyond the file."""
-    e = events(spark, sf_dir).filter("user_id is not null")
+    e = dealt(events(spark, sf_dir).filter("user_id is not null"), "event_id")
     n = F.col("event_id")
     ether = F.lit("0a0b0c0d0e0f0a0b0c0d0e10")
     host = F.concat(F.lit("0a0000"), _hex(F.col("user_id") % 250, 2))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import computed, let
 from ..functions.maps import first_of_each
 from ..staging import staged
 from .ranges import CHUNK_BYTES, SPLIT_BYTES, Window, files, opened, ranges
@@ -279,18 +279,18 @@ def decoded(frames: DataFrame) -> DataFrame:
     frame = F.col("frame")
     tagged = (F.col("link") == 1) & (_number(frame, F.lit(12), 2) == 0x8100)
     at = F.when(F.col("link") == 113, 16).when(F.col("link") == 101, 0).when(tagged, 18).otherwise(14)
-    p = frames.withColumn("_ip", at)
+    p = computed(frames, _ip=at)
     ip = F.col("_ip")
     v4 = (_number(frame, ip, 1).bitwiseAND(F.lit(0xF0)) == 0x40)
     arp = (F.col("link") == 1) & (_number(frame, ip - 2, 2) == 0x0806)
-    v6 = ~arp & (_number(frame, ip, 1).bitwiseAND(F.lit(0xF0)) == 0x60)
-    v4 = ~arp & v4
+    p = computed(p, _v4=~arp & v4, _v6=~arp & (_number(frame, ip, 1).bitwiseAND(F.lit(0xF0)) == 0x60), _arp=arp)
+    v4, v6, arp = F.col("_v4"), F.col("_v6"), F.col("_arp")
     first = lambda kind, at: F.struct(kind.cast("long").alias("kind"), at.cast("long").alias("at"))
     four = first(_number(frame, ip + 9, 1), ip + _number(frame, ip, 1).bitwiseAND(F.lit(0x0F)) * 4)
     six = first(_number(frame, ip + 6, 1), ip + 40)
     for _ in range(EXTENSIONS):
         six = let(six, lambda x: F.when(x["kind"].isin(0, 43, 60), first(_byte(frame, x["at"]), x["at"] + (_byte(frame, x["at"] + 1) + 1) * 8)).when(x["kind"] == 44, first(_byte(frame, x["at"]), x["at"] + 8)).when(x["kind"] == 51, first(_byte(frame, x["at"]), x["at"] + (_byte(frame, x["at"] + 1) + 2) * 4)).otherwise(x))
-    p = p.withColumn("_l4p", F.when(v4, four).when(v6, six)).withColumn("_l4", F.col("_l4p.at").cast("int")).withColumn("protocol", F.col("_l4p.kind"))
+    p = computed(p, _l4p=F.when(v4, four).when(v6, six)).withColumn("_l4", F.col("_l4p.at").cast("int")).withColumn("protocol", F.col("_l4p.kind"))
     wide = lambda at: F.concat_ws(":", *(F.lower(F.hex(frame.substr(at + 1 + 2 * i, F.lit(2)))) for i in range(8)))
     end = lambda four, six, hw: F.when(v4, _address(frame, ip + four)).when(v6, wide(ip + six)).when(arp, _address(frame, ip + hw))
     l4, proto = F.col("_l4"), F.col("protocol")
@@ -382,10 +382,10 @@ def http_requests(packets: DataFrame) -> DataFrame:
     one = lambda p: F.nullif(F.regexp_extract(head, p, 1), F.lit(""))
     lines = F.filter(F.split(head, "\r\n"), lambda x: x.rlike(r"^[A-Za-z0-9-]+:"))
     entries = F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, "(?s)^[^:]*:(.*)$", 1)).alias("v")))
-    headers = first_of_each(entries)
-    return packets.filter(text.rlike(r"^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) |^HTTP/1\.")).select(
+    headers = F.col("headers")
+    return computed(packets.filter(text.rlike(r"^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) |^HTTP/1\.")), headers=first_of_each(entries)).select(
         "path", "packet_num", "ts", one(r"^(GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH) ").alias("method"), one(r"^\w+ (\S+) HTTP/").alias("target"), F.lower(headers["host"]).alias("host"),
-        headers["user-agent"].alias("user_agent"), one(r"^HTTP/1\.\d (\d{3})").try_cast("int").alias("status"), headers.alias("headers"), F.substring(F.regexp_extract(text, r"(?s)\r\n\r\n(.*)$", 1), 1, 256).alias("body"),
+        headers["user-agent"].alias("user_agent"), one(r"^HTTP/1\.\d (\d{3})").try_cast("int").alias("status"), "headers", F.substring(F.regexp_extract(text, r"(?s)\r\n\r\n(.*)$", 1), 1, 256).alias("body"),
     )
 
 
